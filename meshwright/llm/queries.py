@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_bpe
+from .packing import op10_best_fit_packing
+from .pii import op1_pii
+from .secrets import op2_secrets
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_secrets": op2_secrets,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 SQL: dict[str, str] = {}
