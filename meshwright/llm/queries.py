@@ -6,11 +6,16 @@ from .bpe import op6_byte_bpe
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
 from .secrets import op2_secrets
+from .sharding import op7_sharding
+from .topk import SQL as TOP_K_SQL
+from .topk import op8_exact_top_k
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_exact_top_k": TOP_K_SQL}
