@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_bpe
+from .chat import SQL as CHAT_SQL
+from .chat import op3_chat_formatting
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
+from .quality import op9_quality_resampling
 from .secrets import op2_secrets
 from .sharding import op7_sharding
 from .topk import SQL as TOP_K_SQL
@@ -13,9 +16,11 @@ from .topk import op8_exact_top_k
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
+    "op3_chat_formatting": op3_chat_formatting,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL: dict[str, str] = {"op8_exact_top_k": TOP_K_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op8_exact_top_k": TOP_K_SQL}
