@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_byte_bpe
 from .chat import SQL as CHAT_SQL
 from .chat import op3_chat_formatting
+from .fingerprints import op4_fingerprints
 from .jaccard import op5_ngram_jaccard
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_fingerprints": op4_fingerprints,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
