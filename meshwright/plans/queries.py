@@ -4,11 +4,704 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import geometry as geo
+from ..operators import components as comp
+from ..operators import flows, imaging, learning, measures, morphology, nematic, paths, points, skeleton, weights
+from ..schema import NetworkFrame
+from ..sources import images as files
+from . import inputs as inp
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its name, with the SQL that says the same, if SQL can."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# --- names of files -------------------------------------------------------------------------------
+
+_NAMES = "n AS (SELECT page_id, printf('/data/%s%04d.%s', CASE WHEN page_id % 3 = 0 THEN 'mask' ELSE 'slice' END, page_id % 10000, CASE WHEN page_id % 5 = 0 THEN 'txt' ELSE 'tiff' END) AS path FROM pages)"
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    p = inp.table(spark, d, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "mask").otherwise("slice")
+    suffix = F.when(F.col("page_id") % 5 == 0, "txt").otherwise("tiff")
+    return p.select("page_id", F.format_string("/data/%s%04d.%s", kind, F.col("page_id") % 10000, suffix).alias("path"))
+
+
+@query(f"WITH {_NAMES} SELECT page_id, path, CAST(page_id % 10000 AS INTEGER) AS z FROM n WHERE path LIKE '%.tiff' AND path LIKE '%slice%' AND page_id % 10000 > 10 AND page_id % 10000 < 200")
+def slice_scan_depth_filter(spark, d):
+    n = _names(spark, d).where(files.is_image(F.col("path")) & files.has_prefix(F.col("path"), "slice"))
+    return n.withColumn("z", files.slice_number(F.col("path"))).where(files.in_depth(F.col("z"), 10, 200))
+
+
+@query(f"WITH {_NAMES} SELECT page_id, regexp_extract(path, '([a-z]+[0-9]+)[.]', 1) AS stem, lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') AS number FROM n")
+def prefix_number_parse(spark, d):
+    n = _names(spark, d)
+    return n.select("page_id", files.stem(F.col("path")).alias("stem"), files.four_digits(files.slice_number(F.col("path"))).alias("number"))
+
+
+# --- geometry -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {inp.IMAGES} SELECT image_id, CAST(0 AS INTEGER) AS z, CAST(r - 1 AS INTEGER) AS r, CAST(c - 2 AS INTEGER) AS c, v FROM images WHERE c >= 2 AND c < 7 AND r >= 1 AND r < 6")
+def crop_pixels(spark, d):
+    return geo.crop(inp.images(spark, d), [2, 7, 1, 6])
+
+
+@query(f"WITH {inp.IMAGES} SELECT image_id, z, CAST(r - 1 AS INTEGER) AS r, CAST(c - 1 AS INTEGER) AS c, v FROM images WHERE c >= 1 AND c < 7 AND r >= 1 AND r < 7")
+def outer_crop(spark, d):
+    x, y = geo.Crop.of([2, 6, 2, 6]).outer().bounds
+    return geo.crop(inp.images(spark, d), [*x, *y])
+
+
+@query(f"WITH {inp.POINTS} SELECT pid, round(x - (SELECT min(x) FROM pts), 6) + 0.0 AS x, round(y - (SELECT min(y) FROM pts), 6) + 0.0 AS y, round(z - (SELECT min(z) FROM pts), 6) + 0.0 AS z FROM pts")
+def origin_shift(spark, d):
+    return geo.shifted(inp.points(spark, d)).select("pid", *(r6(a).alias(a) for a in "xyz"))
+
+
+@query(f"WITH {inp.POINTS} SELECT pid, round(x - (SELECT max(x) / 2 FROM pts), 6) + 0.0 AS x, round(y - (SELECT max(y) / 2 FROM pts), 6) + 0.0 AS y, round(z - (SELECT max(z) / 2 FROM pts), 6) + 0.0 AS z FROM pts")
+def centre_shift(spark, d):
+    return geo.centred(inp.points(spark, d)).select("pid", *(r6(a).alias(a) for a in "xyz"))
+
+
+@query(f"WITH {inp.POINTS} SELECT bool_and(x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.5 AND 0.5 AND z BETWEEN -0.5 AND 0.5) AS inside FROM pts")
+def inside_box(spark, d):
+    return geo.inside(inp.points(spark, d), [-0.5, 0.5] * 3)
+
+
+@query(f"WITH {inp.IMAGES} SELECT image_id, r, c FROM images WHERE v > {inp.BRIGHT}")
+def dim_reduce(spark, d):
+    v = inp.voxels(spark, d)
+    return geo.reduced(v, ("z", "r", "c")).select("image_id", "r", "c")
+
+
+@query(f"""WITH {inp.POINTS}, k AS (SELECT pid, CAST(trunc(x * 20 + (y * 20 - x * 20) * i / 49) AS INTEGER) AS a, CAST(trunc(y * 20 + (z * 20 - y * 20) * i / 49) AS INTEGER) AS b FROM pts, range(50) t(i))
+SELECT DISTINCT pid, a, b FROM k""")
+def lattice_connector(spark, d):
+    p = inp.points(spark, d)
+    line = geo.lattice_line([F.col("x") * 20, F.col("y") * 20], [F.col("y") * 20, F.col("z") * 20])
+    return p.select("pid", F.explode(line).alias("at")).select("pid", F.col("at")[0].alias("a"), F.col("at")[1].alias("b"))
+
+
+@query("""SELECT user_id, CAST(i AS INTEGER) AS part, CAST(CASE i WHEN 0 THEN v[1] WHEN 1 THEN v[2] + v[3] ELSE v[4] + v[5] + v[6] END AS BIGINT) AS total
+FROM (SELECT DISTINCT user_id, [user_id, user_id + 1, user_id + 2, user_id + 3, user_id + 4, user_id + 5] AS v FROM events WHERE user_id IS NOT NULL), range(3) t(i)""")
+def split_by_lengths(spark, d):
+    u = inp.table(spark, d, "events").where("user_id IS NOT NULL").select("user_id").distinct()
+    v = F.sequence(F.col("user_id"), F.col("user_id") + 5)
+    parts = u.select("user_id", F.posexplode(geo.split_by_lengths(v, F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("part", "p"))
+    return parts.select("user_id", "part", F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+_TURNED = f"""{inp.POINTS}, turned AS (SELECT pid, x * cos(radians(30)) - y * sin(radians(30)) AS x, x * sin(radians(30)) + y * cos(radians(30)) AS y FROM pts)"""
+
+
+@query(f"WITH {_TURNED} SELECT pid, round(x + 0.2, 6) + 0.0 AS x, round(y + 0.2, 6) + 0.0 AS y FROM turned WHERE x >= -0.2 AND x < 0.2 AND y >= -0.2 AND y < 0.2")
+def rotate_and_clip(spark, d):
+    t = geo.rotated(inp.points(spark, d), 30, (0.0, 0.0))
+    kept = t.where((F.col("x") >= -0.2) & (F.col("x") < 0.2) & (F.col("y") >= -0.2) & (F.col("y") < 0.2))
+    return geo.shifted(kept, ("x", "y"), {"x": -0.2, "y": -0.2}).select("pid", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(f"""WITH {inp.NEAR}, s AS (SELECT pid FROM pts WHERE x BETWEEN -0.1 AND 0.1)
+SELECT src, dst FROM near WHERE src IN (SELECT pid FROM s) AND dst IN (SELECT pid FROM s)""")
+def axial_subslice(spark, d):
+    g = inp.near_graph(spark, d)
+    kept = g.vertices.where(F.col("x").between(-0.1, 0.1))
+    return points.induced(g.edges, kept, "id").select("src", "dst")
+
+
+_ENDS = f"{inp.NEAR}, e AS (SELECT n.src, n.dst, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM near n JOIN pts a ON a.pid = n.src JOIN pts b ON b.pid = n.dst)"
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    g = inp.near_graph(spark, d)
+    at = lambda n: g.vertices.select(F.col("id").alias(n), F.struct("x", "y", "z").alias(f"{n}_at"))
+    e = g.edges.join(at("src"), "src").join(at("dst"), "dst")
+    return e.select("src", "dst", *((F.col(f"src_at.{a}") - F.col(f"dst_at.{a}")).alias(a) for a in "xyz"))
+
+
+@query(f"""WITH {_ENDS} SELECT src, dst, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 WHEN dy = 0 THEN 90 WHEN dx = 0 THEN 0
+  ELSE degrees(atan(dx / dy)) + CASE WHEN (dx > 0) <> (dy > 0) THEN 180 ELSE 0 END END, 6) + 0.0 AS angle FROM e""")
+def edge_angle(spark, d):
+    v = _vectors(spark, d)
+    return v.select("src", "dst", r6(geo.angle(F.col("x"), F.col("y"))).alias("angle"))
+
+
+# --- image filters --------------------------------------------------------------------------------
+
+
+@query(f"WITH {inp.IMAGES} SELECT image_id, z, r, c, CAST(floor(pow(v / 255.0, 1 / 3.0::DOUBLE) * 255) AS INTEGER) AS v FROM images".replace("255.0,", "255.0::DOUBLE,"))
+def gamma_correct(spark, d):
+    return imaging.gamma_corrected(inp.images(spark, d), 3.0)
+
+
+@query(f"WITH {inp.IMAGES} SELECT image_id, z, r, c, CASE WHEN v > 103 THEN 255 ELSE 0 END AS v FROM images")
+def threshold_global(spark, d):
+    return imaging.threshold(inp.images(spark, d), 103)
+
+
+_OTSU = f"""{inp.IMAGES}, h AS (SELECT image_id, v, CAST(count(*) AS DOUBLE) AS n FROM images GROUP BY ALL),
+s AS (SELECT image_id, v, sum(n) OVER a AS w0, sum(n * v) OVER a AS s0, sum(n) OVER b AS w, sum(n * v) OVER b AS s FROM h WINDOW a AS (PARTITION BY image_id ORDER BY v), b AS (PARTITION BY image_id)),
+t AS (SELECT image_id, v, CASE WHEN w > w0 THEN round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) / (w * w), 9) ELSE 0 END AS b FROM s),
+level AS (SELECT image_id, arg_max(v, (b, -v)) AS level FROM t GROUP BY image_id)"""
+
+
+@query(f"WITH {_OTSU} SELECT i.image_id, z, r, c, CASE WHEN v > level THEN 255 ELSE 0 END AS v FROM images i JOIN level USING (image_id)")
+def threshold_otsu(spark, d):
+    return imaging.threshold_otsu(inp.images(spark, d))
+
+
+def _near_sql(kernel, border: str = "mirror") -> str:
+    """SQL: every pixel with the pixels under a kernel; images are 8 by 8."""
+    half = len(kernel) // 2
+    cells = ", ".join(f"({i - half}, {j - half}, CAST({k} AS DOUBLE))" for i, row in enumerate(kernel) for j, k in enumerate(row) if k)
+    at = {"mirror": lambda x: f"least((({x}) % 14 + 14) % 14, 14 - (({x}) % 14 + 14) % 14)", "repeat": lambda x: f"greatest(0, least(7, {x}))", "inside": lambda x: x}[border]
+    return f"""{inp.IMAGES}, cells(i, j, k) AS (VALUES {cells}), near AS (SELECT p.image_id, p.z, p.r, p.c, p.v, k, q.v AS u FROM images p CROSS JOIN cells
+  JOIN images q ON q.image_id = p.image_id AND q.r = {at('p.r + i')} AND q.c = {at('p.c + j')})"""
+
+
+_SAT = lambda x: f"CAST(greatest(0, least(255, round_even({x}, 0))) AS INTEGER)"
+
+
+@query(f"WITH {_near_sql(imaging.outer(imaging.gaussian(3)))} SELECT image_id, z, r, c, {_SAT('sum(k * u)')} AS v FROM near GROUP BY ALL")
+def gaussian_blur3(spark, d):
+    return imaging.gaussian_blur(inp.images(spark, d), 3)
+
+
+def _gradient_sql(kernel) -> str:
+    turned = imaging.transposed(kernel)
+    both = [[(a, b) for a, b in zip(p, q, strict=True)] for p, q in zip(kernel, turned, strict=True)]
+    cells = ", ".join(f"({i - 1}, {j - 1}, {a}, {b})" for i, row in enumerate(both) for j, (a, b) in enumerate(row))
+    mirror = lambda x: f"least((({x}) % 14 + 14) % 14, 14 - (({x}) % 14 + 14) % 14)"
+    return f"""WITH {inp.IMAGES}, cells(i, j, a, b) AS (VALUES {cells}), g AS (SELECT p.image_id, p.z, p.r, p.c, any_value(p.v) AS v, sum(a * q.v) AS gx, sum(b * q.v) AS gy FROM images p CROSS JOIN cells
+  JOIN images q ON q.image_id = p.image_id AND q.r = {mirror('p.r + i')} AND q.c = {mirror('p.c + j')} GROUP BY p.image_id, p.z, p.r, p.c)
+SELECT image_id, z, r, c, {_SAT("CAST(0.75 AS DOUBLE) * v + CAST(0.25 AS DOUBLE) * " + _SAT("CAST(0.5 AS DOUBLE) * least(255, abs(gx)) + CAST(0.5 AS DOUBLE) * least(255, abs(gy))"))} AS v FROM g"""
+
+
+@query(_gradient_sql(imaging.SOBEL_X))
+def sobel_blend(spark, d):
+    return imaging.gradient_blend(inp.images(spark, d), imaging.SOBEL_X)
+
+
+@query(_gradient_sql(imaging.SCHARR_X))
+def scharr_blend(spark, d):
+    return imaging.gradient_blend(inp.images(spark, d), imaging.SCHARR_X)
+
+
+@query(f"""WITH {_near_sql(imaging.laplacian_kernel())}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, sum(k * u) AS g FROM near GROUP BY image_id, z, r, c)
+SELECT image_id, z, r, c, {_SAT("CAST(0.75 AS DOUBLE) * v + CAST(0.25 AS DOUBLE) * least(255, abs(g))")} AS v FROM g""")
+def laplacian_blend(spark, d):
+    return imaging.laplacian_blend(inp.images(spark, d))
+
+
+@query(f"WITH {_near_sql([[1] * 5] * 5, 'inside')} SELECT image_id, z, r, c, list_sort(list(u))[count(*) // 2 + 1] AS v FROM near GROUP BY image_id, z, r, c")
+def median5(spark, d):
+    return imaging.median(inp.images(spark, d))
+
+
+@query(f"""WITH {_near_sql(imaging.disk(2), 'inside')}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, min(u) AS lo, max(u) AS hi FROM near GROUP BY image_id, z, r, c)
+SELECT image_id, z, r, c, CAST(CASE WHEN hi > lo THEN floor(255 * (v - lo) / CAST(hi - lo AS DOUBLE)) ELSE 0 END AS INTEGER) AS v FROM g""")
+def autolevel(spark, d):
+    return imaging.autolevel(inp.images(spark, d), 2)
+
+
+@query(f"""WITH {_near_sql(imaging.outer(imaging.gaussian(5)), 'repeat')}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, {_SAT('sum(k * u)')} AS m FROM near GROUP BY image_id, z, r, c)
+SELECT image_id, z, r, c, CASE WHEN v > m - 2 THEN 255 ELSE 0 END AS v FROM g""")
+def threshold_adaptive(spark, d):
+    return imaging.threshold_adaptive(inp.images(spark, d), 5)
+
+
+@query()
+def lowpass_hamming(spark, d):
+    return imaging.low_pass(inp.images(spark, d), 2)
+
+
+@query()
+def binarize_chain(spark, d):
+    o = imaging.Options.of({"Thresh_method": 2, "gamma": 2, "g_blur": 1, "bsize": "3", "sobel": 1})
+    return imaging.binarized(inp.images(spark, d), o)
+
+
+# --- morphology -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {inp.VOXELS}, el(i, j) AS (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)),
+grown AS (SELECT DISTINCT image_id, z, CAST(r + i AS INTEGER) AS r, CAST(c + j AS INTEGER) AS c FROM voxels, el WHERE r + i BETWEEN 0 AND 7 AND c + j BETWEEN 0 AND 7)
+SELECT g.image_id, g.z, g.r, g.c FROM grown g CROSS JOIN el JOIN grown n ON n.image_id = g.image_id AND n.r = g.r + i AND n.c = g.c + j GROUP BY ALL HAVING count(*) = 5""")
+def binary_closing(spark, d):
+    return morphology.closed(inp.voxels(spark, d), morphology.ball(1, True), inp.boxes(spark, d))
+
+
+_STEPS9 = ", ".join(f"({i}, {j}, {3 * (i + 1) + j + 1})" for i in (-1, 0, 1) for j in (-1, 0, 1))
+_CODES = f"""{inp.VOXELS}, steps(i, j, n) AS (VALUES {_STEPS9}),
+codes AS (SELECT a.image_id, a.z, a.r, a.c, CAST(sum(CASE WHEN b.r IS NULL THEN 0 ELSE 1 << n END) AS INTEGER) AS code, CAST(count(b.r) - 1 AS INTEGER) AS n_near
+  FROM voxels a CROSS JOIN steps LEFT JOIN voxels b ON b.image_id = a.image_id AND b.r = a.r + i AND b.c = a.c + j GROUP BY a.image_id, a.z, a.r, a.c)"""
+_ENDPTS = "SELECT image_id, z, r, c FROM codes WHERE n_near <= 1"
+
+
+@query(f"WITH {_CODES} {_ENDPTS}")
+def endpoints(spark, d):
+    return morphology.end_points(inp.voxels(spark, d))
+
+
+@query(f"WITH {_CODES} SELECT image_id, z, r, c FROM codes WHERE code IN ({', '.join(map(str, morphology.branch_codes()))})")
+def branchpoints(spark, d):
+    return morphology.branch_points(inp.voxels(spark, d))
+
+
+@query(f"""WITH {_CODES}, gone AS ({_ENDPTS} AND code NOT IN ({', '.join(map(str, morphology.branch_codes()))}))
+SELECT v.* FROM voxels v ANTI JOIN gone g ON g.image_id = v.image_id AND g.r = v.r AND g.c = v.c""")
+def prune(spark, d):
+    return morphology.prune(inp.voxels(spark, d), 1).select("image_id", "z", "r", "c")
+
+
+_PIECES = f"""{inp.VOXELS}, reach AS (SELECT image_id, r, c, r AS r0, c AS c0 FROM voxels UNION
+  SELECT b.image_id, b.r, b.c, a.r0, a.c0 FROM reach a JOIN voxels b ON b.image_id = a.image_id AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1)"""
+
+
+@query(f"WITH RECURSIVE {_PIECES} SELECT image_id, CAST(0 AS INTEGER) AS z, r, c FROM reach GROUP BY image_id, r, c HAVING count(*) >= 6")
+def remove_objects(spark, d):
+    return morphology.remove_objects(inp.voxels(spark, d), 6)
+
+
+@query()
+def skeletonize(spark, d):
+    return morphology.skeletonize(inp.voxels(spark, d))
+
+
+def _volumes(spark: SparkSession, d: str) -> DataFrame:
+    e = inp.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    from pyspark.sql import Window
+
+    z = F.row_number().over(Window.partitionBy("label").orderBy("image_id")) - 1
+    placed = e.withColumn("z", z).where("z < 8")
+    return inp.voxels(spark, d).drop("z").join(placed, "image_id").select(F.col("label").cast("long").alias("image_id"), F.col("z").cast("int").alias("z"), "r", "c")
+
+
+@query()
+def skeletonize_stacks(spark, d):
+    return morphology.skeletonize(_volumes(spark, d))
+
+
+@query()
+def merge_nodes(spark, d):
+    return morphology.merge_nodes(morphology.skeletonize(inp.voxels(spark, d)), 1, inp.boxes(spark, d))
+
+
+@query()
+def debubble(spark, d):
+    return morphology.debubble(morphology.skeletonize(inp.voxels(spark, d)), [1], inp.boxes(spark, d))
+
+
+@query()
+def image_to_skeleton(spark, d):
+    return morphology.image_skeleton(inp.images(spark, d).withColumn("v", F.when(F.col("v") > inp.BRIGHT, 1).otherwise(0)), inp.boxes(spark, d), prune_by=1, least_size=3).select("image_id", "z", "r", "c")
+
+
+@query(f"WITH {_CODES} SELECT image_id, z, r, c, CASE WHEN n_near = 2 THEN 1 ELSE 2 END AS mark FROM codes")
+def voxel_mark(spark, d):
+    return skeleton.marked(inp.voxels(spark, d))
+
+
+_NODES = f"""{_CODES}, nv AS (SELECT image_id, r, c FROM codes WHERE n_near <> 2), reach AS (SELECT image_id, r, c, r AS r0, c AS c0 FROM nv UNION
+  SELECT b.image_id, b.r, b.c, a.r0, a.c0 FROM reach a JOIN nv b ON b.image_id = a.image_id AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1),
+least AS (SELECT image_id, r, c, min(r0 * 8 + c0) AS node FROM reach GROUP BY image_id, r, c)"""
+
+
+@query(f"WITH RECURSIVE {_NODES} SELECT image_id, CAST(node AS INTEGER) AS node, count(*) AS n_voxels, CAST(trunc(avg(r)) AS INTEGER) AS r, CAST(trunc(avg(c)) AS INTEGER) AS c FROM least GROUP BY image_id, node")
+def skeleton_nodes(spark, d):
+    n = skeleton.nodes(inp.voxels(spark, d))
+    return n.select("image_id", (F.col("node.r") * 8 + F.col("node.c")).alias("node"), "n_voxels", "r", "c")
+
+
+def _skeleton_graph(spark: SparkSession, d: str) -> NetworkFrame:
+    return skeleton.vectorised(morphology.skeletonize(inp.voxels(spark, d)))
+
+
+@query()
+def skeleton_edges(spark, d):
+    e = _skeleton_graph(spark, d).edges
+    return e.select("image_id", "eid", "src", "dst", F.size("pts").alias("n_voxels"))
+
+
+# --- weights --------------------------------------------------------------------------------------
+
+_W = "w AS (SELECT l_orderkey, l_linenumber, CAST(1 + l_quantity AS BIGINT) % 20 AS n, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS p FROM lineitem), u AS (SELECT *, CAST(CASE WHEN n < 2 THEN 10 ELSE p END AS DOUBLE) AS w FROM w)"
+
+
+def _formula(x: str) -> str:
+    return f"round(CASE WHEN n < 2 OR ({x}) IS NULL OR ({x}) = 0 THEN 1 ELSE {x} END, 6) + 0.0"
+
+
+@query(f"""WITH {_W} SELECT l_orderkey, l_linenumber, {_formula('1 / nullif(n * 2.0::DOUBLE / nullif(w * w, 0) + 0.5::DOUBLE, 0)')} AS variable, {_formula('1 / nullif(n * 2.0::DOUBLE + 0.5::DOUBLE, 0)')} AS fixed,
+ {_formula('n * 2.0::DOUBLE / nullif(w * w, 0) + 0.5::DOUBLE')} AS resistance, {_formula('w * w')} AS area, {_formula('w')} AS width, {_formula('CAST(n AS DOUBLE)')} AS length, {_formula('1.0::DOUBLE / nullif(n, 0)')} AS inverse_length FROM u""")
+def edge_weights_all(spark, d):
+    li = inp.table(spark, d, "lineitem")
+    n, p = (F.floor(1 + F.col("l_quantity")).cast("long") % 20), F.floor(F.col("l_discount") * 100 + 0.5).cast("long")
+    w = F.when(n < 2, 10).otherwise(p)
+    names = dict(zip(weights.KINDS, ("variable", "fixed", "resistance", "area", "width", "length", "inverse_length"), strict=True))
+    return li.select("l_orderkey", "l_linenumber", *(r6(weights.weight(k, n, w, 0.25, 2.0)).alias(a) for k, a in names.items()))
+
+
+@query()
+def edge_pixel_width(spark, d):
+    e = weights.pixel_widths(_skeleton_graph(spark, d).edges, inp.images(spark, d).withColumn("v", F.when(F.col("v") > inp.BRIGHT, 1).otherwise(0)))
+    w = weights.weighted(e, ["Resistance", "Length", "Width"])
+    return w.select("image_id", "eid", "pixel_width", "perp_bisector.l1", "perp_bisector.l2", r6("resistance").alias("resistance"), "length", "width")
+
+
+# --- graphs from points ---------------------------------------------------------------------------
+
+
+@query(f"WITH {inp.NEAR} SELECT src, dst, round(length, 6) + 0.0 AS length FROM near")
+def cutoff_graph(spark, d):
+    return inp.near_graph(spark, d).edges.select("src", "dst", r6("length").alias("length"))
+
+
+_MIN = lambda a: f"(a.{a}-b.{a} - round(a.{a}-b.{a}))"
+
+
+@query(f"""WITH {inp.POINTS}, e AS (SELECT a.pid AS src, b.pid AS dst, sqrt({_MIN('x')}*{_MIN('x')}+{_MIN('y')}*{_MIN('y')}+{_MIN('z')}*{_MIN('z')}) AS length FROM pts a JOIN pts b ON a.pid < b.pid)
+SELECT src, dst, round(length, 6) + 0.0 AS length FROM e WHERE length <= {inp.CUTOFF}""")
+def cutoff_graph_periodic(spark, d):
+    return points.cutoff_graph(inp.points(spark, d), inp.CUTOFF, box=(1.0, 1.0, 1.0)).select("src", "dst", r6("length").alias("length"))
+
+
+@query(f"""WITH {inp.NEAR}, two AS (SELECT src, dst, length FROM near UNION ALL SELECT dst, src, length FROM near),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY length, dst) AS rank FROM two) SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3 AND src < dst""")
+def knn_graph(spark, d):
+    return points.knn_graph(inp.points(spark, d), 3, inp.CUTOFF).select("src", "dst", "rank")
+
+
+@query(f"WITH {inp.POINTS} SELECT a.pid AS src, b.pid AS dst, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) + 0.0 AS length FROM pts a JOIN pts b ON b.pid = a.pid * 2 + 1")
+def edge_list_graph(spark, d):
+    p = inp.points(spark, d)
+    bonds = p.select(F.col("pid").alias("src"), (F.col("pid") * 2 + 1).alias("dst"))
+    return points.edge_list_graph(p, bonds).select("src", "dst", r6("length").alias("length"))
+
+
+@query(f"""WITH {inp.POINTS} SELECT a.frame, a.pid AS src, b.pid AS dst FROM pts a JOIN pts b ON a.frame = b.frame AND a.pid < b.pid
+WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.15""")
+def trajectory_graphs(spark, d):
+    return points.cutoff_graph(inp.points(spark, d), 0.15, ("frame",)).select("frame", "src", "dst")
+
+
+_OCT = lambda t: f"(CASE WHEN {t}.x > 0 THEN 4 ELSE 0 END + CASE WHEN {t}.y > 0 THEN 2 ELSE 0 END + CASE WHEN {t}.z > 0 THEN 1 ELSE 0 END)"
+
+
+@query(f"""WITH {inp.NEAR} SELECT CAST({_OCT('a')} AS INTEGER) AS region, src, dst FROM near n JOIN pts a ON a.pid = n.src JOIN pts b ON b.pid = n.dst
+WHERE {_OCT('a')} = {_OCT('b')} AND a.x <> 0 AND a.y <> 0 AND a.z <> 0 AND b.x <> 0 AND b.y <> 0 AND b.z <> 0""")
+def octant_graphs(spark, d):
+    p = inp.points(spark, d).withColumn("region", geo.octant()).where("region IS NOT NULL")
+    return points.cutoff_graph(p, inp.CUTOFF, ("region",)).select("region", "src", "dst")
+
+
+@query(f"WITH {inp.NEAR} SELECT DISTINCT pid FROM (SELECT src AS pid FROM near UNION ALL SELECT dst FROM near)")
+def bonded_particles(spark, d):
+    g = inp.near_graph(spark, d)
+    return points.with_neighbours(inp.points(spark, d), g.edges).select("pid")
+
+
+@query(f"WITH {inp.POINTS} SELECT round(2 * max(x), 6) + 0.0 AS lx, round(2 * max(y), 6) + 0.0 AS ly, round(2 * max(z), 6) + 0.0 AS lz FROM pts")
+def bounding_box(spark, d):
+    return points.bounding_box(inp.points(spark, d)).select(*(r6(c).alias(c) for c in ("lx", "ly", "lz")))
+
+
+# --- measures -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {inp.SUPPLY}, s AS (SELECT (SELECT count(*) FROM verts) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges) SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 9) AS density, round(2.0 * n_edges / n_nodes, 9) AS average_degree FROM s".replace("2.0", "2.0::DOUBLE"))
+def graph_size(spark, d):
+    s = measures.size(inp.supply_graph(spark, d))
+    return s.select("n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("average_degree", 9).alias("average_degree"))
+
+
+@query(f"WITH {inp.USERS}, s AS (SELECT (SELECT count(*) FROM verts) AS n, (SELECT count(*) FROM edges) AS m) SELECT round(2.0::DOUBLE * m / (n * (n - 1)), 9) AS density FROM s")
+def graph_density(spark, d):
+    return measures.size(inp.user_graph(spark, d)).select(F.round("density", 9).alias("density"))
+
+
+@query(f"WITH {inp.USERS} SELECT src AS id, count(*) AS degree FROM ends GROUP BY src")
+def degree(spark, d):
+    return measures.degree(inp.user_graph(spark, d))
+
+
+@query(f"WITH {inp.NEAR} SELECT pid AS id, round(coalesce(s, 0), 6) + 0.0 AS strength FROM pts LEFT JOIN (SELECT id, sum(length) AS s FROM (SELECT src AS id, length FROM near UNION ALL SELECT dst, length FROM near) GROUP BY id) ON id = pid")
+def strength(spark, d):
+    return measures.degree(inp.near_graph(spark, d), "length").select("id", r6("degree").alias("strength"))
+
+
+@query(f"WITH {inp.USERS}, k AS (SELECT src, count(*) AS k FROM ends GROUP BY src) SELECT round(avg(k), 9) AS average_degree FROM k")
+def average_degree(spark, d):
+    return measures.average(measures.degree(inp.user_graph(spark, d)), "degree", "average_degree").select(F.round("average_degree", 9).alias("average_degree"))
+
+
+_CLUSTERING = f"""{inp.NEAR}, ends AS (SELECT src, dst FROM near UNION ALL SELECT dst, src FROM near), k AS (SELECT src AS id, count(*) AS k FROM ends GROUP BY src),
+t AS (SELECT a.src AS id, count(*) AS t FROM ends a JOIN ends b ON b.src = a.src AND a.dst < b.dst JOIN near n ON n.src = a.dst AND n.dst = b.dst GROUP BY a.src),
+cl AS (SELECT pid AS id, CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END AS clustering FROM pts LEFT JOIN k ON k.id = pid LEFT JOIN t ON t.id = pid)"""
+
+
+@query(f"WITH {_CLUSTERING} SELECT id, round(clustering, 6) + 0.0 AS clustering FROM cl")
+def local_clustering(spark, d):
+    return measures.clustering(inp.near_graph(spark, d)).select("id", r6("clustering").alias("clustering"))
+
+
+@query(f"WITH {_CLUSTERING} SELECT round(avg(clustering), 6) + 0.0 AS average_clustering FROM cl")
+def average_clustering(spark, d):
+    return measures.average(measures.clustering(inp.near_graph(spark, d)), "clustering", "c").select(r6("c").alias("average_clustering"))
+
+
+@query(f"WITH {inp.NEAR}, ends AS (SELECT src, dst FROM near UNION ALL SELECT dst, src FROM near), k AS (SELECT src AS id, count(*) AS k FROM ends GROUP BY src) SELECT round(corr(a.k, b.k), 6) + 0.0 AS assortativity FROM ends JOIN k a ON a.id = src JOIN k b ON b.id = dst")
+def degree_assortativity(spark, d):
+    return measures.assortativity(inp.near_graph(spark, d)).select(r6("assortativity").alias("assortativity"))
+
+
+@query(f"""WITH {inp.SUPPLY}, w AS (SELECT a.src AS s, d.dst AS t FROM ends a JOIN ends b ON b.src = a.dst JOIN ends c ON c.src = b.dst JOIN ends d ON d.src = c.dst)
+SELECT round(count(*) / 2.0::DOUBLE, 6) AS closed_walks FROM w WHERE s = t""")
+def closed_walks(spark, d):
+    return measures.closed_walks(inp.supply_graph(spark, d), 4).select(F.round("closed_walks", 6).alias("closed_walks"))
+
+
+_COMPONENTS = f"""{inp.SUPPLY}, reach(id, r) USING KEY (id) AS (SELECT id, id AS r FROM verts UNION
+  SELECT e.dst, min(a.r) FROM reach a JOIN ends e ON e.src = a.id JOIN recurring.reach k ON k.id = e.dst WHERE a.r < k.r GROUP BY e.dst)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT id, r AS component FROM reach")
+def connected_components(spark, d):
+    return comp.components(inp.supply_graph(spark, d))
+
+
+_GIANT = f"{_COMPONENTS}, top AS (SELECT r FROM reach GROUP BY r ORDER BY count(*) DESC, r LIMIT 1), giant AS (SELECT id FROM reach WHERE r = (SELECT r FROM top))"
+
+
+@query(f"WITH RECURSIVE {_GIANT} SELECT e.src, e.dst FROM edges e WHERE e.src IN (SELECT id FROM giant)")
+def giant_component(spark, d):
+    return comp.giant(inp.supply_graph(spark, d)).edges.select("src", "dst")
+
+
+@query(f"WITH RECURSIVE {_GIANT}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new FROM giant) SELECT a.new AS src, b.new AS dst FROM edges e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst")
+def giant_renumbered(spark, d):
+    return comp.renumbered(comp.giant(inp.supply_graph(spark, d))).edges.select("src", "dst")
+
+
+# --- paths ----------------------------------------------------------------------------------------
+
+_LEVELS = f"""{inp.SUPPLY}, lv(s, v, d) USING KEY (s, v) AS (SELECT id, id, 0 FROM verts UNION
+  SELECT DISTINCT a.s, e.dst, a.d + 1 FROM lv a JOIN ends e ON e.src = a.v LEFT JOIN recurring.lv k ON k.s = a.s AND k.v = e.dst WHERE k.s IS NULL)"""
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT s AS src, v AS dst, CAST(d AS DOUBLE) AS distance FROM lv WHERE s <> v")
+def shortest_path_lengths(spark, d):
+    return paths.distances(inp.supply_graph(spark, d))
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT s AS src, v AS dst, CAST(d AS DOUBLE) AS distance FROM lv WHERE s <> v AND s >= 10000000 AND s % 50 = 1")
+def frontier_path_lengths(spark, d):
+    g = inp.supply_graph(spark, d)
+    return paths.frontier(g, g.vertices.where("id >= 10000000 AND id % 50 = 1"))
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(max(d) AS DOUBLE) AS diameter FROM lv")
+def diameter(spark, d):
+    return paths.diameter(inp.supply_graph(spark, d))
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT s AS id, round(count(*) / CAST(sum(d) AS DOUBLE), 6) + 0.0 AS closeness FROM lv WHERE s <> v GROUP BY s")
+def closeness(spark, d):
+    return paths.closeness(inp.supply_graph(spark, d)).select("id", r6("closeness").alias("closeness"))
+
+
+@query(f"WITH RECURSIVE {_LEVELS}, cl AS (SELECT s, count(*) / CAST(sum(d) AS DOUBLE) AS c FROM lv WHERE s <> v GROUP BY s) SELECT round(avg(c), 6) + 0.0 AS average_closeness FROM cl")
+def average_closeness(spark, d):
+    return measures.average(paths.closeness(inp.supply_graph(spark, d)), "closeness", "c").select(r6("c").alias("average_closeness"))
+
+
+_WAYS = f"""{_LEVELS}, ways(s, v, d, n) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM verts UNION ALL
+  SELECT w.s, e.dst, w.d + 1, sum(w.n) FROM ways w JOIN ends e ON e.src = w.v JOIN lv ON lv.s = w.s AND lv.v = e.dst AND lv.d = w.d + 1 GROUP BY w.s, e.dst, w.d + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_WAYS}, b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) AS b FROM ways x JOIN ways y ON y.v = x.v AND x.s < y.s JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY x.v)
+SELECT verts.id, round(coalesce(b, 0) / ((SELECT count(*) FROM verts) * ((SELECT count(*) FROM verts) - 1)), 9) + 0.0 AS betweenness FROM verts LEFT JOIN b ON b.id = verts.id""")
+def node_betweenness(spark, d):
+    return paths.node_betweenness(inp.supply_graph(spark, d)).select("id", (F.round("betweenness", 9) + 0.0).alias("betweenness"))
+
+
+_BOUNDARY = "s_ AS (SELECT id FROM verts WHERE id < 10000000 AND id % 7 = 0), t_ AS (SELECT id FROM verts WHERE id < 10000000 AND id % 7 = 3)"
+
+
+def _boundary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = inp.supply_graph(spark, d)
+    parts = g.vertices.where("id < 10000000")
+    return paths.boundary_betweenness(g, parts.where("id % 7 = 0"), parts.where("id % 7 = 3"))
+
+
+@query(f"""WITH RECURSIVE {_WAYS}, {_BOUNDARY}, b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) / 2 AS b FROM ways x JOIN ways y ON y.v = x.v JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d
+  WHERE x.d > 0 AND y.d > 0 AND x.s IN (SELECT id FROM s_) AND y.s IN (SELECT id FROM t_) GROUP BY x.v)
+SELECT verts.id, round(coalesce(b, 0), 6) + 0.0 AS betweenness FROM verts LEFT JOIN b ON b.id = verts.id""")
+def node_boundary_betweenness(spark, d):
+    return _boundary(spark, d)[0].select("id", r6("betweenness").alias("betweenness"))
+
+
+@query(f"""WITH RECURSIVE {_WAYS}, {_BOUNDARY}, b AS (SELECT least(e.src, e.dst) AS src, greatest(e.src, e.dst) AS dst, sum(x.n * y.n / z.n) / 2 AS b
+  FROM ends e JOIN ways x ON x.v = e.src JOIN ways y ON y.v = e.dst JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d + 1
+  WHERE x.s IN (SELECT id FROM s_) AND y.s IN (SELECT id FROM t_) GROUP BY ALL)
+SELECT edges.src, edges.dst, round(coalesce(b, 0), 6) + 0.0 AS betweenness FROM edges LEFT JOIN b ON b.src = edges.src AND b.dst = edges.dst""")
+def edge_boundary_betweenness(spark, d):
+    return _boundary(spark, d)[1].select("src", "dst", r6("betweenness").alias("betweenness"))
+
+
+# --- flows ----------------------------------------------------------------------------------------
+
+
+def _frame_graph(spark: SparkSession, d: str) -> NetworkFrame:
+    """The giant component of one frame's near points, weighted by inverse length."""
+    p = inp.points(spark, d).where("frame = 1")
+    e = points.cutoff_graph(p, 0.25)
+    e = e.withColumn("w", 1 / (1 + F.col("length"))).withColumn("resistance", 1 + F.col("length")).withColumn("conductance", F.col("w"))
+    return comp.giant(NetworkFrame(p.select(F.col("pid").alias("id"), "x", "y", "z"), e))
+
+
+@query()
+def average_nodal_connectivity(spark, d):
+    return flows.average_nodal_connectivity(_frame_graph(spark, d)).select(r6("average_nodal_connectivity").alias("average_nodal_connectivity"))
+
+
+def _some(g: NetworkFrame) -> tuple[list, list]:
+    ids = [r["id"] for r in g.vertices.select("id").orderBy("id").limit(6).collect()]
+    return ids[:3], ids[3:]
+
+
+@query()
+def random_walk_linear(spark, d):
+    g = _frame_graph(spark, d)
+    return flows.random_walk_betweenness(g, *_some(g), weight="w").select("src", "dst", r6("betweenness").alias("betweenness"))
+
+
+@query()
+def random_walk_nonlinear(spark, d):
+    g = _frame_graph(spark, d)
+    return flows.random_walk_betweenness(g, *_some(g), weight="w", ghost=True).select("src", "dst", r6("betweenness").alias("betweenness"))
+
+
+@query()
+def current_flow_all_pairs(spark, d):
+    return flows.current_flow_betweenness(_frame_graph(spark, d), "w").select("src", "dst", r6("betweenness").alias("betweenness"))
+
+
+def _wired(spark: SparkSession, d: str) -> NetworkFrame:
+    return flows.with_terminals(_frame_graph(spark, d), flows.Terminals("x", (-1.0, -0.1), (0.1, 1.0)), "w")
+
+
+@query()
+def effective_resistance(spark, d):
+    return flows.effective_resistance(_wired(spark, d), -1, -2).select(r6("by_inverse").alias("by_inverse"), r6("by_determinants").alias("by_determinants"))
+
+
+@query()
+def node_potentials(spark, d):
+    return flows.potentials(_wired(spark, d), -1, -2).select("id", r6("potential").alias("potential"))
+
+
+@query()
+def node_potentials_relaxed(spark, d):
+    return flows.relaxed(_wired(spark, d), -1, -2, tolerance=1e-7, most=40).select("id", F.round("potential", 4).alias("potential"))
+
+
+@query()
+def gyration_tensor(spark, d):
+    return paths.gyration(_frame_graph(spark, d)).select(*(r6(c).alias(c) for c in ("xx", "yy", "xy")))
+
+
+# --- orientation ----------------------------------------------------------------------------------
+
+_Q = f"""{_ENDS}, u AS (SELECT dx / sqrt(dx*dx+dy*dy+dz*dz) AS a, dy / sqrt(dx*dx+dy*dy+dz*dz) AS b, dz / sqrt(dx*dx+dy*dy+dz*dz) AS c FROM e WHERE dx*dx+dy*dy+dz*dz > 0),
+q AS (SELECT 1.5*avg(a*a)-0.5 AS xx, 1.5*avg(b*b)-0.5 AS yy, 1.5*avg(c*c)-0.5 AS zz, 1.5*avg(a*b) AS xy, 1.5*avg(a*c) AS xz, 1.5*avg(b*c) AS yz FROM u)"""
+
+
+@query(f"WITH {_Q} SELECT " + ", ".join(f"round({k}, 6) + 0.0 AS q{k}" for k in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM q")
+def nematic_tensor(spark, d):
+    return nematic.tensor(_vectors(spark, d)).select(*(r6(f"q{k}").alias(f"q{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")))
+
+
+@query(f"""WITH {_Q}, p AS (SELECT *, sqrt((xx*xx+yy*yy+zz*zz+2*(xy*xy+xz*xz+yz*yz))/6) AS p, xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz) AS det FROM q)
+SELECT round(2*p*cos(acos(greatest(-1, least(1, det/(2*p*p*p))))/3), 6) + 0.0 AS nematic_order FROM p""")
+def nematic_order(spark, d):
+    return nematic.order_parameter(_vectors(spark, d)).select(r6("nematic_order").alias("nematic_order"))
+
+
+@query()
+def skeleton_orientations(spark, d):
+    e = _skeleton_graph(spark, d).edges
+    return nematic.orientations(e.select(F.struct("image_id", "eid").alias("eid"), "pts")).select("eid.image_id", "eid.eid", "x", "y", "z")
+
+
+# --- labels and files -----------------------------------------------------------------------------
+
+
+@query(f"WITH {inp.SUPPLY}, k AS (SELECT src AS id, count(*) AS k FROM ends GROUP BY src) SELECT e.src, e.dst, a.k AS src_degree, b.k AS dst_degree FROM edges e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst")
+def node_label_join(spark, d):
+    g = inp.supply_graph(spark, d)
+    k = measures.degree(g)
+    return g.edges.join(k.toDF("src", "src_degree"), "src").join(k.toDF("dst", "dst_degree"), "dst").select("src", "dst", "src_degree", "dst_degree")
+
+
+@query(f"WITH {inp.POINTS} SELECT pid AS id, concat_ws(',', CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(round(y * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(round(z * 1000) AS BIGINT) AS VARCHAR)) AS line FROM pts")
+def csv_export_rows(spark, d):
+    p = inp.points(spark, d)
+    return p.select(F.col("pid").alias("id"), F.concat_ws(",", *(F.round(F.col(a) * 1000).cast("long").cast("string") for a in "xyz")).alias("line"))
+
+
+@query(f"WITH {inp.VOXELS}, lo AS (SELECT image_id, min(r) AS r0, min(c) AS c0 FROM voxels GROUP BY image_id) SELECT v.image_id, CAST(r - r0 AS INTEGER) AS r, CAST(c - c0 AS INTEGER) AS c FROM voxels v JOIN lo USING (image_id)")
+def skeleton_export(spark, d):
+    v = inp.voxels(spark, d)
+    lo = v.groupBy("image_id").agg(F.min("r").alias("r0"), F.min("c").alias("c0"))
+    return v.join(lo, "image_id").select("image_id", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"))
+
+
+# --- around a classifier --------------------------------------------------------------------------
+
+
+@query(f"""WITH {inp.IMAGES}, cells AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j))
+SELECT p.image_id, p.r, p.c, round(sum(coalesce(q.v / 255.0::DOUBLE - 0.5, 0)), 6) + 0.0 AS total FROM images p CROSS JOIN cells
+LEFT JOIN images q ON q.image_id = p.image_id AND q.r = p.r + i AND q.c = p.c + j WHERE p.v > {inp.BRIGHT} GROUP BY p.image_id, p.r, p.c""")
+def patch_windows(spark, d):
+    got = learning.patches(inp.images(spark, d), inp.voxels(spark, d), 1)
+    return got.select("image_id", "r", "c", r6(F.aggregate("patch", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query()
+def balanced_areas(spark, d):
+    v = inp.images(spark, d).withColumn("label", F.when(F.col("v") > inp.BRIGHT, 1).otherwise(0))
+    return learning.balanced(v, 0.3)
+
+
+@query(f"WITH {_NAMES} SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id < 100 THEN page_id ELSE -1 END AS mask FROM n")
+def masks_by_name(spark, d):
+    n = _names(spark, d).withColumnRenamed("path", "name")
+    masks = n.where("page_id % 3 = 0 AND page_id < 100").select(F.upper("name").alias("name"), F.col("page_id").alias("mask"))
+    rest = spark.createDataFrame([("/data/Default.png", -1)], "name string, mask long")
+    return learning.with_masks(n, masks.unionByName(rest)).select("page_id", "mask")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["degree"](spark, sf_dir)
+    """Points to a graph to its degrees, in one plan."""
+    return measures.degree(inp.near_graph(spark, sf_dir))
