@@ -19,15 +19,21 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .common import over_batches, table, texts
 
-#: Cached pieces per worker, and the longest that is kept.
+#: Cached pieces per worker and generation (there are two), and the longest that is kept.
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
+_latin = re.compile(r"[\x21-\x7e\n\xa1-\xac\xae-\u024f]+").fullmatch
+#: The pre-tokenising pattern, for Latin pieces only: there all Unicode versions agree.
+_tokens = regex.compile(public_tokenizers.PATTERN).findall
+#: Every 16-bit id as four bytes; a vocabulary may have more ids.
+_four = [i.to_bytes(4, "little") for i in range(1 << 16)]
 _cut = re.compile(r" (?=\S)").split
 #: A word of Latin letters, perhaps with one closing mark: its pre-tokens are known without the pattern.
 _word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)").fullmatch
@@ -70,6 +76,7 @@ class Encoder(dict):
 
     def __init__(self, spec: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -85,17 +92,37 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def fresh(self, piece: str) -> bytes:
+        """The ids of a piece that follows a space."""
+        if (m := _word(piece)) is None:
+            if not _latin(piece):
+                return self.whole(" " + piece)
+            first, *rest = _tokens(" " + piece)
+            if not rest:
+                return self.whole(first)
+            return self[first[1:]] + b"".join([self.bare(t) for t in rest])
+        if m[2]:
+            return self[m[1]] + self.marks[m[2]]
+        shown = "Ġ" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.to_char))
+        return b"".join([_four[i] if (i := t.id) < 65536 else i.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+
+    def bare(self, token: str) -> bytes:
+        """The ids of one pre-token, by itself; those without a space before are kept apart."""
+        if token[0] == " " and len(token) > 1:
+            return self[token[1:]]
+        if (ids := self.marks.get(token)) is None:
+            ids = self.whole(token)
+            if len(self.marks) < CACHE_PIECES // 4 and len(token) <= CACHE_CHARS:
+                self.marks[token] = ids
+        return ids
+
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > CACHE_CHARS:
             return self.whole(" " + piece)
-        if (m := _word(piece)) is None:
-            ids = self.whole(" " + piece)
-        elif m[2]:
-            ids = self[m[1]] + self.marks[m[2]]
-        else:
-            shown = (" " + piece).encode().decode("latin-1").translate(self.to_char)
-            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        if (ids := self.older.get(piece)) is None:
+            ids = self.fresh(piece)
         if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
