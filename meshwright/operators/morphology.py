@@ -179,9 +179,9 @@ def is_simple(cube: np.ndarray) -> bool:
 
 
 def thinned_volume(volume: np.ndarray) -> np.ndarray:
-    """Simple points off each of six sides in turn, ends kept, until none is left."""
+    """Simple points off each side in turn (no side along an axis of one voxel), ends kept, until none is left."""
     on = np.pad(volume.astype(bool), 1)
-    sides = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    sides = [s for axis in range(3) if volume.shape[axis] > 1 for s in np.vstack([np.eye(3, dtype=int)[axis], -np.eye(3, dtype=int)[axis]]).tolist()]
     changed = True
     while changed:
         changed = False
