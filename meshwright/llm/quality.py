@@ -5,16 +5,15 @@ labelled good ones, give each text a log importance weight: the sum of its
 n-grams' log ratios, less the cutoff that parts held-out good and bad labels
 best, for as many n-grams. Texts are then sampled without replacement in
 proportion to their weight's power by Gumbel top-k: the k largest of weight
-times ``sharpness`` plus Gumbel noise, k being the number of texts with a
-positive weight.
+times ``sharpness`` plus Gumbel noise, k being the number of texts whose
+weight is not negative.
 
 The raw model counts every document. The target model and the cutoff may come
 from at most ``max_labels`` labelled rows, taken by the hash of their doc_id.
 The noise is a function of the text, so equal texts fare alike, and rows tied
 with the last one selected are selected too.
 
-Null and empty texts have no n-grams and the weight 0; they are kept if k is
-reached with them. Very long texts are read whole. Without labels of either
+Null and empty texts have no n-grams and the weight 0; their noise decides. Very long texts are read whole. Without labels of either
 kind nothing is rejected. An empty table gives no rows. Further columns pass
 through the filter as they are.
 """
@@ -179,7 +178,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     """The model with the least key that is selected, and all documents' scores."""
     model = fit(docs, labels, max_labels)
     rows = stored(scored(docs, model))
-    k = rows.where("log_weight > 0").count()
+    k = rows.where("log_weight >= 0").count()
     return Model(model.ratio, model.cutoff, kth_largest(rows, "gumbel_key", k)), rows
 
 

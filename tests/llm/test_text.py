@@ -1,0 +1,488 @@
+"""Text operators against brute force, round trips and edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import base64
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from meshwright.llm import bpe, chat, fingerprints, jaccard, packing, pii, quality, secrets, sharding, topk
+
+AWKWARD = [
+    (1, "plain words of no interest at all", "en"),
+    (2, None, "en"),
+    (3, "", None),
+    (None, "a text without an id", "de"),
+    (5, "same text, two rows", "en"),
+    (5, "same text, two rows", "en"),
+    (6, "é漢😀 " * 300 + "\n" * 40, "xx"),
+    (7, "x" * 200_000, "xx"),
+    (8, "word " * 30_000, "en"),
+]
+
+
+def documents(spark, rows=AWKWARD, extra=True):
+    """Documents with further columns of clashing names."""
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    return df.withColumns({"key": F.lit("k"), "sig": F.lit(1), "n": F.lit(2), "length": F.lit(3), "shard": F.lit(4), "ids": F.lit(5), "n_chars": F.length("text").cast("long")}) if extra else df
+
+
+def empty(spark):
+    return documents(spark).limit(0)
+
+
+# --- personal data ---
+
+
+GRAMMARS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_pii(text):
+    out = []
+    for order, (kind, grammar) in enumerate(GRAMMARS.items()):
+        for m in re.finditer(grammar, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), order, kind, m.end()))
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(*(st.text(alphabet=a, max_size=50) for a in ("a@.-b1 +", "0123. -", "+123 ().-", "12 -.@a+4é"))))
+def test_base_pii_is_the_grammars(text):
+    assert [s for s in pii.find(text) if s[0] in pii.BASE] == base_pii(text)
+
+
+def test_added_pii():
+    text = "see https://a.example/x?y=1, IBAN: DE89 3704 0044 0532 0130 00 SSN 123-45-6789 account no. 12345678 at 12 Old Mill Road."
+    kinds = {k: text[a:b] for k, a, b in pii.find(text) if k not in pii.BASE}
+    assert kinds == {"url": "https://a.example/x?y=1", "iban": "DE89 3704 0044 0532 0130 00", "ssn": "123-45-6789", "account": "12345678", "street": "12 Old Mill Road"}
+    assert not [s for s in pii.find("the IBAN: DE88 3704 0044 0532 0130 00 fails, http://x fails, Road to 12 towns") if s[0] not in pii.BASE]
+    assert pii.redacted("mail a@b.cd now", pii.find("mail a@b.cd now")) == "mail [EMAIL] now"
+
+
+def test_pii_over_rows(spark):
+    rows = pii.scan(documents(spark)).collect()
+    assert len(rows) == len(AWKWARD) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert pii.scan(empty(spark)).count() == 0
+    kept = pii.redact(documents(spark, [(1, "call +1 (555) 123-4567", "en"), (2, None, "en")]))
+    assert [(r["text"], r["n_chars"]) for r in kept.orderBy("doc_id").collect()] == [("call [PHONE]", 12), (None, None)]
+
+
+# --- secrets ---
+
+
+def base_secrets(text):
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(map(letters, ("password", "passwd", "secret", "token"))) + "|" + letters("api") + "_?" + letters("key")
+    out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(k, a, b) for a, _, k, b in sorted(out)]
+
+
+WORDS = ["password", "Token", "api_key", "APIKEY", "secret", "paſſword", "toKen", ":", "=", " ", '"', "'", "abc", "AKIA", "XYZ123", "0123456789abcdef", "ff", ".", "-", "é"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=14).map("".join))
+def test_base_secrets_are_the_grammars(text):
+    assert [s for s in secrets.find(text) if s[0] in secrets.BASE] == base_secrets(text)
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def test_confirmed_secrets():
+    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 129))) + der(2, b"\1\0\1"))
+    b64 = base64.b64encode(key).decode()
+    kinds = lambda t: [k for k, _, _ in secrets.find(t) if k not in secrets.BASE]
+    assert kinds(f"k: {b64} z") == kinds(key.hex()) == ["der"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64[:64]}\n{b64[64:]}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(base64.b64encode(key[:-1] + b"xx").decode()) == []
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    assert kinds(f"x {part({'alg': 'HS256'})}.{part({'sub': 1})}.abc_def y") == ["jwt"]
+    assert kinds(f"x {part({'typ': 'none'})}.{part({'sub': 1})}.abc_def y") == []
+    fields = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
+    assert kinds("ssh-ed25519 " + base64.b64encode(fields).decode()) == ["ssh"]
+
+
+def test_secrets_over_rows(spark):
+    rows = secrets.scan(documents(spark)).collect()
+    assert len(rows) == len(AWKWARD) and sum(r["n_confirmed"] for r in rows) == 0
+    assert secrets.scan(empty(spark)).count() == 0
+
+
+# --- chat ---
+
+CONTROL = ["<|im_start|>", "<|im_sep|>", "<|im_end|>", "</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "[", "/", "s>", "INST]", "<\\/s>", "[\\\\INST]", "a", "\n", "<<SYS>>", "|im_end|>", "$1"]
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    rows = [(i, k, rng.choice(["user", "assistant", "", None, "x" + rng.choice(CONTROL)]), "".join(rng.choices(CONTROL, k=rng.randint(0, 9)))) for i in range(300) for k in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1))
+    want = defaultdict(list)
+    for i, _, role, text in rows:
+        want[i].append((role or "", text))
+    for r in chat.formatted(df).withColumn("turns", chat.parsed(F.col("formatted"))).collect():
+        assert [(t["role"], t["text"]) for t in r["turns"]] == want[r["conv_id"]]
+        assert r["formatted"] == "".join(s["text"] for s in r["segments"])
+        assert sum(s["loss"] for s in r["segments"]) == sum(role == "assistant" for role, _ in want[r["conv_id"]])
+
+
+def test_chat_order_and_validity(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "user", None), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.formatted(df).collect()}
+    assert got[1]["valid"] and not got[2]["valid"] and not got[None]["valid"]
+    assert got[1]["formatted"].index("a<|im_end|>") < got[1]["formatted"].index("b<|im_end|>")
+    assert chat.formatted(df.limit(0)).count() == 0
+
+
+def test_bad_templates():
+    with pytest.raises(ValueError):
+        chat.Template(before_role="<|x|>")
+    with pytest.raises(ValueError):
+        chat.Template(control=("<|im_start|>", "<|im_sep|>", "<|im_end|>", ">y"))
+
+
+# --- fingerprints ---
+
+
+def pieces(text):
+    return set(re.findall(rf"[^\n]{{1,{fingerprints.PIECE}}}", text))
+
+
+def likeness(a, b):
+    return 1.0 if not a | b else len(a & b) / len(a | b)
+
+
+def check_fingerprints(spark, rows, tmp_path):
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(1)).withColumn("guest", F.lit(9)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprints.op4_fingerprints(spark, str(tmp_path)).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for k, (i, text) in enumerate(ordered):
+        text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want.append((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(pieces(text), pieces(edited)), 9), round(likeness(pieces(text), pieces(after)), 9)))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(want)
+    return got
+
+
+def test_fingerprints_against_sets(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i * 3, "\n".join(rng.choice("abcdefgh") * rng.randint(1, 400) for _ in range(rng.choice([1, 3, 9, 60])))) for i in range(60)]
+    rows += [(1007, rows[0][1]), (1008, ""), (1009, None), (1010, "\n".join(map(str, range(700)))), (1011, "\n".join(map(str, range(350, 1050))))]
+    got = check_fingerprints(spark, rows, tmp_path)
+    by_text = defaultdict(set)
+    texts = dict(rows)
+    for r in got:
+        by_text[texts[r["doc_id"]] or ""].add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+@pytest.mark.parametrize("rows", [[(4, "one\nalone")], [(None, "b"), (None, "a\nx"), (1, "c\nd"), (2, "a\nx")], [(3, "x\ny"), (3, "x\ny"), (3, "a")]])
+def test_fingerprints_of_odd_tables(spark, tmp_path, rows):
+    check_fingerprints(spark, rows, tmp_path)
+
+
+def test_fingerprints_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert fingerprints.op4_fingerprints(spark, str(tmp_path)).count() == 0
+
+
+def test_peeling_recovers_digests(spark):
+    df = spark.createDataFrame([(list(range(1, 6)), list(range(3, 8)))], "a array<long>, b array<long>")
+    h = lambda c: F.expr(f"transform({c}, x -> xxhash64(x))")
+    row = df.select(h("a").alias("a"), h("b").alias("b")).select("a", "b", F.expr(fingerprints.peeled(fingerprints.subtracted(fingerprints.sketch("a", 64), fingerprints.sketch("b", 64)), 64)).alias("d")).first()
+    assert {x["k"] for x in row["d"] if x["s"] == 1} == set(row["a"]) - set(row["b"])
+    assert {x["k"] for x in row["d"] if x["s"] == -1} == set(row["b"]) - set(row["a"])
+
+
+# --- n-gram Jaccard ---
+
+
+def brute_classes(rows):
+    by_text = defaultdict(list)
+    for i, t in rows:
+        by_text[t or ""].append(i)
+    grams = {}
+    for t in by_text:
+        w = t.split()
+        grams[t] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    parent, degree, every = {t: t for t in by_text}, Counter(), list(by_text)
+
+    def top(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for x, a in enumerate(every):
+        for b in every[:x]:
+            common = len(grams[a] & grams[b])
+            if common and common / (len(grams[a]) + len(grams[b]) - common) >= 0.8:
+                degree[a] += 1
+                degree[b] += 1
+                parent[top(a)] = top(b)
+    least = {}
+    for t, ids in by_text.items():
+        least[top(t)] = min([least.get(top(t), math.inf), *(i for i in ids if i is not None)])
+    return {i: (least[top(t)], degree[t], len(ids)) for t, ids in by_text.items() for i in ids}
+
+
+def corpus(seed, groups, size, edits):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    rows = []
+    for g in range(groups):
+        text = [word() for _ in range(rng.randint(20, 80))]
+        for _ in range(size):
+            own = list(text)
+            for _ in range(rng.randint(0, edits)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_jaccard_small_groups_have_every_link(spark):
+    rows = [*corpus(1, 60, 4, 3), (9001, None), (9002, ""), (9003, "two words"), (9004, "two words"), (9005, "two  words")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.near_duplicates(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_jaccard_large_groups_lose_no_class(spark):
+    rows = [*corpus(2, 2, 150, 8), *corpus(3, 30, 2, 2)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.near_duplicates(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == {i: c for i, (c, _, _) in brute_classes(rows).items()}
+
+
+def test_one_of_each(spark):
+    rows = [*((i, t, "en") for i, t in corpus(4, 10, 3, 1)), (500, "a b c d e f", "en"), (500, "a b c d e f", "en"), (None, "only one", "en"), (501, None, "en")]
+    kept = jaccard.one_of_each(documents(spark, rows))
+    classes = brute_classes([(i, t) for i, t, _ in rows if i is not None])
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for c, _, _ in classes.values()})
+    assert kept.where("doc_id IS NULL").count() == 1 and kept.columns == documents(spark).columns
+    assert jaccard.near_duplicates(empty(spark)).count() == 0
+
+
+def test_posterior_bounds():
+    bounds = jaccard.least_matches()
+    assert list(bounds) == sorted(bounds) and bounds[-1] < 0.8 * 128 and jaccard.jaccard(np.array([1, 2], np.uint64), np.array([2, 3], np.uint64)) == 1 / 3
+
+
+# --- byte-level BPE ---
+
+
+@pytest.fixture(scope="module")
+def multi():
+    path = public_tokenizers.path(bpe.MULTI)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return bpe.Encoder(bpe.tokenizer_from_ranks(path)), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=600, deadline=None)
+@given(text=st.one_of(st.text(max_size=60), st.text(alphabet="aeinst  '\n\t.,!=-_é漢😀01", max_size=80), st.text(alphabet="=-_ #/*.", max_size=90)))
+def test_ids_are_tiktokens(multi, text):
+    text = text.encode("utf-8", "ignore").decode()
+    encoder, other = multi
+    ids = encoder.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text)
+    assert encoder.decode(ids) == text.encode()
+
+
+def test_long_and_periodic_texts(multi):
+    encoder, other = multi
+    for text in ("x" * 20_000, "ab" * 3_000, " " * 500 + "a", "\n \n" * 300, "<|endoftext|> <|endoftext|>"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+def test_full_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    spec = packing.vocabulary()
+    small, text = bpe.Encoder(spec), "the cat, the dog! the\ncat (and) the 12 mice; the end. " * 5
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_offsets_and_decoding(spark):
+    df = documents(spark, [(1, "naïve 😀 day", "en"), (2, None, "en"), (3, "", "en")]).drop("ids")
+    spec = bpe.tokenizer_from_ranks(public_tokenizers.path(bpe.MULTI))
+    out = bpe.decode(bpe.encode(df, spec), spec)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["decoded"] == "naïve 😀 day" and rows[2]["ids"] == rows[3]["ids"] == []
+    assert rows[1]["starts"][0] == 0 and rows[1]["ends"][-1] == len("naïve 😀 day")
+    assert all(a < b for a, b in zip(rows[1]["starts"], rows[1]["ends"], strict=True))
+    assert len(bpe.digests(documents(spark), spec).collect()) == len(AWKWARD) and bpe.digests(empty(spark), spec).count() == 0
+
+
+# --- sharding ---
+
+
+def check_shards(rows, n):
+    counts = Counter(r["shard"] for r in rows)
+    assert max(counts.values()) - min(counts.get(i, 0) for i in range(16)) <= 1
+    for s in counts:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s]))
+    assert len(rows) == n
+
+
+def test_shards_are_even_and_groups_whole(spark):
+    rng = random.Random(5)
+    rows = [(i, f"group {rng.randrange(60)}" if i < 300 else f"alone {i}", "en") for i in range(1003)]
+    got = sharding.shard(documents(spark, rows)).collect()
+    check_shards(got, len(rows))
+    text = {i: t for i, t, _ in rows}
+    assert all(r["size"] == len(text[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in got)
+    groups = defaultdict(set)
+    for r in got:
+        groups[text[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) > 1 for s in groups.values()) <= 1
+
+
+@pytest.mark.parametrize("hot", [1.0, 0.4])
+def test_hot_groups_are_spread(spark, hot):
+    rows = [(i, "the same" if i < 400 * hot else f"text {i // 2}", "en") for i in range(400)]
+    check_shards(sharding.shard(documents(spark, rows)).collect(), 400)
+
+
+def test_awkward_shards(spark):
+    check_shards(sharding.shard(documents(spark)).collect(), len(AWKWARD))
+    assert sharding.shard(empty(spark)).count() == 0
+
+
+# --- top-k ---
+
+
+def brute_top(rows, every=50, k=5):
+    clean = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for q, v in {i: min(w for j, w in clean if j == i) for i, _ in clean if i % every == 0}.items():
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in clean if i != q)[:k]
+        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    return out
+
+
+def test_top_k_against_sorting(spark):
+    rng = random.Random(6)
+    rows = [(i, [float(np.float32(rng.gauss(0, 0.2))) for _ in range(6)]) for i in range(400)]
+    rows += [(i, [0.5, -0.25, 0.0, 0.0, 0.0, 0.0]) for i in range(400, 520)]  # ties
+    rows += [(600, None), (650, [None, 1.0]), (700, [math.nan]), (750, [math.inf]), (800, []), (850, [0.1, 0.2]), (None, [0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("r", F.lit("x"))
+    assert {tuple(r) for r in topk.top_k(df).collect()} == brute_top(rows)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = random.Random(7)
+    rows = [(i, [rng.randint(-3, 3) / 256 for _ in range(4)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(df).collect()} == brute_top(rows)
+    few = df.where("vec_id < 3")
+    assert {tuple(r) for r in topk.top_k(few).collect()} == brute_top(rows[:3])
+
+
+# --- quality ---
+
+
+def labelled(n=300):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(["the", "er", "ing", "on", "st"], k=rng.randint(1, 3)))
+    docs, labels = [], []
+    for i in range(n):
+        good = i % 5 > 0
+        words = [word() for _ in range(rng.randint(3, 200))]
+        docs.append((i, " ".join(words) if good else " ".join(w.upper() + "!!" for w in words), "en"))
+        labels.append((i, int(good), 0))
+    return docs, labels
+
+
+def test_quality_parts_held_out_documents(spark):
+    docs, labels = labelled()
+    known = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep(documents(spark, docs), known).collect()}
+    held = [(i, q) for i, q, _ in labels[200:]]
+    assert sum((i in kept) == bool(q) for i, q in held) >= 0.97 * len(held)
+    assert all(i in kept for i, q in held if q)
+
+
+def test_quality_edges(spark):
+    docs, labels = labelled(100)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = documents(spark, [*docs, *((i and i + 1000, t, lang) for i, t, lang in AWKWARD)])
+    kept = quality.keep(df, known)
+    assert kept.columns == df.columns and kept.count() > 60
+    assert quality.keep(empty(spark), known).count() == 0
+    assert quality.keep(documents(spark), known.limit(0)).count() == len(AWKWARD)
+
+
+def test_kth_largest(spark):
+    values = [float(np.float32(x)) for x in np.random.default_rng(9).normal(size=3000)] + [1.5] * 50
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (1, 17, 900, 3050):
+        assert quality.kth_largest(df, "x", k, bins=16, few=20) == sorted(values, reverse=True)[k - 1]
+    assert quality.kth_largest(df, "x", 0) == math.inf and quality.kth_largest(df, "x", 9999) == -math.inf
+
+
+# --- packing ---
+
+
+def check_packing(rows, texts, spec):
+    tokenizer = bpe.Encoder(spec)
+    by_doc, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+    for i, text in texts.items():
+        ids = tokenizer.encode(text or "") + (2).to_bytes(4, "little")
+        at = 0
+        for n, r in enumerate(sorted(by_doc[i], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (n, at) and (n == 0 or r["length"] == 1024)
+            assert r["ids_crc32"] == zlib.crc32(ids[4 * at : 4 * (at + r["length"])])
+            at += r["length"]
+        assert 4 * at == len(ids)
+    return len(sequences)
+
+
+def test_packing(spark):
+    rng = random.Random(10)
+    texts = {i: " ".join(["word"] * min(4000, int(rng.expovariate(1 / 300)))) for i in range(400)} | {900: None, 901: ""}
+    spec = packing.vocabulary()
+    rows = packing.pack(documents(spark, [(i, t, "en") for i, t in texts.items()]), spec).collect()
+    used = check_packing(rows, texts, spec)
+    assert used <= 1.02 * sum(r["length"] for r in rows) / 1024 + 1
+    assert packing.pack(empty(spark), spec).count() == 0 and packing.pack(documents(spark), spec).count() >= len(AWKWARD)
+
+
+def test_fullest_against_all_sums():
+    rng = random.Random(11)
+    for _ in range(200):
+        counts = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}
+        room, sums = rng.randint(0, 60), {0}
+        for length, n in counts.items():
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        got = packing.fullest(counts, room)
+        assert sum(a * b for a, b in got) == max(s for s in sums if s <= room) and all(b <= counts[a] for a, b in got)
