@@ -20,21 +20,21 @@ AROUND = [(z, r, c) for z, r, c in product((-1, 0, 1), repeat=3) if (z, r, c) !=
 PLANAR = [(0, r, c) for _, r, c in [(0, *rc) for rc in product((-1, 0, 1), repeat=2)] if (r, c) != (0, 0)]
 
 # 3 by 3 patterns of a branch point, one per family. Mirror images,
-# and (but for the sixth family) transposes, count as well.
+# and (but for the one named below) transposes, count as well.
 CROSSINGS = (
     ((1, 0, 1), (0, 1, 0), (1, 0, 1)),
     ((0, 1, 0), (1, 1, 1), (0, 1, 0)),
     ((0, 0, 0), (1, 1, 1), (0, 1, 0)),
     ((1, 0, 1), (0, 1, 0), (1, 0, 0)),
     ((1, 0, 1), (0, 1, 0), (0, 1, 0)),
-    ((1, 1, 1), (0, 1, 1), (1, 0, 0)),
     ((0, 1, 0), (1, 1, 0), (0, 0, 1)),
     ((0, 1, 0), (1, 1, 0), (1, 0, 1)),
     ((0, 1, 1), (0, 1, 1), (1, 0, 0)),
+    ((1, 1, 1), (0, 1, 1), (1, 0, 0)),
     ((1, 1, 1), (0, 1, 1), (1, 0, 1)),
     ((1, 0, 0), (1, 1, 1), (0, 1, 0)),
 )
-NOT_TRANSPOSED = 5
+NOT_TRANSPOSED = 8
 
 
 def branch_codes() -> list[int]:
