@@ -6,6 +6,7 @@ from .bpe import op6_byte_bpe
 from .chat import SQL as CHAT_SQL
 from .chat import op3_chat_formatting
 from .fingerprints import op4_fingerprints
+from .jaccard import SQL as JACCARD_SQL
 from .jaccard import op5_ngram_jaccard
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
@@ -27,4 +28,4 @@ QUERIES = {
     "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op8_exact_top_k": TOP_K_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL}
