@@ -277,6 +277,8 @@ def test_one_of_each(spark):
     kept = jaccard.one_of_each(documents(spark, rows))
     classes = brute_classes([(i, t) for i, t, _ in rows if i is not None])
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for c, _, _ in classes.values()})
+    odd = documents(spark, [(None, "first of none", "en"), (None, "second of none", "en"), (7, "seven here", "en"), (7, "other seven", "en")])
+    assert jaccard.one_of_each(odd).count() == 4
     assert kept.where("doc_id IS NULL").count() == 1 and kept.columns == documents(spark).columns
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
