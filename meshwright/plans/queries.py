@@ -572,17 +572,17 @@ def edge_boundary_betweenness(spark, d):
 # --- flows ----------------------------------------------------------------------------------------
 
 
-def _frame_graph(spark: SparkSession, d: str) -> NetworkFrame:
+def _frame_graph(spark: SparkSession, d: str, cutoff: float = 0.25) -> NetworkFrame:
     """The giant component of one frame's near points, weighted by inverse length."""
     p = inp.points(spark, d).where("frame = 1")
-    e = points.cutoff_graph(p, 0.25)
+    e = points.cutoff_graph(p, cutoff)
     e = e.withColumn("w", 1 / (1 + F.col("length"))).withColumn("resistance", 1 + F.col("length")).withColumn("conductance", F.col("w"))
     return comp.giant(NetworkFrame(p.select(F.col("pid").alias("id"), "x", "y", "z"), e))
 
 
 @query()
 def average_nodal_connectivity(spark, d):
-    return flows.average_nodal_connectivity(_frame_graph(spark, d)).select(r6("average_nodal_connectivity").alias("average_nodal_connectivity"))
+    return flows.average_nodal_connectivity(_frame_graph(spark, d, 0.15)).select(r6("average_nodal_connectivity").alias("average_nodal_connectivity"))
 
 
 def _some(g: NetworkFrame) -> tuple[list, list]:
