@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import product
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -196,19 +196,39 @@ def thinned_volume(volume: np.ndarray) -> np.ndarray:
     return on[1:-1, 1:-1, 1:-1]
 
 
+def by_image(voxels: DataFrame, kernel: Callable[[int, np.ndarray], list[pd.DataFrame]], schema: str) -> DataFrame:
+    """``kernel`` on every image's id and voxels (rows of z, r, c in raster order); many small images share a batch."""
+    spread = voxels.select(*AT).repartition("image_id").sortWithinPartitions(*AT)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []  # of an image that may go on in the next batch
+        for frame in chain(frames, [None]):
+            new = np.zeros((0, 4), np.int64) if frame is None else frame.to_numpy(np.int64)
+            if held and len(new) and held[0][0, 0] == new[-1, 0]:
+                held.append(new)
+                continue
+            rows = np.concatenate([*held, new])
+            parts = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)
+            held = [] if frame is None or not len(rows) else [parts.pop()]
+            out = [f for p in parts if len(p) for f in kernel(int(p[0, 0]), p[:, 1:])]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return spread.mapInPandas(run, schema)
+
+
 def skeletonize(voxels: DataFrame) -> DataFrame:
     """Skeletons image by image; a stack of one slice is thinned as a plane."""
 
-    def of_image(p: pd.DataFrame) -> pd.DataFrame:
-        at = p[["z", "r", "c"]].to_numpy()
+    def of_image(image: int, at: np.ndarray) -> list[pd.DataFrame]:
         low = at.min(0)
         volume = np.zeros(at.max(0) - low + 1, bool)
         volume[tuple((at - low).T)] = True
         thin = thinned_plane(volume[0])[None] if volume.shape[0] == 1 else thinned_volume(volume)
-        z, r, c = (np.argwhere(thin) + low).T
-        return pd.DataFrame({"image_id": p["image_id"].iloc[0], "z": z.astype("int32"), "r": r.astype("int32"), "c": c.astype("int32")})
+        z, r, c = (np.argwhere(thin) + low).T.astype("int32")
+        return [pd.DataFrame({"image_id": np.full(len(z), image), "z": z, "r": r, "c": c})]
 
-    return voxels.select(*AT).groupBy("image_id").applyInPandas(of_image, "image_id long, z int, r int, c int")
+    return by_image(voxels, of_image, "image_id long, z int, r int, c int")
 
 
 def debubble(voxels: DataFrame, radii: list[int], box: DataFrame, planar: bool = True) -> DataFrame:

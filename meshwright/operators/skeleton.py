@@ -8,13 +8,14 @@ node with a loop.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import VOXEL, NetworkFrame
 from .components import components
-from .morphology import AROUND, AT, neighbour_counts, voxel_graph, with_ids
+from .morphology import AROUND, AT, by_image, neighbour_counts, voxel_graph, with_ids
 
 
 def marked(voxels: DataFrame) -> DataFrame:
@@ -93,15 +94,14 @@ def vectorised(voxels: DataFrame, multi: bool = False, iso: bool = True, ring: b
     """Graphs of all images: vertices and edges keyed by image_id and graph-local ids, traced image by image."""
     as_voxel = lambda run: [{"z": z, "r": r, "c": c} for z, r, c in run]
 
-    def of_image(p: pd.DataFrame) -> pd.DataFrame:
-        own, edges = trace(list(map(tuple, p[["z", "r", "c"]].to_numpy().tolist())), multi, iso, ring)
-        image = p["image_id"].iloc[0]
+    def of_image(image: int, at: np.ndarray) -> list[pd.DataFrame]:
+        own, edges = trace(list(map(tuple, at.tolist())), multi, iso, ring)
         rows = [(image, "vertex", n["id"], None, None, *map(float, n["o"]), as_voxel(n["pts"])) for n in own]
         rows += [(image, "edge", i, e["src"], e["dst"], None, None, None, as_voxel(e["pts"])) for i, e in enumerate(edges)]
-        return pd.DataFrame(rows, columns=["image_id", "kind", "id", "src", "dst", "z", "r", "c", "pts"]).astype({"src": "Int64", "dst": "Int64"})
+        return [pd.DataFrame(rows, columns=["image_id", "kind", "id", "src", "dst", "z", "r", "c", "pts"], dtype=object)] if rows else []
 
     schema = f"image_id long, kind string, id long, src long, dst long, z double, r double, c double, pts array<{VOXEL}>"
-    both = voxels.select(*AT).groupBy("image_id").applyInPandas(of_image, schema)
+    both = by_image(voxels, of_image, schema)
     vertices = both.where("kind = 'vertex'").select("image_id", "id", F.col("z").alias("z"), F.col("r").alias("y"), F.col("c").alias("x"), "pts")
     edges = both.where("kind = 'edge'").select("image_id", F.col("id").alias("eid"), "src", "dst", "pts")
     return NetworkFrame(vertices, edges)
