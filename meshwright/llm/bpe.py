@@ -26,7 +26,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from .common import over_batches, table, texts
 
 #: Cached pieces per worker and generation (there are two), and the longest that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 220_000, 48
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
 _latin = re.compile(r"[\x21-\x7e\n\xa1-\xac\xae-\u024f]+").fullmatch
