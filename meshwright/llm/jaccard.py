@@ -7,17 +7,16 @@ Candidate pairs are compared on growing runs of MinHash values, and dropped as
 soon as the posterior probability that they reach the threshold, from a uniform
 prior, is below ``TOLERANCE``. What is left is verified on the shingle sets.
 
-Buckets of up to ``SMALL`` texts give all their pairs. In larger ones every text
-is compared with one leader, the text with most bucket neighbours. Texts that
-are thereby not in their leader's class are then compared with all texts around
-that leader, in blocks: each block prunes and verifies inside one task and gives
-one link for each class a text reaches. So no pairs of a large group are listed,
-yet no text stays outside a class that it has a link into.
+Buckets of up to ``SMALL`` texts give all their pairs. Texts that share a larger
+one gather around its leader, the text with most bucket neighbours, and are all
+compared with each other, in blocks: each block prunes and verifies inside one
+task and gives a count of links for each text and the few links that join its
+classes. A pair that meets around several leaders counts around the least. So
+every link counts once, and no pairs of a large group are listed.
 
 One row per document: doc_id, class_id (the least doc_id of its class), n_links
-(links of its text to other texts that were verified; in groups whose buckets
-are small that is every link, in larger ones what joins the class), n_copies
-(documents with the same text). Copies share a row's class and links.
+(all verified links of its text to other texts), n_copies (documents with the
+same text). Copies share a row's class and links.
 
 Words are what blanks part; a text of one to four words is one shingle. Null and
 empty texts have no shingle and no link; they are classes by copies, null being
@@ -211,15 +210,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links found in one block: each asking text against the block's texts, one for every class it reaches."""
+    """Links found in one block: (a, n) for the texts that have some, (a, b) with n = 0 for those that join its classes."""
     sig = np.stack([np.frombuffer(x, np.uint32) for x in rows["sig"]])
     grams = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
-    keys, labels, asks = rows["key"].to_numpy(), rows["label"].to_numpy(), rows["asks"].to_numpy(bool)
-    held = np.flatnonzero(~asks)
-    out = []
-    for f in np.flatnonzero(asks):
-        at = held[survivors(np.broadcast_to(sig[f], (len(held), VALUES)), sig[held])]
-        at = at[(labels[at] != labels[f]) & (keys[at] != keys[f])]
+    keys, side, within = rows["key"].to_numpy(), rows["side"].to_numpy(), rows["of"].iat[0] == rows["by"].iat[0]
+    names = {x: i for i, x in enumerate({x for own in rows["earlier"] for x in own})}
+    earlier = np.zeros((len(rows), len(names)), bool)
+    for i, own in enumerate(rows["earlier"]):
+        earlier[i, [names[x] for x in own]] = True
+    counts, label, joins = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
+    held = np.flatnonzero(side == 1)
+    for f in np.flatnonzero(side == 0):
+        at = np.arange(f + 1, len(rows)) if within else held
+        at = at[~(earlier[at] & earlier[f]).any(1)]  # the others meet around an earlier leader
+        at = at[survivors(np.broadcast_to(sig[f], (len(at), VALUES)), sig[at])]
         if not len(at):
             continue
         sizes = np.array([len(grams[i]) for i in at])
@@ -227,33 +231,29 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
         place = np.minimum(np.searchsorted(grams[f], every), len(grams[f]) - 1)
         common = np.add.reduceat((grams[f][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         good = at[common / (sizes + len(grams[f]) - common) >= THRESHOLD]
-        reached = {labels[i]: i for i in reversed(good)}
-        out += [(keys[f], keys[i]) for i in reached.values()]
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def around_leaders(large: DataFrame, nodes: DataFrame, docs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of texts that are not in their leader's class, from blocks of (leader, asking share, share)."""
-    spark = docs.sparkSession
-    labels = components(links)
-    own, of_leader = labels.toDF("key", "own"), labels.toDF("leader", "theirs")
-    near = large.select("leader", "key").distinct().join(own, "key", "left").join(of_leader, "leader", "left")
-    near = stored(near.select("leader", "key", F.coalesce("own", "key").alias("label"), (F.coalesce("own", "key") != F.coalesce("theirs", "leader")).alias("asks")))
-    sizes = near.groupBy("leader").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_asks")).where("n_asks > 0 AND n > 2")
-    sizes = stored(sizes.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"), F.ceil(F.col("n_asks") / BLOCK).cast("int").alias("n_asks")))
-    if sizes.isEmpty():
-        return links
-    placed = near.join(sizes, "leader")
-    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = placed.where("key <> leader").select("leader", "key", "label", F.lit(False).alias("asks"), part("n").alias("of"), up_to("n_asks").alias("by"))
-    asking = placed.where("asks").select("leader", "key", "label", "asks", up_to("n").alias("of"), part("n_asks").alias("by"))
-    blocks = held.unionByName(asking)
-    more = shingle_sets(docs, nodes, placed.select("key").join(sets.select("key"), "key", "left_anti"))
-    full = blocks.join(nodes.select("key", "sig"), "key").join(stored(sets.unionByName(more)), "key")
+        counts[f] += len(good)
+        counts[good] += 1
+        for i in good[np.unique(label[good], return_index=True)[1]]:
+            if label[i] != label[f]:
+                joins.append((keys[f], keys[i], 0))
+                label[label == label[i]] = label[f]
+    some = np.flatnonzero(counts)
+    return pd.DataFrame([*joins, *((k, None, n) for k, n in zip(keys[some], counts[some], strict=True))], columns=["a", "b", "n"])
+
+
+def around_leaders(large: DataFrame, leaders: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """What ``block_links`` finds among the texts around each leader, in blocks of two shares of them."""
+    spark = large.sparkSession
+    sizes = large.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    placed = large.join(sizes, "leader").withColumn("share", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    # a share is in one block with itself and each other share
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    dealt = placed.select("leader", "key", "share", other.alias("other"))
+    blocks = dealt.select("leader", "key", F.least("share", "other").alias("of"), F.greatest("share", "other").alias("by"), (F.col("share") > F.col("other")).cast("int").alias("side"))
+    known = nodes.select("key", "sig").join(sets, "key").join(leaders, "key")
+    full = blocks.join(known, "key").withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader"))).drop("leaders")
     small_batches(spark)
-    found = full.groupBy("leader", "of", "by").applyInPandas(block_links, "a binary, b binary")
-    return stored(links.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    return stored(full.groupBy("leader", "of", "by").applyInPandas(block_links, "a binary, b binary, n long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,13 +270,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowd = large.groupBy("key").agg(F.sum("n").alias("crowd"))
     leaders = large.join(crowd, "key").groupBy("band").agg(F.max_by("key", F.struct("crowd", "key")).alias("leader"))
     large = stored(large.join(leaders, "band").select("leader", "key").distinct())
-    star = large.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
-    pairs = stored(pruned(listed.unionByName(star).distinct(), nodes))
-    sets = stored(shingle_sets(docs, nodes, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))))
+    leaders = stored(large.groupBy("key").agg(F.collect_set("leader").alias("leaders")))  # at most one for each band
+    listed = listed.distinct().join(leaders.toDF("a", "of_a"), "a", "left").join(leaders.toDF("b", "of_b"), "b", "left")
+    listed = listed.where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False))).select("a", "b")  # the others meet in blocks
+    pairs = stored(pruned(listed, nodes))
+    sets = stored(shingle_sets(docs, nodes, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(large.select("key"))))
     links = stored(verified(pairs, sets))
-    links = around_leaders(large, nodes, docs, links, sets)
+    found = around_leaders(large, leaders, nodes, sets)
+    ends = links.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("n")).unionByName(found.where("b IS NULL").select(F.col("a").alias("key"), "n"))
+    links = stored(links.unionByName(found.where("b IS NOT NULL").select("a", "b")))
     labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    degree = ends.groupBy("key").agg(F.sum("n").alias("n_links"))
     classed = texts.select("key", "first_id", "n_copies").join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
     classed = stored(classed.select("key", "label", "first_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least = classed.groupBy("label").agg(F.min("first_id").alias("class_id"))
@@ -302,7 +306,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
-#: All pairs of texts that share a shingle, and the classes their links make. Link counts agree where buckets are small.
+#: All pairs of texts that share a shingle, and the classes their links make.
 SQL = r"""
 WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first_id, count(*) AS n_copies FROM documents GROUP BY 1),
 w AS (SELECT text, first_id, n_copies, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM t),

@@ -272,6 +272,15 @@ def test_jaccard_large_groups_lose_no_class(spark):
     assert got == {i: c for i, (c, _, _) in brute_classes(rows).items()}
 
 
+@pytest.mark.parametrize("block", [1024, 40])
+def test_jaccard_large_groups_have_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = [*corpus(2, 2, 100, 8), *corpus(6, 1, 100, 1), *corpus(3, 30, 2, 2)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.near_duplicates(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute_classes(rows) and max(n for _, n, _ in got.values()) > jaccard.SMALL
+
+
 def test_one_of_each(spark):
     rows = [*((i, t, "en") for i, t in corpus(4, 10, 3, 1)), (500, "a b c d e f", "en"), (500, "a b c d e f", "en"), (None, "only one", "en"), (501, None, "en")]
     kept = jaccard.one_of_each(documents(spark, rows))
