@@ -28,7 +28,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of at most 1024 ids."""
+    """The documents' pieces with their ids and their places in sequences of at most 1024 ids."""
     return packing.pack(docs, packing.vocabulary())
 
 

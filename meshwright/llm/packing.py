@@ -14,7 +14,6 @@ Repeated rows are packed as often as they occur. An empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,10 +77,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int) -> DataFrame:
-    """Every piece with its length, a checksum of its ids, and its rank among this partition's pieces of that length."""
+    """Every piece with its length, its ids (four bytes each, low byte first), and its rank among this partition's pieces of that length."""
     small_batches(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
+    names = ["doc_id", "piece", "start", "length", "ids", "part", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, part = encoder(spec), [0] * (capacity + 1), TaskContext.get().partitionId()
@@ -90,15 +89,15 @@ def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = enc.encode(text.as_py() or "") + tail
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    row = doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]
+                    row = doc, k, start, length, ids[4 * start : 4 * (start + length)], part, seen[length]
                     seen[length] += 1
                     for column, value in zip(rows, row, strict=True):
                         column.append(value)
-            kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, part int, rank long")
 
 
 def places(found: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> dict[int, np.ndarray]:
@@ -115,7 +114,7 @@ def places(found: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> dic
 
 
 def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: where it is in its document and in which sequence, from which offset, it lies."""
+    """One row per piece: where it is in its document, its ids and their checksum, and in which sequence, from which offset, it lies."""
     spark = docs.sparkSession
     cut_up = stored(pieces(docs, spec, end_id, capacity))
     shares = cut_up.groupBy("length", "part").agg(F.count("*").alias("n"))
@@ -135,11 +134,12 @@ def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPAC
                 nth = rank[at] - row[:, 0]
                 sequence[at] = row[:, 1] + nth // row[:, 2]
                 offset[at] = row[:, 3] + nth % row[:, 2] * one
-            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            kept = ["doc_id", "piece", "start", "length", "ids"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return placed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -148,5 +148,5 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack every document into sequences of at most 1024 ids."""
-    return pack(table(spark, sf_dir, "documents"), vocabulary())
+    """Pack every document into sequences of at most 1024 ids; checksums stand for the ids."""
+    return pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")

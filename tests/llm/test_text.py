@@ -488,6 +488,17 @@ def test_packing(spark):
     assert packing.pack(empty(spark), spec).count() == 0 and packing.pack(documents(spark), spec).count() >= len(AWKWARD)
 
 
+def test_sequences_hold_their_documents_ids(spark):
+    texts = {1: "some words to pack", 2: "word " * 3000, 3: None}
+    spec = packing.vocabulary()
+    tokenizer, got = bpe.Encoder(spec), defaultdict(bytes)
+    rows = packing.pack(documents(spark, [(i, t, "en") for i, t in texts.items()]), spec).collect()
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        got[r["doc_id"]] += r["ids"]
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+    assert got == {i: tokenizer.encode(t or "") + (2).to_bytes(4, "little") for i, t in texts.items()}
+
+
 def test_fullest_against_all_sums():
     rng = random.Random(11)
     for _ in range(200):
