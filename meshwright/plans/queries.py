@@ -293,7 +293,7 @@ def _volumes(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     z = F.row_number().over(Window.partitionBy("label").orderBy("image_id")) - 1
-    placed = e.withColumn("z", z).where("z < 8")
+    placed = e.withColumn("z", z)
     return inp.voxels(spark, d).drop("z").join(placed, "image_id").select(F.col("label").cast("long").alias("image_id"), F.col("z").cast("int").alias("z"), "r", "c")
 
 

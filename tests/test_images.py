@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwright.errors import ImageDirectoryError, InvalidArgumentsError, StructuralElementError
 from meshwright.functions import geometry as geo
 from meshwright.operators import imaging, learning, morphology, nematic, skeleton, weights
+from meshwright.plans import queries
 from meshwright.sources import graphs
 from meshwright.sources import images as files
 from meshwright.schema import NetworkFrame
@@ -144,6 +145,13 @@ def test_skeleton_of_nine_by_nine(spark):
     assert skeleton.voxels_of(g).count() == 20
 
 
+def test_stacks_hold_every_image_of_their_label(spark, tmp_path):
+    rows = [(i, i % 2, [0.4] * 64) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    slices = queries._volumes(spark, str(tmp_path)).groupBy("image_id").agg(F.sort_array(F.collect_set("z")).alias("z")).collect()
+    assert {r["image_id"]: r["z"] for r in slices} == {0: list(range(12)), 1: list(range(12))}
+
+
 def test_nodes_by_joins_agree_with_tracing(spark):
     ring = {(5, 1)}
     joined = {(r["r"], r["c"]) for r in skeleton.nodes(voxels(spark, AT)).collect()}
