@@ -444,6 +444,82 @@ def test_quality_edges(spark):
     assert quality.keep(documents(spark), known.limit(0)).count() == len(AWKWARD)
 
 
+def brute_resampling(rows, labels, seed):
+    """Log weights, Gumbel keys and the draw, n-gram by n-gram over Python numbers."""
+    best = defaultdict(int)
+    for i, q, _ in labels:
+        best[i] = max(best[i], q)
+    share = sum(v > 0 for v in best.values()) / len(best)
+
+    def events(text):
+        raw, words, out = text.encode(), text.split(), []
+        for n in quality.SIZES:
+            for at in range(len(raw) - n + 1):
+                h = n
+                for b in raw[at : at + n]:
+                    h = ((h ^ b) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append(h % quality.BUCKETS)
+        for k, lag in enumerate(quality.LAGS):
+            out += [quality.BUCKETS + 2 * k + (a != b) for a, b in zip(words, words[lag:], strict=False)]
+        return out
+
+    own, raw, target = {i: events(t) for i, t in rows}, Counter(), Counter()
+    for i, e in own.items():
+        raw.update(e)
+        if best.get(i):
+            target.update(e)
+    n_raw, n_target = (sum(c.values()) + quality.SMOOTHING * quality.EVENTS for c in (raw, target))
+    ratio = lambda e: math.log((target[e] + quality.SMOOTHING) / n_target) - math.log((raw[e] + quality.SMOOTHING) / n_raw)
+    weights = {i: quality.SHARPNESS * sum(map(ratio, e)) / len(e) if e else 0.0 for i, e in own.items()}
+    keys = {i: weights[i] + quality.gumbel(t, seed) for i, t in rows}
+    least = sorted(keys.values(), reverse=True)[math.ceil(share * len(rows) - 1e-9) - 1]
+    return weights, keys, {i for i, k in keys.items() if k >= least}
+
+
+@pytest.mark.parametrize("seed", [quality.SEED, 1])
+def test_resampling_against_brute_force(spark, seed):
+    docs, labels = labelled(120)
+    docs = [(i, t if i % 9 else " ".join(t.split()[:1] * 40), lang) for i, t, lang in docs]
+    rows = [(i, t) for i, t, _ in docs] + [(501, ""), (502, docs[1][1])]
+    known = spark.createDataFrame([*labels[:80], (1, 0, 0)], "doc_id long, quality int, toxic int")
+    df = documents(spark, [(i, t, "en") for i, t in rows]).withColumn("log_weight", F.lit("clash"))
+    weights, keys, wanted = brute_resampling(rows, [*labels[:80], (1, 0, 0)], seed)
+    model = quality.fit(df, known)
+    got = {r["doc_id"]: r for r in quality.scored(df, model, seed=seed, columns=["doc_id"]).collect()}
+    assert all(math.isclose(got[i]["log_weight"], w, abs_tol=1e-9) and math.isclose(got[i]["gumbel_key"], keys[i], abs_tol=1e-9) for i, w in weights.items())
+    kept = quality.keep(df, known, seed=seed)
+    assert {r["doc_id"] for r in kept.collect()} == wanted and kept.columns == df.columns
+
+
+def test_the_draw_is_no_threshold_and_follows_the_weights():
+    """Of texts with these log weights, draws of one and of three over many seeds."""
+    rng, texts = random.Random(12), [f"text {i}" for i in range(6)]
+    log_weights = [rng.uniform(-2, 2) for _ in texts]
+    total, seeds, first, three = sum(map(math.exp, log_weights)), 20_000, Counter(), Counter()
+    for seed in range(seeds):
+        order = sorted(range(6), key=lambda i: -(log_weights[i] + quality.gumbel(texts[i], seed)))
+        first[order[0]] += 1
+        three.update(order[:3])
+    for i, w in enumerate(log_weights):
+        p = math.exp(w) / total
+        assert abs(first[i] / seeds - p) < 5 * math.sqrt(p * (1 - p) / seeds)
+    order = sorted(range(6), key=lambda i: -log_weights[i])
+    chances = [three[i] / seeds for i in order]
+    assert chances == sorted(chances, reverse=True) and 0 < chances[-1] and chances[0] < 1
+
+
+def test_the_draw_differs_from_the_cut(spark):
+    docs, _ = labelled(300)
+    labels = [(i, int(i % 5 == 0 or i % 2), 0) for i, _, _ in docs]
+    df, known = documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(df, known)
+    rows = [(r["log_weight"], r["gumbel_key"]) for r in quality.scored(df, model, columns=["doc_id"]).collect()]
+    k = math.ceil(model.share * len(rows))
+    by_weight, by_key = ({i for i, _ in sorted(enumerate(rows), key=lambda x: -x[1][c])[:k]} for c in (0, 1))
+    assert by_weight != by_key and len(by_weight & by_key) > 0.5 * k
+
+
 def test_kth_largest(spark):
     values = [float(np.float32(x)) for x in np.random.default_rng(9).normal(size=3000)] + [1.5] * 50
     df = spark.createDataFrame([(v,) for v in values], "x double")
