@@ -8,16 +8,20 @@ cancels what both versions have; cells left with one digest give it away, and
 peeling it off frees others. The digests recovered tell the likeness: shared
 over all distinct paragraphs.
 
-If cells are left over, the digests are dealt into parts by other bits and each
-part is sketched and peeled on its own; a part that fails is tried again four
-times as large, and if that fails, by comparing its digests. So the result is
-always that of the whole sets. Everything is DataFrame expressions.
+If cells are left over, the difference's size is estimated from the parities of
+the digests' counts, and both versions are sketched again with enough cells for
+it: by further bits, digests are dealt into parts of ``3 * PART_THIRD`` cells.
+A part whose cells do not peel is halved by the next bit, which doubles its
+cells, until all digests are recovered; two digests differ in some bit, so this
+ends. Every digest is looked at once for each doubling, so the work grows with n
+log n in a text's paragraphs. Everything is DataFrame expressions.
 
 Null texts are empty, have no paragraphs and the sketch of no cells in use; two
 texts without paragraphs have likeness 1, one with and one without 0. The next
 document is that of the next doc_id, null first, ties by text; after the last
-comes the first. A table of one row is its own next; an empty one gives no rows.
-Further columns are ignored.
+comes the first; rows of one doc_id are neighbours in the order of their texts.
+A table of one row is its own next; an empty one gives no rows. Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, table
 
-PIECE, THIRD, ROUNDS, PER_PART = 160, 8, 10, 5
+#: Characters of a paragraph; cells in a third of a fingerprint and of a retry's part; differing digests meant for a part; rounds of peeling.
+PIECE, THIRD, PART_THIRD, PER_PART, ROUNDS = 160, 8, 4, 3, 10
+NO_DIGESTS = "CAST(array() AS array<struct<k: bigint, s: int>>)"
 #: Ranges of doc_id in which neighbours are looked up, at most.
 RANGES = 10_000
 
@@ -56,27 +62,47 @@ def subtracted(a: str, b: str) -> str:
 
 def peeled(cells: str, third: int = THIRD) -> str:
     """SQL: the differing digests (k, s: 1 for the first version's, -1 for the second's); null if cells are left over."""
-    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 AND c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 's', c.c)))"
-    less = f"""transform(s.cells, (c, i) -> aggregate(filter(pure, p -> {_cell('p.k', 'i', third)}), c,
+    pure = lambda cells: f"array_distinct(transform(filter({cells}, c -> abs(c.c) = 1 AND c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 's', c.c)))"
+    less = f"""transform(s.cells, (c, i) -> aggregate(filter(s.pure, p -> {_cell('p.k', 'i', third)}), c,
         (q, p) -> named_struct('c', q.c - p.s, 'k', q.k ^ p.k, 'h', q.h ^ xxhash64(p.k))))"""
-    step = f"transform(array({pure}), pure -> if(size(pure) = 0, s, named_struct('cells', {less}, 'got', concat(s.got, pure))))[0]"
-    none = "CAST(array() AS array<struct<k: bigint, s: int>>)"
-    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'got', {none}), (s, r) -> {step},
+    step = f"transform(array({less}), cells -> named_struct('cells', cells, 'got', concat(s.got, s.pure), 'pure', {pure('cells')}))[0]"
+    start = f"transform(array({cells}), cells -> named_struct('cells', cells, 'got', {NO_DIGESTS}, 'pure', {pure('cells')}))[0]"
+    return f"""aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(size(s.pure) = 0, s, {step}),
         s -> if(exists(s.cells, c -> c.c <> 0 OR c.k <> 0 OR c.h <> 0), NULL, s.got))"""
 
 
-def compared(a: str, b: str) -> str:
-    """SQL: the differing digests of two sets, without a sketch."""
-    return f"""concat(transform(array_except({a}, {b}), k -> named_struct('k', k, 's', 1)), transform(array_except({b}, {a}), k -> named_struct('k', k, 's', -1)))"""
+def parity(keys: str) -> str:
+    """SQL: 64 bits, each telling whether an odd number of digests falls on it."""
+    return f"aggregate({keys}, 0L, (s, k) -> s ^ shiftleft(1L, CAST(shiftrightunsigned(k, 34) & 63 AS int)))"
+
+
+def halvings(a: str, b: str) -> str:
+    """SQL: how often two sets are to be halved so that about ``PER_PART`` digests of a part differ.
+
+    Of 64 parities z differ if d digests do: z is about 32 (1 - (1 - 1/32)^d).
+    Where most parities are random, all digests are taken to differ.
+    """
+    z, n = f"bit_count({parity(a)} ^ {parity(b)})", f"(size({a}) + size({b}))"
+    return f"transform(array({z}), z -> CAST(greatest(0D, ceil(log2(if(z < 26, least({n}, ln(1 - z / 32D) / ln(1 - 1 / 32D)), {n}) / {PER_PART}))) AS int))[0]"
+
+
+def halved(parts: str, n: str) -> str:
+    """SQL: every part (a, b) in two, by the digests' ``n``-th bit."""
+    own = lambda x, bit: f"filter(p.{x}, k -> (shiftrightunsigned(k, pmod(40 + {n}, 64)) & 1) = {bit})"
+    both = ", ".join(f"named_struct('a', {own('a', bit)}, 'b', {own('b', bit)})" for bit in (0, 1))
+    return f"flatten(transform({parts}, p -> array({both})))"
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """SQL: the differing digests of two sets; larger sketches, part by part, where the first does not peel."""
-    parts = f"CAST(ceil((size({a}) + size({b})) / {PER_PART}) AS int)"
-    own = lambda x: f"filter({x}, k -> pmod(shiftrightunsigned(k, 40), {parts}) = part)"
-    tries = [peeled(subtracted(sketch("v.a", n), sketch("v.b", n)), n) for n in (THIRD, 4 * THIRD)]
-    of_part = f"transform(array(named_struct('a', {own(a)}, 'b', {own(b)})), v -> coalesce({', '.join(tries)}, {compared('v.a', 'v.b')}))[0]"
-    return f"coalesce({peeled(subtracted(cells_a, cells_b))}, flatten(transform(sequence(0, {parts} - 1), part -> {of_part})))"
+    """SQL: the differing digests of two sets; by larger sketches, where the first does not peel."""
+    whole = f"CAST(array(named_struct('a', {a}, 'b', {b})) AS array<struct<a: array<bigint>, b: array<bigint>>>)"
+    parts = f"transform(array({halvings(a, b)}), n -> aggregate(sequence(0, 63), named_struct('parts', {whole}), (s, i) -> if(i >= n, s, named_struct('parts', {halved('s.parts', 'i')})), s -> named_struct('n', n, 'parts', s.parts)))[0]"
+    tried = f"transform(s.parts, p -> named_struct('p', p, 'd', {peeled(subtracted(sketch('p.a', PART_THIRD), sketch('p.b', PART_THIRD)), PART_THIRD)}))"
+    left = "transform(filter(t, x -> x.d IS NULL), x -> x.p)"
+    step = f"transform(array({tried}), t -> named_struct('n', s.n + 1, 'parts', {halved(left, 's.n')}, 'got', concat(s.got, flatten(transform(filter(t, x -> x.d IS NOT NULL), x -> x.d)))))[0]"
+    start = f"transform(array({parts}), s -> named_struct('n', s.n, 'parts', s.parts, 'got', {NO_DIGESTS}))[0]"
+    larger = f"aggregate(sequence(0, 64), {start}, (s, r) -> if(size(s.parts) = 0, s, {step}), s -> s.got)"
+    return f"coalesce({peeled(subtracted(cells_a, cells_b))}, {larger})"
 
 
 def likeness(a: str, b: str, cells_a: str, cells_b: str) -> str:

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -214,6 +215,38 @@ def test_peeling_recovers_digests(spark):
     assert {x["k"] for x in row["d"] if x["s"] == -1} == set(row["b"]) - set(row["a"])
 
 
+@pytest.mark.parametrize("n", [1, 7, 60, 1000])
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.99, 1.0])
+def test_larger_sketches_recover_every_digest(spark, n, shared):
+    a, b = list(range(n)), list(range(int(n * (1 - shared)), int(n * (2 - shared))))
+    h = lambda c: F.expr(f"transform({c}, x -> xxhash64(x))")
+    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(h("a").alias("a"), h("b").alias("b"))
+    expr = fingerprints.difference("a", "b", fingerprints.sketch("a"), fingerprints.sketch("b"))
+    assert "except" not in expr and "intersect" not in expr
+    row = df.select("a", "b", F.expr(expr).alias("d")).first()
+    assert sorted((x["k"], x["s"]) for x in row["d"]) == sorted([(k, 1) for k in set(row["a"]) - set(row["b"])] + [(k, -1) for k in set(row["b"]) - set(row["a"])])
+
+
+def test_sketches_of_unlike_sizes_and_hostile_digests(spark):
+    """Digests that agree in the bits that name cells and parts, and a set against none."""
+    close = [(1 << 60) + k * (1 << 30) for k in range(9)] + [(1 << 60) + k * (1 << 34) for k in range(1, 9)]
+    for a, b in ((close, []), ([], close), (close[:9], close[5:]), (close, close)):
+        df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+        row = df.select(F.expr(fingerprints.difference("a", "b", fingerprints.sketch("a"), fingerprints.sketch("b"))).alias("d")).first()
+        assert sorted((x["k"], x["s"]) for x in row["d"]) == sorted([(k, 1) for k in set(a) - set(b)] + [(k, -1) for k in set(b) - set(a)])
+
+
+def test_fingerprints_of_a_very_long_text(spark, tmp_path):
+    """Time is near linear in the lines."""
+    took = []
+    for n in (4_000, 16_000):
+        rows = [(1, "\n".join(f"line {i}" for i in range(n))), (2, "\n".join(f"line {i}" for i in range(n // 2, n + n // 2)))]
+        start = time.perf_counter()
+        check_fingerprints(spark, rows, tmp_path / str(n))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 5
+
+
 # --- n-gram Jaccard ---
 
 
