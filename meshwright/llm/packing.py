@@ -7,13 +7,16 @@ piece; the combination is used as often as the counts allow and removed. Pieces
 then find their places from their rank among the pieces of their length, which
 is counted within partitions first: no task sees all pieces of one length.
 
-An empty or null text is one piece that holds the end id alone. Ties in length
-are broken by partition and row order; any order gives as many sequences.
-Repeated rows are packed as often as they occur. An empty table gives no rows.
+An empty or null text is one piece that holds the end id alone; a very long one
+is cut into as many pieces as it needs. Ties in length are broken by partition
+and row order; any order gives as many sequences. Repeated rows are packed as
+often as they occur; rows with a null doc_id are documents too. An empty table
+gives no rows. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .bpe import encoder
 from .common import small_batches, stored, table
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
+#: Up to this many (length, partition) rows are broadcast, of 24 bytes each; more are joined by a shuffle.
+BROADCAST_SHARES = 1_000_000
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -76,10 +82,19 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((start, capacity) for start in range(first, n, capacity))]
 
 
+def narrow_ids(spec: str, end_id: int) -> bool:
+    """Whether two bytes hold every id."""
+    return max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16
+
+
 def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int) -> DataFrame:
-    """Every piece with its length, its ids (four bytes each, low byte first), and its rank among this partition's pieces of that length."""
+    """Every piece with its length, its ids, and its rank among this partition's pieces of that length.
+
+    Ids are two bytes each, low byte first, if all of the vocabulary's fit; else four.
+    """
     small_batches(docs.sparkSession)
-    tail = np.array([end_id], "<u4").tobytes()
+    tail, narrow = np.array([end_id], "<u4").tobytes(), narrow_ids(spec, end_id)
+    size = 2 if narrow else 4
     names = ["doc_id", "piece", "start", "length", "ids", "part", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +103,10 @@ def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int) -> DataFrame:
             rows: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = enc.encode(text.as_py() or "") + tail
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    row = doc, k, start, length, ids[4 * start : 4 * (start + length)], part, seen[length]
+                if narrow:
+                    ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                for k, (start, length) in enumerate(cut(len(ids) // size, capacity)):
+                    row = doc, k, start, length, ids[size * start : size * (start + length)], part, seen[length]
                     seen[length] += 1
                     for column, value in zip(rows, row, strict=True):
                         column.append(value)
@@ -121,7 +138,10 @@ def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPAC
     counts = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     where = spark.sparkContext.broadcast(places(patterns(counts, capacity), capacity))  # a few rows per length
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = cut_up.join(shares.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")), ["length", "part"])
+    shares = stored(shares.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")))
+    small = shares.count() <= BROADCAST_SHARES
+    ranked = cut_up.join(F.broadcast(shares) if small else shares, ["length", "part"])
+    narrow = narrow_ids(spec, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +154,15 @@ def pack(docs: DataFrame, spec: str, end_id: int = END_ID, capacity: int = CAPAC
                 nth = rank[at] - row[:, 0]
                 sequence[at] = row[:, 1] + nth // row[:, 2]
                 offset[at] = row[:, 3] + nth % row[:, 2] * one
-            kept = ["doc_id", "piece", "start", "length", "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+            kept = ["doc_id", "piece", "start", "length"]
+            ids = batch.column("ids")
+            if narrow:
+                ids = pa.array([np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes() for x in ids], pa.binary())
+            crc = pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids, crc, pa.array(sequence), pa.array(offset)], [*kept, "ids", "ids_crc32", "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    placed = ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
-    return placed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long")
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
