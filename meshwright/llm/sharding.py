@@ -1,18 +1,30 @@
 """Shards of even size by balanced label propagation.
 
-Documents with equal texts are linked. All members of such a group are alike,
-so the propagation runs on one row per (group, shard) with a count: joins find
-each group's fullest shard, members elsewhere ask to move there, and a 16 by 16
-table of demands is turned into quotas that no shard's capacity is exceeded by.
-Rounds go on until nothing moves. Documents without links fill what is left, so
-that shard counts differ by one at most (law ``rows``).
-
-Ranks within groups and slots within shards are counted in two steps, within a
-salted share and then over the shares: no task sees all of a group or shard.
-
-Null texts count as empty and are linked with empty ones. Repeated rows are
-documents of their own. Ties are broken by text digest, then doc_id, null first.
-An empty table gives no rows.
+Documents with equal texts are linked. All members of such a group are alike, so
+the propagation runs on one row per (group, shard) with a count. At first every
+member is where the hash of its id puts it. In each round joins find, for every
+group that is still split, the shard that holds most of its members among those
+that have room for all of it; if none of its own has, another one with room.
+Asks are accepted up to each shard's quota: groups are dealt into bins by hash,
+bins are summed per shard, and bins that fit the room left are taken whole. The
+members of an accepted group move there and stay. Bins change from round to
+round; the last ``FEW`` groups are placed largest first.
+
+A group that exceeds a shard fills whole shards before the first round, and its
+rest goes on as a group. Rounds end when no group that is left fits the room of
+any shard. At most as many groups as shards are left then (none, as long as
+documents without links leave room); each is cut over the shards with most room.
+Documents without links fill what remains, so that counts differ by one at most
+(law ``rows``).
+
+Ranks within groups that are cut and slots within shards are counted in two
+steps, within a salted share and then over the shares: no task sees all of a
+group or shard. The driver sees a row per shard and bin.
+
+Null texts count as empty and are linked with empty ones; very long texts are
+only hashed and measured. Repeated rows are documents of their own. Ties are
+broken by text digest, then doc_id, null first. An empty table gives no rows.
+Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,109 +34,105 @@ from pyspark.sql import functions as F
 
 from .common import n_partitions, stored, table
 
-SHARDS, ROUNDS = 16, 12
-#: The text digest of all documents that have no link.
-ALONE = b""
-
-
-def quotas(demand: list[list[int]], load: list[int], capacity: list[int]) -> list[list[int]]:
-    """How many may move from i to j: swaps first, then what room each shard has."""
-    k = len(load)
-    move = [[min(demand[i][j], demand[j][i]) for j in range(k)] for i in range(k)]
-    room = [max(0, c - n) for c, n in zip(capacity, load, strict=True)]
-    for j in range(k):
-        for i in sorted(range(k), key=lambda i: capacity[i] - load[i]):  # the fullest shards give first
-            take = min(demand[i][j] - move[i][j], room[j])
-            move[i][j] += take
-            room[j] -= take
-    return move
-
-
-def levelled(load: list[int], capacity: list[int]) -> list[list[int]]:
-    """Moves from shards over capacity to shards below it."""
-    k = len(load)
-    over, room = ([max(0, a - b) for a, b in zip(x, y, strict=True)] for x, y in ((load, capacity), (capacity, load)))
-    move = [[0] * k for _ in range(k)]
-    for i in range(k):
-        for j in range(k):
-            move[i][j] = take = min(over[i], room[j])
-            over[i] -= take
-            room[j] -= take
-    return move
-
-
-def moved(asked: DataFrame, quota: list[list[int]]) -> DataFrame:
-    """``asked`` (key, shard, n, to) after the moves that ``quota`` allows, largest counts first."""
-    rows = [(i, j, q) for i, row in enumerate(quota) for j, q in enumerate(row) if q]
-    allowed = F.broadcast(asked.sparkSession.createDataFrame(rows, "shard int, to int, quota long"))  # 256 rows at most
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard", "to").orderBy(F.desc("n"), "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    goes = F.greatest(F.lit(0), F.least("n", F.coalesce("quota", F.lit(0)) - before))
-    split = asked.join(allowed, ["shard", "to"], "left").withColumn("goes", goes)
-    out = split.select("key", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("goes")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("goes").alias("n")))).alias("x"))
-    return out.select("key", "x.*").where("n > 0").groupBy("key", "shard").agg(F.sum("n").alias("n"))
-
-
-def matrix(asked: DataFrame, shards: int) -> list[list[int]]:
-    out = [[0] * shards for _ in range(shards)]
-    for r in asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():  # shards squared rows at most
-        out[r["shard"]][r["to"]] = r["n"]
+SHARDS = 16
+#: Bins per shard and round, and how many groups may be left for the driver.
+BINS, FEW = 1024, 64
+#: Stand for the digest of documents without a link, and of those whose shard needs no rank.
+ALONE, WHOLE = b"", b"\1"
+
+Runs = list[tuple[int, int]]
+
+
+def whole_shards(large: dict[bytes, int], capacity: list[int]) -> tuple[dict[bytes, Runs], list[int]]:
+    """The shards (shard, count) that large groups fill, and the room left in each shard."""
+    room, filled = list(capacity), {}
+    for key, total in sorted(large.items(), key=lambda g: (-g[1], g[0])):
+        for shard, size in enumerate(capacity):
+            if 0 < size == room[shard] <= total:
+                filled.setdefault(key, []).append((shard, size))
+                total -= size
+                room[shard] = 0
+    return filled, room
+
+
+def accepted(demand: dict[tuple[int, int], int], room: list[int]) -> list[tuple[int, int]]:
+    """The bins (shard, bin) that are taken: those with least demand first, as long as they fit."""
+    out, left = [], list(room)
+    for (shard, b), n in sorted(demand.items(), key=lambda x: (x[1], x[0])):
+        if n <= left[shard]:
+            left[shard] -= n
+            out.append((shard, b))
     return out
 
 
-def loads(state: DataFrame, shards: int) -> list[int]:
-    out = [0] * shards
-    for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row per shard
-        out[r["shard"]] = r["n"]
+def placed(groups: list[tuple[bytes, int, dict[int, int]]], room: list[int]) -> dict[bytes, int]:
+    """Shards for groups (key, total, members by shard), largest first, each where most of it is among those with room; ``room`` shrinks."""
+    out = {}
+    for key, total, held in sorted(groups, key=lambda g: (-g[1], g[0])):
+        fits = [s for s in range(len(room)) if room[s] >= total]
+        if fits:
+            out[key] = best = max(fits, key=lambda s: (held.get(s, 0), room[s], -s))
+            room[best] -= total
     return out
 
 
-def propagate(state: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
-    """Counts per (group, shard) after balanced label propagation, within capacity."""
-    shards = len(capacity)
-    for _ in range(rounds):
-        target = state.groupBy("key").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("to"))
-        asked = stored(state.join(target, "key"))
-        demand = matrix(asked.where("shard <> to"), shards)
-        quota = quotas(demand, loads(asked, shards), capacity)
-        if not any(map(any, quota)):
-            return over_to_under(asked.drop("to"), capacity)
-        state = moved(asked, quota)
-    return over_to_under(stored(state), capacity)
-
-
-def over_to_under(state: DataFrame, capacity: list[int]) -> DataFrame:
-    """Counts with no shard over capacity: the smallest parts of groups leave a full shard first."""
-    shards = len(capacity)
-    move = levelled(loads(state, shards), capacity)
-    if not any(map(any, move)):
-        return state
-    rows, at = [], [0] * shards
-    for i in range(shards):
-        for j in range(shards):
-            if move[i][j]:
-                rows.append((i, j, at[i], at[i] + move[i][j]))
-                at[i] += move[i][j]
-    ranges = F.broadcast(state.sparkSession.createDataFrame(rows, "shard int, to int, low long, high long"))  # 256 rows at most
-    w = Window.partitionBy("shard").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)
-    seen = state.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    leaving = seen.join(ranges, "shard").select("key", "shard", "to", F.greatest(F.lit(0), F.least(F.col("first") + F.col("n"), "high") - F.greatest("first", "low")).alias("n")).where("n > 0")
-    out = state.unionByName(leaving.select("key", "shard", (-F.col("n")).alias("n"))).unionByName(leaving.select("key", F.col("to").alias("shard"), "n"))
-    return out.groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0")
-
-
-def share(parts: int, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
-
-
-def ranked(rows: DataFrame, group: str, parts: int, *order: str) -> DataFrame:
-    """``rows`` (with a ``salt``) plus ``rank`` from 0 within ``group``, counted per salt and then over the salts."""
+def cut(groups: dict[bytes, int], room: list[int]) -> dict[bytes, Runs]:
+    """Groups that fit nowhere over the shards with most room, largest first; ``room`` shrinks."""
+    out: dict[bytes, Runs] = {}
+    for key, total in sorted(groups.items(), key=lambda g: (-g[1], g[0])):
+        while total:
+            best = max(range(len(room)), key=lambda s: (room[s], -s))
+            n = min(total, room[best])
+            out.setdefault(key, []).append((best, n))
+            room[best] -= n
+            total -= n
+    return out
+
+
+def share(parts: int, *of: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(parts)).cast("int")
+
+
+def propagate(state: DataFrame, room: list[int], bins: int = BINS, few: int = FEW) -> tuple[DataFrame, dict[bytes, Runs]]:
+    """(key, shard) for groups of ``state`` (key, total, shard, n) that stay whole, and the runs of the others; ``room`` shrinks."""
+    spark, turn = state.sparkSession, 0
+    settled = spark.createDataFrame([], "key binary, shard int")
+    while True:
+        turn += 1
+        n_groups, least = state.agg(F.count_distinct("key"), F.min("total")).first()
+        if n_groups <= few or least > max(room):  # in the second case fewer groups than shards are left
+            held = state.groupBy("key", "total").agg(F.collect_list(F.struct("shard", "n")).alias("held")).collect()
+            groups = [(bytes(r["key"]), r["total"], dict(map(tuple, r["held"]))) for r in held]
+            own = placed(groups, room)
+            last = spark.createDataFrame([(bytearray(k), s) for k, s in own.items()], "key binary, shard int")
+            return settled.unionByName(last), cut({k: total for k, total, _ in groups if k not in own}, room)
+        rooms = F.broadcast(spark.createDataFrame(list(enumerate(room)), "shard int, room long"))  # a row per shard
+        fits = state.join(rooms, "shard").where("room >= total")
+        near = fits.groupBy("key").agg(F.max_by("shard", F.struct("n", F.xxhash64("key", "shard"))).alias("near"))
+        seats = F.filter(F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(n).cast("long").alias("room")) for s, n in enumerate(room))), lambda x: x.room >= F.col("total"))
+        other = F.try_element_at(seats, (F.pmod(F.xxhash64("key", F.lit(turn)), F.greatest(F.size(seats), F.lit(1))) + 1).cast("int"))["shard"]
+        groups = state.select("key", "total").distinct().join(near, "key", "left")
+        asks = stored(groups.select("key", F.coalesce("near", other).alias("shard"), "total", share(bins, "key", F.lit(turn)).alias("bin")))
+        demand = {(r["shard"], r["bin"]): r["n"] for r in asks.where("shard IS NOT NULL").groupBy("shard", "bin").agg(F.sum("total").alias("n")).collect()}  # ``bins`` rows per shard at most
+        taken = accepted(demand, room)
+        for one in taken:
+            room[one[0]] -= demand[one]
+        if not taken:
+            bins *= 4  # every ask fits alone: smaller bins do in the end
+            continue
+        moves = asks.join(F.broadcast(spark.createDataFrame(taken, "shard int, bin int")), ["shard", "bin"]).select("key", "shard")
+        settled = stored(settled.unionByName(moves))
+        state = stored(state.join(moves.select("key"), "key", "left_anti"))
+
+
+def ranked(rows: DataFrame, sizes: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` (with a ``salt``) plus ``rank`` from 0 within ``group``: within each salt, after the ``sizes`` (group, salt, n) of the salts before."""
     local = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group, "salt").orderBy(*order)) - 1)
-    sizes = rows.groupBy(group, "salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    return local.join(sizes.select(group, "salt", F.coalesce(before, F.lit(0)).alias("before")), [group, "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return local.join(sizes.select(group, "salt", before.alias("before")), [group, "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, few: int = FEW) -> DataFrame:
     """One row per document: size, checksum, law, shard, slot."""
     spark = docs.sparkSession
     parts = max(64, n_partitions(spark))
@@ -134,24 +142,39 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     n = thin.count()
     capacity = [n // shards + (i < n % shards) for i in range(shards)]
 
-    shares = thin.groupBy("key", "salt").agg(F.count("*").alias("n"))
+    shares = stored(thin.groupBy("key", "salt").agg(F.count("*").alias("n")))
     linked = stored(shares.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1"))
+    large = {bytes(r["key"]): r["total"] for r in linked.where(F.col("total") > min(capacity)).collect()}  # hardly more rows than shards
+    filled, room = whole_shards(large, capacity)
+    less = spark.createDataFrame([(bytearray(k), sum(m for _, m in runs)) for k, runs in filled.items()], "key binary, less long")
+    rest = linked.join(F.broadcast(less), "key", "left").select("key", (F.col("total") - F.coalesce("less", F.lit(0))).alias("total")).where("total > 0")
     # every member's first shard is its salt's
-    start = shares.join(linked.select("key"), "key").groupBy("key", (F.col("salt") % shards).alias("shard")).agg(F.sum("n").alias("n"))
-    state = stored(propagate(start, capacity, rounds))
-    left = [c - m for c, m in zip(capacity, loads(state, shards), strict=True)]
-    rest = spark.createDataFrame([(bytearray(ALONE), i, m) for i, m in enumerate(left)], "key binary, shard int, n long").where("n > 0")
-    high = F.sum("n").over(Window.partitionBy("key").orderBy("shard"))
-    bounds = state.unionByName(rest).withColumn("high", high).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("high", "shard"))).alias("bounds"))  # one entry per shard
-
-    # which (key, salt) are of groups; the others are one group of their own
-    group = F.when(F.col("total").isNull(), F.lit(bytearray(ALONE))).otherwise(F.col("key"))
-    named = shares.join(linked, "key", "left").select("key", "salt", group.alias("group"))
-    member = ranked(thin.join(named, ["key", "salt"]), "group", parts, "key", "doc_id")
-    # a group's bounds reach its members by (group, salt), so that a hot group is split
-    salted = named.select("group", "salt").distinct().join(bounds.withColumnRenamed("key", "group"), "group")
-    placed = member.join(salted, ["group", "salt"]).select("doc_id", "size", "text_crc32", "salt", "key", F.filter("bounds", lambda b: b.high > F.col("rank"))[0]["shard"].alias("shard"))
-    slotted = ranked(stored(placed), "shard", parts, "key", "doc_id")
+    start = stored(shares.join(rest, "key").groupBy("key", "total", (F.col("salt") % shards).alias("shard")).agg(F.sum("n").alias("n")))
+    settled, runs = propagate(start, room, bins, few)
+    settled = stored(settled)
+
+    # members of cut groups, and documents without links, find their shards by rank
+    ends = {r["key"]: r["shard"] for r in settled.join(F.broadcast(less), "key", "left_semi").collect()}  # rests of large groups
+    cuts: dict[bytes, Runs] = {ALONE: list(enumerate(room))}
+    for key in {*filled, *runs}:
+        tail = [(ends[key], large[key])] if key in ends else runs.get(key, [])
+        cuts[key] = [*filled.get(key, []), *tail]
+    bounds = []
+    for key, own in cuts.items():
+        high = 0
+        for s, m in own:
+            high += m
+            bounds.append((bytearray(key), high, s))
+    runs_of = spark.createDataFrame(bounds, "group binary, high long, shard int").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("high", "shard"))).alias("runs"))  # a few rows per shard
+    whole = settled.join(F.broadcast(less), "key", "left_anti").select("key", F.col("shard").alias("whole"))
+    group = F.when(F.col("total").isNull(), F.lit(bytearray(ALONE))).when(F.col("whole").isNull(), F.col("key")).otherwise(F.lit(bytearray(WHOLE)))
+    named = stored(shares.join(linked, "key", "left").join(whole, "key", "left").select("key", "salt", "n", "whole", group.alias("group")))
+    sizes = named.groupBy("group", "salt").agg(F.sum("n").alias("n"))
+    member = ranked(thin.join(named.drop("n"), ["key", "salt"]), sizes, "group", "key", "doc_id")
+    by_rank = F.filter("runs", lambda x: x.high > F.col("rank"))[0]["shard"]
+    found = member.join(F.broadcast(runs_of), "group", "left").select("doc_id", "size", "text_crc32", "salt", "key", F.coalesce("whole", by_rank).alias("shard"))
+    found = stored(found)
+    slotted = ranked(found, found.groupBy("shard", "salt").agg(F.count("*").alias("n")), "shard", "key", "doc_id")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -399,6 +399,61 @@ def test_shards_are_even_and_groups_whole(spark):
     assert sum(len(s) > 1 for s in groups.values()) <= 1
 
 
+def split_groups(rows, texts):
+    """Texts with members in several shards, and pairs of equal texts that are parted."""
+    held = defaultdict(Counter)
+    for r in rows:
+        held[texts[r["doc_id"]]][r["shard"]] += 1
+    pairs = sum(math.comb(sum(c.values()), 2) - sum(math.comb(n, 2) for n in c.values()) for c in held.values())
+    return {t for t, c in held.items() if len(c) > 1}, pairs
+
+
+@pytest.mark.parametrize("linked", [0.05, 0.1, 0.4, 0.6])
+def test_groups_stay_whole_beside_a_hot_one(spark, linked):
+    rng, n = random.Random(int(100 * linked)), 4000
+    rows = [(i, "hot" if i < n // 3 else f"alone {i}" if rng.random() > linked * 1.5 else f"group {rng.randrange(150)}", "en") for i in range(n)]
+    got = sharding.shard(documents(spark, rows), bins=16, few=0).collect()
+    check_shards(got, n)
+    split, _ = split_groups(got, {i: t for i, t, _ in rows})
+    sizes = Counter(t for _, t, _ in rows)
+    assert {t for t in split if sizes[t] <= n // 16} == set()
+    hot = Counter(r["shard"] for r in got if r["doc_id"] < n // 3)
+    assert len(hot) == math.ceil(sizes["hot"] / (n / 16))
+
+
+def least_cut(sizes, capacity):
+    """The fewest pairs parted over all ways to place the groups; the rest of a shard is filled by others."""
+    if not sizes:
+        return 0
+    best, (total, *rest) = math.inf, sizes
+
+    def ways(left, at):
+        if at == len(capacity) - 1:
+            if left <= capacity[at]:
+                yield [left]
+            return
+        for k in range(min(left, capacity[at]) + 1):
+            for more in ways(left - k, at + 1):
+                yield [k, *more]
+
+    for way in ways(total, 0):
+        parted = math.comb(total, 2) - sum(math.comb(k, 2) for k in way)
+        if parted < best:
+            best = min(best, parted + least_cut(rest, [c - k for c, k in zip(capacity, way, strict=True)]))
+    return best
+
+
+@pytest.mark.parametrize("sizes, alone, few", [([5, 3, 2], 2, 64), ([5, 5, 2], 0, 64), ([7, 2, 2], 1, 64), ([3, 3, 3, 3], 3, 0), ([5, 5, 5], 0, 0)])
+def test_cut_edges_against_all_placements(spark, sizes, alone, few):
+    texts = [f"group {g}" for g, size in enumerate(sizes) for _ in range(size)] + [f"alone {i}" for i in range(alone)]
+    got = sharding.shard(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), shards=3, bins=2, few=few).collect()
+    counts, n = Counter(r["shard"] for r in got), len(texts)
+    assert max(counts.values()) - min(counts.values()) <= 1 and sum(counts.values()) == n
+    _, pairs = split_groups(got, dict(enumerate(texts)))
+    best = least_cut(sizes, [n // 3 + (i < n % 3) for i in range(3)])
+    assert pairs == best if few else pairs <= best + 6
+
+
 @pytest.mark.parametrize("hot", [1.0, 0.4])
 def test_hot_groups_are_spread(spark, hot):
     rows = [(i, "the same" if i < 400 * hot else f"text {i // 2}", "en") for i in range(400)]
