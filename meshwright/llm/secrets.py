@@ -5,16 +5,20 @@ value), access (an access key id) and hex (a run of hexadecimal digits). Their
 spans are leftmost and non-overlapping within a kind; a match that fails its
 test is dropped and not retried.
 
-Candidates are then decoded. Runs of base64 (either alphabet) or hex, alone, in
-an assigned value or between armour lines, are reported as a further kind only
-if what they decode to parses: der (an ASN.1 SEQUENCE whose nested lengths fill
-the value exactly and which opens with an INTEGER or a SEQUENCE), ssh (length-
-prefixed fields with a key type, or an OpenSSH private key's magic), jwt (a
-signed token: header and payload are JSON objects and the header names an
-algorithm), pem (armour lines around a der or ssh body).
-
-Null and empty texts hold nothing. Ties in start are ordered by kind as listed.
-Repeated rows give repeated results. Offsets are code points, end exclusive.
+Candidates are then decoded. Runs of base64 (either alphabet) or hex (either
+case), alone, in an assigned value or between armour lines, are reported as a
+further kind only if what they decode to parses: der (an ASN.1 SEQUENCE whose
+nested lengths fill the value exactly and which opens with an INTEGER or a
+SEQUENCE), ssh (length-prefixed fields with a key type, or an OpenSSH private
+key's magic), jwt (a signed token: header and payload are JSON objects and the
+header names an algorithm), pem (armour lines around a der or ssh body). Bodies
+and nesting may be of any length. Confirmed spans that hold public keys or
+certificates are counted in ``n_public``: well-formed, but no secret.
+
+Null and empty texts hold nothing; very long ones are read whole, in time linear
+in their length. Ties in start are ordered by kind as listed. Repeated rows give
+repeated results. Offsets are code points, end exclusive. An empty table gives
+no rows. Further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -39,11 +43,16 @@ _assign_at = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20
 #: Shorter runs fail the length test whole, and no part of a run is retried: the test can be part of the pattern.
 _access = re.compile(r"AKIA[A-Z0-9]{14,}").finditer
 _hex = re.compile(r"[0-9a-f]{16,}").finditer
-_jwt = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)").finditer
-_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]{16,20000}?)-----END \1-----").finditer
+#: A header opens with blanks, if any, and a brace: base64 of tab, line feed, return, space or brace starts so.
+_jwt = re.compile(r"(?<![A-Za-z0-9_-])((?:[CDI]|e[w-z])[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)").finditer
+_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]{16,})-----END \1-----").finditer
+#: The same openings in hex of either case.
+_any_hex = re.compile(r"(?<![0-9A-Za-z])(?:30|000000|6[Ff]70656[Ee])[0-9A-Fa-f]{18,}(?![0-9A-Za-z])").finditer
 #: DER opens with 30 8x or 30 and a short length, OpenSSH's formats with 00 00 00 or their magic.
 _base64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14,}={0,2}").finditer
 
+_all_hex = re.compile("[0-9a-fA-F]+").fullmatch
+
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
 
@@ -69,16 +78,22 @@ def tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + length) if at + length <= end else None
 
 
-def nested(data: bytes, at: int, end: int, depth: int = 0) -> bool:
+def nested(data: bytes, at: int, end: int) -> bool:
     """Whether the elements from ``at`` on fill the space up to ``end`` exactly, constructed ones likewise inside."""
-    while at < end:
-        if (element := tlv(data, at, end)) is None:
+    ends = [end]
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        if (element := tlv(data, at, ends[-1])) is None:
             return False
         tag, start, stop = element
-        if tag & 0x20 and (depth > 16 or not nested(data, start, stop, depth + 1)):
-            return False
-        at = stop
-    return at == end
+        if tag & 0x20:
+            ends.append(stop)
+            at = start
+        else:
+            at = stop
+    return True
 
 
 def is_der(data: bytes) -> bool:
@@ -107,19 +122,36 @@ def is_jwt(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def decoded(candidate: str) -> Iterator[bytes]:
+    """What a candidate says in base64, and in hex."""
+    if data := unbase64(candidate):
+        yield data
+    if len(candidate) % 2 == 0 and _all_hex(candidate):
+        yield bytes.fromhex(candidate)
+
+
 def encoding(candidate: str) -> str | None:
     """The key encoding a base64 or hex candidate decodes to."""
-    ways = [unbase64(candidate)]
-    if len(candidate) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", candidate):
-        ways.append(bytes.fromhex(candidate))
-    for data in ways:
-        if data and is_der(data):
+    for data in decoded(candidate):
+        if is_der(data):
             return "der"
-        if data and is_ssh(data):
+        if is_ssh(data):
             return "ssh"
     return None
 
 
+def is_public(candidate: str) -> bool:
+    """Whether a confirmed candidate is a public key or a certificate: DER that does not open with a version number, or SSH fields."""
+    for data in decoded(candidate):
+        if is_der(data):
+            top = tlv(data, 0, len(data))
+            tag, start, stop = tlv(data, top[1], top[2])
+            return not (tag == 0x02 and stop - start == 1 and data[start] < 4)
+        if is_ssh(data):
+            return not data.startswith(b"openssh-key-v1\0")
+    return False
+
+
 def _assign(text: str) -> Iterator[re.Match]:
     """The assign grammar's leftmost non-overlapping matches, tried only where a naming word stands."""
     low, starts = text.encode("ascii", "replace").lower(), []
@@ -146,7 +178,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     for m in _hex(text):
         spans.append(("hex", *m.span()))
         candidates.add(m.span())
-    candidates |= {m.span() for m in _base64(text)}
+    candidates |= {m.span() for scan_for in (_base64, _any_hex) for m in scan_for(text)}
     covered = []
     for m in _pem(text):
         if encoding("".join(m[2].split())):
@@ -163,28 +195,36 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return sorted(set(spans), key=lambda s: (s[1], order[s[0]], s[2]))
 
 
+def n_public(text: str, spans: list[tuple[str, int, int]]) -> int:
+    """How many confirmed spans hold no secret."""
+    bodies = (text[a:b] if kind != "pem" else "".join(next(_pem(text[a:b]))[2].split()) for kind, a, b in spans if kind in ("pem", "ssh", "der"))
+    return sum(map(is_public, bodies))
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: counts of the base kinds, digest of the base spans, all spans, number confirmed by structure."""
+    """Per row of ``docs``: counts of the base kinds, digest of the base spans, all spans, numbers confirmed by structure and of them public."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digest, every, confirmed = [[] for _ in BASE], [], [], []
+        counts, digest, every, confirmed, public = [[] for _ in BASE], [], [], [], []
         for value in batch.column(text):
-            spans = find(value.as_py() or "")
+            own = value.as_py() or ""
+            spans = find(own)
             base = [s for s in spans if s[0] in BASE]
             for column, kind in zip(counts, BASE, strict=True):
                 column.append(sum(s[0] == kind for s in base))
             digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
             every.append(joined(spans))
             confirmed.append(len(spans) - len(base))
-        columns = [batch.column(key), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(every), pa.array(confirmed, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, [key, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_confirmed"])
+            public.append(n_public(own, spans) if confirmed[-1] else 0)
+        columns = [batch.column(key), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(every), pa.array(confirmed, pa.int64()), pa.array(public, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [key, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_confirmed", "n_public"])
 
     kind = dict(docs.dtypes)[key]
-    return over_batches(docs.select(key, text), kernel, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_confirmed long")
+    return over_batches(docs.select(key, text), kernel, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_confirmed long, n_public long")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

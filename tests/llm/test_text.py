@@ -122,6 +122,35 @@ def test_confirmed_secrets():
     assert kinds("ssh-ed25519 " + base64.b64encode(fields).decode()) == ["ssh"]
 
 
+def test_secrets_of_any_length_case_and_nesting():
+    kinds = lambda t: [k for k, _, _ in secrets.find(t) if k not in secrets.BASE]
+    long_der = lambda tag, body: bytes([tag, 0x84]) + len(body).to_bytes(4, "big") + body
+    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 129))) + der(2, b"\1\0\1"))
+    assert kinds(f"k {key.hex().upper()} z") == ["der"] and kinds("".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))) == ["der"]
+    big = long_der(0x30, der(2, b"\0") + long_der(4, bytes(200_000)))
+    body = "\n".join(re.findall(".{1,64}", base64.b64encode(big).decode()))
+    text = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(text) == ["pem"] and secrets.n_public(text, secrets.find(text)) == 0
+    deep = der(2, b"\1")
+    for _ in range(3000):
+        deep = long_der(0x30, deep)
+    assert secrets.is_der(deep) and not secrets.is_der(deep[:-1] + b"\1\1")
+    part = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    for blank in ("", " ", "\n", "\t", "\r\n", "  "):
+        assert kinds(f"x {part(blank + '{' + blank + chr(34) + 'alg' + chr(34) + ':\"HS256\"}')}.{part(blank + '{}')}.abc y") == ["jwt"]
+    start = time.perf_counter()
+    assert kinds("-----BEGIN PRIVATE KEY-----\n" * 3000 + "A" * 300_000) == [] and time.perf_counter() - start < 20
+
+
+def test_public_keys_are_counted_apart():
+    public = der(0x30, der(0x30, der(6, b"\x2a\x86")) + der(3, bytes(80)))
+    private = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 129))) + der(2, b"\1\0\1"))
+    pem = lambda label, data: f"-----BEGIN {label}-----\n{base64.b64encode(data).decode()}\n-----END {label}-----"
+    text = f"{pem('PUBLIC KEY', public)} {pem('RSA PRIVATE KEY', private)} {private.hex()} {base64.b64encode(public).decode()}"
+    spans = secrets.find(text)
+    assert [k for k, _, _ in spans if k not in secrets.BASE] == ["pem", "pem", "der", "der"] and secrets.n_public(text, spans) == 2
+
+
 def test_secrets_over_rows(spark):
     rows = secrets.scan(documents(spark)).collect()
     assert len(rows) == len(AWKWARD) and sum(r["n_confirmed"] for r in rows) == 0
