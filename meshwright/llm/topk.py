@@ -9,14 +9,18 @@ save adders turn three bitmaps of one weight into one and a carry. The slices of
 the sum, most significant first, then split the rows into surely selected and
 still tied; ties that straddle the boundary are resolved by vec_id.
 
-Queries and rows both come in blocks, joined block by block, and each block
-answers with k rows a query. A query's own vec_id is no candidate for it.
+Queries and rows both come in blocks of about as many bytes, joined block by
+block: every row is sent once per block of queries and every query once per
+block of rows, and a block's slices serve thousands of queries. Each pair of
+blocks answers with k rows a query. A query's own vec_id is no candidate for it.
 
 Vectors that are null, or hold null or non-finite components, take no part; a
 shorter vector counts as filled up with zeros. Of repeated vec_ids all rows are
-candidates, the first in component order is the query. Components must stay
-below 2**31 after quantising. An empty table gives no rows; extra columns are
-ignored.
+candidates, the first in component order is the query; rows with a null vec_id
+take no part. Quantised components beyond ``LARGEST`` count as that. Ranks
+follow the exact sums, however large; a score beyond a long is shown as the
+nearest long. An empty table gives no rows. Further columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 K, SCALE, EVERY = 5, 256, 50
-#: Rows in a block of the index, queries in a block of queries.
-ROWS, QUERIES = 32768, 512
+#: Numbers in a block of the index (rows times dimensions), queries in a block of queries at most, and in one that is made small for more tasks.
+NUMBERS, QUERIES, FEWEST = 1 << 21, 8192, 64
+#: The largest size of a component; sums of a million products of two such fit 127 bits.
+LARGEST = 1 << 50
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -49,6 +55,7 @@ class Index:
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order].astype(np.int64)
+        self.largest = int(np.abs(self.values).max(initial=0))
         base = self.values.min(0)
         above = (self.values - base).T
         width = np.array([int(x).bit_length() for x in above.max(1)])
@@ -87,7 +94,7 @@ class Index:
         return out
 
     def top(self, query: np.ndarray, own: int, k: int) -> np.ndarray:
-        """Positions of the k best rows but ``own``, as a set."""
+        """Positions of the k best rows but ``own``; of ties the first."""
         tied, sure = self.all.copy(), np.zeros_like(self.all)
         for at in range(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right")):
             tied[at // 64] &= ~np.uint64(1 << at % 64)
@@ -108,10 +115,21 @@ class Index:
         return np.concatenate([places(sure), rest])
 
 
+def scores(values: np.ndarray, query: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products in two longs, high and low 63 bits."""
+    if largest * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 62:
+        exact = values @ query
+    else:
+        exact = np.array([sum(map(int.__mul__, row, query.tolist())) for row in values.tolist()], object)
+    return (exact >> 63).astype(np.int64), (exact & ((1 << 63) - 1)).astype(np.int64)
+
+
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """(vec_id, v): whole vectors only, components as integers."""
     clean = F.expr(f"`{vector}` IS NOT NULL AND NOT exists(`{vector}`, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
-    return vectors.where(F.col(key).isNotNull()).where(clean).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+    most = F.lit(float(LARGEST))
+    whole = lambda x: F.floor(F.greatest(-most, F.least(most, x.cast("double") * scale))).cast("long")
+    return vectors.where(F.col(key).isNotNull()).where(clean).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, whole).alias("v"))
 
 
 def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -133,8 +151,11 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     small_batches(spark)
     rows = stored(quantised(vectors, key, vector, scale))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_rows, n_asked = rows.count(), asked.count()
-    n_blocks, n_query_blocks = max(1, -(-n_rows // ROWS)), max(1, -(-n_asked // QUERIES))
+    n_rows, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked = asked.count()
+    n_blocks = max(1, -(-n_rows * max(1, dims or 1) // NUMBERS))
+    enough = -(-2 * spark.sparkContext.defaultParallelism // n_blocks)  # blocks of queries that keep all cores busy
+    n_query_blocks = max(1, -(-n_asked // QUERIES), min(enough, -(-n_asked // FEWEST)))
     index = blocks(rows, n_blocks, "r")
     queries = blocks(asked, n_query_blocks, "q").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
@@ -148,14 +169,16 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
                 out: list[tuple[np.ndarray, ...]] = []
                 for own, query in zip(r.q_ids, matrix(r.q_v, dims), strict=True):
                     at = built.top(query, own, k)
-                    out.append((np.full(len(at), own), built.ids[at], built.values[at] @ query))
+                    out.append((np.full(len(at), own), built.ids[at], *scores(built.values[at], query, built.largest)))
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "high", "low"), cols, strict=True)))
 
     spread = queries.join(index, "r").repartition(n_blocks * n_query_blocks, "r", "q")
-    best = spread.mapInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = spread.mapInPandas(run, "query_id long, vec_id long, high long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    least = F.lit(-(1 << 63))
+    score = F.when(F.col("high") == 0, F.col("low")).when(F.col("high") == -1, F.col("low") + least).when(F.col("high") > 0, (1 << 63) - 1).otherwise(least)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

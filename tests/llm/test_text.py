@@ -517,7 +517,7 @@ def test_top_k_against_sorting(spark):
 
 
 def test_top_k_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "NUMBERS", 200)
     monkeypatch.setattr(topk, "QUERIES", 3)
     rng = random.Random(7)
     rows = [(i, [rng.randint(-3, 3) / 256 for _ in range(4)]) for i in range(500)]
@@ -527,6 +527,15 @@ def test_top_k_over_blocks(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(few).collect()} == brute_top(rows[:3])
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(17)
+    rows = [(i, [rng.choice([-1, 1]) * 10 ** rng.uniform(0, 12) for _ in range(5)]) for i in range(150)] + [(200, [3e38, -3e38]), (201, [3e38, 0.0]), (250, [1e7, -8.5e6, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clipped = [(i, [min(max(x, -topk.LARGEST / 256), topk.LARGEST / 256) for x in v]) for i, v in rows]
+    want = {(q, n, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, n, i, s in brute_top(clipped)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
 # --- quality ---
 
 
