@@ -1,36 +1,72 @@
-"""Connected components by least labels and pointer jumping."""
+"""Connected components by least labels and pointer jumping.
+
+A graph of at most ``FEW_EDGES`` edges (counted first) is solved in one task, as
+rounds of joins would cost more than the work; any other by rounds over tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NetworkFrame, both_ways
-from .iterate import stored
+from .iterate import forget, hot_keys, looked_up, stored
+
+FEW_EDGES = 200_000
 
 
-def components(g: NetworkFrame) -> DataFrame:
+def components(g: NetworkFrame, few: int = FEW_EDGES) -> DataFrame:
     """(id, component): the least id that is reachable."""
-    ends = stored(both_ways(g.edges.select("src", "dst")))
-    first = ends.groupBy("src").agg(F.min("dst").alias("m"))
+    kind = dict(g.vertices.select("id").dtypes)["id"]
+    edges = stored(g.edges.select("src", "dst"))
+    n = edges.count()
     own = g.vertices.select("id").distinct()
+    if n <= few and not kind.startswith(("struct", "array", "map")):
+        found = edges.coalesce(1).mapInPandas(_least_of_each, f"id {kind}, component {kind}")
+        return own.join(stored(found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ends = stored(both_ways(edges))
+    hot = stored(hot_keys(ends, "dst", 2 * n))
+    first = ends.groupBy("src").agg(F.min("dst").alias("m"))
     labels = stored(own.join(first, own["id"] == first["src"], "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component")))
+    n_ids = labels.count()
     while True:
-        near = ends.join(labels.toDF("dst", "c"), "dst").groupBy("src").agg(F.min("c").alias("near"))
-        step = labels.join(near, labels["id"] == near["src"], "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
-        far = step.join(labels.toDF("new", "far"), "new", "left")
+        near = looked_up(ends, labels.toDF("dst", "c"), "dst", hot).groupBy("src").agg(F.min("c").alias("near"))
+        step = stored(labels.join(near, labels["id"] == near["src"], "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new")))
+        far = looked_up(step, labels.toDF("new", "far"), "new", hot_keys(step, "new", n_ids), outer=True)
         after = stored(far.select("id", "component", F.least("new", F.coalesce("far", "new")).alias("new")))
+        forget(step, labels)
         if after.where("new <> component").isEmpty():
             return after.select("id", "component")
-        labels = after.select("id", F.col("new").alias("component"))
+        labels = stored(after.select("id", F.col("new").alias("component")))
+        forget(after)
+
+
+def _least_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all edges; a root is its tree's least id."""
+    above: dict = {}
+
+    def root(x):
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for frame in frames:
+        for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": list(above), "component": [root(x) for x in above]})
 
 
 def giant(g: NetworkFrame) -> NetworkFrame:
     """The largest component (of equals the one with the least id)."""
     c = components(g)
-    top = c.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n")).alias("any"), F.max("n").alias("n"))
     sizes = c.groupBy("component").agg(F.count("*").alias("n"))
-    chosen = sizes.join(F.broadcast(top.select("n")), "n").agg(F.min("component").alias("component"))
+    most = sizes.agg(F.max("n").alias("n"))
+    chosen = sizes.join(F.broadcast(most), "n").agg(F.min("component").alias("component"))  # one row each
     ids = stored(c.join(F.broadcast(chosen), "component").select("id"))
     edges = g.edges.join(ids.toDF("src"), "src", "left_semi")
     return NetworkFrame(g.vertices.join(ids, "id", "left_semi"), edges)

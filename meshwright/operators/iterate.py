@@ -1,20 +1,63 @@
-"""Cutting lineage between rounds of an iteration."""
+"""Cutting lineage between rounds of an iteration, and joins that bear hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: At most this many keys are broadcast as hot ones; a key is hot if it holds more than its share of the rows, and not few of them.
+HOT_KEYS, FEW_ROWS = 1000, 256
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder. Where none is set, a temporary one serves local sessions; a cluster needs one."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshwright-"))
+        base = sc.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshwright-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no plan reads any more."""
+    for df in tables:
+        if path := getattr(df, "__dict__", {}).get("stored_at"):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def hot_keys(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """The keys that hold more than a ``HOT_KEYS``-th of ``n_rows`` rows each: so at most that many."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(FEW_ROWS, n_rows // HOT_KEYS)).select(key)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, outer: bool = False) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row per key): ``hot`` keys' by a broadcast, so that no task gets all rows of one.
+
+    Rows whose key is not in ``table`` go, unless ``outer``. Rows of hot keys pass
+    the shuffle for the other keys under salts that match nothing.
+    """
+    own = [c for c in table.columns if c != key]
+    few = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(key, F.struct(*own).alias("__few"))
+    at = rows.join(F.broadcast(few), key, "left")  # ``HOT_KEYS`` rows at most
+    salt = F.when(F.col("__few").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).cast("int")
+    both = at.withColumn("__salt", salt).join(table.select(key, F.lit(0).alias("__salt"), F.struct(*own).alias("__rest")), [key, "__salt"], "left")
+    found = both.withColumn("__got", F.coalesce("__few", "__rest"))
+    return (found if outer else found.where(F.col("__got").isNotNull())).select(*rows.columns, *(F.col("__got")[c].alias(c) for c in own))

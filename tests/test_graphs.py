@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import components, flows, measures, paths
+from meshwright.operators import components, flows, iterate, measures, paths
 from meshwright.schema import NetworkFrame
 
 PATH, CYCLE, STAR = [(0, 1), (1, 2), (2, 3)], [(0, 1), (1, 2), (2, 3), (0, 3)], [(0, 1), (0, 2), (0, 3)]
@@ -138,6 +138,26 @@ def test_unreachable_terminals_are_null(spark):
     assert set(by_id(flows.potentials(g, 0, 3), "potential").values()) == {None}
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_chains_and_hubs(spark, few):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(1000, 1001 + i) for i in range(700)] + [(5000, 5001), (5001, 5000), (7, 7)]
+    g = measures.graph_of(spark.createDataFrame(edges, "src long, dst long"))
+    rows = [r["id"] for r in g.vertices.collect()]
+    g = NetworkFrame(g.vertices.unionByName(spark.createDataFrame([(9000,)], "id long")), g.edges)
+    got = {r["id"]: r["component"] for r in components.components(g, few).collect()}
+    assert got == {i: 1 if i < 100 else 1000 if i < 5000 else 5000 for i in rows} | {9000: 9000}
+
+
+def test_lookups_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "FEW_ROWS", 10)
+    rows = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1000)] + [(None, -1)], "k long, i long")
+    table = spark.createDataFrame([(k, str(k)) for k in (0, 1, 950, 951)], "k long, name string")
+    for hot in (iterate.hot_keys(rows, "k", 100), rows.limit(0)):
+        inner = {(r["i"], r["name"]) for r in iterate.looked_up(rows, table, "k", hot).collect()}
+        assert inner == {(i, str(i % 3)) for i in range(900) if i % 3 < 2} | {(950, "950"), (951, "951")}
+        assert iterate.looked_up(rows, table, "k", hot, outer=True).count() == 1001
+
+
 def test_components_giant_and_renumbering(spark):
     g = graph(spark, [(5, 9), (9, 7), (1, 2)], 10)
     own = by_id(components.components(g), "component")
