@@ -8,11 +8,15 @@ soon as the posterior probability that they reach the threshold, from a uniform
 prior, is below ``TOLERANCE``. What is left is verified on the shingle sets.
 
 Buckets of up to ``SMALL`` texts give all their pairs. Texts that share a larger
-one gather around its leader, the text with most bucket neighbours, and are all
-compared with each other, in blocks: each block prunes and verifies inside one
-task and gives a count of links for each text and the few links that join its
-classes. A pair that meets around several leaders counts around the least. So
-every link counts once, and no pairs of a large group are listed.
+one are crowded, and pairs of them are sought anew by rare shingles. Two sets of
+the threshold's similarity share one of their rarest shingles: of n, ordered by
+how many crowded texts have them, one of the first n - ceil(0.8 n) + 1 (prefix
+filter). A text whose rarest ones are its own has no partner. Shingles that up
+to ``SMALL`` texts have among their rarest give pairs; texts that larger ones
+connect gather, each in one crowd, and all of a crowd are compared, in blocks:
+each block prunes and verifies inside one task and gives a count of links for
+each text and the few links that join its classes. So every link counts once,
+and no pairs of a crowd are listed.
 
 One row per document: doc_id, class_id (the least doc_id of its class), n_links
 (all verified links of its text to other texts), n_copies (documents with the
@@ -20,27 +24,34 @@ same text). Copies share a row's class and links.
 
 Words are what blanks part; a text of one to four words is one shingle. Null and
 empty texts have no shingle and no link; they are classes by copies, null being
-empty. Null doc_ids count as the largest. An empty table gives no rows.
+empty. Null doc_ids count as the largest; rows that repeat a doc_id each have
+their own text's class. Very long texts are read whole. An empty table gives no
+rows. Further columns, whatever their names, are left out, and kept as they are
+by ``one_of_each``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..operators.iterate import hot_keys, looked_up
+from ..schema import NetworkFrame
 from .common import over_batches, small_batches, stored, table
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 BANDS, PER_BAND, STEP = 32, 4, 16
-SMALL, BLOCK = 16, 1024
+#: Texts of a small bucket; texts and shingles in a share of a crowd.
+SMALL, BLOCK, BLOCK_GRAMS = 16, 1024, 1 << 21
 #: Keys up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -195,18 +206,37 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return over_batches(both.select("a", "b", "grams_a", "grams_b"), kernel, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, label): each linked key's least key of its component, by least neighbours and pointer jumping."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["key"] == near["a"], "left").select("key", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = step.join(labels.select(F.col("key").alias("new"), F.col("label").alias("far")), "new", "left")
-        after = stored(jump.select("key", F.least("new", F.coalesce("far", "new")).alias("new"), "label"))
-        if after.where("new <> label").isEmpty():
-            return after.select("key", "label")
-        labels = after.select("key", F.col("new").alias("label"))
+def grams_of(sets: DataFrame) -> DataFrame:
+    """(gram, key, n): a row for each shingle of each set, and how many its set has."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("grams")]
+        sizes = np.array([len(x) for x in own], np.int64)
+        keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(own)), sizes)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), keys, pa.array(np.repeat(sizes, sizes))], ["gram", "key", "n"])
+
+    return over_batches(sets.select("key", "grams"), kernel, "gram long, key binary, n long")
+
+
+def rarest(sets: DataFrame) -> DataFrame:
+    """(gram, key, n, held): the shingles of each set's prefix that other sets' prefixes have too, and how many do."""
+    every = stored(grams_of(sets))
+    n_rows = every.count()
+    held = stored(every.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"))
+    limit = hot_keys(every, "gram", n_rows)
+    known = looked_up(every, held, "gram", limit)
+    own = Window.partitionBy("key")
+    place = F.row_number().over(own.orderBy("held", "gram")) + F.col("n") - F.count("*").over(own)  # shingles of this set alone come first
+    prefix = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
+    first = stored(known.withColumn("place", place).where(F.col("place") <= prefix).select("gram", "key", "n"))
+    shared = stored(first.groupBy("gram").agg(F.count("*").alias("held"), F.min("key").alias("least")).where("held > 1"))
+    return stored(looked_up(first, shared, "gram", hot_keys(first, "gram", first.count())))
+
+
+def paired(groups: DataFrame, by: str) -> DataFrame:
+    """(a, b), a < b: all pairs of keys in each of the small groups (``by``, key)."""
+    small = groups.groupBy(by).agg(F.sort_array(F.collect_list("key")).alias("k"))  # at most SMALL keys each
+    return small.select(F.explode(F.expr("flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*").distinct()
 
 
 def block_links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,15 +244,12 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
     sig = np.stack([np.frombuffer(x, np.uint32) for x in rows["sig"]])
     grams = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
     keys, side, within = rows["key"].to_numpy(), rows["side"].to_numpy(), rows["of"].iat[0] == rows["by"].iat[0]
-    names = {x: i for i, x in enumerate({x for own in rows["earlier"] for x in own})}
-    earlier = np.zeros((len(rows), len(names)), bool)
-    for i, own in enumerate(rows["earlier"]):
-        earlier[i, [names[x] for x in own]] = True
     counts, label, joins = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
     held = np.flatnonzero(side == 1)
+    rare = prefixes(grams)
     for f in np.flatnonzero(side == 0):
         at = np.arange(f + 1, len(rows)) if within else held
-        at = at[~(earlier[at] & earlier[f]).any(1)]  # the others meet around an earlier leader
+        at = at[rare[f, at]]
         at = at[survivors(np.broadcast_to(sig[f], (len(at), VALUES)), sig[at])]
         if not len(at):
             continue
@@ -241,19 +268,40 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([*joins, *((k, None, n) for k, n in zip(keys[some], counts[some], strict=True))], columns=["a", "b", "n"])
 
 
-def around_leaders(large: DataFrame, leaders: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """What ``block_links`` finds among the texts around each leader, in blocks of two shares of them."""
-    spark = large.sparkSession
-    sizes = large.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    placed = large.join(sizes, "leader").withColumn("share", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+def prefixes(grams: list[np.ndarray]) -> np.ndarray:
+    """For each two sets of a block, whether their prefixes meet; the order is by how many sets of the block have a shingle."""
+    values, of, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    out, places = np.zeros((len(grams), len(grams)), bool), {}
+    at = 0
+    for i, own in enumerate(grams):
+        ids = of[at : at + len(own)]
+        at += len(own)
+        n = len(own) - ceil(len(own) * THRESHOLD - 1e-9) + 1
+        for x in ids[np.lexsort((ids, held[ids]))[:n]].tolist():
+            if held[x] > 1:
+                places.setdefault(x, []).append(i)
+    for own in places.values():
+        if len(own) > 1:
+            out[np.ix_(own, own)] = True
+    return out
+
+
+def in_crowds(crowds: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """What ``block_links`` finds among the texts of each crowd (crowd, key, n), in blocks of two shares of them."""
+    shares = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    sizes = stored(crowds.groupBy("crowd").agg(shares.alias("shares")))
+    placed = looked_up(crowds, sizes, "crowd", hot_keys(crowds, "crowd", crowds.count())).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
     # a share is in one block with itself and each other share
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = placed.select("leader", "key", "share", other.alias("other"))
-    blocks = dealt.select("leader", "key", F.least("share", "other").alias("of"), F.greatest("share", "other").alias("by"), (F.col("share") > F.col("other")).cast("int").alias("side"))
-    known = nodes.select("key", "sig").join(sets, "key").join(leaders, "key")
-    full = blocks.join(known, "key").withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader"))).drop("leaders")
-    small_batches(spark)
-    return stored(full.groupBy("leader", "of", "by").applyInPandas(block_links, "a binary, b binary, n long"))
+    other = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    dealt = placed.select("crowd", "key", "share", other.alias("other"))
+    blocks = dealt.select("crowd", "key", F.least("share", "other").alias("of"), F.greatest("share", "other").alias("by"), (F.col("share") > F.col("other")).cast("int").alias("side"))
+    full = blocks.join(nodes.select("key", "sig").join(sets, "key"), "key")
+    small_batches(crowds.sparkSession)
+    return stored(full.groupBy("crowd", "of", "by").applyInPandas(block_links, "a binary, b binary, n long"))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,43 +310,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(every.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.any_value("sig").alias("sig")))
     nodes = texts.where("sig IS NOT NULL")
     bands = banded(nodes)
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(bands.join(sizes, "band"))
-    small = shared.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("k"))  # at most SMALL keys each
-    listed = small.select(F.explode(F.expr("flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*")
-    large = shared.where(F.col("n") > SMALL)
-    crowd = large.groupBy("key").agg(F.sum("n").alias("crowd"))
-    leaders = large.join(crowd, "key").groupBy("band").agg(F.max_by("key", F.struct("crowd", "key")).alias("leader"))
-    large = stored(large.join(leaders, "band").select("leader", "key").distinct())
-    leaders = stored(large.groupBy("key").agg(F.collect_set("leader").alias("leaders")))  # at most one for each band
-    listed = listed.distinct().join(leaders.toDF("a", "of_a"), "a", "left").join(leaders.toDF("b", "of_b"), "b", "left")
-    listed = listed.where(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False))).select("a", "b")  # the others meet in blocks
+    sizes = stored(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    large = stored(sizes.where(F.col("n") > SMALL))
+    hot = large.where(F.col("n") > max(256, BANDS * texts.count() // 1000))  # a thousand rows at most
+    shared = stored(looked_up(bands, sizes, "band", hot))
+    crowded = stored(shared.where(F.col("n") > SMALL).select("key").distinct())
+    met = paired(shared.where(F.col("n") <= SMALL), "band")
+    flag = crowded.withColumn("crowded", F.lit(True))
+    listed = met.join(flag.toDF("a", "of_a"), "a", "left").join(flag.toDF("b", "of_b"), "b", "left").where("NOT coalesce(of_a AND of_b, false)").select("a", "b")
     pairs = stored(pruned(listed, nodes))
-    sets = stored(shingle_sets(docs, nodes, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(large.select("key"))))
+    sets = stored(shingle_sets(docs, nodes, ends(pairs).unionByName(crowded)))
+
+    rare = rarest(sets.join(crowded, "key", "left_semi"))
+    hubs = rare.where(F.col("held") > SMALL)
+    together = components(NetworkFrame(hubs.select(F.col("key").alias("id")).distinct(), hubs.where("key <> least").select(F.col("key").alias("src"), F.col("least").alias("dst")).distinct()))
+    crowd_of = stored(together.toDF("key", "crowd"))
+    crowds = stored(hubs.groupBy("key").agg(F.first("n").alias("n")).join(crowd_of, "key"))
+    apart = paired(rare.where(F.col("held") <= SMALL), "gram")
+    apart = apart.join(crowd_of.toDF("a", "of_a"), "a", "left").join(crowd_of.toDF("b", "of_b"), "b", "left").where("NOT coalesce(of_a = of_b, false)").select("a", "b")
+    pairs = pairs.unionByName(stored(pruned(apart, nodes)))
+
     links = stored(verified(pairs, sets))
-    found = around_leaders(large, leaders, nodes, sets)
-    ends = links.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("n")).unionByName(found.where("b IS NULL").select(F.col("a").alias("key"), "n"))
+    found = in_crowds(crowds, nodes, sets)
+    counts = links.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("n")).unionByName(found.where("b IS NULL").select(F.col("a").alias("key"), "n"))
     links = stored(links.unionByName(found.where("b IS NOT NULL").select("a", "b")))
-    labels = components(links)
-    degree = ends.groupBy("key").agg(F.sum("n").alias("n_links"))
+    labels = components(NetworkFrame(ends(links).distinct().withColumnRenamed("key", "id"), links.toDF("src", "dst"))).toDF("key", "label")
+    degree = counts.groupBy("key").agg(F.sum("n").alias("n_links"))
     classed = texts.select("key", "first_id", "n_copies").join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
     classed = stored(classed.select("key", "label", "first_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    least = classed.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    of_key = classed.join(least, "label").select("key", "label", "class_id", "n_links", "n_copies")
-    return every.select("doc_id", "key").join(of_key, "key")
+    least = stored(classed.groupBy("label").agg(F.min("first_id").alias("class_id")))
+    n_texts, n_rows = classed.count(), every.count()
+    of_key = stored(looked_up(classed, least, "label", hot_keys(classed, "label", n_texts)).select("key", "label", "class_id", "n_links", "n_copies"))
+    copied = of_key.where(F.col("n_copies") > max(256, n_rows // 1000))  # a thousand rows at most
+    return looked_up(every.select("doc_id", "key"), of_key, "key", copied)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of every class one with the least doc_id (of several texts with it, the one of least digest); of repeated rows, one."""
     found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("key").alias("__stays"), F.min("doc_id").alias("__id"))
+    own_key, id_of, stays_key = (n + "_" * max(map(len, docs.columns)) for n in ("k", "i", "s"))  # longer than any other name
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("key").alias(stays_key), F.min("doc_id").alias(id_of))
     stays = stored(first.drop("label"))
     small = stays.count() <= BROADCAST_KEYS
-    own = docs.withColumn("__key", key())
-    kept = own.join(F.broadcast(stays) if small else stays, own["doc_id"].eqNullSafe(F.col("__id")) & (own["__key"] == F.col("__stays"))).drop("__id", "__stays")
+    own = docs.withColumn(own_key, key())
+    kept = own.join(F.broadcast(stays) if small else stays, own["doc_id"].eqNullSafe(F.col(id_of)) & (own[own_key] == F.col(stays_key))).drop(id_of, stays_key)
     # equal rows may be repeated: as each class keeps one text and id, only those are dropped
     once = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return kept.drop("__key") if once else kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return kept.drop(own_key) if once else kept.dropDuplicates(["doc_id", own_key]).drop(own_key)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,6 +343,27 @@ def test_jaccard_large_groups_have_every_link(spark, monkeypatch, block):
     assert got == brute_classes(rows) and max(n for _, n, _ in got.values()) > jaccard.SMALL
 
 
+def test_jaccard_of_templates(spark):
+    """Texts that share most of a template are all in one bucket but no near duplicates; a few have a partner."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    template = [word() for _ in range(150)]
+    rows = [(i, " ".join([*template, *(word() for _ in range(45))])) for i in range(220)]
+    rows += [(1000 + i, rows[i][1] + " " + word()) for i in range(30)] + [(2000 + i, rows[7][1] + " " + word()) for i in range(25)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.near_duplicates(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute_classes(rows) and len({c for c, _, _ in got.values()}) == 220
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=12))
+def test_prefixes_lose_no_pair(sets):
+    grams = [np.array(sorted(s), np.uint64) for s in sets]
+    meets = jaccard.prefixes(grams)
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams):
+            assert i == j or meets[i, j] or jaccard.jaccard(a, b) < jaccard.THRESHOLD
+
+
 def test_one_of_each(spark):
     rows = [*((i, t, "en") for i, t in corpus(4, 10, 3, 1)), (500, "a b c d e f", "en"), (500, "a b c d e f", "en"), (None, "only one", "en"), (501, None, "en")]
     kept = jaccard.one_of_each(documents(spark, rows))
