@@ -1,12 +1,15 @@
 """Byte-level BPE through the tokenizers library, over Arrow batches.
 
-A text is cut before every single space that a non-blank follows. No match of
-the pre-tokenising pattern spans such a cut, so the pieces can be encoded apart
-and the ids of frequent pieces kept in a bounded cache. Ids travel as
-little-endian unsigned 32-bit bytes.
+A Latin text is cut into the pre-tokenising pattern's matches, which are encoded
+apart; ids of frequent ones are kept in a bounded cache. Any other text is cut
+before every single space that a non-blank follows, which no match spans, and
+its Latin pieces likewise. Ids travel as little-endian unsigned bytes, four each,
+or two where that is asked for.
 
 Null and empty texts give no ids. Very long texts and pieces are encoded whole.
-Repeated rows give repeated results; further columns are ignored by the queries.
+Repeated rows give repeated results. An empty table gives no rows. ``encode``
+and ``decode`` append to all columns; a column that has one of the new names is
+replaced. The query leaves further columns out.
 """
 
 from __future__ import annotations
@@ -14,29 +17,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .common import over_batches, table, texts
 
 #: Cached pieces per worker and generation (there are two), and the longest that is kept.
-CACHE_PIECES, CACHE_CHARS = 220_000, 48
+CACHE_PIECES, CACHE_CHARS = 250_000, 48
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
-_latin = re.compile(r"[\x21-\x7e\n\xa1-\xac\xae-\u024f]+").fullmatch
-#: The pre-tokenising pattern, for Latin pieces only: there all Unicode versions agree.
-_tokens = regex.compile(public_tokenizers.PATTERN).findall
-#: Every 16-bit id as four bytes; a vocabulary may have more ids.
-_four = [i.to_bytes(4, "little") for i in range(1 << 16)]
+#: Up to U+024F all Unicode versions agree on what letters and numbers are.
+_latin = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]+").fullmatch
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+#: The pre-tokenising pattern with these spelled out.
+_tokens = re.compile(public_tokenizers.PATTERN.replace(r"?\p{L}+", f"?[{LETTERS}]+").replace(r"?\p{N}+", f"?[{NUMBERS}]+").replace(r"\p{L}\p{N}", LETTERS + NUMBERS)).findall
 _cut = re.compile(r" (?=\S)").split
-#: A word of Latin letters, perhaps with one closing mark: its pre-tokens are known without the pattern.
-_word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)").fullmatch
+_word = re.compile(f" ?[{LETTERS}]+").fullmatch
 
 
 def byte_table() -> dict[int, str]:
@@ -72,74 +74,60 @@ def tokenizer_from_ranks(path: str, pattern: str = public_tokenizers.PATTERN) ->
 
 
 class Encoder(dict):
-    """Ids of texts as bytes; the dictionary holds pieces that follow a space."""
+    """Ids of texts as bytes; the dictionary holds parts that are encoded apart."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, width: int = 4) -> None:
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.kind = f"<u{width}"
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.to_char = {chr(b): c for b, c in byte_table().items()}
-        self.to_char = str.maketrans(self.to_char)
-        self.marks = {m: self.whole(m) for m in ".,;:!?"} | {"": b""}
+        self.to_char = str.maketrans({chr(b): c for b, c in byte_table().items()})
         from_char = {c: b for b, c in byte_table().items()}
         size = self.tokenizer.get_vocab_size()
+        self.id_bytes = [i.to_bytes(width, "little") for i in range(size)]
         names = map(self.tokenizer.id_to_token, range(size))
         self.token_bytes = [bytes(from_char.get(c, 63) for c in name or "") for name in names]
         self.token_length = np.array([len(b) for b in self.token_bytes], np.int64)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fresh(self, piece: str) -> bytes:
-        """The ids of a piece that follows a space."""
-        if (m := _word(piece)) is None:
-            if not _latin(piece):
-                return self.whole(" " + piece)
-            first, *rest = _tokens(" " + piece)
-            if not rest:
-                return self.whole(first)
-            return self[first[1:]] + b"".join([self.bare(t) for t in rest])
-        if m[2]:
-            return self[m[1]] + self.marks[m[2]]
-        shown = "Ġ" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.to_char))
-        return b"".join([_four[i] if (i := t.id) < 65536 else i.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-
-    def bare(self, token: str) -> bytes:
-        """The ids of one pre-token, by itself; those without a space before are kept apart."""
-        if token[0] == " " and len(token) > 1:
-            return self[token[1:]]
-        if (ids := self.marks.get(token)) is None:
-            ids = self.whole(token)
-            if len(self.marks) < CACHE_PIECES // 4 and len(token) <= CACHE_CHARS:
-                self.marks[token] = ids
-        return ids
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of letters, perhaps after a space, straight from the merges."""
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.to_char))])
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(piece) > CACHE_CHARS:
-            return self.whole(" " + piece)
-        if (ids := self.older.get(piece)) is None:
-            ids = self.fresh(piece)
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > CACHE_CHARS:
+            return self.whole(part)
+        if (ids := self.older.get(part)) is None:
+            ids = self.word(part) if _word(part) else self.whole(part)
         if len(self) >= CACHE_PIECES:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
+        self[part] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        if _latin(text):
+            return b"".join(map(self.__getitem__, _tokens(text)))
         first, *rest = _cut(text)
-        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        out = []
+        for part in [first, *(" " + piece for piece in rest)]:
+            if _latin(part):
+                out += map(self.__getitem__, _tokens(part))
+            elif part:
+                out.append(self[part])
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the ids, joined before anything is read as characters: a character may be split over tokens."""
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, self.kind).tolist()))
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each id; tokens that split a character all name that character."""
-        ends = np.cumsum(self.token_length[np.frombuffer(ids, "<u4")])
+        ends = np.cumsum(self.token_length[np.frombuffer(ids, self.kind)])
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
         starts = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
@@ -147,50 +135,60 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(spec: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(spec)
+def encoder(spec: str, width: int = 4) -> Encoder:
+    """One encoder per worker process, vocabulary and width of ids."""
+    return Encoder(spec, width)
+
+
+def encoded(enc: Encoder, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's ids, and each one's first and end character."""
+    ids = enc.encode(text)
+    return ids, *enc.offsets(text, ids)
+
+
+def appended(rows: DataFrame, kinds: dict[str, str], kernel: Callable[[pa.RecordBatch], list[pa.Array]], without: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` less ``without``, with the columns ``kinds`` that ``kernel`` makes of each batch, in place of any of their names."""
+    kept = [c for c in rows.columns if c not in kinds and c not in without]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes if n in kept), *(f"{n} {t}" for n, t in kinds.items())])
+    return over_batches(rows, lambda batch: pa.RecordBatch.from_arrays([*map(batch.column, kept), *kernel(batch)], [*kept, *kinds]), schema)
 
 
 def encode(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int), ``starts`` and ``ends`` (characters) appended; null text: empty arrays."""
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "ids array<int>", "starts array<int>", "ends array<int>"])
+    """``docs`` with ``ids`` (array of int), ``starts`` and ``ends`` (characters); null text: empty arrays."""
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc, own = encoder(spec), texts(batch, text)
-        ids = [enc.encode(x) for x in own]
-        spans = [enc.offsets(x, i) for x, i in zip(own, ids, strict=True)]
-        lists = [[np.frombuffer(i, "<u4").astype(np.int32) for i in ids], [s.astype(np.int32) for s, _ in spans], [e.astype(np.int32) for _, e in spans]]
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in lists)], [*batch.schema.names, "ids", "starts", "ends"])
+    def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
+        enc = encoder(spec)
+        found = [encoded(enc, x) for x in texts(batch, text)]
+        lists = [[np.frombuffer(i, "<u4").astype(np.int32) for i, _, _ in found], *([f[k].astype(np.int32) for f in found] for k in (1, 2))]
+        return [pa.array(x, pa.list_(pa.int32())) for x in lists]
 
-    return over_batches(docs, kernel, schema)
+    return appended(docs, dict.fromkeys(("ids", "starts", "ends"), "array<int>"), kernel)
 
 
 def decode(rows: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded`` (string) appended; bytes that are no character become U+FFFD."""
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "decoded string"])
+    """``rows`` with ``decoded`` (string); bytes that are no character become U+FFFD. Null ids: empty."""
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
         enc = encoder(spec)
         out = [enc.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+        return [pa.array(out, pa.string())]
 
-    return over_batches(rows, kernel, schema)
+    return appended(rows, {"decoded": "string"}, kernel)
 
 
 def digests(docs: DataFrame, spec: str) -> DataFrame:
-    """Per row: number of ids, digest of the ids, digest of the bytes they decode to."""
+    """Per row: number of ids, digests of the ids, of the bytes they decode to, and of their offsets (each one's start and end as four bytes)."""
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "offsets_sha256": "string"}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc, n, of_ids, of_text = encoder(spec), [], [], []
+    def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
+        enc, rows = encoder(spec), []
         for x in batch.column("text"):
-            ids = enc.encode(x.as_py() or "")
-            n.append(len(ids) // 4)
-            of_ids.append(hashlib.sha256(ids).hexdigest())
-            of_text.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, starts, ends = encoded(enc, x.as_py() or "")
+            rows.append((len(ids) // 4, sha(ids), sha(enc.decode(ids)), sha(np.stack([starts, ends], 1).astype("<u4").tobytes())))
+        return [pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
 
-    return over_batches(docs.select("doc_id", "text"), kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return appended(docs.select("doc_id", "text"), kinds, kernel, without=("text",))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ from .bpe import encoder
 from .common import small_batches, stored, table
 
 VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
-#: Up to this many (length, partition) rows are broadcast, of 24 bytes each; more are joined by a shuffle.
-BROADCAST_SHARES = 1_000_000
+#: Up to this many (length, partition) rows are broadcast, of some 150 bytes each in memory; more are joined by a shuffle.
+BROADCAST_SHARES = 300_000
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -93,18 +93,16 @@ def pieces(docs: DataFrame, spec: str, end_id: int, capacity: int) -> DataFrame:
     Ids are two bytes each, low byte first, if all of the vocabulary's fit; else four.
     """
     small_batches(docs.sparkSession)
-    tail, narrow = np.array([end_id], "<u4").tobytes(), narrow_ids(spec, end_id)
-    size = 2 if narrow else 4
+    size = 2 if narrow_ids(spec, end_id) else 4
+    tail = end_id.to_bytes(size, "little")
     names = ["doc_id", "piece", "start", "length", "ids", "part", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen, part = encoder(spec), [0] * (capacity + 1), TaskContext.get().partitionId()
+        enc, seen, part = encoder(spec, size), [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = enc.encode(text.as_py() or "") + tail
-                if narrow:
-                    ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
                 for k, (start, length) in enumerate(cut(len(ids) // size, capacity)):
                     row = doc, k, start, length, ids[size * start : size * (start + length)], part, seen[length]
                     seen[length] += 1
