@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.iterate import shared_folder, stored  # noqa: F401  the text operators' tables lie where the library's do
+
 #: Rows and bytes of one Arrow batch; with long texts a worker holds one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -25,20 +26,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below the cluster's shared checkpoint folder; a temporary one where none is set."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshwright-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new folder path below the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -10,8 +10,11 @@ Base kinds: email, ip, card, phone. Added kinds: url (an anchor scheme with a
 host), iban (mod-97 confirmed), ssn and account (a cue word, then the number),
 street (a house number, capitalised words and a street word).
 
-Null and empty texts hold nothing. Ties in start are ordered by kind as listed.
-Repeated rows give repeated results. Offsets are code points, end exclusive.
+Null and empty texts hold nothing; very long ones are read whole. Ties in start
+are ordered by kind as listed. Repeated rows give repeated results. Offsets are
+code points, end exclusive. An empty table gives no rows. ``scan`` leaves further
+columns out, whatever their names; ``redact`` keeps all columns as they are but
+for the text and its length.
 """
 
 from __future__ import annotations
@@ -167,10 +170,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: counts of the base kinds, digest of the base spans, all spans."""
+    """Per row of ``docs``: counts of the base kinds, digest of the base spans, all spans and their number."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digest, every = [[] for _ in BASE], [], []
+        counts, digest, every, total = [[] for _ in BASE], [], [], []
         for value in batch.column(text):
             spans = find(value.as_py() or "")
             base = [s for s in spans if s[0] in BASE]
@@ -178,11 +181,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 column.append(sum(s[0] == kind for s in base))
             digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
             every.append(joined(spans))
-        columns = [batch.column(key), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(every)]
-        return pa.RecordBatch.from_arrays(columns, [key, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            total.append(len(spans))
+        columns = [batch.column(key), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array(every), pa.array(total, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [key, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
     kind = dict(docs.dtypes)[key]
-    return over_batches(docs.select(key, text), kernel, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
+    return over_batches(docs.select(key, text), kernel, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:

@@ -183,6 +183,13 @@ def test_chat_order_and_validity(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_turns_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (3, 0, "user", "x" * 200_000), (3, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    rows = chat.formatted(df.withColumns({"alone": F.lit(1), "t": F.lit(2), "segments": F.lit("s")})).collect()
+    assert sorted(len(r["segments"]) for r in rows) == [3, 3, 3, 6] and sum(r["conv_id"] is None for r in rows) == 3
+    assert max(len(r["formatted"]) for r in rows) > 200_000 and [r["valid"] for r in rows if r["conv_id"] == 3] == [True]
+
+
 def test_bad_templates():
     with pytest.raises(ValueError):
         chat.Template(before_role="<|x|>")
@@ -422,6 +429,12 @@ def test_offsets_and_decoding(spark):
     assert rows[1]["decoded"] == "naïve 😀 day" and rows[2]["ids"] == rows[3]["ids"] == []
     assert rows[1]["starts"][0] == 0 and rows[1]["ends"][-1] == len("naïve 😀 day")
     assert all(a < b for a, b in zip(rows[1]["starts"], rows[1]["ends"], strict=True))
+    again = {r["doc_id"]: r for r in bpe.decode(bpe.encode(out, spec), spec).collect()}
+    assert again[1]["ids"] == rows[1]["ids"] and again[1]["decoded"] == rows[1]["decoded"]
+    for r in bpe.digests(df, spec).collect():
+        own = rows[r["doc_id"]]
+        assert r["n_tokens"] == len(own["ids"]) and r["ids_sha256"] == hashlib.sha256(np.array(own["ids"], "<u4").tobytes()).hexdigest()
+        assert r["offsets_sha256"] == hashlib.sha256(np.array([own["starts"], own["ends"]], "<u4").T.tobytes()).hexdigest()
     assert len(bpe.digests(documents(spark), spec).collect()) == len(AWKWARD) and bpe.digests(empty(spark), spec).count() == 0
 
 
