@@ -72,6 +72,16 @@ def giant(g: NetworkFrame) -> NetworkFrame:
     return NetworkFrame(g.vertices.join(ids, "id", "left_semi"), edges)
 
 
+def giant_of_each(g: NetworkFrame, by: str) -> NetworkFrame:
+    """The largest component (of equals the one with the least id) of each of the graphs that the vertices' column ``by`` tells apart; ids are unique over all."""
+    own = stored(g.vertices.select(by, "id").join(components(NetworkFrame(g.vertices.select("id"), g.edges)), "id"))
+    sizes = own.groupBy(by, "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy(by).agg(F.max("n").alias("n"))
+    chosen = sizes.join(most, [by, "n"]).groupBy(by).agg(F.min("component").alias("component"))
+    ids = stored(own.join(chosen, [by, "component"]).select("id"))
+    return NetworkFrame(g.vertices.join(ids, "id", "left_semi"), g.edges.join(ids.toDF("src"), "src", "left_semi"))
+
+
 def renumbered(g: NetworkFrame) -> NetworkFrame:
     """Ids from 0 in the order of the old ones: ranges of ids are numbered apart, then offset."""
     ids = g.vertices.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id")

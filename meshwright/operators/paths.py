@@ -1,9 +1,11 @@
 """Shortest paths and what is counted along them.
 
 The graph goes to every worker as arrays if its edges are at most ``MOST_EDGES``
-(counted first); sources are then spread over tasks, and partial sums meet in
-one aggregate. A larger graph's distances come from a frontier join that keeps
-everything distributed.
+(counted first); sources are then spread over tasks, whole levels of vertices are
+expanded at once, and what a measure needs of a source is reduced before it
+leaves the task. Partial sums meet in one aggregate. A larger graph's distances,
+and with them diameter and closeness, come from a frontier join that keeps
+everything distributed; counting paths refuses it.
 """
 
 from __future__ import annotations
@@ -47,7 +49,12 @@ def csr(g: NetworkFrame, weight: str | None = None) -> Csr:
     """The graph as arrays; the caller has checked that it fits."""
     edges = g.edges if weight else simple(g.edges)
     frame = edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).orderBy("src", "dst").toPandas()
-    ids = np.sort(g.vertices.select("id").distinct().toPandas()["id"].to_numpy())
+    return arrays(g.vertices.select("id").distinct().toPandas()["id"].to_numpy(), frame)
+
+
+def arrays(ids: np.ndarray, frame: pd.DataFrame) -> Csr:
+    """Neighbours of each id from edges (src, dst, w)."""
+    ids = np.sort(ids)
     s, d = np.searchsorted(ids, frame["src"].to_numpy()), np.searchsorted(ids, frame["dst"].to_numpy())
     a, b, w, k = np.concatenate([s, d]), np.concatenate([d, s]), np.tile(frame["w"].to_numpy(), 2), np.tile(np.arange(len(s)), 2)
     order = np.lexsort((b, a))
@@ -55,24 +62,30 @@ def csr(g: NetworkFrame, weight: str | None = None) -> Csr:
     return Csr(ids, start, b[order], k[order], w[order], np.stack([s, d], 1))
 
 
-def reached(c: Csr, s: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Distances, numbers of shortest paths, and vertices by distance from ``s``."""
+def around(c: Csr, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all edges out of a level's vertices: the place of the vertex in the level, and the edge's place."""
+    n = c.start[level + 1] - c.start[level]
+    of = np.repeat(np.arange(len(level)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + c.start[level][of]
+
+
+def levels(c: Csr, s: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers of steps from ``s`` (infinite out of reach), and the vertices by that number."""
+    dist, out = np.full(len(c.ids), np.inf), [np.array([s])]
+    dist[s] = 0.0
+    while True:
+        near = c.to[around(c, out[-1])[1]]
+        new = np.unique(near[np.isinf(dist[near])])
+        if not len(new):
+            return dist, out
+        dist[new] = len(out)
+        out.append(new)
+
+
+def nearest_first(c: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """By weight: distances, numbers of shortest paths, and vertices by distance from ``s``."""
     dist, ways, order = np.full(len(c.ids), np.inf), np.zeros(len(c.ids)), []
     dist[s], ways[s] = 0.0, 1.0
-    if not weighted:
-        level = np.array([s])
-        while len(level):
-            order += level.tolist()
-            after = []
-            for v in level.tolist():
-                for u in c.to[c.around(v)].tolist():
-                    if np.isinf(dist[u]):
-                        dist[u] = dist[v] + 1
-                        after.append(u)
-                    if dist[u] == dist[v] + 1:
-                        ways[u] += ways[v]
-            level = np.array(after, np.int64)
-        return dist, ways, order
     heap, done = [(0.0, s)], np.zeros(len(c.ids), bool)
     while heap:
         d, v = heapq.heappop(heap)
@@ -90,38 +103,56 @@ def reached(c: Csr, s: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, lis
     return dist, ways, order
 
 
+def lengths(c: Csr, s: int, weighted: bool) -> np.ndarray:
+    """Distances from ``s``."""
+    return nearest_first(c, s)[0] if weighted else levels(c, s)[0]
+
+
 def shares(c: Csr, s: int, targets: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of all shortest paths from ``s`` to each target, the shares that pass each vertex (ends left out) and each edge."""
-    dist, ways, order = reached(c, s, weighted)
     passing, on_edge = np.zeros(len(c.ids)), np.zeros(len(c.ends))
-    for v in reversed(order):
-        if v == s:
-            continue
-        load = passing[v] + (targets[v] and 1.0)
-        if not load:
-            continue
-        around = c.around(v)
-        for u, w, k in zip(c.to[around].tolist(), c.weight[around].tolist(), c.edge[around].tolist(), strict=True):
-            if abs(dist[u] + (w if weighted else 1) - dist[v]) <= 1e-9 * max(1.0, dist[v]) and ways[u]:
-                part = load * ways[u] / ways[v]
-                on_edge[k] += part
-                passing[u] += part
+    if not weighted:
+        dist, by_level = levels(c, s)
+        ways = np.zeros(len(c.ids))
+        ways[s] = 1.0
+        for n, level in enumerate(by_level[:-1]):
+            of, edge = around(c, level)
+            on = dist[c.to[edge]] == n + 1
+            ways += np.bincount(c.to[edge[on]], ways[level[of[on]]], len(ways))
+        for n in range(len(by_level) - 1, 0, -1):
+            level = by_level[n]
+            of, edge = around(c, level)
+            back = dist[c.to[edge]] == n - 1
+            v, edge = level[of[back]], edge[back]
+            part = (passing[v] + targets[v]) * ways[c.to[edge]] / ways[v]
+            passing += np.bincount(c.to[edge], part, len(passing))
+            on_edge += np.bincount(c.edge[edge], part, len(on_edge))
+    else:
+        dist, ways, order = nearest_first(c, s)
+        for v in reversed(order):
+            load = passing[v] + (targets[v] and 1.0)
+            if v == s or not load:
+                continue
+            near = c.around(v)
+            for u, w, k in zip(c.to[near].tolist(), c.weight[near].tolist(), c.edge[near].tolist(), strict=True):
+                if abs(dist[u] + w - dist[v]) <= 1e-9 * max(1.0, dist[v]) and ways[u]:
+                    part = load * ways[u] / ways[v]
+                    on_edge[k] += part
+                    passing[u] += part
     passing[s] = 0.0
     return passing, on_edge
 
 
-def from_sources(g: NetworkFrame, sources: DataFrame, kernel: Callable[[Csr, np.ndarray], pd.DataFrame], schema: str, weight: str | None) -> DataFrame:
-    """``kernel`` on each task's share of the sources, with the graph at hand."""
+def from_sources(g: NetworkFrame, sources: DataFrame, kernel: Callable[[Csr, np.ndarray], Iterator[pd.DataFrame]], schema: str, weight: str | None) -> DataFrame:
+    """What ``kernel`` yields for each batch of sources, with the graph at hand; the caller has checked that it fits."""
     spark = g.edges.sparkSession
-    if not fits(g.edges):
-        raise InvalidArgumentsError(f"path counting holds at most {MOST_EDGES} edges in a task")
     held = spark.sparkContext.broadcast(csr(g, weight))  # its size was checked
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value
         for frame in frames:
             at = np.searchsorted(c.ids, frame["id"].to_numpy())
-            yield kernel(c, at)
+            yield from kernel(c, at)
 
     spread = sources.select("id").distinct().repartition(spark.sparkContext.defaultParallelism * 2, "id")
     return spread.mapInPandas(run, schema)
@@ -137,17 +168,32 @@ def distances(g: NetworkFrame, sources: DataFrame | None = None, weight: str | N
     if not fits(g.edges):
         return frontier(g, sources, weight)
 
-    def kernel(c: Csr, at: np.ndarray) -> pd.DataFrame:
-        rows = []
+    def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
         for s in at.tolist():
-            d = reached(c, s, weight is not None)[0]
+            d = lengths(c, s, weight is not None)
             hit = np.flatnonzero(np.isfinite(d) & (np.arange(len(d)) != s))
-            rows.append(pd.DataFrame({"src": np.repeat(c.ids[s], len(hit)), "dst": c.ids[hit], "distance": d[hit]}))
-        return pd.concat(rows) if rows else pd.DataFrame({"src": [], "dst": [], "distance": []})
+            yield pd.DataFrame({"src": np.repeat(c.ids[s], len(hit)), "dst": c.ids[hit], "distance": d[hit]})
 
     return from_sources(g, sources, kernel, f"src {_kind(g)}, dst {_kind(g)}, distance double", weight)
 
 
+def reach(g: NetworkFrame, weight: str | None = None) -> DataFrame:
+    """(id, n, total, longest) for every vertex that is not isolated: others in reach, the sum of their distances, and the largest."""
+    if not fits(g.edges):
+        return frontier(g, g.vertices.select("id"), weight).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("longest"))
+
+    def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        rows = []
+        for s in at.tolist():
+            d = lengths(c, s, weight is not None)
+            d = d[np.isfinite(d)]
+            if len(d) > 1:
+                rows.append((c.ids[s], len(d) - 1, d.sum(), d.max()))
+        yield pd.DataFrame(rows, columns=["id", "n", "total", "longest"])
+
+    return from_sources(g, g.vertices, kernel, f"id {_kind(g)}, n long, total double, longest double", weight)
+
+
 def frontier(g: NetworkFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
     """As ``distances``, by joins of the pairs whose distance changed with the edges, until none does."""
     step = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -165,29 +211,31 @@ def frontier(g: NetworkFrame, sources: DataFrame, weight: str | None = None) ->
 
 def diameter(g: NetworkFrame, weight: str | None = None) -> DataFrame:
     """One row: the longest finite distance."""
-    return distances(g, weight=weight).agg(F.max("distance").alias("diameter"))
+    return reach(g, weight).agg(F.max("longest").alias("diameter"))
 
 
 def closeness(g: NetworkFrame, weight: str | None = None) -> DataFrame:
     """(id, closeness): vertices in reach over the sum of their distances; null for isolated ones."""
-    got = distances(g, weight=weight).groupBy("src").agg((F.count("*") / F.sum("distance")).alias("closeness"))
-    return g.vertices.select("id").join(got.withColumnRenamed("src", "id"), "id", "left")
+    return g.vertices.select("id").join(reach(g, weight).select("id", (F.col("n") / F.col("total")).alias("closeness")), "id", "left")
 
 
 def _both_kinds(g: NetworkFrame, sources: DataFrame, targets: DataFrame | None, weight: str | None) -> DataFrame:
     """(kind, id, src, dst, value): sums over sources of what ``shares`` gives, nodes and edges."""
     spark = g.edges.sparkSession
+    if not fits(g.edges):
+        raise InvalidArgumentsError(f"path counting holds at most {MOST_EDGES} edges in a task")
     wanted = None if targets is None else spark.sparkContext.broadcast(set(r[0] for r in targets.select("id").distinct().collect()))  # vertices of a graph that fits
     kind = _kind(g)
 
-    def kernel(c: Csr, at: np.ndarray) -> pd.DataFrame:
+    def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
         is_target = np.ones(len(c.ids), bool) if wanted is None else np.array([i in wanted.value for i in c.ids.tolist()], bool)
         node, edge = np.zeros(len(c.ids)), np.zeros(len(c.ends))
         for s in at.tolist():
             p, e = shares(c, s, is_target, weight is not None)
             node, edge = node + p, edge + e
         a, b = c.ids[c.ends[:, 0]], c.ids[c.ends[:, 1]]
-        return pd.concat([pd.DataFrame({"kind": "node", "src": c.ids, "dst": c.ids, "value": node}), pd.DataFrame({"kind": "edge", "src": a, "dst": b, "value": edge})])
+        yield pd.DataFrame({"kind": "node", "src": c.ids, "dst": c.ids, "value": node})
+        yield pd.DataFrame({"kind": "edge", "src": a, "dst": b, "value": edge})
 
     return from_sources(g, sources, kernel, f"kind string, src {kind}, dst {kind}, value double", weight).groupBy("kind", "src", "dst").agg(F.sum("value").alias("value"))
 
@@ -207,29 +255,34 @@ def boundary_betweenness(g: NetworkFrame, sources: DataFrame, targets: DataFrame
 
 
 def gyration(g: NetworkFrame, length: str = "resistance", mass: str | None = "conductance") -> DataFrame:
-    """One row: over pairs i < j, along one shortest path by ``length``, sums of mass times products of the steps between the path's vertices and its start.
+    """One row: over pairs i < j, along one shortest path by ``length``, sums of mass times products of the steps between neighbours on the path.
 
     Vertices carry x and y. Columns: xx, yy, xy.
     """
-    pos = {r["id"]: (r["x"], r["y"]) for r in g.vertices.select("id", "x", "y").collect()} if fits(g.edges) else {}  # vertices of a graph that fits
-    where = g.edges.sparkSession.sparkContext.broadcast(pos)
-    masses = csr(g, mass).weight if mass else None
-    heavy = g.edges.sparkSession.sparkContext.broadcast(masses)
-
-    def kernel(c: Csr, at: np.ndarray) -> pd.DataFrame:
-        xy = np.array([where.value[i] for i in c.ids.tolist()], float).reshape(-1, 2)
-        out = np.zeros(3)
-        for s in at.tolist():
-            dist = reached(c, s, True)[0]
-            for t in range(s + 1, len(c.ids)):
-                v = t
-                while np.isfinite(dist[t]) and v != s:
-                    around = np.arange(c.start[v], c.start[v + 1])
-                    k = around[np.argmin(np.abs(dist[c.to[around]] + c.weight[around] - dist[v]) + 1e9 * (dist[c.to[around]] >= dist[v]))]
-                    u = c.to[k]
-                    dx, dy = xy[v] - xy[u]
-                    out += (heavy.value[k] if heavy.value is not None else 1.0) * np.array([dx * dx, dy * dy, dx * dy])
-                    v = u
-        return pd.DataFrame([out], columns=["xx", "yy", "xy"])
+    spark = g.edges.sparkSession
+    if not fits(g.edges):
+        raise InvalidArgumentsError(f"path counting holds at most {MOST_EDGES} edges in a task")
+    where = spark.sparkContext.broadcast({r["id"]: (r["x"], r["y"]) for r in g.vertices.select("id", "x", "y").collect()})  # vertices of a graph that fits
+    heavy = spark.sparkContext.broadcast(csr(g, mass).weight if mass else None)
+
+    def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([gyration_sums(c, np.array([where.value[i] for i in c.ids.tolist()], float).reshape(-1, 2), heavy.value, at)], columns=["xx", "yy", "xy"])
 
     return from_sources(g, g.vertices, kernel, "xx double, yy double, xy double", length).agg(*(F.sum(c).alias(c) for c in ("xx", "yy", "xy")))
+
+
+def gyration_sums(c: Csr, xy: np.ndarray, mass: np.ndarray | None, sources: np.ndarray) -> np.ndarray:
+    """The sums (xx, yy, xy) from these sources to all later vertices; ``mass`` is in the order of the neighbours."""
+    out = np.zeros(3)
+    for s in sources.tolist():
+        dist = nearest_first(c, s)[0]
+        for t in range(s + 1, len(c.ids)):
+            v = t
+            while np.isfinite(dist[t]) and v != s:
+                around = np.arange(c.start[v], c.start[v + 1])
+                k = around[np.argmin(np.abs(dist[c.to[around]] + c.weight[around] - dist[v]) + 1e9 * (dist[c.to[around]] >= dist[v]))]
+                u = c.to[k]
+                dx, dy = xy[v] - xy[u]
+                out += (mass[k] if mass is not None else 1.0) * np.array([dx * dx, dy * dy, dx * dy])
+                v = u
+    return out
