@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.iterate import stored
 from ..operators.points import cutoff_graph
 from ..schema import NetworkFrame
 
@@ -59,27 +60,37 @@ NEAR = f"""{POINTS}, near AS (SELECT a.pid AS src, b.pid AS dst, sqrt((a.x-b.x)*
   FROM pts a JOIN pts b ON a.pid < b.pid WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= {CUTOFF})"""
 
 
+#: The near graph as SQL's edges, ends and verts; isolated points are vertices.
+NEAR_GRAPH = f"""{NEAR}, edges AS (SELECT src, dst FROM near), ends AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), verts AS (SELECT pid AS id FROM pts)"""
+
+
 def supply_graph(spark: SparkSession, sf_dir: str) -> NetworkFrame:
-    """Parts and the suppliers they were returned to in full lots: a bipartite graph, suppliers numbered from 10,000,000."""
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 50")
+    """Parts and their suppliers, over all lines of orders: a bipartite graph, suppliers numbered from 10,000,000."""
+    li = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL")
     e = li.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst")).distinct()
     return NetworkFrame(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
 
 
-SUPPLY = """edges AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50),
+SUPPLY = """edges AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 10000000 AS dst FROM lineitem),
 ends AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), verts AS (SELECT DISTINCT src AS id FROM ends)"""
 
 
 def user_graph(spark: SparkSession, sf_dir: str) -> NetworkFrame:
-    """Users whose events follow one another within an hour, joined per hour so that no window spans the table."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.date_trunc("hour", "ts").alias("hour"))
-    from pyspark.sql import Window
-
-    after = F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id"))
-    e = ev.withColumn("n", after).where("n IS NOT NULL AND n <> user_id").select(F.least("user_id", "n").alias("src"), F.greatest("user_id", "n").alias("dst")).distinct()
+    """Users whose events follow one another in the order of all events.
+
+    Events are dealt into ranges of that order; a range's last event is followed
+    by the first one of the next range, so no task sees the whole order.
+    """
+    ev = table(spark, sf_dir, "events").select("ts", "event_id", "user_id")
+    own = stored(ev.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()))
+    first = own.groupBy("part").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("user_id"))
+    after = first.select("part", F.lead("user_id").over(Window.orderBy("part")).alias("then"))  # a row per range
+    inner = F.lead(F.struct("user_id")).over(Window.partitionBy("part").orderBy("ts", "event_id"))
+    seq = own.withColumn("next", inner).join(F.broadcast(after), "part").withColumn("n", F.when(F.col("next").isNull(), F.col("then")).otherwise(F.col("next.user_id")))
+    e = seq.where("n <> user_id").select(F.least("user_id", "n").alias("src"), F.greatest("user_id", "n").alias("dst")).distinct()
     return NetworkFrame(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
 
 
-USERS = """seq AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS b FROM events),
+USERS = """seq AS (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM events),
 edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM seq WHERE b IS NOT NULL AND a <> b),
 ends AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), verts AS (SELECT DISTINCT src AS id FROM ends)"""

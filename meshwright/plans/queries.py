@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import components as comp
 from ..operators import flows, imaging, learning, measures, morphology, nematic, paths, points, skeleton, weights
+from ..operators.iterate import shared_folder, stored
 from ..schema import NetworkFrame
+from ..sources import graphs
 from ..sources import images as files
 from . import inputs as inp
 
@@ -179,16 +182,21 @@ def _near_sql(kernel, border: str = "mirror") -> str:
   JOIN images q ON q.image_id = p.image_id AND q.r = {at('p.r + i')} AND q.c = {at('p.c + j')})"""
 
 
+# The kernels, as the SQL knows them.
+_GAUSS3 = ((0.0625, 0.125, 0.0625), (0.125, 0.25, 0.125), (0.0625, 0.125, 0.0625))
+_GAUSS5 = tuple(tuple(a * b / 256 for b in (1, 4, 6, 4, 1)) for a in (1, 4, 6, 4, 1))
+_LAPLACE5 = ((2, 4, 4, 4, 2), (4, 0, -8, 0, 4), (4, -8, -24, -8, 4), (4, 0, -8, 0, 4), (2, 4, 4, 4, 2))
+_DISK2 = ((0, 0, 1, 0, 0), (0, 1, 1, 1, 0), (1, 1, 1, 1, 1), (0, 1, 1, 1, 0), (0, 0, 1, 0, 0))
 _SAT = lambda x: f"CAST(greatest(0, least(255, round_even({x}, 0))) AS INTEGER)"
 
 
-@query(f"WITH {_near_sql(imaging.outer(imaging.gaussian(3)))} SELECT image_id, z, r, c, {_SAT('sum(k * u)')} AS v FROM near GROUP BY ALL")
+@query(f"WITH {_near_sql(_GAUSS3)} SELECT image_id, z, r, c, {_SAT('sum(k * u)')} AS v FROM near GROUP BY ALL")
 def gaussian_blur3(spark, d):
     return imaging.gaussian_blur(inp.images(spark, d), 3)
 
 
 def _gradient_sql(kernel) -> str:
-    turned = imaging.transposed(kernel)
+    turned = tuple(zip(*kernel, strict=True))
     both = [[(a, b) for a, b in zip(p, q, strict=True)] for p, q in zip(kernel, turned, strict=True)]
     cells = ", ".join(f"({i - 1}, {j - 1}, {a}, {b})" for i, row in enumerate(both) for j, (a, b) in enumerate(row))
     mirror = lambda x: f"least((({x}) % 14 + 14) % 14, 14 - (({x}) % 14 + 14) % 14)"
@@ -197,17 +205,17 @@ def _gradient_sql(kernel) -> str:
 SELECT image_id, z, r, c, {_SAT("CAST(0.75 AS DOUBLE) * v + CAST(0.25 AS DOUBLE) * " + _SAT("CAST(0.5 AS DOUBLE) * least(255, abs(gx)) + CAST(0.5 AS DOUBLE) * least(255, abs(gy))"))} AS v FROM g"""
 
 
-@query(_gradient_sql(imaging.SOBEL_X))
+@query(_gradient_sql(((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))))
 def sobel_blend(spark, d):
     return imaging.gradient_blend(inp.images(spark, d), imaging.SOBEL_X)
 
 
-@query(_gradient_sql(imaging.SCHARR_X))
+@query(_gradient_sql(((-3, 0, 3), (-10, 0, 10), (-3, 0, 3))))
 def scharr_blend(spark, d):
     return imaging.gradient_blend(inp.images(spark, d), imaging.SCHARR_X)
 
 
-@query(f"""WITH {_near_sql(imaging.laplacian_kernel())}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, sum(k * u) AS g FROM near GROUP BY image_id, z, r, c)
+@query(f"""WITH {_near_sql(_LAPLACE5)}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, sum(k * u) AS g FROM near GROUP BY image_id, z, r, c)
 SELECT image_id, z, r, c, {_SAT("CAST(0.75 AS DOUBLE) * v + CAST(0.25 AS DOUBLE) * least(255, abs(g))")} AS v FROM g""")
 def laplacian_blend(spark, d):
     return imaging.laplacian_blend(inp.images(spark, d))
@@ -218,13 +226,13 @@ def median5(spark, d):
     return imaging.median(inp.images(spark, d))
 
 
-@query(f"""WITH {_near_sql(imaging.disk(2), 'inside')}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, min(u) AS lo, max(u) AS hi FROM near GROUP BY image_id, z, r, c)
+@query(f"""WITH {_near_sql(_DISK2, 'inside')}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, min(u) AS lo, max(u) AS hi FROM near GROUP BY image_id, z, r, c)
 SELECT image_id, z, r, c, CAST(CASE WHEN hi > lo THEN floor(255 * (v - lo) / CAST(hi - lo AS DOUBLE)) ELSE 0 END AS INTEGER) AS v FROM g""")
 def autolevel(spark, d):
     return imaging.autolevel(inp.images(spark, d), 2)
 
 
-@query(f"""WITH {_near_sql(imaging.outer(imaging.gaussian(5)), 'repeat')}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, {_SAT('sum(k * u)')} AS m FROM near GROUP BY image_id, z, r, c)
+@query(f"""WITH {_near_sql(_GAUSS5, 'repeat')}, g AS (SELECT image_id, z, r, c, any_value(v) AS v, {_SAT('sum(k * u)')} AS m FROM near GROUP BY image_id, z, r, c)
 SELECT image_id, z, r, c, CASE WHEN v > m - 2 THEN 255 ELSE 0 END AS v FROM g""")
 def threshold_adaptive(spark, d):
     return imaging.threshold_adaptive(inp.images(spark, d), 5)
@@ -235,7 +243,26 @@ def lowpass_hamming(spark, d):
     return imaging.low_pass(inp.images(spark, d), 2)
 
 
-@query()
+def _step_sql(of: str, into: str, kernels: str, value: str) -> str:
+    """SQL: filter table ``of`` into ``into`` by named 3 by 3 kernels, mirrored at the border."""
+    mirror = lambda x: f"least((({x}) % 14 + 14) % 14, 14 - (({x}) % 14 + 14) % 14)"
+    return f"""{into} AS MATERIALIZED (SELECT image_id, z, r, c, {value} AS v FROM (SELECT p.image_id, p.z, p.r, p.c, any_value(p.v) AS v, {kernels} FROM {of} p CROSS JOIN cells3
+  JOIN {of} q ON q.image_id = p.image_id AND q.r = {mirror('p.r + i')} AND q.c = {mirror('p.c + j')} GROUP BY p.image_id, p.z, p.r, p.c))"""
+
+
+_CELLS3 = ", ".join(f"({i}, {j}, {g}, {a}, {b})" for i, j, g, a, b in (
+    (-1, -1, 1, -1, -1), (-1, 0, 2, 0, -2), (-1, 1, 1, 1, -1), (0, -1, 2, -2, 0), (0, 0, 4, 0, 0), (0, 1, 2, 2, 0), (1, -1, 1, -1, 1), (1, 0, 2, 0, 2), (1, 1, 1, 1, 1)))
+_CHAIN = f"""{inp.IMAGES}, cells3(i, j, g, a, b) AS (VALUES {_CELLS3}),
+gamma AS MATERIALIZED (SELECT image_id, z, r, c, CAST(floor(pow(v / 255.0::DOUBLE, 1 / 2.0::DOUBLE) * 255) AS INTEGER) AS v FROM images),
+{_step_sql('gamma', 'blurred', 'sum(g * q.v) / 16.0::DOUBLE AS s', _SAT('s'))},
+{_step_sql('blurred', 'edged', 'sum(a * q.v) AS gx, sum(b * q.v) AS gy', _SAT("0.75::DOUBLE * v + 0.25::DOUBLE * " + _SAT("0.5::DOUBLE * least(255, abs(gx)) + 0.5::DOUBLE * least(255, abs(gy))")))},
+h AS (SELECT image_id, v, CAST(count(*) AS DOUBLE) AS n FROM edged GROUP BY ALL),
+s AS (SELECT image_id, v, sum(n) OVER a AS w0, sum(n * v) OVER a AS s0, sum(n) OVER b AS w, sum(n * v) OVER b AS s FROM h WINDOW a AS (PARTITION BY image_id ORDER BY v), b AS (PARTITION BY image_id)),
+t AS (SELECT image_id, v, CASE WHEN w > w0 THEN round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) / (w * w), 9) ELSE 0 END AS b FROM s),
+level AS (SELECT image_id, arg_max(v, (b, -v)) AS level FROM t GROUP BY image_id)"""
+
+
+@query(f"WITH {_CHAIN} SELECT e.image_id, z, r, c, CASE WHEN v > level THEN 255 ELSE 0 END AS v FROM edged e JOIN level USING (image_id)")
 def binarize_chain(spark, d):
     o = imaging.Options.of({"Thresh_method": 2, "gamma": 2, "g_blur": 1, "bsize": "3", "sobel": 1})
     return imaging.binarized(inp.images(spark, d), o)
@@ -253,8 +280,8 @@ def binary_closing(spark, d):
 
 _STEPS9 = ", ".join(f"({i}, {j}, {3 * (i + 1) + j + 1})" for i in (-1, 0, 1) for j in (-1, 0, 1))
 _CODES = f"""{inp.VOXELS}, steps(i, j, n) AS (VALUES {_STEPS9}),
-codes AS (SELECT a.image_id, a.z, a.r, a.c, CAST(sum(CASE WHEN b.r IS NULL THEN 0 ELSE 1 << n END) AS INTEGER) AS code, CAST(count(b.r) - 1 AS INTEGER) AS n_near
-  FROM voxels a CROSS JOIN steps LEFT JOIN voxels b ON b.image_id = a.image_id AND b.r = a.r + i AND b.c = a.c + j GROUP BY a.image_id, a.z, a.r, a.c)"""
+told AS (SELECT image_id, z, CAST(r - i AS INTEGER) AS r, CAST(c - j AS INTEGER) AS c, n FROM voxels CROSS JOIN steps),
+codes AS MATERIALIZED (SELECT image_id, z, r, c, CAST(sum(1 << n) AS INTEGER) AS code, CAST(count(*) - 1 AS INTEGER) AS n_near FROM told GROUP BY ALL HAVING bool_or(n = 4))"""
 _ENDPTS = "SELECT image_id, z, r, c FROM codes WHERE n_near <= 1"
 
 
@@ -268,12 +295,24 @@ def branchpoints(spark, d):
     return morphology.branch_points(inp.voxels(spark, d))
 
 
-@query(f"""WITH {_CODES}, gone AS ({_ENDPTS} AND code NOT IN ({', '.join(map(str, morphology.branch_codes()))}))
-SELECT v.* FROM voxels v ANTI JOIN gone g ON g.image_id = v.image_id AND g.r = v.r AND g.c = v.c""")
+_PRUNED = f"""{_CODES}, fixed AS MATERIALIZED (SELECT image_id, r, c FROM codes WHERE code IN ({', '.join(map(str, morphology.branch_codes()))})),
+once AS MATERIALIZED (SELECT k.image_id, k.z, k.r, k.c FROM codes k LEFT JOIN fixed f ON f.image_id = k.image_id AND f.r = k.r AND f.c = k.c WHERE k.n_near > 1 OR f.r IS NOT NULL)"""
+_AROUND9 = "o(i, j) AS (VALUES " + ", ".join(f"({i}, {j})" for i in (-1, 0, 1) for j in (-1, 0, 1)) + ")"
+_PRUNED_TWICE = f"""{_PRUNED}, {_AROUND9}, moved AS (SELECT image_id, CAST(r + i AS INTEGER) AS r, CAST(c + j AS INTEGER) AS c FROM once CROSS JOIN o),
+near AS MATERIALIZED (SELECT image_id, r, c, count(*) - 1 AS n FROM moved GROUP BY ALL),
+twice AS (SELECT k.* FROM once k JOIN near n ON n.image_id = k.image_id AND n.r = k.r AND n.c = k.c LEFT JOIN fixed f ON f.image_id = k.image_id AND f.r = k.r AND f.c = k.c WHERE n.n > 1 OR f.r IS NOT NULL)"""
+
+
+@query(f"WITH {_PRUNED} SELECT * FROM once")
 def prune(spark, d):
     return morphology.prune(inp.voxels(spark, d), 1).select("image_id", "z", "r", "c")
 
 
+@query(f"WITH {_PRUNED_TWICE} SELECT * FROM twice")
+def prune_twice(spark, d):
+    return morphology.prune(inp.voxels(spark, d), 2).select("image_id", "z", "r", "c")
+
+
 _PIECES = f"""{inp.VOXELS}, reach AS (SELECT image_id, r, c, r AS r0, c AS c0 FROM voxels UNION
   SELECT b.image_id, b.r, b.c, a.r0, a.c0 FROM reach a JOIN voxels b ON b.image_id = a.image_id AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1)"""
 
@@ -475,19 +514,25 @@ def degree_assortativity(spark, d):
     return measures.assortativity(inp.near_graph(spark, d)).select(r6("assortativity").alias("assortativity"))
 
 
-@query(f"""WITH {inp.SUPPLY}, w AS (SELECT a.src AS s, d.dst AS t FROM ends a JOIN ends b ON b.src = a.dst JOIN ends c ON c.src = b.dst JOIN ends d ON d.src = c.dst)
-SELECT round(count(*) / 2.0::DOUBLE, 6) AS closed_walks FROM w WHERE s = t""")
+@query(f"""WITH {inp.USERS}, two AS (SELECT a.src AS s, b.dst AS t, count(*) AS n FROM ends a JOIN ends b ON b.src = a.dst GROUP BY ALL)
+SELECT round(sum(n * n) / 2.0::DOUBLE, 6) AS closed_walks FROM two""")
 def closed_walks(spark, d):
-    return measures.closed_walks(inp.supply_graph(spark, d), 4).select(F.round("closed_walks", 6).alias("closed_walks"))
+    return measures.closed_walks(inp.user_graph(spark, d), 4).select(F.round("closed_walks", 6).alias("closed_walks"))
 
 
-_COMPONENTS = f"""{inp.SUPPLY}, reach(id, r) USING KEY (id) AS (SELECT id, id AS r FROM verts UNION
+_REACH = """reach(id, r) USING KEY (id) AS (SELECT id, id AS r FROM verts UNION
   SELECT e.dst, min(a.r) FROM reach a JOIN ends e ON e.src = a.id JOIN recurring.reach k ON k.id = e.dst WHERE a.r < k.r GROUP BY e.dst)"""
+_COMPONENTS = f"{inp.SUPPLY}, {_REACH}"
 
 
-@query(f"WITH RECURSIVE {_COMPONENTS} SELECT id, r AS component FROM reach")
+@query(f"WITH RECURSIVE {inp.NEAR_GRAPH}, {_REACH} SELECT id, r AS component FROM reach")
 def connected_components(spark, d):
-    return comp.components(inp.supply_graph(spark, d))
+    return comp.components(inp.near_graph(spark, d))
+
+
+@query(f"WITH RECURSIVE {inp.NEAR_GRAPH}, {_REACH} SELECT id, r AS component FROM reach")
+def connected_components_by_rounds(spark, d):
+    return comp.components(inp.near_graph(spark, d), few=0)
 
 
 _GIANT = f"{_COMPONENTS}, top AS (SELECT r FROM reach GROUP BY r ORDER BY count(*) DESC, r LIMIT 1), giant AS (SELECT id FROM reach WHERE r = (SELECT r FROM top))"
@@ -505,65 +550,75 @@ def giant_renumbered(spark, d):
 
 # --- paths ----------------------------------------------------------------------------------------
 
-_LEVELS = f"""{inp.SUPPLY}, lv(s, v, d) USING KEY (s, v) AS (SELECT id, id, 0 FROM verts UNION
+_LEVELS = f"""{inp.NEAR_GRAPH}, lv(s, v, d) USING KEY (s, v) AS (SELECT id, id, 0 FROM verts UNION
   SELECT DISTINCT a.s, e.dst, a.d + 1 FROM lv a JOIN ends e ON e.src = a.v LEFT JOIN recurring.lv k ON k.s = a.s AND k.v = e.dst WHERE k.s IS NULL)"""
+_DISTANCES = f"WITH RECURSIVE {_LEVELS} SELECT s AS src, v AS dst, CAST(d AS DOUBLE) AS distance FROM lv WHERE s <> v"
 
 
-@query(f"WITH RECURSIVE {_LEVELS} SELECT s AS src, v AS dst, CAST(d AS DOUBLE) AS distance FROM lv WHERE s <> v")
+@query(_DISTANCES)
 def shortest_path_lengths(spark, d):
-    return paths.distances(inp.supply_graph(spark, d))
+    return paths.distances(inp.near_graph(spark, d))
 
 
-@query(f"WITH RECURSIVE {_LEVELS} SELECT s AS src, v AS dst, CAST(d AS DOUBLE) AS distance FROM lv WHERE s <> v AND s >= 10000000 AND s % 50 = 1")
+@query(_DISTANCES)
 def frontier_path_lengths(spark, d):
-    g = inp.supply_graph(spark, d)
-    return paths.frontier(g, g.vertices.where("id >= 10000000 AND id % 50 = 1"))
+    g = inp.near_graph(spark, d)
+    return paths.frontier(g, g.vertices.select("id"))
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT CAST(max(d) AS DOUBLE) AS diameter FROM lv")
 def diameter(spark, d):
-    return paths.diameter(inp.supply_graph(spark, d))
+    return paths.diameter(inp.near_graph(spark, d))
+
 
+_CLOSENESS = f"{_LEVELS}, cl AS (SELECT verts.id, count(v) / CAST(nullif(sum(d), 0) AS DOUBLE) AS c FROM verts LEFT JOIN lv ON s = verts.id AND v <> s GROUP BY verts.id)"
 
-@query(f"WITH RECURSIVE {_LEVELS} SELECT s AS id, round(count(*) / CAST(sum(d) AS DOUBLE), 6) + 0.0 AS closeness FROM lv WHERE s <> v GROUP BY s")
+
+@query(f"WITH RECURSIVE {_CLOSENESS} SELECT id, round(c, 6) + 0.0 AS closeness FROM cl")
 def closeness(spark, d):
-    return paths.closeness(inp.supply_graph(spark, d)).select("id", r6("closeness").alias("closeness"))
+    return paths.closeness(inp.near_graph(spark, d)).select("id", r6("closeness").alias("closeness"))
 
 
-@query(f"WITH RECURSIVE {_LEVELS}, cl AS (SELECT s, count(*) / CAST(sum(d) AS DOUBLE) AS c FROM lv WHERE s <> v GROUP BY s) SELECT round(avg(c), 6) + 0.0 AS average_closeness FROM cl")
+@query(f"WITH RECURSIVE {_CLOSENESS} SELECT round(avg(c), 6) + 0.0 AS average_closeness FROM cl")
 def average_closeness(spark, d):
-    return measures.average(paths.closeness(inp.supply_graph(spark, d)), "closeness", "c").select(r6("c").alias("average_closeness"))
+    return measures.average(paths.closeness(inp.near_graph(spark, d)), "closeness", "c").select(r6("c").alias("average_closeness"))
 
 
 _WAYS = f"""{_LEVELS}, ways(s, v, d, n) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM verts UNION ALL
   SELECT w.s, e.dst, w.d + 1, sum(w.n) FROM ways w JOIN ends e ON e.src = w.v JOIN lv ON lv.s = w.s AND lv.v = e.dst AND lv.d = w.d + 1 GROUP BY w.s, e.dst, w.d + 1)"""
+_BETWEEN = f"""{_WAYS}, b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) AS b FROM ways x JOIN ways y ON y.v = x.v AND x.s < y.s JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY x.v),
+bw AS (SELECT verts.id, coalesce(b, 0) / ((SELECT count(*) FROM verts) * ((SELECT count(*) FROM verts) - 1)) AS betweenness FROM verts LEFT JOIN b ON b.id = verts.id)"""
 
 
-@query(f"""WITH RECURSIVE {_WAYS}, b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) AS b FROM ways x JOIN ways y ON y.v = x.v AND x.s < y.s JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY x.v)
-SELECT verts.id, round(coalesce(b, 0) / ((SELECT count(*) FROM verts) * ((SELECT count(*) FROM verts) - 1)), 9) + 0.0 AS betweenness FROM verts LEFT JOIN b ON b.id = verts.id""")
+@query(f"WITH RECURSIVE {_BETWEEN} SELECT id, round(betweenness, 9) + 0.0 AS betweenness FROM bw")
 def node_betweenness(spark, d):
-    return paths.node_betweenness(inp.supply_graph(spark, d)).select("id", (F.round("betweenness", 9) + 0.0).alias("betweenness"))
+    return paths.node_betweenness(inp.near_graph(spark, d)).select("id", (F.round("betweenness", 9) + 0.0).alias("betweenness"))
+
 
+@query(f"WITH RECURSIVE {_BETWEEN} SELECT round(avg(betweenness), 9) + 0.0 AS average_betweenness FROM bw")
+def average_betweenness(spark, d):
+    return measures.average(paths.node_betweenness(inp.near_graph(spark, d)), "betweenness", "b").select((F.round("b", 9) + 0.0).alias("average_betweenness"))
 
-_BOUNDARY = "s_ AS (SELECT id FROM verts WHERE id < 10000000 AND id % 7 = 0), t_ AS (SELECT id FROM verts WHERE id < 10000000 AND id % 7 = 3)"
+
+#: Sources and targets: the points beyond either side of the cloud's middle.
+_BOUNDARY = """s_ AS (SELECT pid AS id FROM pts WHERE x <= -0.1), t_ AS (SELECT pid AS id FROM pts WHERE x >= 0.1), every AS MATERIALIZED (SELECT * FROM ways),
+xs AS MATERIALIZED (SELECT * FROM every WHERE s IN (SELECT id FROM s_)), ys AS MATERIALIZED (SELECT * FROM every WHERE s IN (SELECT id FROM t_)), zs AS MATERIALIZED (SELECT * FROM xs WHERE v IN (SELECT id FROM t_))"""
 
 
 def _boundary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    g = inp.supply_graph(spark, d)
-    parts = g.vertices.where("id < 10000000")
-    return paths.boundary_betweenness(g, parts.where("id % 7 = 0"), parts.where("id % 7 = 3"))
+    g = inp.near_graph(spark, d)
+    return paths.boundary_betweenness(g, g.vertices.where("x <= -0.1"), g.vertices.where("x >= 0.1"))
 
 
-@query(f"""WITH RECURSIVE {_WAYS}, {_BOUNDARY}, b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) / 2 AS b FROM ways x JOIN ways y ON y.v = x.v JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d
-  WHERE x.d > 0 AND y.d > 0 AND x.s IN (SELECT id FROM s_) AND y.s IN (SELECT id FROM t_) GROUP BY x.v)
+@query(f"""WITH RECURSIVE {_WAYS}, {_BOUNDARY}, b AS (SELECT x.v AS id, sum(x.n * y.n / z.n) / 2 AS b FROM xs x JOIN ys y ON y.v = x.v JOIN zs z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d
+  WHERE x.d > 0 AND y.d > 0 GROUP BY x.v)
 SELECT verts.id, round(coalesce(b, 0), 6) + 0.0 AS betweenness FROM verts LEFT JOIN b ON b.id = verts.id""")
 def node_boundary_betweenness(spark, d):
     return _boundary(spark, d)[0].select("id", r6("betweenness").alias("betweenness"))
 
 
 @query(f"""WITH RECURSIVE {_WAYS}, {_BOUNDARY}, b AS (SELECT least(e.src, e.dst) AS src, greatest(e.src, e.dst) AS dst, sum(x.n * y.n / z.n) / 2 AS b
-  FROM ends e JOIN ways x ON x.v = e.src JOIN ways y ON y.v = e.dst JOIN ways z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d + 1
-  WHERE x.s IN (SELECT id FROM s_) AND y.s IN (SELECT id FROM t_) GROUP BY ALL)
+  FROM ends e JOIN xs x ON x.v = e.src JOIN ys y ON y.v = e.dst JOIN zs z ON z.s = x.s AND z.v = y.s AND z.d = x.d + y.d + 1 GROUP BY ALL)
 SELECT edges.src, edges.dst, round(coalesce(b, 0), 6) + 0.0 AS betweenness FROM edges LEFT JOIN b ON b.src = edges.src AND b.dst = edges.dst""")
 def edge_boundary_betweenness(spark, d):
     return _boundary(spark, d)[1].select("src", "dst", r6("betweenness").alias("betweenness"))
@@ -571,64 +626,83 @@ def edge_boundary_betweenness(spark, d):
 
 # --- flows ----------------------------------------------------------------------------------------
 
+#: Points of a frame nearer than this are joined in the graphs that flows are solved on.
+_WIDE = 0.25
 
-def _frame_graph(spark: SparkSession, d: str, cutoff: float = 0.25) -> NetworkFrame:
-    """The giant component of one frame's near points, weighted by inverse length."""
-    p = inp.points(spark, d).where("frame = 1")
-    e = points.cutoff_graph(p, cutoff)
+
+def _frame_graphs(spark: SparkSession, d: str, cutoff: float = _WIDE) -> NetworkFrame:
+    """The giant component of every frame's near points, weighted by inverse length; points beyond either side are sources and targets."""
+    p = inp.points(spark, d)
+    e = points.cutoff_graph(p, cutoff, ("frame",))
     e = e.withColumn("w", 1 / (1 + F.col("length"))).withColumn("resistance", 1 + F.col("length")).withColumn("conductance", F.col("w"))
-    return comp.giant(NetworkFrame(p.select(F.col("pid").alias("id"), "x", "y", "z"), e))
+    v = p.select("frame", F.col("pid").alias("id"), "x", "y", "z", (F.col("x") <= -0.1).alias("low"), (F.col("x") >= 0.1).alias("high"))
+    return comp.giant_of_each(NetworkFrame(v, e), "frame")
 
 
 @query()
 def average_nodal_connectivity(spark, d):
-    return flows.average_nodal_connectivity(_frame_graph(spark, d, 0.15)).select(r6("average_nodal_connectivity").alias("average_nodal_connectivity"))
-
-
-def _some(g: NetworkFrame) -> tuple[list, list]:
-    ids = [r["id"] for r in g.vertices.select("id").orderBy("id").limit(6).collect()]
-    return ids[:3], ids[3:]
+    return flows.average_nodal_connectivity(_frame_graphs(spark, d, 0.15), by="frame").select("frame", r6("average_nodal_connectivity").alias("average_nodal_connectivity"))
 
 
 @query()
 def random_walk_linear(spark, d):
-    g = _frame_graph(spark, d)
-    return flows.random_walk_betweenness(g, *_some(g), weight="w").select("src", "dst", r6("betweenness").alias("betweenness"))
+    return flows.random_walk_betweenness(_frame_graphs(spark, d), "low", "high", weight="w", by="frame").select("frame", "src", "dst", r6("betweenness").alias("betweenness"))
 
 
 @query()
 def random_walk_nonlinear(spark, d):
-    g = _frame_graph(spark, d)
-    return flows.random_walk_betweenness(g, *_some(g), weight="w", ghost=True).select("src", "dst", r6("betweenness").alias("betweenness"))
+    return flows.random_walk_betweenness(_frame_graphs(spark, d), "low", "high", weight="w", ghost=True, by="frame").select("frame", "src", "dst", r6("betweenness").alias("betweenness"))
 
 
 @query()
 def current_flow_all_pairs(spark, d):
-    return flows.current_flow_betweenness(_frame_graph(spark, d), "w").select("src", "dst", r6("betweenness").alias("betweenness"))
+    return flows.current_flow_betweenness(_frame_graphs(spark, d), "w", by="frame").select("frame", "src", "dst", r6("betweenness").alias("betweenness"))
 
 
 def _wired(spark: SparkSession, d: str) -> NetworkFrame:
-    return flows.with_terminals(_frame_graph(spark, d), flows.Terminals("x", (-1.0, -0.1), (0.1, 1.0)), "w")
+    return flows.with_terminals(_frame_graphs(spark, d), flows.Terminals("x", (-1.0, -0.1), (0.1, 1.0)), "w", by="frame")
 
 
 @query()
 def effective_resistance(spark, d):
-    return flows.effective_resistance(_wired(spark, d), -1, -2).select(r6("by_inverse").alias("by_inverse"), r6("by_determinants").alias("by_determinants"))
+    return flows.effective_resistance(_wired(spark, d), by="frame").select("frame", r6("by_inverse").alias("by_inverse"), r6("by_determinants").alias("by_determinants"))
 
 
 @query()
 def node_potentials(spark, d):
-    return flows.potentials(_wired(spark, d), -1, -2).select("id", r6("potential").alias("potential"))
+    return flows.potentials(_wired(spark, d), by="frame").select("frame", "id", r6("potential").alias("potential"))
+
+
+#: By Kirchhoff's law nothing enters but at the terminals.
+_ENTERS = f"""{inp.POINTS}, edges AS (SELECT a.pid AS src, b.pid AS dst FROM pts a JOIN pts b ON a.frame = b.frame AND a.pid < b.pid WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= {_WIDE}),
+ends AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), verts AS (SELECT pid AS id FROM pts), {_REACH},
+n AS (SELECT frame, r, count(*) AS n FROM reach JOIN pts ON pid = id GROUP BY ALL), top AS (SELECT frame, arg_min(r, (-n, r)) AS r FROM n GROUP BY frame),
+giant AS (SELECT frame, id FROM reach JOIN top USING (r))
+SELECT CAST(id AS BIGINT) AS id, CAST(0 AS DOUBLE) AS inflow FROM giant UNION ALL SELECT CAST(-(2 * frame + 1) AS BIGINT), 1 FROM top UNION ALL SELECT CAST(-(2 * frame + 2) AS BIGINT), -1 FROM top"""
+
+
+@query(f"WITH RECURSIVE {_ENTERS}")
+def kirchhoff_inflows(spark, d):
+    g = NetworkFrame(*map(stored, (lambda w: (w.vertices, w.edges))(_wired(spark, d))))
+    return flows.inflows(g, flows.potentials(g, by="frame")).select("id", r6("inflow").alias("inflow"))
+
+
+@query(f"WITH RECURSIVE {_ENTERS}")
+def kirchhoff_inflows_relaxed(spark, d):
+    g = NetworkFrame(*map(stored, (lambda w: (w.vertices, w.edges))(_wired(spark, d))))
+    own = flows.relaxed(g, F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), tolerance=1e-8, by="frame")
+    return flows.inflows(g, own).select("id", r6("inflow").alias("inflow"))
 
 
 @query()
 def node_potentials_relaxed(spark, d):
-    return flows.relaxed(_wired(spark, d), -1, -2, tolerance=1e-7, most=40).select("id", F.round("potential", 4).alias("potential"))
+    own = flows.relaxed(_wired(spark, d), F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), tolerance=1e-8, by="frame")
+    return own.select("frame", "id", r6("potential").alias("potential"))
 
 
 @query()
 def gyration_tensor(spark, d):
-    return paths.gyration(_frame_graph(spark, d)).select(*(r6(c).alias(c) for c in ("xx", "yy", "xy")))
+    return paths.gyration(_frame_graphs(spark, d)).select(*(r6(c).alias(c) for c in ("xx", "yy", "xy")))
 
 
 # --- orientation ----------------------------------------------------------------------------------
@@ -657,24 +731,39 @@ def skeleton_orientations(spark, d):
 # --- labels and files -----------------------------------------------------------------------------
 
 
-@query(f"WITH {inp.SUPPLY}, k AS (SELECT src AS id, count(*) AS k FROM ends GROUP BY src) SELECT e.src, e.dst, a.k AS src_degree, b.k AS dst_degree FROM edges e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst")
+@query(f"WITH {inp.SUPPLY}, k AS (SELECT src AS id, count(*) AS degree FROM ends GROUP BY src) SELECT id, degree FROM k")
 def node_label_join(spark, d):
     g = inp.supply_graph(spark, d)
-    k = measures.degree(g)
-    return g.edges.join(k.toDF("src", "src_degree"), "src").join(k.toDF("dst", "dst_degree"), "dst").select("src", "dst", "src_degree", "dst_degree")
+    return graphs.labelled(g.vertices, measures.degree(g), "id", "degree")
 
 
-@query(f"WITH {inp.POINTS} SELECT pid AS id, concat_ws(',', CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(round(y * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(round(z * 1000) AS BIGINT) AS VARCHAR)) AS line FROM pts")
+@query(f"WITH {inp.POINTS} SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM pts")
 def csv_export_rows(spark, d):
-    p = inp.points(spark, d)
-    return p.select(F.col("pid").alias("id"), F.concat_ws(",", *(F.round(F.col(a) * 1000).cast("long").cast("string") for a in "xyz")).alias("line"))
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    graphs.write_csv(inp.near_graph(spark, d), path)
+    rows = spark.read.schema("x double, y double, z double").csv(f"{path}/vertexPositions.csv")
+    return rows.select(*(r6(a).alias(a) for a in "xyz"))
+
+
+@query(f"WITH {inp.NEAR} SELECT src, dst FROM near")
+def csv_export_edges(spark, d):
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    graphs.write_csv(inp.near_graph(spark, d), path)
+    return spark.read.schema("src long, dst long").csv(f"{path}/edgeList.csv")
 
 
 @query(f"WITH {inp.VOXELS}, lo AS (SELECT image_id, min(r) AS r0, min(c) AS c0 FROM voxels GROUP BY image_id) SELECT v.image_id, CAST(r - r0 AS INTEGER) AS r, CAST(c - c0 AS INTEGER) AS c FROM voxels v JOIN lo USING (image_id)")
 def skeleton_export(spark, d):
-    v = inp.voxels(spark, d)
-    lo = v.groupBy("image_id").agg(F.min("r").alias("r0"), F.min("c").alias("c0"))
-    return v.join(lo, "image_id").select("image_id", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"))
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    graphs.write_voxels(inp.voxels(spark, d), path)
+    return spark.read.parquet(path).select("image_id", "r", "c")
+
+
+@query(f"WITH {inp.NEAR} SELECT src, dst, round(length, 6) + 0.0 AS length FROM near")
+def graph_store_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    graphs.write_graph(inp.near_graph(spark, d), path, {"periodic": False})
+    return graphs.read_graph(spark, path)[0].edges.select("src", "dst", r6("length").alias("length"))
 
 
 # --- around a classifier --------------------------------------------------------------------------
