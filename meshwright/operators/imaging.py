@@ -1,9 +1,11 @@
 """Image filters over pixel tables (image_id, z, r, c, v), v from 0 to 255.
 
-Neighbourhood filters join every pixel with the pixels its kernel covers: each
-pixel is sent to the targets that need it, so one shuffle by target and one
-aggregate suffice. Outside the image, pixels are mirrored without the edge
-(or repeated, for the adaptive threshold).
+Neighbourhood filters deal an image into square tiles with a halo as wide as the
+kernel reaches. One shuffle sends each pixel to its tile, and those near a tile's
+edge to the neighbours' as well; numpy then filters a tile at once. So a task
+holds tiles and never a whole image. Outside the image, pixels are mirrored
+without the edge (or repeated, for the adaptive threshold), or do not count; nor
+do pixels that are not in the table.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import by_keys
+
 PLANE = ["image_id", "z"]
 AT = [*PLANE, "r", "c"]
 
@@ -29,11 +33,6 @@ def transposed(kernel):
     return tuple(zip(*kernel, strict=True))
 
 
-def saturated(value: Column) -> Column:
-    """Rounded half to even, within 0 and 255."""
-    return F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value))).cast("int")
-
-
 def gaussian(size: int) -> list[float]:
     """One-dimensional weights; the small sizes' are fixed fractions."""
     small = {1: [1.0], 3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625]}
@@ -63,46 +62,48 @@ def outer(weights: list[float]) -> list[list[float]]:
     return [[a * b for b in weights] for a in weights]
 
 
-def _sized(pixels: DataFrame) -> DataFrame:
-    """Pixels with the image's height and width."""
-    shape = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    return pixels.join(shape, "image_id")
-
-
-def mirrored(i: Column, n: Column) -> Column:
-    """Index reflected about the first and last pixel; an axis of one pixel has only that."""
-    period = F.greatest(2 * n - 2, F.lit(1))
-    j = F.pmod(i, period)
-    return F.when(n == 1, 0).otherwise(F.least(j, period - j))
-
-
-def repeated(i: Column, n: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(i, n - 1))
+#: Side of a tile.
+TILE = 64
 
 
-def gathered(pixels: DataFrame, kernel, border: Callable[[Column, Column], Column] | None = mirrored) -> DataFrame:
-    """(image_id, z, r, c, v, k, u): every pixel with each pixel under its kernel, k being the weight and u the value there."""
-    half_r, half_c = len(kernel) // 2, len(kernel[0]) // 2
-    cells = [(i - half_r, j - half_c, float(k)) for i, row in enumerate(kernel) for j, k in enumerate(row) if k]
-    own = _sized(pixels)
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in cells))
-    asked = own.select(*AT, "v", "h", "w", F.explode(steps).alias("s"))
-    r, c = F.col("r") + F.col("s.i"), F.col("c") + F.col("s.j")
-    if border is None:
-        inside = (r >= 0) & (r < F.col("h")) & (c >= 0) & (c < F.col("w"))
-        asked = asked.where(inside).withColumns({"ur": r, "uc": c})
-    else:
-        asked = asked.withColumns({"ur": border(r, F.col("h")), "uc": border(c, F.col("w"))})
-    values = pixels.select(*PLANE, F.col("r").alias("ur"), F.col("c").alias("uc"), F.col("v").alias("u"))
-    return asked.join(values, [*PLANE, "ur", "uc"]).select(*AT, "v", F.col("s.k").alias("k"), "u")
+def tiled(pixels: DataFrame, half: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray], border: str | None = "reflect", tile: int = TILE) -> DataFrame:
+    """Pixels with ``value`` of the windows of 2 ``half`` + 1 pixels a side around them and of their own values.
 
-
-def convolved(pixels: DataFrame, *kernels, border=mirrored) -> DataFrame:
-    """Pixels with g0, g1, ...: the sum under each kernel (kernels of one shape share the join)."""
-    index = [[1 + i * len(row) + j for j in range(len(row))] for i, row in enumerate(kernels[0])]
-    at = gathered(pixels, index, border)
-    weight = lambda kernel: F.element_at(F.array(*(F.lit(float(k)) for row in kernel for k in row)), F.col("k").cast("int"))
-    return at.groupBy(*AT).agg(F.first("v").alias("v"), *(F.sum(F.col("u") * weight(k)).alias(f"g{n}") for n, k in enumerate(kernels)))
+    ``value`` gets arrays (cell, r, c) and (r, c), NaN where no pixel is; ``border``
+    names numpy's way to go on beyond the image, None leaves NaN there.
+    """
+    shape = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    reaching = lambda x, n: F.sequence(F.floor(F.greatest(F.col(x) - half, F.lit(0)) / tile), F.floor(F.least(F.col(x) + half, F.col(n) - 1) / tile))
+    dealt = pixels.select(*AT, "v").join(shape, "image_id").withColumn("tr", F.explode(reaching("r", "h"))).withColumn("tc", F.explode(reaching("c", "w")))
+
+    def of_tile(key: tuple[int, ...], p: np.ndarray) -> list[pd.DataFrame]:
+        image, z, *at, h, w = key
+        low = [t * tile for t in at]
+        high = [min(a + tile, n) for a, n in zip(low, (h, w), strict=True)]
+        first, last = [max(0, a - half) for a in low], [min(n, b + half) for b, n in zip(high, (h, w), strict=True)]
+        held = np.full((last[0] - first[0], last[1] - first[1]), np.nan)
+        held[p[:, 0] - first[0], p[:, 1] - first[1]] = p[:, 2]
+        beyond = [(half - (a - f), half - (x - b)) for a, f, x, b in zip(low, first, last, high, strict=True)]
+        wide = np.pad(held, beyond, mode=border) if border else np.pad(held, beyond, constant_values=np.nan)
+        side = 2 * half + 1
+        cells = np.moveaxis(np.lib.stride_tricks.sliding_window_view(wide, (side, side)), (2, 3), (0, 1)).reshape(side * side, high[0] - low[0], high[1] - low[1])
+        own = wide[half : wide.shape[0] - half, half : wide.shape[1] - half]
+        r, c = np.nonzero(~np.isnan(own))
+        found = (r + low[0], c + low[1], value(cells, own)[r, c])
+        return [pd.DataFrame({"image_id": image, "z": np.int32(z), **{n: x.astype("int32") for n, x in zip("rcv", found, strict=True)}})]
+
+    return by_keys(dealt.select(*PLANE, "tr", "tc", "h", "w", "r", "c", "v"), 6, of_tile, "image_id long, z int, r int, c int, v int")
+
+
+def under(cells: np.ndarray, kernel) -> np.ndarray:
+    """The sum of windows' values by a kernel's weights."""
+    weights = np.array(kernel, float).ravel()
+    return np.nansum(cells * weights[:, None, None], 0)
+
+
+def byte(value: np.ndarray) -> np.ndarray:
+    """Rounded half to even, within 0 and 255."""
+    return np.clip(np.rint(value), 0, 255)
 
 
 def gamma_corrected(pixels: DataFrame, gamma: float) -> DataFrame:
@@ -129,12 +130,17 @@ def low_pass(pixels: DataFrame, window: int) -> DataFrame:
 
 def median(pixels: DataFrame, size: int = 5) -> DataFrame:
     """The value whose rank is half the neighbours inside the image."""
-    near = gathered(pixels, [[1] * size] * size, None).groupBy(*AT).agg(F.sort_array(F.collect_list("u")).alias("u"))
-    return near.select(*AT, F.element_at("u", (F.size("u") / 2).cast("int") + 1).alias("v"))
+
+    def value(cells: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n = (~np.isnan(cells)).sum(0)
+        return np.take_along_axis(np.sort(cells, 0), (n // 2)[None], 0)[0]
+
+    return tiled(pixels, size // 2, value, None)
 
 
 def gaussian_blur(pixels: DataFrame, size: int) -> DataFrame:
-    return convolved(pixels, outer(gaussian(size))).select(*AT, saturated(F.col("g0")).alias("v"))
+    kernel = outer(gaussian(size))
+    return tiled(pixels, size // 2, lambda cells, own: byte(under(cells, kernel)))
 
 
 def disk(radius: int) -> list[list[int]]:
@@ -143,25 +149,34 @@ def disk(radius: int) -> list[list[int]]:
 
 def autolevel(pixels: DataFrame, radius: int) -> DataFrame:
     """Stretch by the least and largest value in a disk."""
-    near = gathered(pixels, disk(radius), None).groupBy(*AT).agg(F.first("v").alias("v"), F.min("u").alias("lo"), F.max("u").alias("hi"))
-    level = F.when(F.col("hi") > F.col("lo"), F.floor(255 * (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0)
-    return near.select(*AT, level.cast("int").alias("v"))
+    held = np.array(disk(radius), bool).ravel()
 
+    def value(cells: np.ndarray, own: np.ndarray) -> np.ndarray:
+        low, high = np.fmin.reduce(cells[held], 0), np.fmax.reduce(cells[held], 0)
+        wide = high > low
+        return np.where(wide, np.floor(255 * (own - low) / np.where(wide, high - low, 1)), 0)
 
-def blended(v: Column, gradient: Column) -> Column:
-    return saturated(0.75 * v + 0.25 * gradient)
+    return tiled(pixels, radius, value, None)
+
+
+def blended(own: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    return byte(0.75 * own + 0.25 * gradient)
 
 
 def gradient_blend(pixels: DataFrame, kernel_x) -> DataFrame:
     """Three quarters image, one quarter mean absolute gradient."""
-    g = convolved(pixels, kernel_x, transposed(kernel_x))
-    strength = saturated(0.5 * saturated(F.abs("g0")) + 0.5 * saturated(F.abs("g1")))
-    return g.select(*AT, blended(F.col("v"), strength).alias("v"))
+    both = kernel_x, transposed(kernel_x)
+
+    def value(cells: np.ndarray, own: np.ndarray) -> np.ndarray:
+        gx, gy = (byte(np.abs(under(cells, k))) for k in both)
+        return blended(own, byte(0.5 * gx + 0.5 * gy))
+
+    return tiled(pixels, 1, value)
 
 
 def laplacian_blend(pixels: DataFrame, size: int = 5) -> DataFrame:
-    g = convolved(pixels, laplacian_kernel(size))
-    return g.select(*AT, blended(F.col("v"), saturated(F.abs("g0"))).alias("v"))
+    kernel = laplacian_kernel(size)
+    return tiled(pixels, size // 2, lambda cells, own: blended(own, byte(np.abs(under(cells, kernel)))))
 
 
 def _foreground(light: Column, fg_color: int) -> Column:
@@ -175,8 +190,8 @@ def threshold(pixels: DataFrame, at: float, fg_color: int = 0) -> DataFrame:
 
 def threshold_adaptive(pixels: DataFrame, size: int, fg_color: int = 0, less: int = 2) -> DataFrame:
     """255 above the Gaussian mean of ``size`` less ``less``."""
-    g = convolved(pixels, outer(gaussian(size)), border=repeated)
-    return g.select(*AT, _foreground(F.col("v") > saturated(F.col("g0")) - less, fg_color).alias("v"))
+    kernel, dark = outer(gaussian(size)), bool(fg_color)
+    return tiled(pixels, size // 2, lambda cells, own: np.where((own > byte(under(cells, kernel)) - less) != dark, 255, 0), "edge")
 
 
 def otsu_levels(pixels: DataFrame) -> DataFrame:

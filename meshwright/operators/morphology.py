@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, product
+from collections.abc import Callable, Iterable
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgumentsError, StructuralElementError
 from ..schema import NetworkFrame
 from .components import components
+from .groups import by_keys
 from .iterate import stored
 
 AT = ["image_id", "z", "r", "c"]
@@ -167,8 +169,10 @@ def _pieces(cells: set[tuple[int, int, int]], near) -> list[set[tuple[int, int,
     return out
 
 
-def is_simple(cube: np.ndarray) -> bool:
-    """Whether the centre of a 3 by 3 by 3 cube can go without changing topology: one object piece around it, one piece of background that touches its faces."""
+@lru_cache(maxsize=1 << 18)
+def is_simple(cells: bytes) -> bool:
+    """Whether the centre of a 3 by 3 by 3 cube of booleans can go without changing topology: one object piece around it, one piece of background that touches its faces."""
+    cube = np.frombuffer(cells, bool).reshape(3, 3, 3)
     touching = lambda p, q: max(abs(a - b) for a, b in zip(p, q, strict=True)) <= 1
     by_face = lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1
     on = {s for s in AROUND if cube[s[0] + 1, s[1] + 1, s[2] + 1]}
@@ -190,7 +194,7 @@ def thinned_volume(volume: np.ndarray) -> np.ndarray:
             candidates = [tuple(p) for p in np.argwhere(border) if on[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2].sum() > 2]
             for z, r, c in candidates:
                 cube = on[z - 1 : z + 2, r - 1 : r + 2, c - 1 : c + 2]
-                if cube.sum() > 2 and is_simple(cube):
+                if cube.sum() > 2 and is_simple(cube.tobytes()):
                     on[z, r, c] = False
                     changed = True
     return on[1:-1, 1:-1, 1:-1]
@@ -198,23 +202,7 @@ def thinned_volume(volume: np.ndarray) -> np.ndarray:
 
 def by_image(voxels: DataFrame, kernel: Callable[[int, np.ndarray], list[pd.DataFrame]], schema: str) -> DataFrame:
     """``kernel`` on every image's id and voxels (rows of z, r, c in raster order); many small images share a batch."""
-    spread = voxels.select(*AT).repartition("image_id").sortWithinPartitions(*AT)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []  # of an image that may go on in the next batch
-        for frame in chain(frames, [None]):
-            new = np.zeros((0, 4), np.int64) if frame is None else frame.to_numpy(np.int64)
-            if held and len(new) and held[0][0, 0] == new[-1, 0]:
-                held.append(new)
-                continue
-            rows = np.concatenate([*held, new])
-            parts = np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)
-            held = [] if frame is None or not len(rows) else [parts.pop()]
-            out = [f for p in parts if len(p) for f in kernel(int(p[0, 0]), p[:, 1:])]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return spread.mapInPandas(run, schema)
+    return by_keys(voxels.select(*AT), 1, lambda key, at: kernel(key[0], at), schema)
 
 
 def skeletonize(voxels: DataFrame) -> DataFrame:

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 AXES = ("x", "y", "z")
 
 
-def _neighbour_buckets(keys: list[Column], periods: list[int] | None) -> Column:
-    """The 27 buckets about a bucket; with periods they wrap round, once each."""
+def _cubes_around(keys: list[Column], periods: list[int] | None) -> Column:
+    """Cubes a point is sent to, and whether one is its own: half of the 26 around, as the other half sends here; with periods all, wrapped round, once each."""
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if periods or (a, b, c) >= (0, 0, 0)]
     wrap = lambda c, i: F.pmod(c, F.lit(periods[i])) if periods else c
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    return F.array_distinct(F.array(*(F.struct(*(wrap(k + s, i).cast("long").alias(n) for i, (k, s, n) in enumerate(zip(keys, step, "uvw", strict=True)))) for step in steps)))
+    cube = lambda step: F.struct(*(wrap(k + s, i).cast("long").alias(n) for i, (k, s, n) in enumerate(zip(keys, step, "uvw", strict=True))))
+    return F.array_distinct(F.array(*(F.struct(cube(step).alias("cube"), F.lit(bool(periods) or step == (0, 0, 0)).alias("own")) for step in steps)))
 
 
 def cutoff_graph(points: DataFrame, r_max: float, group: tuple[str, ...] = (), box: tuple[float, float, float] | None = None) -> DataFrame:
     """Pairs src < dst within ``r_max``, with their length, per group; ``box``: minimum-image distance.
 
-    Points are dealt into cubes of side ``r_max``; one side is sent to the 27
-    cubes around its own, so an equi-join on the cube finds every pair once.
+    Points are dealt into cubes of side ``r_max``; one side is sent to its own and
+    to half of the cubes around, so an equi-join on the cube finds every pair once.
     """
     g = list(group)
     if box:
@@ -31,14 +32,15 @@ def cutoff_graph(points: DataFrame, r_max: float, group: tuple[str, ...] = (), b
     else:
         periods, at = None, [F.floor(F.col(a) / r_max).cast("long") for a in AXES]
     own = points.select(*g, "pid", *AXES, F.struct(*(k.alias(n) for k, n in zip(at, "uvw", strict=True))).alias("cube"))
-    left = own.select(*g, F.col("pid").alias("src"), *(F.col(a).alias(f"{a}0") for a in AXES), F.explode(_neighbour_buckets([F.col("cube.u"), F.col("cube.v"), F.col("cube.w")], periods)).alias("cube"))
-    right = own.withColumnRenamed("pid", "dst")
+    sent = own.select(*g, F.col("pid").alias("p"), *(F.col(a).alias(f"{a}0") for a in AXES), F.explode(_cubes_around([F.col("cube.u"), F.col("cube.v"), F.col("cube.w")], periods)).alias("to"))
+    left = sent.select(*g, "p", *(f"{a}0" for a in AXES), F.col("to.cube").alias("cube"), F.col("to.own").alias("own"))
+    right = own.withColumnRenamed("pid", "q")
     steps = []
     for i, a in enumerate(AXES):
         d = F.col(a) - F.col(f"{a}0")
         steps.append(d - F.lit(box[i]) * F.round(d / box[i]) if box else d)
     length = F.sqrt(reduce(lambda p, q: p + q, (d * d for d in steps)))
-    pairs = left.join(right, [*g, "cube"]).where("src < dst").select(*g, "src", "dst", length.alias("length"))
+    pairs = left.join(right, [*g, "cube"]).where("NOT own OR p < q").select(*g, F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), length.alias("length"))
     return pairs.where(F.col("length") <= r_max)
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgumentsError
+
 KINDS = ("VariableWidthConductance", "FixedWidthConductance", "Resistance", "Area", "Width", "Length", "InverseLength")
 #: The column each kind is kept in.
 COLUMN = {"VariableWidthConductance": "conductance", "FixedWidthConductance": "conductance", "Resistance": "resistance", "Area": "area", "Width": "width", "Length": "length", "InverseLength": "inverse_length", "PerpBisector": "perp_bisector"}
@@ -38,6 +40,8 @@ def weighted(edges: DataFrame, kinds: Sequence[str], r_j: float = 0.0, rho: floa
     """Edges (pts, pixel_width) with a column for each kind of weight."""
     if isinstance(kinds, str) or not isinstance(kinds, Sequence):
         raise TypeError("weights are given as a list of kinds")
+    if len(columns := [COLUMN[k] for k in kinds if k in COLUMN]) > len(set(columns)):
+        raise InvalidArgumentsError("two kinds of weight are kept in the same column")
     length = F.size("pts")
     width = F.when(length < 2, 10).otherwise(F.col("pixel_width"))
     return edges.withColumns({COLUMN[k]: weight(k, length, width, r_j, rho) for k in kinds if k != "PerpBisector"})

@@ -53,6 +53,23 @@ def test_gaussian_against_numpy(spark, image):
     assert (as_array(imaging.gaussian_blur(pixels(spark, image), 3), image.shape) == want).all()
 
 
+@pytest.mark.parametrize("border", ["reflect", "edge", None])
+@pytest.mark.parametrize("half", [1, 3, 9])
+def test_tiles_see_what_the_image_shows(spark, border, half):
+    """Sums and counts under windows, tile by tile, against the whole image; some pixels are not there."""
+    rng = np.random.default_rng(half)
+    image, side = rng.integers(0, 9, (21, 13)), 2 * half + 1
+    gone = {(4, 4), (20, 12)}
+    df = pixels(spark, image).where("NOT (r = 4 AND c = 4) AND NOT (r = 20 AND c = 12)").withColumn("h", F.lit("clash"))
+    held = image.astype(float)
+    for at in gone:
+        held[at] = np.nan
+    wide = np.pad(held, half, mode=border) if border else np.pad(held, half, constant_values=np.nan)
+    got = {(r["r"], r["c"]): r["v"] for r in imaging.tiled(df, half, lambda cells, own: np.nansum(cells, 0) + 100_000 * (~np.isnan(cells)).sum(0), border, tile=4).collect()}
+    want = {(r, c): np.nansum(w := wide[r : r + side, c : c + side]) + 100_000 * (~np.isnan(w)).sum() for r in range(21) for c in range(13) if (r, c) not in gone}
+    assert got == want
+
+
 def test_laplacian_kernel_is_the_sum_of_second_differences():
     k = np.array(imaging.laplacian_kernel())
     assert k.sum() == 0 and (k == k.T).all() and k[2, 2] == -24 and k[0, 0] == 2
