@@ -251,6 +251,66 @@ def test_slices_from_files(spark, tmp_path, image):
         files.pixels(files.slices(spark, str(tmp_path), prefix="bad")).collect()
 
 
+def tiff(image, way=1, pack=bytes, ahead=1, order="<"):
+    """A TIFF of one strip."""
+    height, width = image.shape
+    bits = image.dtype.itemsize * 8
+    steps = np.diff(image, axis=1, prepend=np.zeros((height, 1), image.dtype)).astype(image.dtype) if ahead == 2 else image
+    data = pack(steps.astype(steps.dtype.newbyteorder(order)).tobytes())
+    tags = [(256, 4, width), (257, 4, height), (258, 3, bits), (259, 3, way), (262, 3, 1), (273, 4, 8), (277, 3, 1), (279, 4, len(data)), (317, 3, ahead)]
+    entries = b"".join(struct.pack(order + "HHI", t, k, 1) + (struct.pack(order + "I", v) if k == 4 else struct.pack(order + "HH", v, 0)) for t, k, v in tags)
+    return struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8 + len(data)) + data + struct.pack(order + "H", len(tags)) + entries + struct.pack(order + "I", 0)
+
+
+def packed_lzw(data):
+    """Codes as TIFF has them, each as wide as the reader's table asks for."""
+    table, out, n = {bytes([i]): i for i in range(256)}, [(256, 9)], 258
+    word = b""
+    for b in data:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        out.append((table[word], max(9, min(12, n.bit_length()))))
+        table[word + bytes([b])] = n
+        n += 1
+        if n == 4094:
+            out.append((256, 12))
+            table, n = {bytes([i]): i for i in range(256)}, 258
+        word = bytes([b])
+    out += [(table[word], max(9, min(12, n.bit_length()))), (257, max(9, min(12, (n + 1).bit_length())))]
+    bits = "".join(format(code, f"0{width}b") for code, width in out)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+@pytest.mark.parametrize("ahead", [1, 2])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_packed_tiffs(kind, ahead, order):
+    image = np.random.default_rng(5).integers(0, 60, (41, 67)).astype(kind) * kind(3)
+    if kind == np.uint16:
+        image = image * 200
+    want = image >> 8 if kind == np.uint16 else image
+    for way, pack in ((1, bytes), (8, zlib.compress), (5, packed_lzw), (32773, lambda d: b"".join(bytes([len(d[i : i + 128]) - 1]) + d[i : i + 128] for i in range(0, len(d), 128)))):
+        assert (files.decoded(tiff(image, way, pack, ahead, order)) == want).all()
+    assert files.unpacked_bits(bytes([2, 7, 8, 9, 253, 5, 128, 0, 1])) == bytes([7, 8, 9, 5, 5, 5, 5, 1])
+
+
+def test_bitmaps_and_refusals():
+    image = np.random.default_rng(6).integers(0, 255, (5, 7)).astype(np.uint8)
+    rows = b"".join(bytes(np.repeat(r, 3)).ljust(24, b"\0") for r in image[::-1])
+    head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 54, 40, 7, 5, 1, 24, 0, len(rows), 0, 0, 0, 0)
+    assert (files.decoded(head + rows) == image).all()
+    for content, name in ((b"\xff\xd8\xff", "JPEG"), (b"GIF89a", "GIF"), (tiff(image, 7), "LZW")):
+        with pytest.raises(ValueError, match=name):
+            files.decoded(content)
+
+
+def test_points_with_headers(spark, tmp_path):
+    (tmp_path / "seeds.csv").write_text("Name,Center Of Mass X (µm),Center Of Mass Y (µm)\na,1.5,2\nb,3,4.25\n")
+    rows = files.point_csv(spark, str(tmp_path / "seeds.csv"), {"x": "Center Of Mass X (µm)", "y": "Center Of Mass Y (µm)"}).collect()
+    assert sorted(map(tuple, rows)) == [(1.5, 2.0), (3.0, 4.25)]
+
+
 def test_point_files(spark, tmp_path):
     (tmp_path / "p.dat").write_text("id x y\n 1  2.5   3\n 2 4 -1e1\n")
     assert [tuple(r) for r in files.point_table(spark, str(tmp_path / "p.dat"), ["i", "x", "y"]).collect()] == [(1, 2.5, 3), (2, 4, -10)]
