@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from meshwright.llm import pii
 
@@ -41,3 +43,29 @@ def test_stages(spark, tmp_path):
     assert third.keys() == second and not any(pii.find(t) for t in third.values())
     assert sizes[3] == len(third)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, a very long text, and columns whose names clash."""
+    texts = tables(spark, tmp_path)
+    rows = [(600, None, None, None, None), (601, "", "en", "s", 0), (None, "text without an id " * 9, "en", "s", 1), (603, texts[7], "en", "s", 1), (603, texts[7], "en", "s", 1), (604, "the er ing on st " * 20_000, "en", "s", 9)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).unionByName(odd).withColumns({n: F.lit(n) for n in ("key", "w", "k", "i", "s", "ids", "length", "__key", "gumbel_key")})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, columns = docs.count(), docs.columns
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"odd{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        if k < 3:
+            assert docs.columns == columns and docs.count() <= before
+            assert docs.select(*columns[5:]).distinct().count() == 1
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert None in kept and 7 in kept and 603 not in kept and {600, 601} & kept == {600}
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"none{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"none{k}"))
+        assert docs.count() == 0
