@@ -50,8 +50,8 @@ from .common import over_batches, small_batches, stored, table
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 BANDS, PER_BAND, STEP = 32, 4, 16
-#: Texts of a small bucket; texts and shingles in a share of a crowd.
-SMALL, BLOCK, BLOCK_GRAMS = 16, 1024, 1 << 21
+#: Texts of a small bucket; texts and shingles in a share of a crowd at most; shares that a crowd has if they hold so many texts.
+SMALL, BLOCK, BLOCK_GRAMS, SHARES, SHARE = 16, 1024, 1 << 21, 16, 128
 #: Keys up to this many are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -288,7 +288,7 @@ def prefixes(grams: list[np.ndarray]) -> np.ndarray:
 
 def in_crowds(crowds: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """What ``block_links`` finds among the texts of each crowd (crowd, key, n), in blocks of two shares of them."""
-    shares = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    shares = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS), F.least(F.ceil(F.count("*") / SHARE), F.lit(SHARES))).cast("int")
     sizes = stored(crowds.groupBy("crowd").agg(shares.alias("shares")))
     placed = looked_up(crowds, sizes, "crowd", hot_keys(crowds, "crowd", crowds.count())).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
     # a share is in one block with itself and each other share
