@@ -17,7 +17,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .groups import by_keys
@@ -236,6 +236,15 @@ class Options:
         kinds = {f.name: float if f.name in ("gamma", "thresh") else int for f in fields(cls)}
         return cls(**{k: kinds[k](float(v)) for k, v in given.items() if k in kinds})
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Options:
+        """From a JSON file."""
+        return cls.of(spark.read.text(path, wholetext=True).first()["value"])
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """To a folder of one JSON file, which ``read`` takes as well."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
     def to_json(self) -> str:
         return json.dumps({f.name: getattr(self, f.name) for f in fields(self)})
 

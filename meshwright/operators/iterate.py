@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,24 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for held in _open[-1:]:
+        held.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside are deleted at the end; write what is to stay before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        forget(*_open.pop())
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete stored tables that no plan reads any more."""
     for df in tables:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import configparser
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +15,41 @@ from pyspark.sql import functions as F
 from .imaging import AT
 
 
-def patches(pixels: DataFrame, areas: DataFrame, half: int = 12) -> DataFrame:
-    """(image_id, z, r, c, patch): the (2 half + 1) squared window about every pixel of ``areas``, row by row, 0 outside, values about 0 within half a unit."""
+@dataclass(frozen=True)
+class Params:
+    """Settings of a pixel classifier, kept in INI files."""
+
+    half: int = 12
+    scales: int = 4
+    factor: int = 2
+    batch: int = 1024
+    epochs: int = 3
+    fraction: float = 0.3
+
+    @classmethod
+    def parse(cls, text: str, section: str = "params") -> Params:
+        """From INI text; keys that are not there keep their defaults, others are left out."""
+        given = configparser.ConfigParser()
+        given.read_string(text)
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        return cls(**{k: kinds[k](v) for k, v in given[section].items() if k in kinds})
+
+    def to_ini(self, section: str = "params") -> str:
+        return "\n".join([f"[{section}]", *(f"{f.name} = {getattr(self, f.name)}" for f in fields(self)), ""])
+
+
+def multi_scale(pixels: DataFrame, areas: DataFrame, p: Params = Params()) -> DataFrame:
+    """(image_id, z, r, c, scale, patch): windows of one size whose pixels lie 1, ``factor``, ``factor`` squared, ... apart."""
+    every = [patches(pixels, areas, p.half, p.factor**k).withColumn("scale", F.lit(k)) for k in range(p.scales)]
+    return reduce(DataFrame.unionByName, every).select(*AT, "scale", "patch")
+
+
+def patches(pixels: DataFrame, areas: DataFrame, half: int = 12, step: int = 1) -> DataFrame:
+    """(image_id, z, r, c, patch): the (2 half + 1) squared window about every pixel of ``areas``, of every ``step``-th pixel, row by row, 0 outside, values about 0 within half a unit."""
     side = 2 * half + 1
     cells = F.sequence(F.lit(0), F.lit(side * side - 1))
     asked = areas.select(*AT, F.explode(cells).alias("k"))
-    at = asked.withColumns({"ur": (F.col("r") + F.floor(F.col("k") / side) - half).cast("int"), "uc": (F.col("c") + F.col("k") % side - half).cast("int")})
+    at = asked.withColumns({"ur": (F.col("r") + (F.floor(F.col("k") / side) - half) * step).cast("int"), "uc": (F.col("c") + (F.col("k") % side - half) * step).cast("int")})
     values = pixels.select("image_id", "z", F.col("r").alias("ur"), F.col("c").alias("uc"), (F.col("v") / 255 - 0.5).alias("u"))
     got = at.join(values, ["image_id", "z", "ur", "uc"], "left").groupBy(*AT).agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("u", F.lit(0.0)).alias("u")))).alias("p"))
     return got.select(*AT, F.col("p.u").alias("patch"))

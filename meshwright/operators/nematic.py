@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import angle
+
 AXES = "xyz"
 
 
@@ -15,6 +17,13 @@ def orientations(edges: DataFrame) -> DataFrame:
     return edges.select("eid", gap("z").alias("x"), gap("r").alias("y"), gap("c").alias("z"))
 
 
+def angles(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (y, z, x being the missing axis) with their direction in the plane, ``angle``; vectors out of the plane are an error."""
+    if not vectors.where("x <> 0").isEmpty():
+        raise TypeError("angles are those of planar graphs")
+    return vectors.withColumn("angle", angle(F.col("y"), F.col("z")))
+
+
 def tensor(vectors: DataFrame) -> DataFrame:
     """One row of qxx, qyy, qzz, qxy, qxz, qyz: mean of 3/2 u u - 1/2 over vectors that are not zero."""
     norm = F.sqrt(sum((F.col(a) * F.col(a) for a in "yz"), F.col("x") * F.col("x")))

@@ -254,29 +254,33 @@ def boundary_betweenness(g: NetworkFrame, sources: DataFrame, targets: DataFrame
             got.where("kind = 'edge'").select("src", "dst", F.col("value").alias("betweenness")))
 
 
-def gyration(g: NetworkFrame, length: str = "resistance", mass: str | None = "conductance") -> DataFrame:
+def gyration(g: NetworkFrame, length: str = "resistance", mass: str | None = "conductance", sampling: int = 1, ordered: bool = False, whole: bool = False) -> DataFrame:
     """One row: over pairs i < j, along one shortest path by ``length``, sums of mass times products of the steps between neighbours on the path.
 
-    Vertices carry x and y. Columns: xx, yy, xy.
+    Vertices carry x and y. Columns: xx, yy, xy. ``sampling``: only every so many
+    vertices, by id, are ends of pairs; ``ordered``: every pair counts both ways;
+    ``whole``: coordinates without their fractions.
     """
     spark = g.edges.sparkSession
     if not fits(g.edges):
         raise InvalidArgumentsError(f"path counting holds at most {MOST_EDGES} edges in a task")
-    where = spark.sparkContext.broadcast({r["id"]: (r["x"], r["y"]) for r in g.vertices.select("id", "x", "y").collect()})  # vertices of a graph that fits
+    axis = (lambda a: F.col(a).cast("long").cast("double").alias(a)) if whole else F.col
+    where = spark.sparkContext.broadcast({r["id"]: (r["x"], r["y"]) for r in g.vertices.select("id", axis("x"), axis("y")).collect()})  # vertices of a graph that fits
     heavy = spark.sparkContext.broadcast(csr(g, mass).weight if mass else None)
 
     def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([gyration_sums(c, np.array([where.value[i] for i in c.ids.tolist()], float).reshape(-1, 2), heavy.value, at)], columns=["xx", "yy", "xy"])
+        xy = np.array([where.value[i] for i in c.ids.tolist()], float).reshape(-1, 2)
+        yield pd.DataFrame([gyration_sums(c, xy, heavy.value, at[at % sampling == 0], sampling) * (1 + ordered)], columns=["xx", "yy", "xy"])
 
     return from_sources(g, g.vertices, kernel, "xx double, yy double, xy double", length).agg(*(F.sum(c).alias(c) for c in ("xx", "yy", "xy")))
 
 
-def gyration_sums(c: Csr, xy: np.ndarray, mass: np.ndarray | None, sources: np.ndarray) -> np.ndarray:
-    """The sums (xx, yy, xy) from these sources to all later vertices; ``mass`` is in the order of the neighbours."""
+def gyration_sums(c: Csr, xy: np.ndarray, mass: np.ndarray | None, sources: np.ndarray, sampling: int = 1) -> np.ndarray:
+    """The sums (xx, yy, xy) from these sources to every ``sampling``-th later vertex; ``mass`` is in the order of the neighbours."""
     out = np.zeros(3)
     for s in sources.tolist():
         dist = nearest_first(c, s)[0]
-        for t in range(s + 1, len(c.ids)):
+        for t in range(s + sampling, len(c.ids), sampling):
             v = t
             while np.isfinite(dist[t]) and v != s:
                 around = np.arange(c.start[v], c.start[v + 1])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import stored
+
 AXES = ("x", "y", "z")
 
 
@@ -44,8 +48,46 @@ def cutoff_graph(points: DataFrame, r_max: float, group: tuple[str, ...] = (), b
     return pairs.where(F.col("length") <= r_max)
 
 
-def knn_graph(points: DataFrame, k: int, r_max: float) -> DataFrame:
-    """Pairs (query, point, rank) of the k nearest within ``r_max``, of which those with query < point are edges."""
+def within(queries: DataFrame, points: DataFrame, r: float) -> DataFrame:
+    """(src, dst, length) for every query and every other point within ``r``; queries are sent to the 27 cubes around."""
+    at = [F.floor(F.col(a) / r).cast("long") for a in AXES]
+    cubes = F.array(*(F.struct(*((k + s).alias(n) for k, s, n in zip(at, step, "uvw", strict=True))) for step in product((-1, 0, 1), repeat=3)))
+    asked = queries.select(F.col("pid").alias("src"), *(F.col(a).alias(f"{a}0") for a in AXES), F.explode(cubes).alias("cube"))
+    held = points.select(F.col("pid").alias("dst"), *AXES, F.struct(*(k.alias(n) for k, n in zip(at, "uvw", strict=True))).alias("cube"))
+    gap = [F.col(a) - F.col(f"{a}0") for a in AXES]
+    length = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
+    return asked.join(held, "cube").where("src <> dst").select("src", "dst", length.alias("length")).where(F.col("length") <= r)
+
+
+def nearest(points: DataFrame, k: int) -> DataFrame:
+    """(src, dst, length, rank) of the k nearest others of every point, however far.
+
+    A radius that k points would share evenly is tried first; only points that
+    find fewer than k within it try again with twice the radius.
+    """
+    row = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{g}{a}") for a in AXES for f, g in ((F.min, "lo"), (F.max, "hi")))).first()
+    sides = [(row[f"hi{a}"] or 0.0) - (row[f"lo{a}"] or 0.0) for a in AXES]
+    far = math.sqrt(sum(x * x for x in sides)) or 1.0
+    least = min(k, row["n"] - 1)
+    r, open_, found = max(far / 1e6, far * (max(k, 1) / max(row["n"], 1)) ** (1 / 3)), points.select("pid", *AXES), None
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("length", "dst"))
+    while True:
+        near = stored(within(open_, points, r).withColumn("rank", rank).where(F.col("rank") <= k))
+        done = near.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src")
+        got = near.join(done, "src", "left_semi") if r < far else near
+        found = got if found is None else found.unionByName(got)
+        if r >= far:
+            return found
+        open_ = stored(open_.join(done.withColumnRenamed("src", "pid"), "pid", "left_anti"))
+        if open_.isEmpty():
+            return found
+        r = min(2 * r, far)
+
+
+def knn_graph(points: DataFrame, k: int, r_max: float | None = None) -> DataFrame:
+    """Pairs (query, point, rank) of the k nearest, within ``r_max`` if it is given, of which those with query < point are edges."""
+    if r_max is None:
+        return nearest(points, k).where("src < dst")
     near = cutoff_graph(points, r_max)
     both = near.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "length").select("e.*", "length")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("length", "dst"))

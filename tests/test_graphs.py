@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import components, flows, iterate, measures, paths
+from meshwright.errors import InvalidArgumentsError
+from meshwright.operators import components, flows, iterate, measures, paths, points
 from meshwright.schema import NetworkFrame
 
 PATH, CYCLE, STAR = [(0, 1), (1, 2), (2, 3)], [(0, 1), (1, 2), (2, 3), (0, 3)], [(0, 1), (0, 2), (0, 3)]
@@ -186,3 +187,62 @@ def test_gyration_of_a_line(spark):
     v = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 2.0, 3.0)], "id long, x double, y double")
     row = paths.gyration(NetworkFrame(v, e)).first()
     assert (row["xx"], row["yy"], row["xy"]) == (8.0, 36.0, 12.0)
+
+
+def test_nearest_of_points_far_and_near(spark):
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(50, 5, (7, 3)), [[1e4, 0, 0]]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "pid long, x double, y double, z double")
+    gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    want = {(i, int(j), k + 1) for i in range(len(at)) for k, j in enumerate([j for j in np.argsort(gap[i], kind="stable") if j != i][:3])}
+    assert {(r["src"], r["dst"], r["rank"]) for r in points.nearest(df, 3).collect()} == want
+    assert {(r["src"], r["dst"], r["rank"]) for r in points.knn_graph(df, 3).collect()} == {w for w in want if w[0] < w[1]}
+    assert points.nearest(df.limit(2), 5).count() == 2 and points.nearest(df.limit(0), 2).count() == 0
+
+
+def test_many_graphs_at_once(spark):
+    """Two frames: a path and a star; each solved as if alone."""
+    v = spark.createDataFrame([(f, 10 * f + i, float(i), 0.0, i == 0, i == 3) for f in (0, 1) for i in range(4)], "frame int, id long, x double, y double, low boolean, high boolean")
+    e = spark.createDataFrame([(f, 10 * f + a, 10 * f + b, 1.0) for f, pairs in ((0, PATH), (1, STAR)) for a, b in pairs], "frame int, src long, dst long, w double")
+    g = NetworkFrame(v, e)
+    wired = flows.with_terminals(g, flows.Terminals("x", (0.0, 0.0), (3.0, 3.0)), "w", by="frame")
+    got = {r["frame"]: (r["by_inverse"], r["by_determinants"]) for r in flows.effective_resistance(wired, by="frame").collect()}
+    assert np.allclose(got[0], 5) and np.allclose(got[1], 3)
+    for own in (flows.potentials(wired, by="frame"), flows.relaxed(wired, F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), by="frame")):
+        inflow = by_id(flows.inflows(wired, own), "inflow")
+        assert all(abs(x - (0 if i >= 0 else 1 if i % 2 else -1)) < 1e-8 for i, x in inflow.items())
+    walk = {(r["src"], r["dst"]): r["betweenness"] for r in flows.random_walk_betweenness(g, "low", "high", "w", by="frame").collect()}
+    assert np.allclose([walk[0, 1], walk[2, 3], walk[10, 13], walk[10, 11]], [1, 1, 1, 0])
+    assert {r["frame"]: r["average_nodal_connectivity"] for r in flows.average_nodal_connectivity(g, by="frame").collect()} == {0: 1.0, 1: 1.0}
+    q = {(r["row"], r["col"]): r["value"] for r in flows.pseudo_inverse(g, by="frame").collect()}
+    assert np.isclose(q[0, 0] + q[3, 3] - 2 * q[0, 3], 3) and (0, 10) not in q
+    assert flows.terminal_voxels(wired).where("src = -1").count() == 11
+    with pytest.raises(InvalidArgumentsError):
+        flows.relaxed(wired, F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), most=1, by="frame")
+
+
+def test_gyration_by_samples_and_both_ways(spark):
+    v = spark.createDataFrame([(i, i + 0.5, 0.0) for i in range(4)], "id long, x double, y double")
+    e = spark.createDataFrame([(a, b, 1.0, 1.0) for a, b in PATH], "src long, dst long, resistance double, conductance double")
+    g = NetworkFrame(v, e)
+    assert [paths.gyration(g, **how).first()["xx"] for how in ({}, {"ordered": True}, {"sampling": 2}, {"whole": True})] == [10.0, 20.0, 2.0, 10.0]
+
+
+def test_levels_against_heaps(spark):
+    """Distances and shares by whole levels agree with those by weight, all weights being one."""
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 30, (60, 2)) if a != b})
+    c = paths.csr(graph(spark, pairs, 30), "w")
+    targets = rng.random(30) < 0.5
+    for s in range(30):
+        assert (paths.lengths(c, s, False) == paths.lengths(c, s, True)).all()
+        for a, b in zip(paths.shares(c, s, targets, False), paths.shares(c, s, targets, True), strict=True):
+            assert np.allclose(a, b)
+
+
+def test_scratch_is_cleared(spark):
+    with iterate.scratch():
+        kept = iterate.stored(spark.range(3))
+        assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.stored_at).count()

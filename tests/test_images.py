@@ -338,3 +338,29 @@ def test_patches_and_masks(spark, image):
     out = learning.predicted(p, lambda a: np.full(len(a), 0.7)).first()
     assert out["v"] == 255
     assert {r["class"] for r in learning.as_classes(spark.createDataFrame([(5,), (9,)], "k int"), "k").collect()} == {0, 1}
+
+
+def test_windows_of_several_scales_and_settings(spark, image):
+    df, p = pixels(spark, image), learning.Params(half=1, scales=2, factor=3)
+    got = {r["scale"]: r["patch"] for r in learning.multi_scale(df, df.where("r = 3 AND c = 4"), p).collect()}
+    for scale, step in ((0, 1), (1, 3)):
+        want = [image[3 + i * step, 4 + j * step] / 255 - 0.5 for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert np.allclose(got[scale], want)
+    assert learning.Params.parse(p.to_ini()) == p and learning.Params.parse("[params]\nepochs = 9\nother = x").epochs == 9
+
+
+def test_stored_skeletons_and_options(spark, tmp_path):
+    at = [(5, c) for c in range(3, 9)] + [(9, 9)]
+    graphs.write_voxels(voxels(spark, at), str(tmp_path / "skeleton"))
+    g = graphs.read_skeleton(spark, str(tmp_path / "skeleton"), planar=True, giant=True)
+    assert g.vertices.count() == 2 and g.edges.count() == 1
+    assert graphs.read_skeleton(spark, str(tmp_path / "skeleton"), crop_to=[0, 0, 0, 2]).edges.count() == 1
+    o = imaging.Options(gamma=3.0, asize=7)
+    o.write(spark, str(tmp_path / "options"))
+    assert imaging.Options.read(spark, str(tmp_path / "options")) == o
+    with pytest.raises(InvalidArgumentsError):
+        weights.weighted(spark.range(1), ["FixedWidthConductance", "VariableWidthConductance"])
+    flat = spark.createDataFrame([(0.0, 1.0, 1.0)], "x double, y double, z double")
+    assert nematic.angles(flat).first()["angle"] == 45.0
+    with pytest.raises(TypeError):
+        nematic.angles(flat.withColumn("x", F.lit(1.0)))
