@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm import jaccard, packing, pii, quality
 from meshwright.llm.common import shared_dir, table
+from meshwright.operators.iterate import scratch
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the corpus is a table in the shared folder."""
+    """All stages over documents; between stages the corpus is a table in the shared folder, and a stage's own tables go."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
