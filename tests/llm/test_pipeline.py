@@ -1,11 +1,17 @@
-"""The pipeline's stages, each on what the one before kept."""
+"""The pipeline's stages, each on what the one before kept, and the whole against brute force."""
 
 import random
+import re
+from collections import defaultdict
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshwright.llm import pii
+from meshwright.llm import pii, quality
+from test_text import brute_classes, brute_resampling
+from tokenizers import Tokenizer
 
 
 def tables(spark, tmp_path):
@@ -69,3 +75,23 @@ def test_stages_of_nothing(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"none{k}"))
         docs = spark.read.parquet(str(tmp_path / f"none{k}"))
         assert docs.count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    texts = tables(spark, tmp_path)
+    _, _, drawn = brute_resampling(sorted(texts.items()), [(i, int(i % 6 > 0), 0) for i in range(240)], quality.SEED)
+    classes = brute_classes([(i, texts[i]) for i in sorted(drawn)])
+    wanted = {i for i in drawn if classes[i][0] == i}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    clean = {i: re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", texts[i]) for i in wanted}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids, sequences = defaultdict(list), defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == len(ids[r["doc_id"]]) and r["length"] == len(r["ids"]) // 4
+        ids[r["doc_id"]] += np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert ids == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in clean.items()}
+    for own in sequences.values():
+        ends = [0, *(a + n for a, n in sorted(own))]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024
+    assert len(sequences) <= sum(map(len, ids.values())) / 1024 * 1.02 + 1
