@@ -355,7 +355,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = docs.withColumn(own_key, key())
     kept = own.join(F.broadcast(stays) if small else stays, own["doc_id"].eqNullSafe(F.col(id_of)) & (own[own_key] == F.col(stays_key))).drop(id_of, stays_key)
     # equal rows may be repeated: as each class keeps one text and id, only those are dropped
-    once = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    once = found.groupBy(F.struct("doc_id", "key").alias("row")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()  # as one column, so that copies of a text are dealt apart
     return kept.drop(own_key) if once else kept.dropDuplicates(["doc_id", own_key]).drop(own_key)
 
 
