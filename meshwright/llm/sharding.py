@@ -172,8 +172,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, bins: int = BINS, few: int = FE
     sizes = named.groupBy("group", "salt").agg(F.sum("n").alias("n"))
     member = ranked(thin.join(named.drop("n"), ["key", "salt"]), sizes, "group", "key", "doc_id")
     by_rank = F.filter("runs", lambda x: x.high > F.col("rank"))[0]["shard"]
-    found = member.join(F.broadcast(runs_of), "group", "left").select("doc_id", "size", "text_crc32", "salt", "key", F.coalesce("whole", by_rank).alias("shard"))
-    found = stored(found)
+    found = member.join(F.broadcast(runs_of), "group", "left").select("doc_id", "size", "text_crc32", "key", F.coalesce("whole", by_rank).alias("shard"))
+    found = stored(found.withColumn("salt", share(parts, "doc_id", "key", F.lit("slot"))))  # a shard that ranks filled holds few of the other salts
     slotted = ranked(found, found.groupBy("shard", "salt").agg(F.count("*").alias("n")), "shard", "key", "doc_id")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
