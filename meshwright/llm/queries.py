@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op6_byte_bpe
 from .chat import SQL as CHAT_SQL
 from .chat import op3_chat_formatting
+from .divergence import SQL as DIVERGENCE_SQL
+from .divergence import op11_source_divergence
 from .fingerprints import op4_fingerprints
 from .jaccard import SQL as JACCARD_SQL
 from .jaccard import op5_ngram_jaccard
@@ -27,5 +29,6 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_divergence": op11_source_divergence,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL, "op11_source_divergence": DIVERGENCE_SQL}
