@@ -10,6 +10,8 @@ from .divergence import op11_source_divergence
 from .fingerprints import op4_fingerprints
 from .jaccard import SQL as JACCARD_SQL
 from .jaccard import op5_ngram_jaccard
+from .mixing import SQL as MIXING_SQL
+from .mixing import op12_source_mixing
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
 from .quality import op9_quality_resampling
@@ -30,5 +32,6 @@ QUERIES = {
     "op9_quality_resampling": op9_quality_resampling,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_source_mixing": op12_source_mixing,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL, "op11_source_divergence": DIVERGENCE_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_source_mixing": MIXING_SQL}
