@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_tokenizer_alignment
 from .bpe import op6_byte_bpe
 from .chat import SQL as CHAT_SQL
 from .chat import op3_chat_formatting
@@ -33,5 +34,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_source_divergence": op11_source_divergence,
     "op12_source_mixing": op12_source_mixing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 SQL: dict[str, str] = {"op3_chat_formatting": CHAT_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_source_mixing": MIXING_SQL}
