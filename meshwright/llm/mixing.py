@@ -134,13 +134,15 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     Rows that agree in doc_id, source and text are given as one row's copies.
     """
-    plan = schedule(docs, key, text, source, weights, passes)
-    per = plan.where("times > 0").groupBy("doc_id", "source", "turn").agg(F.sum("times").alias("times"), F.min("finish").alias("finish"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    turn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    one = docs.withColumn("__turn", turn).dropDuplicates([key, source, "__turn"])
-    both = one.join(per, F.col(key).eqNullSafe(per["doc_id"]) & F.col(source).eqNullSafe(per["source"]) & (F.col("__turn") == per["turn"]))
-    again = both.select(*(one[c] for c in docs.columns), F.explode(F.sequence(F.lit(0), per["times"].cast("int") - 1)).alias("__pass"), (per["source_size"] / per["target"]).alias("__round"), per["finish"].alias("__finish"), "__turn")
-    return again.orderBy(F.col("__finish") + F.col("__pass") * F.col("__round"), "__turn").select(*docs.columns)
+    own = lambda c: c + "_" * max(map(len, docs.columns))  # noqa: E731  longer than any other name
+    plan = schedule(docs, key, text, source, weights, passes).where("times > 0").groupBy("doc_id", "source", "turn")
+    per = plan.agg(F.sum("times").cast("int").alias(own("times")), F.min("finish").alias(own("finish")), F.first(F.col("source_size") / F.col("target")).alias(own("round")))
+    per = per.withColumnsRenamed({c: own(c) for c in ("doc_id", "source", "turn")})
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    one = docs.withColumn(own("own"), digest).dropDuplicates([key, source, own("own")])
+    both = one.join(per, F.col(key).eqNullSafe(F.col(own("doc_id"))) & F.col(source).eqNullSafe(F.col(own("source"))) & (F.col(own("own")) == F.col(own("turn"))))
+    again = both.withColumn(own("pass"), F.explode(F.sequence(F.lit(0), F.col(own("times")) - 1)))
+    return again.orderBy(F.col(own("finish")) + F.col(own("pass")) * F.col(own("round")), own("turn")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
