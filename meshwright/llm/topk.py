@@ -17,15 +17,18 @@ blocks answers with k rows a query. A query's own vec_id is no candidate for it.
 Vectors that are null, or hold null or non-finite components, take no part; a
 shorter vector counts as filled up with zeros. Of repeated vec_ids all rows are
 candidates, the first in component order is the query; rows with a null vec_id
-take no part. Quantised components beyond ``LARGEST`` count as that. Ranks
+take no part. Components are held as doubles, which are exact as they are whole;
+blocks with components beyond 53 bits count in integers of any length. Ranks
 follow the exact sums, however large; a score beyond a long is shown as the
-nearest long. An empty table gives no rows. Further columns, whatever their
-names, are left out.
+nearest long. A double whose quantised value is no double any more (beyond
+7e305) counts as not finite. An empty table gives no rows. Further columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,8 +40,8 @@ from .common import small_batches, stored, table
 K, SCALE, EVERY = 5, 256, 50
 #: Numbers in a block of the index (rows times dimensions), queries in a block of queries at most, and in one that is made small for more tasks.
 NUMBERS, QUERIES, FEWEST = 1 << 21, 8192, 64
-#: The largest size of a component; sums of a million products of two such fit 127 bits.
-LARGEST = 1 << 50
+#: Whole doubles below are machine integers; scores within are shown as they are.
+EXACT, LONGS = 1 << 53, (-(1 << 63), (1 << 63) - 1)
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -54,7 +57,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order].astype(np.int64)
+        self.ids, self.values = ids[order], values[order]
         self.largest = int(np.abs(self.values).max(initial=0))
         base = self.values.min(0)
         above = (self.values - base).T
@@ -63,14 +66,14 @@ class Index:
         #: dimension and digit of every slice; the slices, and after them their complements
         self.dimension = np.repeat(np.arange(len(width)), width)
         self.digit = np.concatenate([np.arange(w) for w in width]).astype(np.int64)
-        plain = [packed((row >> np.arange(w)[:, None]) & 1 == 1) for row, w in zip(above, width, strict=True) if w]
+        plain = [packed((row >> np.arange(w).astype(row.dtype)[:, None]) & 1 == 1) for row, w in zip(above, width, strict=True) if w]
         slices = np.concatenate([np.zeros((0, len(self.all)), "<u8"), *plain])
         self.slices = np.concatenate([slices, slices ^ self.all])
 
     def added(self, query: np.ndarray) -> list[np.ndarray]:
         """The slices of the sum over dimensions of component times value, up to a constant; least significant first."""
         size = np.abs(query)[self.dimension]
-        digits = np.arange(int(size.max(initial=0)).bit_length())
+        digits = np.arange(int(size.max(initial=0)).bit_length()).astype(size.dtype)
         used, of = np.nonzero((size >> digits[:, None]) & 1)
         weight = used + self.digit[of]
         of = of + len(self.dimension) * (query[self.dimension[of]] < 0)
@@ -115,20 +118,32 @@ class Index:
         return np.concatenate([places(sure), rest])
 
 
-def scores(values: np.ndarray, query: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inner products in two longs, high and low 63 bits."""
+def scores(values: np.ndarray, query: np.ndarray, largest: int) -> tuple[np.ndarray, list[bytes]]:
+    """Inner products as longs, and bytes whose order is that of the products that are shown as the same long."""
     if largest * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 62:
-        exact = values @ query
-    else:
-        exact = np.array([sum(map(int.__mul__, row, query.tolist())) for row in values.tolist()], object)
-    return (exact >> 63).astype(np.int64), (exact & ((1 << 63) - 1)).astype(np.int64)
+        exact = values.astype(np.int64) @ query.astype(np.int64)
+        return exact, [b"\x80"] * len(exact)
+    exact = [sum(map(int.__mul__, row, query.tolist())) for row in values.tolist()]
+    return np.array([min(max(x, LONGS[0]), LONGS[1]) for x in exact], np.int64), [*map(beyond, exact)]
+
+
+def beyond(x: int) -> bytes:
+    """Bytes in the order of numbers that are shown as the same long: longer ones and larger ones later, negative ones the other way round."""
+    if LONGS[0] <= x <= LONGS[1]:
+        return b"\x80"
+    size = (abs(x).bit_length() + 7) // 8
+    data = size.to_bytes(2, "big") + abs(x).to_bytes(size, "big")
+    return b"\xff" + data if x > 0 else b"\x00" + bytes(255 - b for b in data)
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): whole vectors only, components as integers."""
-    clean = F.expr(f"`{vector}` IS NOT NULL AND NOT exists(`{vector}`, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
-    most = F.lit(float(LARGEST))
-    whole = lambda x: F.floor(F.greatest(-most, F.least(most, x.cast("double") * scale))).cast("long")
+    """(vec_id, v): whole vectors only, components as whole doubles."""
+    clean = F.expr(f"`{vector}` IS NOT NULL AND NOT exists(`{vector}`, x -> x IS NULL OR isnan(x) OR abs(CAST(x AS double) * {scale}) = double('infinity'))")
+
+    def whole(x):
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)  # doubles that large are whole
+
     return vectors.where(F.col(key).isNotNull()).where(clean).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, whole).alias("v"))
 
 
@@ -139,10 +154,13 @@ def blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 
 def matrix(rows: np.ndarray, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
+    """Rows filled up with zeros: machine integers, or Python's where one is too large."""
+    out = np.zeros((len(rows), dims))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    return out
+    if np.abs(out).max(initial=0.0) < EXACT:
+        return out.astype(np.int64)
+    return np.array([[*map(int, row)] for row in out.tolist()], object).reshape(out.shape)
 
 
 def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE, every: int = EVERY) -> DataFrame:
@@ -170,15 +188,13 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
                 for own, query in zip(r.q_ids, matrix(r.q_v, dims), strict=True):
                     at = built.top(query, own, k)
                     out.append((np.full(len(at), own), built.ids[at], *scores(built.values[at], query, built.largest)))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "high", "low"), cols, strict=True)))
+                own, at, score, rest = zip(*out, strict=True)
+                yield pd.DataFrame({"query_id": np.concatenate(own), "vec_id": np.concatenate(at), "score": np.concatenate(score), "beyond": [*chain.from_iterable(rest)]})
 
     spread = queries.join(index, "r").repartition(n_blocks * n_query_blocks, "r", "q")
-    best = spread.mapInPandas(run, "query_id long, vec_id long, high long, low long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
-    least = F.lit(-(1 << 63))
-    score = F.when(F.col("high") == 0, F.col("low")).when(F.col("high") == -1, F.col("low") + least).when(F.col("high") > 0, (1 << 63) - 1).otherwise(least)
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+    best = spread.mapInPandas(run, "query_id long, vec_id long, score long, beyond binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -561,13 +561,42 @@ def test_top_k_over_blocks(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(few).collect()} == brute_top(rows[:3])
 
 
+def exact_top(rows, k=5, every=50):
+    """By Python's integers, nothing clipped but the score that is shown."""
+    whole = lambda x: math.floor(256 * x) if abs(x) < 2.0**45 else int(x) * 256
+    q = [(i, [*map(whole, v)]) for i, v in rows]
+    out = set()
+    for own, v in (r for r in q if r[0] % every == 0):
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in q if i != own)[:k]
+        out |= {(own, n, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(best, 1)}
+    return out
+
+
 def test_top_k_of_large_components(spark):
     rng = random.Random(17)
-    rows = [(i, [rng.choice([-1, 1]) * 10 ** rng.uniform(0, 12) for _ in range(5)]) for i in range(150)] + [(200, [3e38, -3e38]), (201, [3e38, 0.0]), (250, [1e7, -8.5e6, 0.1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    clipped = [(i, [min(max(x, -topk.LARGEST / 256), topk.LARGEST / 256) for x in v]) for i, v in rows]
-    want = {(q, n, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, n, i, s in brute_top(clipped)}
-    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+    size = lambda most: rng.choice([-1, 1]) * 10 ** rng.uniform(0, most)
+    for kind, rows in {
+        "double": [(i, [size(12) for _ in range(5)]) for i in range(150)] + [(200, [3e38, -3e38]), (201, [3e38, 0.0]), (250, [1e7, -8.5e6, 0.1]), (300, [1e300, 1.0])],
+        "float": [(i, [float(np.float32(size(38) if i % 3 else size(1))) for _ in range(3)]) for i in range(150)],
+    }.items():
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+        assert {tuple(r) for r in topk.top_k(df).collect()} == exact_top(rows)
+
+
+def test_top_k_of_scores_beyond_a_long(spark):
+    rows = [(0, [1.0, 0.0]), *((k, [k * 1e13, 0.0]) for k in range(1, 7))]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [6, 5, 4, 3, 2] and [r["score"] for r in got] == [k * 10**13 * 256 * 256 for k in (6, 5, 4, 3, 2)]
+    far = [(0, [1e38]), *((k, [s * k * 1e30]) for k in range(1, 4) for s in (1,)), *((10 + k, [-k * 1e30]) for k in range(1, 4))]
+    got = topk.top_k(spark.createDataFrame(far, "vec_id long, embedding array<double>"), k=6).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 2, 1, 11, 12, 13] and {r["score"] for r in got} == {-(1 << 63), (1 << 63) - 1}
+    assert topk.top_k(spark.createDataFrame([(0, [1e308]), (1, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+@given(st.lists(st.integers(-(1 << 150), 1 << 150), min_size=2, max_size=2))
+def test_bytes_beyond_longs_are_in_order(two):
+    key = lambda x: (min(max(x, -(1 << 63)), (1 << 63) - 1), topk.beyond(x))
+    assert (key(two[0]) < key(two[1])) == (two[0] < two[1])
 
 
 # --- quality ---
