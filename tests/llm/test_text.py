@@ -130,7 +130,7 @@ def test_secrets_of_any_length_case_and_nesting():
     big = long_der(0x30, der(2, b"\0") + long_der(4, bytes(200_000)))
     body = "\n".join(re.findall(".{1,64}", base64.b64encode(big).decode()))
     text = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
-    assert kinds(text) == ["pem"] and secrets.n_public(text, secrets.find(text)) == 0
+    assert kinds(text) == ["pem"] and n_public(text) == 0
     deep = der(2, b"\1")
     for _ in range(3000):
         deep = long_der(0x30, deep)
@@ -147,8 +147,98 @@ def test_public_keys_are_counted_apart():
     private = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 129))) + der(2, b"\1\0\1"))
     pem = lambda label, data: f"-----BEGIN {label}-----\n{base64.b64encode(data).decode()}\n-----END {label}-----"
     text = f"{pem('PUBLIC KEY', public)} {pem('RSA PRIVATE KEY', private)} {private.hex()} {base64.b64encode(public).decode()}"
-    spans = secrets.find(text)
-    assert [k for k, _, _ in spans if k not in secrets.BASE] == ["pem", "pem", "der", "der"] and secrets.n_public(text, spans) == 2
+    assert [k for k, _, _ in secrets.find(text) if k not in secrets.BASE] == ["pem", "pem", "der", "der"] and n_public(text) == 2
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86")) + der(4, bytes(80)))
+    assert n_public(pem("ENCRYPTED PRIVATE KEY", locked)) == 0 and len(secrets.find(pem("ENCRYPTED PRIVATE KEY", locked))) == 1
+
+
+def n_public(text):
+    return sum(s[3] for s in secrets.ordered(text))
+
+
+def confirmed(text):
+    return [(k, text[a:b]) for k, a, b in secrets.find(text) if k not in secrets.BASE]
+
+
+RSA = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 129))) + der(2, b"\1\0\1"))
+
+
+def lines(data, width=64, end="\n"):
+    return end.join(re.findall(f".{{1,{width}}}", base64.b64encode(data).decode()))
+
+
+def test_keys_in_other_clothes():
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines(RSA)}\n-----END RSA PRIVATE KEY-----\n"
+    twice = base64.b64encode(pem.encode()).decode()
+    assert confirmed(f"tls.key: {twice} # of the cluster") == [("pem", twice)]
+    assert confirmed(f"data: {base64.b64encode(base64.b64encode(RSA)).decode()}") == [("der", base64.b64encode(base64.b64encode(RSA)).decode())]
+    escaped = pem.strip().replace("\n", "\\n")
+    assert confirmed('{"key": "' + escaped + '\\n"}') == [("pem", escaped)] and confirmed(escaped.replace("\\n", "\\r\\n"))[0][0] == "pem"
+    for end in ("\n", "\r\n", "\n    ", "\\n"):
+        body = lines(RSA, 76, end)
+        assert confirmed(f"key: {body} rest") == [("der", body)]
+        assert confirmed(f"key: {body}{end}andmore of it") == [("der", body)]
+    assert confirmed(f"key: {lines(RSA[:5] + bytes([9]) + RSA[6:])}") == []
+    wrapped = lines(pem.encode(), 60)
+    assert confirmed(f"x {wrapped}") == [("pem", wrapped)]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: {},{}\n\n"
+    locked = lambda h, n: f"-----BEGIN RSA PRIVATE KEY-----\n{h}{lines(bytes(range(n)))}\n-----END RSA PRIVATE KEY-----"
+    assert [k for k, _ in confirmed(locked(head.format("AES-128-CBC", "0A" * 16), 96))] == ["pem"]
+    assert [k for k, _ in confirmed(locked(head.format("DES-EDE3-CBC", "0A" * 8), 96))] == ["pem"]
+    assert confirmed(locked(head.format("AES-128-CBC", "0A" * 16), 97)) == confirmed(locked(head.format("NONE", "0A" * 16), 96)) == confirmed(locked("Comment: none\n\n", 96)) == []
+
+
+def test_time_grows_with_the_length():
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    line = f'token="{part({"alg": "HS256"})}.{part({"sub": 1})}.abc_def"\n'
+    took = {}
+    for n in (16_000, 64_000):
+        start = time.perf_counter()
+        assert len(secrets.find(line * n)) >= 2 * n
+        took[n] = time.perf_counter() - start
+    assert took[64_000] < 6 * took[16_000]
+    start = time.perf_counter()
+    secrets.find("MIIEpAIBAAKCAQEA" * 4 + "\n" + "MIIEpAIBAAKCAQEAabcd\n" * 50_000)
+    secrets.find("-----BEGIN PRIVATE KEY-----\nAAAA\n" * 30_000)
+    assert time.perf_counter() - start < 20
+
+
+def plain_der(data):
+    """A second parser, by recursion: whether bytes are whole elements, constructed ones likewise inside."""
+    while data:
+        if len(data) < 2:
+            return False
+        tag, n, at = data[0], data[1], 2
+        if n >= 128:
+            k = n - 128
+            if not 1 <= k <= 4 or len(data) < 2 + k:
+                return False
+            n, at = int.from_bytes(data[2 : 2 + k], "big"), 2 + k
+        if len(data) < at + n or (tag & 32 and not plain_der(data[at : at + n])):
+            return False
+        data = data[at + n :]
+    return True
+
+
+def nested_der():
+    leaf = st.tuples(st.sampled_from([2, 3, 4, 6]), st.binary(max_size=9)).map(lambda x: der(*x))
+    return st.recursive(leaf, lambda inner: st.tuples(st.sampled_from([0x30, 0x31, 0xA0]), st.lists(inner, min_size=1, max_size=4)).map(lambda x: der(x[0], b"".join(x[1]))), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(nested_der(), min_size=1, max_size=4), st.integers(0, 400), st.integers(0, 255))
+def test_random_nesting_against_a_second_parser(parts, at, byte):
+    data = bytearray(der(0x30, der(2, b"\0") + b"".join(parts)))
+    for changed in (False, True):
+        if changed:
+            data[at % len(data)] = byte
+        raw = bytes(data)
+        whole = len(raw) >= 12 and raw[0] == 0x30 and plain_der(raw) and len(raw) == secrets.tlv(raw, 0, len(raw))[2] and raw[secrets.tlv(raw, 0, len(raw))[1]] in (2, 0x30)
+        assert secrets.is_der(raw) == whole
+        if whole and not changed:
+            for text in (base64.b64encode(raw).decode(), lines(raw, 20)):
+                if len(base64.b64encode(raw)) >= 20:
+                    assert [k for k, _ in confirmed(f"= {text} .")][:1] == ["der"]
 
 
 def test_secrets_over_rows(spark):
