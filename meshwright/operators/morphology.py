@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -16,6 +15,7 @@ from ..schema import NetworkFrame
 from .components import components
 from .groups import by_keys
 from .iterate import stored
+from .thinning import skeletons
 
 AT = ["image_id", "z", "r", "c"]
 AROUND = [(z, r, c) for z, r, c in product((-1, 0, 1), repeat=3) if (z, r, c) != (0, 0, 0)]
@@ -136,87 +136,14 @@ def voxel_graph(voxels: DataFrame) -> NetworkFrame:
     return NetworkFrame(own.select("id"), at.join(own.withColumnRenamed("id", "dst"), AT).select("src", "dst"))
 
 
-def thinned_plane(image: np.ndarray) -> np.ndarray:
-    """Zhang and Suen's thinning of a plane."""
-    on = np.pad(image.astype(bool), 1)
-    while True:
-        changed = False
-        for phase in (0, 1):
-            p = [on[:-2, 1:-1], on[:-2, 2:], on[1:-1, 2:], on[2:, 2:], on[2:, 1:-1], on[2:, :-2], on[1:-1, :-2], on[:-2, :-2]]
-            n = sum(x.astype(int) for x in p)
-            turns = sum((~a & b).astype(int) for a, b in zip(p, [*p[1:], p[0]], strict=True))
-            a, b = ((p[0] & p[2] & p[4]), (p[2] & p[4] & p[6])) if phase == 0 else ((p[0] & p[2] & p[6]), (p[0] & p[4] & p[6]))
-            gone = on[1:-1, 1:-1] & (n >= 2) & (n <= 6) & (turns == 1) & ~a & ~b
-            if gone.any():
-                on[1:-1, 1:-1] &= ~gone
-                changed = True
-        if not changed:
-            return on[1:-1, 1:-1]
-
-
-def _pieces(cells: set[tuple[int, int, int]], near) -> list[set[tuple[int, int, int]]]:
-    out, left = [], set(cells)
-    while left:
-        stack = [left.pop()]
-        own = set(stack)
-        while stack:
-            p = stack.pop()
-            found = {q for q in left if near(p, q)}
-            left -= found
-            own |= found
-            stack += found
-        out.append(own)
-    return out
-
-
-@lru_cache(maxsize=1 << 18)
-def is_simple(cells: bytes) -> bool:
-    """Whether the centre of a 3 by 3 by 3 cube of booleans can go without changing topology: one object piece around it, one piece of background that touches its faces."""
-    cube = np.frombuffer(cells, bool).reshape(3, 3, 3)
-    touching = lambda p, q: max(abs(a - b) for a, b in zip(p, q, strict=True)) <= 1
-    by_face = lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1
-    on = {s for s in AROUND if cube[s[0] + 1, s[1] + 1, s[2] + 1]}
-    if len(_pieces(on, touching)) != 1:
-        return False
-    off = {s for s in AROUND if s not in on and sum(map(abs, s)) <= 2}
-    return sum(any(sum(map(abs, s)) == 1 for s in piece) for piece in _pieces(off, by_face)) == 1
-
-
-def thinned_volume(volume: np.ndarray) -> np.ndarray:
-    """Simple points off each side in turn (no side along an axis of one voxel), ends kept, until none is left."""
-    on = np.pad(volume.astype(bool), 1)
-    sides = [s for axis in range(3) if volume.shape[axis] > 1 for s in np.vstack([np.eye(3, dtype=int)[axis], -np.eye(3, dtype=int)[axis]]).tolist()]
-    changed = True
-    while changed:
-        changed = False
-        for dz, dr, dc in sides:
-            border = on & ~np.roll(on, (dz, dr, dc), (0, 1, 2))
-            candidates = [tuple(p) for p in np.argwhere(border) if on[p[0] - 1 : p[0] + 2, p[1] - 1 : p[1] + 2, p[2] - 1 : p[2] + 2].sum() > 2]
-            for z, r, c in candidates:
-                cube = on[z - 1 : z + 2, r - 1 : r + 2, c - 1 : c + 2]
-                if cube.sum() > 2 and is_simple(cube.tobytes()):
-                    on[z, r, c] = False
-                    changed = True
-    return on[1:-1, 1:-1, 1:-1]
-
-
 def by_image(voxels: DataFrame, kernel: Callable[[int, np.ndarray], list[pd.DataFrame]], schema: str) -> DataFrame:
     """``kernel`` on every image's id and voxels (rows of z, r, c in raster order); many small images share a batch."""
     return by_keys(voxels.select(*AT), 1, lambda key, at: kernel(key[0], at), schema)
 
 
 def skeletonize(voxels: DataFrame) -> DataFrame:
-    """Skeletons image by image; a stack of one slice is thinned as a plane."""
-
-    def of_image(image: int, at: np.ndarray) -> list[pd.DataFrame]:
-        low = at.min(0)
-        volume = np.zeros(at.max(0) - low + 1, bool)
-        volume[tuple((at - low).T)] = True
-        thin = thinned_plane(volume[0])[None] if volume.shape[0] == 1 else thinned_volume(volume)
-        z, r, c = (np.argwhere(thin) + low).T.astype("int32")
-        return [pd.DataFrame({"image_id": np.full(len(z), image), "z": z, "r": r, "c": c})]
-
-    return by_image(voxels, of_image, "image_id long, z int, r int, c int")
+    """Skeletons image by image; a stack of one slice is thinned as a volume one voxel thick."""
+    return skeletons(voxels)
 
 
 def debubble(voxels: DataFrame, radii: list[int], box: DataFrame, planar: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 """Filters, morphology, skeletons and their graphs, by hand and against numpy."""
 
+from itertools import product
 import struct
 import zlib
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshwright.errors import ImageDirectoryError, InvalidArgumentsError, StructuralElementError
 from meshwright.functions import geometry as geo
-from meshwright.operators import imaging, learning, morphology, nematic, skeleton, weights
+from meshwright.operators import imaging, learning, morphology, nematic, skeleton, thinning, weights
 from meshwright.plans import queries
 from meshwright.sources import graphs
 from meshwright.sources import images as files
@@ -129,18 +130,79 @@ def test_closing_fills_a_hole(spark):
         morphology.debubble(ring, 1, box)
 
 
-def test_thinning_keeps_topology(spark):
-    bar = np.zeros((9, 20), bool)
-    bar[2:7, 2:18] = True
-    thin = morphology.thinned_plane(bar)
-    assert 0 < thin.sum() < 20 and not (thin & ~bar).any()
+def blobs(shape, seed, share=0.35):
+    """Smooth random shapes."""
+    x = np.random.default_rng(seed).random(shape)
+    for axis in range(3):
+        if shape[axis] > 1:
+            for _ in range(3):
+                x = (x + np.roll(x, 1, axis) + np.roll(x, -1, axis)) / 3
+    return x > np.quantile(x, 1 - share)
+
+
+def test_thinning_keeps_topology():
+    bar = np.zeros((1, 9, 20), bool)
+    bar[0, 2:7, 2:18] = True
+    thin = thinning.thinned(bar.copy(), (True, False, False))
+    assert 10 <= thin.sum() < 20 and not (thin & ~bar).any()
     ring = np.zeros((1, 12, 12), bool)
     ring[0, 1:11, 1:11] = True
     ring[0, 4:8, 4:8] = False
-    out = morphology.thinned_volume(ring)
-    left = {tuple(p) for p in np.argwhere(out)}
+    left = {tuple(p) for p in np.argwhere(thinning.thinned(ring, (True, False, False)))}
     near = lambda p: [q for s in morphology.AROUND if (q := (p[0] + s[0], p[1] + s[1], p[2] + s[2])) in left]
-    assert all(len(near(p)) == 2 for p in left)  # one closed line
+    assert left and all(len(near(p)) == 2 for p in left)  # one closed line
+    for seed in range(4):
+        before = blobs((12, 14, 16), seed)
+        after = thinning.thinned(before.copy(), (False,) * 3)
+        assert 0 < after.sum() < before.sum() and not (after & ~before).any() and euler(after) == euler(before)
+
+
+def euler(on):
+    """Vertices less edges plus faces less cells of the closed voxels: pieces less tunnels plus hollows."""
+    wide = np.pad(on, 1)
+    total = 0
+    for spans in product((0, 1), repeat=3):  # an element is held if some voxel around it is
+        held = np.zeros([n - 1 for n in wide.shape], bool)
+        for shift in product(*((0, 1) if not s else (0,) for s in spans)):
+            held |= wide[tuple(slice(k, k + n - 1) for k, n in zip(shift, wide.shape, strict=True))]
+        total += (-1) ** sum(spans) * int(held.sum())
+    return total
+
+
+def test_simple_points_by_search():
+    def pieces(cells, near):
+        out, left = [], set(cells)
+        while left:
+            stack = [left.pop()]
+            own = set(stack)
+            while stack:
+                p = stack.pop()
+                found = {q for q in left if near(p, q)}
+                left -= found
+                own |= found
+                stack += found
+            out.append(own)
+        return out
+
+    def searched(code):
+        on = {c for n, c in enumerate(thinning.CELLS) if code >> n & 1 and any(c)}
+        off = {c for c in thinning.CELLS if c not in on and 1 <= sum(map(abs, c)) <= 2}
+        touching = pieces(on, lambda p, q: max(abs(a - b) for a, b in zip(p, q, strict=True)) <= 1)
+        through = pieces(off, lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1)
+        return len(touching) == 1 and sum(any(sum(map(abs, s)) == 1 for s in p) for p in through) == 1
+
+    rng = np.random.default_rng(3)
+    codes = np.concatenate([(rng.random((800, 27)) < share) @ (1 << np.arange(27)) for share in (0.2, 0.5, 0.85)]).astype(np.int32) | 1 << thinning.CENTRE
+    assert thinning.simple(codes).tolist() == [searched(int(c)) for c in codes]
+
+
+def test_tiles_are_thinned_as_the_whole(spark):
+    volumes = {1: blobs((30, 34, 150), 5), 2: blobs((1, 60, 140), 6), 3: blobs((20, 20, 20), 7)}
+    rows = [(i, int(z) - 7, int(r) + 100, int(c) - 70) for i, v in volumes.items() for z, r, c in np.argwhere(v)]
+    df = spark.createDataFrame([*rows, (4, 0, 0, 0), (4, 90_000, -90_000, 90_000)], "image_id long, z int, r int, c int")
+    whole = {tuple(r) for r in thinning.in_one_task(df.where("image_id < 4")).collect()}
+    got = {tuple(r) for r in thinning.skeletons(df, box=10_000, passes=1, side=16, words=1).collect()}
+    assert {r for r in got if r[0] < 4} == whole and {r for r in got if r[0] == 4} == {(4, 0, 0, 0), (4, 90_000, -90_000, 90_000)}
 
 
 def test_remove_objects(spark):
