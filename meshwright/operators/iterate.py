@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: At most this many keys are broadcast as hot ones; a key is hot if it holds more than its share of the rows, and not few of them.
@@ -78,3 +78,13 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, outer
     both = at.withColumn("__salt", salt).join(table.select(key, F.lit(0).alias("__salt"), F.struct(*own).alias("__rest")), [key, "__salt"], "left")
     found = both.withColumn("__got", F.coalesce("__few", "__rest"))
     return (found if outer else found.where(F.col("__got").isNotNull())).select(*rows.columns, *(F.col("__got")[c].alias(c) for c in own))
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 0 among those that agree in ``by``, in ``order``; ranges of rows are numbered apart, so no task gets all of a group."""
+    part, own = f"{name}_part", stored(rows.repartitionByRange(*by, *order).withColumn(f"{name}_part", F.spark_partition_id()))
+    sizes = own.groupBy(*by, part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*by, part, F.coalesce(before, F.lit(0)).alias(f"{name}_before"))  # a row per range and group
+    within = F.row_number().over(Window.partitionBy(*by, part).orderBy(*order)) - 1
+    return own.withColumn(name, within).join(sizes, [*by, part]).withColumn(name, F.col(name) + F.col(f"{name}_before")).drop(part, f"{name}_before")

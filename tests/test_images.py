@@ -426,3 +426,29 @@ def test_stored_skeletons_and_options(spark, tmp_path):
     assert nematic.angles(flat).first()["angle"] == 45.0
     with pytest.raises(TypeError):
         nematic.angles(flat.withColumn("x", F.lit(1.0)))
+
+
+def as_graph(g):
+    spots = lambda pts: tuple((p["z"], p["r"], p["c"]) for p in pts)
+    v = {(r["image_id"], r["id"], r["z"], r["y"], r["x"], spots(r["pts"])) for r in g.vertices.collect()}
+    return v, {(r["image_id"], r["eid"], r["src"], r["dst"], spots(r["pts"])) for r in g.edges.collect()}
+
+
+def test_pointer_doubling_traces_as_one_task_does(spark):
+    rng = np.random.default_rng(4)
+    images = {0: AT_3D, 1: [(0, r, c) for r, c in AT], 2: [(0, 5, 5)], 3: [(0, 0, c) for c in range(40)]}
+    images[4] = [(0, r, c) for r in range(10) for c in range(10) if r in (0, 9) or c in (0, 9)]  # one ring
+    images[5] = [tuple(p) for p in np.argwhere(thinning.thinned(blobs((1, 40, 40), 8), (True, False, False)))]
+    images[6] = [tuple(p) for p in np.argwhere(thinning.thinned(blobs((14, 16, 18), 9), (False,) * 3))]
+    images[7] = [tuple(p) for p in np.argwhere(rng.random((1, 14, 14)) < 0.3)]
+    images[8] = [(0, 0, 0), (0, 0, 1), (0, 1, 0)]  # a ring of three
+    df = spark.createDataFrame([(i, *map(int, p)) for i, at in images.items() for p in at], "image_id long, z int, r int, c int")
+    for options in ((False, True, True), (True, False, False)):
+        assert as_graph(skeleton.by_doubling(df, *options)) == as_graph(skeleton.in_one_task(df, *options))
+    mixed = skeleton.vectorised(df, few=50)
+    assert as_graph(mixed) == as_graph(skeleton.in_one_task(df, False, True, True))
+    nothing = skeleton.by_doubling(df.limit(0))
+    assert nothing.vertices.count() == nothing.edges.count() == 0
+
+
+AT_3D = [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 2), (4, 4, 2), (2, 2, 3), (2, 1, 4), (9, 9, 9)]
