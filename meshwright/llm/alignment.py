@@ -8,17 +8,14 @@ every one of the other side. Links are then counted over the corpus: in how many
 documents an id pair is linked, and which pairs are the most frequent of their
 first id.
 
-A text is cut before every space or line end that follows a non-blank. No token
-of either side spans such a place (which is checked once for the vocabulary), so
-parts are encoded and grouped apart, and frequent ones are kept in a cache of
-bounded size. What a document links is a list of distinct id pairs with how often
-each is linked, so a group of many tokens makes no more pairs than it has
-distinct ids. The counts of pairs go to every task if they are at most
-``BROADCAST_PAIRS``; otherwise they are joined by a shuffle that bears hot pairs.
+What a document links is a list of distinct id pairs with how often each is
+linked, so a group of many tokens makes no more pairs than it has distinct ids.
+The counts of pairs go to every task if they are at most ``BROADCAST_PAIRS``;
+otherwise they are joined by a shuffle that bears hot pairs.
 
 Null and empty texts, and those of which either side's tokens do not spell the
-same bytes, have no tokens: zeros and an empty digest. Very long texts and parts
-are encoded whole. Repeated rows and doc_ids, null ones too, give a row each and
+same bytes, have no tokens: zeros and an empty digest. Very long texts are
+encoded whole. Repeated rows and doc_ids, null ones too, give a row each and
 count as documents each. Ties for an id's most frequent pair all count. An empty
 table gives no rows. Further columns, whatever their names, are left out.
 """
@@ -26,7 +23,6 @@ table gives no rows. Further columns, whatever their names, are left out.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,109 +33,96 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ..operators.iterate import hot_keys, looked_up
-from .bpe import byte_table
+from .bpe import Encoder
 from .common import small_batches, stored, table
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Parts kept per worker and generation (there are two), the longest of them, and how many counted pairs go to every task.
-CACHE_PARTS, CACHE_CHARS, BROADCAST_PAIRS = 100_000, 48, 2_000_000
+#: How many counted pairs go to every task; links of a group that are listed one by one.
+BROADCAST_PAIRS, MOST_LINKS = 2_000_000, 4096
 
-_parts = re.compile(r"(?<=\S)(?=[ \n])").split
 
+def overlap_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each token of both sides, numbered in order; tokens overlap if their ranges share a byte.
 
-def overlap_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """The component of each token of both sides, numbered in order; tokens overlap if their ranges share a byte."""
+    Union-find over all overlaps at once: trees hook onto the lesser root, then paths are halved, until every overlap lies in one tree.
+    """
     n_a = len(ends_a)
-    above = list(range(n_a + len(ends_b)))
-
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = x = above[above[x]]
-        return x
-
-    i = j = 0
-    while i < n_a and j < len(ends_b):
-        a, b = root(i), root(n_a + j)
-        above[max(a, b)] = min(a, b)  # a component's first token of the first side is its root
-        gap = ends_a[i] - ends_b[j]
-        i += gap <= 0
-        j += gap >= 0
-    numbers: dict[int, int] = {}
-    of = [numbers.setdefault(root(x), len(numbers)) for x in range(len(above))]
-    return of[:n_a], of[n_a:]
-
-
-class Aligner(dict):
-    """What both tokenizers make of parts: (groups as text, distinct link codes, their numbers, tokens of either side); None if bytes differ."""
+    cuts = np.union1d(ends_a, ends_b)
+    x, y = np.searchsorted(ends_a, cuts), n_a + np.searchsorted(ends_b, cuts)  # an overlap for every piece between two ends
+    above = np.arange(n_a + len(ends_b))
+    while True:
+        roots = above[x], above[y]
+        apart = np.flatnonzero(roots[0] != roots[1])
+        if not len(apart):
+            break
+        one, other = roots[0][apart], roots[1][apart]
+        np.minimum.at(above, np.maximum(one, other), np.minimum(one, other))
+        while (above[above] != above).any():
+            above = above[above]
+    # a component's root is its least vertex, its first token of the first side
+    of_a = np.cumsum(above[:n_a] == np.arange(n_a)) - 1
+    return of_a, of_a[above[n_a:]]
+
+
+class Aligner:
+    """Both tokenizers, and what they make of a text."""
 
     def __init__(self, first: str, second: str) -> None:
-        super().__init__()
-        self.older: dict[str, tuple | None] = {}
-        self.a = Tokenizer.from_file(first)
-        self.a.encode_special_tokens = True
+        with open(first, encoding="utf-8") as f:
+            self.a = Encoder(f.read())
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
-        from_char = {c: b for b, c in byte_table().items()}
-        spelled = lambda name: bytes(from_char[c] for c in name) if all(c in from_char for c in name) else name.encode()
-        self.bytes_a = [spelled(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
+        self.bytes_a = self.a.token_bytes
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
+        self.lengths = [np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b)]
         self.size_b = len(names)
-        self.blank = self.b.piece_to_id("▁")
-        spans = lambda name: re.search(r"\S[ \n]", name) is not None
-        #: Whether parts can be encoded apart.
-        self.apart = not any(spans(x.decode("utf-8", "replace")) for x in (*self.bytes_a, *self.bytes_b)) and not any("\n" in name for name in names)
-
-    def ids_b(self, part: str) -> list[int]:
-        """The second side's ids of a part; the library puts a space before what it is given."""
-        if part[0] == " ":
-            return self.b.encode(part[1:]) if len(part) > 1 else [self.blank]
-        ids = self.b.encode(part)
-        return ids[1:] if ids and ids[0] == self.blank else [self.b.unk_id()]
-
-    def aligned(self, part: str) -> tuple | None:
-        a, b = self.a.encode(part, add_special_tokens=False).ids, self.ids_b(part)
-        spelled_a, spelled_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        raw = part.encode()
-        if b"".join(spelled_a) != raw or b"".join(spelled_b) != raw:
-            return None
-        of_a, of_b = overlap_groups(np.cumsum([*map(len, spelled_a)]).tolist(), np.cumsum([*map(len, spelled_b)]).tolist())
-        sides: list[tuple[list[int], list[int]]] = [([], []) for _ in range(of_a[-1] + 1)]
-        for k, ids, of in ((0, a, of_a), (1, b, of_b)):
-            for i, g in zip(ids, of, strict=True):
-                sides[g][k].append(i)
-        links: dict[int, int] = {}
-        for own, other in sides:
-            if len(own) == len(other) == 1:
-                code = own[0] * self.size_b + other[0]
-                links[code] = links.get(code, 0) + 1
-                continue
-            (x, n), (y, m) = (np.unique(ids, return_counts=True) for ids in (own, other))
-            for code, times in zip((x[:, None] * self.size_b + y).ravel().tolist(), (n[:, None] * m).ravel().tolist(), strict=True):
-                links[code] = links.get(code, 0) + times
-        shown = ";".join([",".join(map(str, own)) + "|" + ",".join(map(str, other)) for own, other in sides]).encode()
-        return shown, np.array([*links], "<i8").tobytes(), np.array([*links.values()], "<i8").tobytes(), len(a), len(b)
-
-    def __missing__(self, part: str) -> tuple | None:
-        if len(part) > CACHE_CHARS:
-            return self.aligned(part)
-        out = self.older[part] if part in self.older else self.aligned(part)
-        if len(self) >= CACHE_PARTS:
-            self.older = dict(self)
-            self.clear()
-        self[part] = out
-        return out
+        #: ids as text with what follows them: of the first side a comma or bar, then of the second a comma or semicolon
+        self.shown = [str(i).encode() + end for size, ends in ((len(self.bytes_a), b",|"), (self.size_b, b",;")) for end in (ends[:1], ends[1:]) for i in range(size)]
+
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both sides' ids; None if either does not spell the same bytes."""
+        raw = (" " + text).encode()
+        a = np.frombuffer(self.a.encode(" " + text), "<u4").astype(np.int64)
+        b = np.array(self.b.encode(text), np.int64)
+        same = all(b"".join(map(spelled.__getitem__, ids.tolist())) == raw for spelled, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        return (a, b) if same else None
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return overlap_groups(*(np.cumsum(size[ids]) for size, ids in zip(self.lengths, (a, b), strict=True)))
+
+    def links(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct link codes in order, and how often each is linked. Large groups link distinct ids, with their numbers."""
+        n_a, n_b = np.bincount(of_a), np.bincount(of_b)
+        start_b = np.cumsum(n_b) - n_b
+        small = n_a * n_b <= MOST_LINKS
+        own = np.flatnonzero(small[of_a])
+        times = n_b[of_a[own]]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        codes = [np.repeat(a[own], times) * self.size_b + b[np.repeat(start_b[of_a[own]], times) + nth]]
+        weights = [np.ones(len(codes[0]), np.int64)]
+        for g in np.flatnonzero(~small):
+            (x, n), (y, m) = (np.unique(ids[of == g], return_counts=True) for ids, of in ((a, of_a), (b, of_b)))
+            codes.append((x[:, None] * self.size_b + y).ravel())
+            weights.append((n[:, None] * m).ravel())
+        distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
+        return distinct, np.bincount(place, np.concatenate(weights), len(distinct)).astype(np.int64)
+
+    def spelled(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> bytes:
+        """Groups as text: ids of the first side, a bar, ids of the second; groups parted by semicolons."""
+        last_a, last_b = (np.append(of[1:] != of[:-1], True) for of in (of_a, of_b))
+        size_a = len(self.bytes_a)
+        which = np.concatenate([a + size_a * last_a, 2 * size_a + b + self.size_b * last_b])
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        return b"".join(map(self.shown.__getitem__, which[order].tolist()))[:-1]
 
     def document(self, text: str) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
         """Tokens of either side, groups as text, distinct link codes in order and how often each is linked."""
-        found = list(map(self.__getitem__, _parts(" " + text) if self.apart else [" " + text])) if text else [None]
-        if None in found:
+        if not text or (ids := self.encoded(text)) is None:
             return 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes, times = (np.frombuffer(b"".join([x[k] for x in found]), "<i8") for k in (1, 2))
-        distinct, place = np.unique(codes, return_inverse=True)
-        return sum([x[3] for x in found]), sum([x[4] for x in found]), b";".join([x[0] for x in found]), distinct, np.bincount(place, times).astype(np.int64)
+        of = self.groups(*ids)
+        return len(ids[0]), len(ids[1]), self.spelled(*ids, *of), *self.links(*ids, *of)
 
 
 @lru_cache(maxsize=1)

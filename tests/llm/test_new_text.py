@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -257,7 +258,7 @@ def test_alignment_is_the_definition(spark, broadcast):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab é漢.'\n\t 1 ▁😀", max_size=30))
-def test_parts_are_the_whole(text):
+def test_documents_are_the_definition(text):
     own = alignment.aligner(*PATHS)
     n_a, n_b, shown, pairs, times = own.document(text)
     a, b, groups = brute_document(text)
@@ -273,7 +274,18 @@ def test_components_end_where_both_end(lengths, rng):
     ends_b = sorted({total, *(x for x in range(1, total) if rng.random() < 0.4)})
     cuts = sorted(set(ends_a) & set(ends_b))
     of = lambda ends: [sum(c < e for c in cuts) for e in ends]
-    assert alignment.overlap_groups(ends_a, ends_b) == (of(ends_a), of(ends_b))
+    got = alignment.overlap_groups(np.array(ends_a), np.array(ends_b))
+    assert [x.tolist() for x in got] == [of(ends_a), of(ends_b)]
+
+
+def test_large_groups_link_their_distinct_ids(monkeypatch):
+    """A group of many tokens on both sides gives the links of its listing."""
+    own = alignment.aligner(*PATHS)
+    rng = np.random.default_rng(1)
+    a, b, of = rng.integers(0, 9, 40), rng.integers(0, 7, 50), (np.repeat([0, 1], [30, 10]), np.repeat([0, 1], [45, 5]))
+    want = [x.tolist() for x in own.links(a, b, *of)]
+    monkeypatch.setattr(alignment, "MOST_LINKS", 60)
+    assert [x.tolist() for x in own.links(a, b, *of)] == want and sum(want[1]) == 30 * 45 + 10 * 5
 
 
 def test_alignment_on_awkward_rows(spark):
