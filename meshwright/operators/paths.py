@@ -3,14 +3,19 @@
 The graph goes to every worker as arrays if its edges are at most ``MOST_EDGES``
 (counted first); sources are then spread over tasks, whole levels of vertices are
 expanded at once, and what a measure needs of a source is reduced before it
-leaves the task. Partial sums meet in one aggregate. A larger graph's distances,
-and with them diameter and closeness, come from a frontier join that keeps
-everything distributed; counting paths refuses it.
+leaves the task. Partial sums meet in one aggregate.
+
+A larger graph stays in tables. Steps from all sources at once are taken as
+bits, 64 sources to a long and a row per vertex in reach of any of them; weighted
+distances come from a frontier join. Paths are counted hop by hop along the
+edges that shortest paths use, and shared out backwards, deepest vertices first.
+Sources come in blocks, so that no table of all pairs is ever held.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,9 +26,15 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgumentsError
 from ..schema import NetworkFrame, both_ways, simple
-from .iterate import stored
+from .components import components
+from .iterate import forget, stored
 
+#: Edges, and vertices, of a graph that goes to every worker.
 MOST_EDGES = 5_000_000
+#: Rows of (source or 64 sources, vertex) that a block of sources makes at most.
+BLOCK_ROWS = 50_000_000
+#: Lengths that differ by less than this share of them (or this, below 1) are the same.
+TIE = 1e-10
 
 
 @dataclass
@@ -41,8 +52,9 @@ class Csr:
         return slice(self.start[v], self.start[v + 1])
 
 
-def fits(edges: DataFrame, most: int = MOST_EDGES) -> bool:
-    return edges.limit(most + 1).count() <= most
+def fits(g: NetworkFrame) -> bool:
+    """Whether a graph's edges and vertices may go to every worker."""
+    return all(rows.limit(MOST_EDGES + 1).count() <= MOST_EDGES for rows in (g.edges, g.vertices))
 
 
 def csr(g: NetworkFrame, weight: str | None = None) -> Csr:
@@ -95,17 +107,29 @@ def nearest_first(c: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
         order.append(v)
         for u, w in zip(c.to[c.around(v)].tolist(), c.weight[c.around(v)].tolist(), strict=True):
             way = d + w
-            if way < dist[u] - 1e-12 * max(1.0, way):
+            if way < dist[u] - TIE * max(1.0, way):
                 dist[u], ways[u] = way, ways[v]
                 heapq.heappush(heap, (way, u))
-            elif abs(way - dist[u]) <= 1e-12 * max(1.0, way) and not done[u]:
+            elif abs(way - dist[u]) <= TIE * max(1.0, way) and not done[u]:
                 ways[u] += ways[v]
     return dist, ways, order
 
 
+def by_weight(c: Csr, s: int) -> np.ndarray:
+    """Weighted distances: all edges out of the vertices that came nearer, at once, until none does."""
+    dist = np.full(len(c.ids), np.inf)
+    dist[s], level = 0.0, np.array([s])
+    while len(level):
+        of, edge = around(c, level)
+        before = dist.copy()
+        np.minimum.at(dist, c.to[edge], before[level[of]] + c.weight[edge])
+        level = np.flatnonzero(dist < before)
+    return dist
+
+
 def lengths(c: Csr, s: int, weighted: bool) -> np.ndarray:
     """Distances from ``s``."""
-    return nearest_first(c, s)[0] if weighted else levels(c, s)[0]
+    return by_weight(c, s) if weighted else levels(c, s)[0]
 
 
 def shares(c: Csr, s: int, targets: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +159,7 @@ def shares(c: Csr, s: int, targets: np.ndarray, weighted: bool) -> tuple[np.ndar
                 continue
             near = c.around(v)
             for u, w, k in zip(c.to[near].tolist(), c.weight[near].tolist(), c.edge[near].tolist(), strict=True):
-                if abs(dist[u] + w - dist[v]) <= 1e-9 * max(1.0, dist[v]) and ways[u]:
+                if abs(dist[u] + w - dist[v]) <= TIE * max(1.0, dist[v]) and ways[u]:
                     part = load * ways[u] / ways[v]
                     on_edge[k] += part
                     passing[u] += part
@@ -165,7 +189,7 @@ def _kind(g: NetworkFrame) -> str:
 def distances(g: NetworkFrame, sources: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """(src, dst, distance) of all pairs in reach, dst <> src."""
     sources = g.vertices.select("id") if sources is None else sources
-    if not fits(g.edges):
+    if not fits(g):
         return frontier(g, sources, weight)
 
     def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -179,8 +203,8 @@ def distances(g: NetworkFrame, sources: DataFrame | None = None, weight: str | N
 
 def reach(g: NetworkFrame, weight: str | None = None) -> DataFrame:
     """(id, n, total, longest) for every vertex that is not isolated: others in reach, the sum of their distances, and the largest."""
-    if not fits(g.edges):
-        return frontier(g, g.vertices.select("id"), weight).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("longest"))
+    if not fits(g):
+        return reach_by_frontier(g, weight) if weight else reach_by_bits(g)
 
     def kernel(c: Csr, at: np.ndarray) -> Iterator[pd.DataFrame]:
         rows = []
@@ -196,34 +220,132 @@ def reach(g: NetworkFrame, weight: str | None = None) -> DataFrame:
 
 def frontier(g: NetworkFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
     """As ``distances``, by joins of the pairs whose distance changed with the edges, until none does."""
+    known = pairs_in_reach(g, sources, weight)
+    return known.where("s <> v").select(F.col("s").alias("src"), F.col("v").alias("dst"), F.col("d").alias("distance"))
+
+
+def pairs_in_reach(g: NetworkFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
+    """(s, v, d) of every source and vertex in its reach, itself too; a stored table."""
     step = F.col(weight).cast("double") if weight else F.lit(1.0)
     ends = stored(both_ways(g.edges.select("src", "dst", step.alias("w"))).groupBy("src", "dst").agg(F.min("w").alias("w")))
-    known = stored(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0.0).alias("d")))
-    fresh = known
+    held = stored(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0.0).alias("d")).distinct())
+    known = fresh = held
     while not fresh.isEmpty():
         offered = fresh.join(ends, fresh["v"] == ends["src"]).groupBy("s", F.col("dst").alias("to")).agg(F.min(F.col("d") + F.col("w")).alias("new")).withColumnRenamed("to", "v")
         both = stored(known.join(offered, ["s", "v"], "full"))
+        forget(held)
+        held = both
         better = F.col("d").isNull() | (F.col("new") < F.col("d"))
         fresh = both.where(better & F.col("new").isNotNull()).select("s", "v", F.col("new").alias("d"))
         known = both.select("s", "v", F.least("d", "new").alias("d"))
-    return known.where("s <> v").select(F.col("s").alias("src"), F.col("v").alias("dst"), F.col("d").alias("distance"))
+    forget(ends)
+    return known
+
+
+def in_blocks(sources: DataFrame, rows_per_source: float) -> Iterator[DataFrame]:
+    """The sources in blocks that make at most ``BLOCK_ROWS`` rows each."""
+    own = stored(sources.select("id").distinct())
+    n = max(1, math.ceil(own.count() * rows_per_source / BLOCK_ROWS))
+    for k in range(n):
+        yield own.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
+
+
+def reach_by_frontier(g: NetworkFrame, weight: str | None) -> DataFrame:
+    """As ``reach``, block by block of sources; of each only the sums are kept."""
+    n, out = g.vertices.count(), None
+    for some in in_blocks(g.vertices, n):
+        known = pairs_in_reach(g, some, weight)
+        sums = known.where("s <> v").groupBy(F.col("s").alias("id")).agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.max("d").alias("longest"))
+        kept = stored(sums)
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+def reach_by_bits(g: NetworkFrame, sources: DataFrame | None = None) -> DataFrame:
+    """As ``reach`` without weights: whole waves from 64 sources in a long, a row per vertex and 64 sources.
+
+    A level is one join with the edges and an OR; what is new is counted bit by bit.
+    """
+    ends = stored(both_ways(simple(g.edges)))
+    n, out = g.vertices.count(), None
+    for some in in_blocks(g.vertices if sources is None else sources, n / 64):
+        tagged = stored(some.withColumn("m", F.monotonically_increasing_id()).select("id", F.shiftright("m", 6).alias("word"), F.col("m").bitwiseAND(63).cast("int").alias("bit")))
+        held = seen = stored(tagged.groupBy("word", F.col("id").alias("v")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("seen")))
+        fresh, level, tallies = seen.withColumnRenamed("seen", "new"), 0, None
+        while True:
+            level += 1
+            got = fresh.join(ends, fresh["v"] == ends["src"]).groupBy("word", F.col("dst").alias("v")).agg(F.bit_or("new").alias("got"))
+            both = seen.join(got, ["word", "v"], "full").select("word", "v", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("seen", "got")))
+            step = stored(both.select("word", "v", F.col("seen").bitwiseOR(F.col("got")).alias("seen"), F.col("got").bitwiseAND(F.bitwise_not("seen")).alias("new")))
+            forget(held)
+            held, seen, fresh = step, step.select("word", "v", "seen"), step.where("new <> 0").select("word", "v", "new")
+            counts = F.array(*(F.sum(F.shiftright("new", k).bitwiseAND(1)) for k in range(64)))
+            tally = stored(fresh.groupBy("word").agg(counts.alias("counts")).withColumn("level", F.lit(level)))
+            if tally.isEmpty():
+                break
+            tallies = tally if tallies is None else tallies.unionByName(tally)
+        forget(held)
+        if tallies is not None:
+            per = tallies.select("word", "level", F.posexplode("counts").alias("bit", "k")).where("k > 0").groupBy("word", "bit")
+            sums = per.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("level")).cast("double").alias("total"), F.max("level").cast("double").alias("longest"))
+            kept = stored(tagged.join(sums, ["word", "bit"]).select("id", "n", "total", "longest"))
+            out = kept if out is None else out.unionByName(kept)
+    none = F.lit(None)
+    return g.vertices.limit(0).select("id", none.cast("long").alias("n"), none.cast("double").alias("total"), none.cast("double").alias("longest")) if out is None else out
 
 
 def diameter(g: NetworkFrame, weight: str | None = None) -> DataFrame:
     """One row: the longest finite distance."""
+    if weight is None and not fits(g):
+        return diameter_by_bounds(g)
     return reach(g, weight).agg(F.max("longest").alias("diameter"))
 
 
+def diameter_by_bounds(g: NetworkFrame) -> DataFrame:
+    """As ``diameter``, for graphs of any size: sources by distance from the middle of a long path, farthest first.
+
+    Two sweeps find the ends of a long path in every component, two more its
+    middle and the distances from there. Two vertices at most k from their middle
+    are at most 2 k apart, so sources end when the longest distance found is that.
+    """
+    spark = g.edges.sparkSession
+
+    def sweep(starts: DataFrame) -> DataFrame:
+        return pairs_in_reach(g, starts)
+
+    def farthest(known: DataFrame) -> DataFrame:
+        return stored(known.groupBy("s").agg(F.max_by("v", F.struct("d", "v")).alias("id")).select("id").distinct())
+
+    own = components(NetworkFrame(g.vertices.select("id"), g.edges.select("src", "dst")))
+    first = farthest(sweep(stored(own.select(F.col("component").alias("id")).distinct())))
+    one = sweep(first)
+    ends = stored(one.groupBy("s").agg(F.max_by("v", F.struct("d", "v")).alias("id"), F.max("d").alias("far")))
+    two = sweep(ends.select("id"))
+    both = one.select(F.col("s").alias("a"), "v", F.col("d").alias("da")).join(two.select("v", F.col("d").alias("db")), "v").join(ends.select(F.col("s").alias("a"), "far"), "a")
+    middle = both.where("da + db = far AND da = floor(far / 2)").groupBy("a").agg(F.min("v").alias("id"))
+    level = stored(sweep(stored(middle.select("id"))).select(F.col("v").alias("id"), "d"))
+    found = ends.agg(F.max("far")).first()[0]
+    sizes = [(r["d"], r["n"]) for r in level.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("d")).collect()]  # a row per level
+    while sizes and found < 2 * sizes[0][0]:
+        high, n = sizes.pop(0)
+        low = high
+        while sizes and n + sizes[0][1] <= 64 * spark.sparkContext.defaultParallelism:
+            low, more = sizes.pop(0)
+            n += more
+        found = max(found, reach_by_bits(g, level.where(F.col("d").between(low, high))).agg(F.max("longest")).first()[0] or 0.0)
+    return spark.createDataFrame([(found or None,)], "diameter double")
+
+
 def closeness(g: NetworkFrame, weight: str | None = None) -> DataFrame:
     """(id, closeness): vertices in reach over the sum of their distances; null for isolated ones."""
     return g.vertices.select("id").join(reach(g, weight).select("id", (F.col("n") / F.col("total")).alias("closeness")), "id", "left")
 
 
 def _both_kinds(g: NetworkFrame, sources: DataFrame, targets: DataFrame | None, weight: str | None) -> DataFrame:
-    """(kind, id, src, dst, value): sums over sources of what ``shares`` gives, nodes and edges."""
+    """(kind, src, dst, value): sums over sources of what ``shares`` gives, nodes and edges."""
     spark = g.edges.sparkSession
-    if not fits(g.edges):
-        raise InvalidArgumentsError(f"path counting holds at most {MOST_EDGES} edges in a task")
+    if not fits(g):
+        return counted_over_tables(g, sources, targets, weight)
     wanted = None if targets is None else spark.sparkContext.broadcast(set(r[0] for r in targets.select("id").distinct().collect()))  # vertices of a graph that fits
     kind = _kind(g)
 
@@ -240,6 +362,61 @@ def _both_kinds(g: NetworkFrame, sources: DataFrame, targets: DataFrame | None,
     return from_sources(g, sources, kernel, f"kind string, src {kind}, dst {kind}, value double", weight).groupBy("kind", "src", "dst").agg(F.sum("value").alias("value"))
 
 
+def counted_over_tables(g: NetworkFrame, sources: DataFrame, targets: DataFrame | None, weight: str | None) -> DataFrame:
+    """As ``_both_kinds``, for graphs of any size: block by block of sources, level by level. Weights must be positive."""
+    step = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = stored((g.edges if weight else simple(g.edges)).select("src", "dst", step.alias("w")))
+    if not own.where("w <= 0 OR w IS NULL").isEmpty():
+        raise InvalidArgumentsError("shortest paths are counted over positive weights")
+    ends = stored(both_ways(own.where("src <> dst").withColumns({"a": F.col("src"), "b": F.col("dst")})))
+    wanted = None if targets is None else stored(targets.select(F.col("id").alias("v")).distinct())
+    none = F.lit(0.0).alias("value")
+    rows = g.vertices.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.col("id").alias("dst"), none).distinct()
+    rows = rows.unionByName(own.select(F.lit("edge").alias("kind"), "src", "dst", none).distinct())
+    for some in in_blocks(sources.join(g.vertices.select("id").distinct(), "id", "left_semi"), g.vertices.count()):
+        rows = rows.unionByName(_counted_block(NetworkFrame(g.vertices, own), some, ends, wanted, weight and "w"))
+    return rows.groupBy("kind", "src", "dst").agg(F.sum("value").alias("value"))
+
+
+def _counted_block(g: NetworkFrame, sources: DataFrame, ends: DataFrame, wanted: DataFrame | None, weight: str | None) -> DataFrame:
+    """(kind, src, dst, value) of one block of sources, stored."""
+    known = stored(pairs_in_reach(g, sources, weight))
+    at = lambda v, d: known.select("s", F.col("v").alias(v), F.col("d").alias(d))
+    used = at("src", "du").join(ends, "src").join(at("dst", "dv"), ["s", "dst"])
+    tie = F.abs(F.col("du") + F.col("w") - F.col("dv")) <= TIE * F.greatest(F.lit(1.0), "dv")
+    used = stored(used.where(tie).select("s", F.col("src").alias("u"), F.col("dst").alias("v"), "a", "b"))
+    #: numbers of paths by their number of edges; a vertex's level is the most edges
+    hop, level = stored(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("n"))), 0
+    hops = hop.withColumn("level", F.lit(0))
+    while True:
+        step = hop.withColumnRenamed("v", "u").join(used, ["s", "u"]).groupBy("s", "v").agg(F.sum("n").alias("n"))
+        hop, level = stored(step), level + 1
+        if hop.isEmpty():
+            break
+        hops = hops.unionByName(hop.withColumn("level", F.lit(level)))
+    ways = stored(hops.groupBy("s", "v").agg(F.sum("n").alias("n"), F.max("level").alias("level")))
+    near, far = ways.toDF("s", "u", "nu", "at"), ways.toDF("s", "v", "nv", "level")
+    share = stored(used.join(near, ["s", "u"]).join(far, ["s", "v"]).select("s", "u", "v", "a", "b", "at", "level", (F.col("nu") / F.col("nv")).alias("share")))
+    ending = ways.where("s <> v") if wanted is None else ways.where("s <> v").join(wanted, "v", "left_semi")
+    own = stored(ending.select("s", "v", "level", F.lit(1.0).alias("load")))
+    parts = None
+    for depth in range(level - 1, 0, -1):
+        load = own.where(F.col("level") == depth).select("s", "v", "load")
+        if parts is not None:
+            load = load.unionByName(parts.where(F.col("at") == depth).select("s", F.col("u").alias("v"), F.col("part").alias("load")))
+        load = load.groupBy("s", "v").agg(F.sum("load").alias("load"))
+        moved = share.where(F.col("level") == depth).join(load, ["s", "v"]).select("s", "u", "a", "b", "at", (F.col("load") * F.col("share")).alias("part"))
+        moved = stored(moved)
+        parts = moved if parts is None else parts.unionByName(moved)
+    if parts is None:
+        return stored(g.vertices.limit(0).select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("value")))
+    node = parts.where("s <> u").groupBy("u").agg(F.sum("part").alias("value")).select(F.lit("node").alias("kind"), F.col("u").alias("src"), F.col("u").alias("dst"), "value")
+    edge = parts.groupBy("a", "b").agg(F.sum("part").alias("value")).select(F.lit("edge").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), "value")
+    out = stored(node.unionByName(edge))
+    forget(known, used, ways, share, own)
+    return out
+
+
 def node_betweenness(g: NetworkFrame) -> DataFrame:
     """(id, betweenness): over unordered pairs, divided by N (N - 1)."""
     n = g.vertices.select("id").distinct().count()
@@ -262,8 +439,8 @@ def gyration(g: NetworkFrame, length: str = "resistance", mass: str | None = "co
     ``whole``: coordinates without their fractions.
     """
     spark = g.edges.sparkSession
-    if not fits(g.edges):
-        raise InvalidArgumentsError(f"path counting holds at most {MOST_EDGES} edges in a task")
+    if not fits(g):
+        raise InvalidArgumentsError(f"gyration holds at most {MOST_EDGES} edges and vertices in a task")
     axis = (lambda a: F.col(a).cast("long").cast("double").alias(a)) if whole else F.col
     where = spark.sparkContext.broadcast({r["id"]: (r["x"], r["y"]) for r in g.vertices.select("id", axis("x"), axis("y")).collect()})  # vertices of a graph that fits
     heavy = spark.sparkContext.broadcast(csr(g, mass).weight if mass else None)
@@ -276,17 +453,30 @@ def gyration(g: NetworkFrame, length: str = "resistance", mass: str | None = "co
 
 
 def gyration_sums(c: Csr, xy: np.ndarray, mass: np.ndarray | None, sources: np.ndarray, sampling: int = 1) -> np.ndarray:
-    """The sums (xx, yy, xy) from these sources to every ``sampling``-th later vertex; ``mass`` is in the order of the neighbours."""
-    out = np.zeros(3)
+    """The sums (xx, yy, xy) from these sources to every ``sampling``-th later vertex; ``mass`` is in the order of the neighbours.
+
+    The paths from a source are a tree: targets are counted from its leaves up, so
+    every edge is weighed once with the number of targets beyond it.
+    """
+    out, degree = np.zeros(3), np.diff(c.start)
+    of, linked = np.repeat(np.arange(len(c.ids)), degree), degree > 0
     for s in sources.tolist():
-        dist = nearest_first(c, s)[0]
-        for t in range(s + sampling, len(c.ids), sampling):
-            v = t
-            while np.isfinite(dist[t]) and v != s:
-                around = np.arange(c.start[v], c.start[v + 1])
-                k = around[np.argmin(np.abs(dist[c.to[around]] + c.weight[around] - dist[v]) + 1e9 * (dist[c.to[around]] >= dist[v]))]
-                u = c.to[k]
-                dx, dy = xy[v] - xy[u]
-                out += (mass[k] if mass is not None else 1.0) * np.array([dx * dx, dy * dy, dx * dy])
-                v = u
+        dist = by_weight(c, s)
+        beyond = np.zeros(len(c.ids))
+        beyond[s + sampling :: sampling] = 1.0
+        beyond[np.isinf(dist)] = 0.0
+        if not beyond.any():
+            continue
+        with np.errstate(invalid="ignore"):
+            off = np.where(dist[c.to] < dist[of], np.abs(dist[c.to] + c.weight - dist[of]), np.inf)
+        best = np.flatnonzero(off == np.repeat(np.minimum.reduceat(off, c.start[:-1][linked]), degree[linked]))
+        way = best[np.concatenate([[True], np.diff(of[best]) != 0])]  # each vertex's first best edge towards s
+        way = way[np.isfinite(dist[of[way]]) & (of[way] != s)]
+        way = way[np.argsort(-dist[of[way]], kind="stable")]
+        count = beyond.tolist()
+        for v, u in zip(of[way].tolist(), c.to[way].tolist(), strict=True):
+            count[u] += count[v]
+        dx, dy = (xy[of[way]] - xy[c.to[way]]).T
+        heavy = np.array(count)[of[way]] * (mass[way] if mass is not None else 1.0)
+        out += (heavy * dx * dx).sum(), (heavy * dy * dy).sum(), (heavy * dx * dy).sum()
     return out
