@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .groups import by_keys
+from .iterate import stored
 
 PLANE = ["image_id", "z"]
 AT = [*PLANE, "r", "c"]
@@ -112,9 +113,26 @@ def gamma_corrected(pixels: DataFrame, gamma: float) -> DataFrame:
     return pixels.withColumn("v", F.floor(F.pow(F.col("v") / 255, F.lit(1 / gamma)) * 255).cast("int"))
 
 
-def low_pass(pixels: DataFrame, window: int) -> DataFrame:
-    """A Hamming window's square root to the power ``window`` over the image's spectrum, stretched to 0-255; slice by slice."""
+#: Pixels of a slice whose spectrum one task takes; larger slices go by rows and columns.
+SPECTRUM = 1 << 22
 
+
+def low_pass(pixels: DataFrame, window: int, most: int = SPECTRUM) -> DataFrame:
+    """A Hamming window's square root to the power ``window`` over a slice's spectrum, stretched to 0-255.
+
+    The spectrum of a large slice is taken row by row and then column by column, and
+    taken back the same way: a task holds a row or a column, three shuffles turn them.
+    """
+    shape = pixels.groupBy(*PLANE).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    large = stored(shape.where(F.col("h").cast("long") * F.col("w") > most))
+    own = pixels.select(*AT, "v")
+    if large.isEmpty():
+        return _low_pass_of_slices(own, window)
+    small = _low_pass_of_slices(own.join(large, PLANE, "left_anti"), window)
+    return small.unionByName(_low_pass_by_lines(own.join(large, PLANE), window))
+
+
+def _low_pass_of_slices(pixels: DataFrame, window: int) -> DataFrame:
     def of_slice(p: pd.DataFrame) -> pd.DataFrame:
         h, w = p["r"].max() + 1, p["c"].max() + 1
         image = np.zeros((h, w))
@@ -125,7 +143,43 @@ def low_pass(pixels: DataFrame, window: int) -> DataFrame:
         out = (out - low) / (high - low) * 255 if high > low else np.zeros_like(out)
         return p.assign(v=np.floor(out[p["r"], p["c"]] + 1e-9).astype("int32"))
 
-    return pixels.select(*AT, "v").groupBy(*PLANE).applyInPandas(of_slice, "image_id long, z int, r int, c int, v int")
+    return pixels.groupBy(*PLANE).applyInPandas(of_slice, "image_id long, z int, r int, c int, v int")
+
+
+def _lines(values: DataFrame, line: str, along: str, kernel: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
+    """(image_id, z, h, w, r, c, re, im): ``kernel`` on every line (a row or column) of complex values, its number and the image's size across it; gaps are zeros."""
+    keys = [*PLANE, "h", "w", line]
+    lines = values.groupBy(*keys).agg(F.collect_list(F.struct(along, "re", "im")).alias("p"))
+    n = "w" if along == "c" else "h"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            re, im = [], []
+            for p, size, across, nth in zip(frame["p"], frame[n], frame["h" if n == "w" else "w"], frame[line], strict=True):
+                x = np.zeros(size, complex)
+                x[[q[along] for q in p]] = [complex(q["re"], q["im"]) for q in p]
+                y = kernel(x, nth, across)
+                re.append(y.real)
+                im.append(y.imag)
+            yield frame[keys].assign(re=re, im=im)
+
+    kinds = ", ".join(f"{k} {t}" for k, t in lines.dtypes if k != "p")
+    out = lines.mapInPandas(run, f"{kinds}, re array<double>, im array<double>")
+    return out.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias(along, "y")).select(*keys, along, "y.re", "y.im")
+
+
+def _low_pass_by_lines(pixels: DataFrame, window: int) -> DataFrame:
+    """As ``_low_pass_of_slices``, of pixels with their slice's h and w."""
+    part = lambda n: np.sqrt(np.fft.ifftshift(np.hamming(n))) ** window  # noqa: E731  the window is a product of one along each axis
+    none = F.lit(0.0).alias("im")
+    rows = _lines(pixels.select(*AT, "h", "w", F.col("v").cast("double").alias("re"), none), "r", "c", lambda x, nth, across: np.fft.fft(x))
+    columns = _lines(rows, "c", "r", lambda x, nth, across: np.fft.ifft(np.fft.fft(x) * part(len(x)) * part(across)[nth]))
+    back = _lines(columns, "r", "c", lambda x, nth, across: np.abs(np.fft.ifft(x)) + 0j)
+    out = stored(back.select(*AT, F.col("re").alias("out")))
+    ends = out.groupBy(*PLANE).agg(F.min("out").alias("low"), F.max("out").alias("high"))
+    wide = F.col("high") - F.col("low")
+    v = F.when(wide > 0, F.floor((F.col("out") - F.col("low")) / wide * 255 + 1e-9)).otherwise(0).cast("int")
+    return pixels.select(*AT).join(out, AT).join(ends, PLANE).select(F.col("image_id").cast("long").alias("image_id"), *(F.col(a).cast("int").alias(a) for a in "zrc"), v.alias("v"))
 
 
 def median(pixels: DataFrame, size: int = 5) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,40 +50,79 @@ def cutoff_graph(points: DataFrame, r_max: float, group: tuple[str, ...] = (), b
     return pairs.where(F.col("length") <= r_max)
 
 
-def within(queries: DataFrame, points: DataFrame, r: float) -> DataFrame:
-    """(src, dst, length) for every query and every other point within ``r``; queries are sent to the 27 cubes around."""
-    at = [F.floor(F.col(a) / r).cast("long") for a in AXES]
-    cubes = F.array(*(F.struct(*((k + s).alias(n) for k, s, n in zip(at, step, "uvw", strict=True))) for step in product((-1, 0, 1), repeat=3)))
-    asked = queries.select(F.col("pid").alias("src"), *(F.col(a).alias(f"{a}0") for a in AXES), F.explode(cubes).alias("cube"))
-    held = points.select(F.col("pid").alias("dst"), *AXES, F.struct(*(k.alias(n) for k, n in zip(at, "uvw", strict=True))).alias("cube"))
+#: Points of the sample that radii are guessed from.
+SAMPLE = 2000
+
+
+def guessed(points: DataFrame, k: int, n: int) -> DataFrame:
+    """``points`` with ``level`` and ``most``: the binary exponents of a radius that should hold some k others, and of one that surely does.
+
+    Both come from the distance to the k-th nearest of a sample: the sample's points
+    are points, so that many lie within; fewer points are nearer by as much as the
+    sample is thinner, to the power of one over the number of axes that vary.
+    """
+    at = [F.col(a).cast("double").alias(a) for a in AXES]
+    held = points.orderBy(F.xxhash64("pid", *AXES), "pid").select(*at).limit(max(SAMPLE, 2 * k)).toPandas().to_numpy(float)  # so many rows
+    farthest = points.agg(F.max(F.greatest(*(F.abs(F.col(a).cast("double")) for a in AXES)))).first()[0] or 1.0
+    ends = np.ceil(np.log2(farthest)) + np.array([-50, 3])  # cubes are told apart by 50 bits; the largest radius holds all
+    axes = max(1, int((held.max(0) > held.min(0)).sum()))
+    thinner = (len(held) / n) ** (1 / axes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            xyz, bound = frame[[*AXES]].to_numpy(float), [np.zeros(0)]
+            for some in np.array_split(xyz, -(-len(xyz) // 256)):
+                gap = ((some[:, None, :] - held[None]) ** 2).sum(2)
+                bound.append(np.sqrt(np.partition(gap, k, 1)[:, k]))  # a point may be in the sample itself
+            most = np.concatenate(bound)
+            with np.errstate(divide="ignore"):
+                level, sure = (np.ceil(np.clip(np.log2(x * 1.000001), *ends)).astype("int32") for x in (most * thinner, most))
+            yield frame.assign(level=level, most=sure)
+
+    kind = dict(points.dtypes)["pid"]
+    return points.select("pid", *at).mapInPandas(run, f"pid {kind}, x double, y double, z double, level int, most int")
+
+
+def within(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(src, dst, length) for every query and every other point within 2 to the query's ``level``: queries are sent to the 27 cubes of that side around, points to their cube of every side that is asked for."""
+    levels = [r["level"] for r in queries.select("level").distinct().collect()]  # binary exponents
+    side = F.pow(F.lit(2.0), F.col("level"))
+    at = [F.floor(F.col(a) / side).cast("long") for a in AXES]
+    cubes = F.array(*(F.struct(*((c + s).alias(n) for c, s, n in zip(at, step, "uvw", strict=True))) for step in product((-1, 0, 1), repeat=3)))
+    asked = queries.select(F.col("pid").alias("src"), "level", *(F.col(a).alias(f"{a}0") for a in AXES), F.explode(cubes).alias("cube"))
+    sent = points.select(F.col("pid").alias("dst"), *AXES, F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    held = sent.select("dst", *AXES, "level", F.struct(*(c.alias(n) for c, n in zip(at, "uvw", strict=True))).alias("cube"))
     gap = [F.col(a) - F.col(f"{a}0") for a in AXES]
     length = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
-    return asked.join(held, "cube").where("src <> dst").select("src", "dst", length.alias("length")).where(F.col("length") <= r)
+    return asked.join(held, ["level", "cube"]).where("src <> dst").withColumn("length", length).where(F.col("length") <= side).select("src", "dst", "length")
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
-    """(src, dst, length, rank) of the k nearest others of every point, however far.
+    """(src, dst, length, rank) of the k nearest others of every point, however far; ties by pid.
 
-    A radius that k points would share evenly is tried first; only points that
-    find fewer than k within it try again with twice the radius.
+    Every point asks with a radius that suits the density around it, guessed from a
+    sample, so clusters and outliers each look into cubes of their own size. Points
+    that find fewer than k ask again with twice the radius, at most the one that
+    surely holds k. Of points in one place only the k + 1 with the least ids can be
+    anyone's neighbours; the others ask and are not asked for.
     """
-    row = points.agg(F.count("*").alias("n"), *(f(a).alias(f"{g}{a}") for a in AXES for f, g in ((F.min, "lo"), (F.max, "hi")))).first()
-    sides = [(row[f"hi{a}"] or 0.0) - (row[f"lo{a}"] or 0.0) for a in AXES]
-    far = math.sqrt(sum(x * x for x in sides)) or 1.0
-    least = min(k, row["n"] - 1)
-    r, open_, found = max(far / 1e6, far * (max(k, 1) / max(row["n"], 1)) ** (1 / 3)), points.select("pid", *AXES), None
+    own = stored(points.select("pid", *AXES).where(" AND ".join(f"{a} IS NOT NULL" for a in AXES)))
+    n = own.count()
+    least = min(k, n - 1)
+    if least < 1:
+        return own.limit(0).select(F.col("pid").alias("src"), F.col("pid").alias("dst"), F.lit(0.0).alias("length"), F.lit(0).alias("rank"))
+    place = F.row_number().over(Window.partitionBy(*AXES).orderBy("pid"))
+    asked_for = stored(own.withColumn("place", place).where(F.col("place") <= k + 1).select("pid", *AXES))
+    open_, found = stored(guessed(own, least, n)), None
     rank = F.row_number().over(Window.partitionBy("src").orderBy("length", "dst"))
     while True:
-        near = stored(within(open_, points, r).withColumn("rank", rank).where(F.col("rank") <= k))
-        done = near.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src")
-        got = near.join(done, "src", "left_semi") if r < far else near
+        near = stored(within(open_, asked_for).withColumn("rank", rank).where(F.col("rank") <= k))
+        done = near.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pid")
+        got = near.join(done.withColumnRenamed("pid", "src"), "src", "left_semi")
         found = got if found is None else found.unionByName(got)
-        if r >= far:
-            return found
-        open_ = stored(open_.join(done.withColumnRenamed("src", "pid"), "pid", "left_anti"))
+        open_ = stored(open_.join(done, "pid", "left_anti").withColumn("level", F.least(F.col("level") + 1, F.greatest("most", "level"))))
         if open_.isEmpty():
             return found
-        r = min(2 * r, far)
 
 
 def knn_graph(points: DataFrame, k: int, r_max: float | None = None) -> DataFrame:

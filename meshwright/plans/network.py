@@ -59,16 +59,16 @@ def giants(g: NetworkFrame) -> NetworkFrame:
 
 
 def from_points(cloud: DataFrame, rule: dict | DataFrame, periodic: tuple[float, float, float] | None = None) -> NetworkFrame:
-    """By ``{"r_max": r}``, ``{"num_neighbors": k, "r_max": r}`` or a table of bonds; points are counted from their least corner."""
+    """By ``{"r_max": r}``, ``{"num_neighbors": k}`` with or without ``"r_max": r``, or a table of bonds; points are counted from their least corner."""
     own = shifted(cloud)
     if isinstance(rule, DataFrame):
         edges = points.edge_list_graph(own, rule)
     elif "num_neighbors" in rule:
-        edges = points.knn_graph(own, rule["num_neighbors"], rule["r_max"]).select("src", "dst", "length")
+        edges = points.knn_graph(own, rule["num_neighbors"], rule.get("r_max")).select("src", "dst", "length")
     elif "r_max" in rule:
         edges = points.cutoff_graph(own, rule["r_max"], box=periodic)
     else:
-        raise InvalidArgumentsError("a rule names r_max, or is a table of bonds")
+        raise InvalidArgumentsError("a rule names r_max or num_neighbors, or is a table of bonds")
     return NetworkFrame(own.withColumnRenamed("pid", "id"), edges)
 
 

@@ -200,6 +200,33 @@ def test_nearest_of_points_far_and_near(spark):
     assert points.nearest(df.limit(2), 5).count() == 2 and points.nearest(df.limit(0), 2).count() == 0
 
 
+def test_nearest_of_clusters_copies_and_planes(spark, monkeypatch):
+    """Radii from a small sample; ties, copies of a point, and points in a plane."""
+    monkeypatch.setattr(points, "SAMPLE", 12)
+    rng = np.random.default_rng(8)
+    cloud = np.concatenate([rng.normal(0, 1e-4, (40, 3)), rng.random((30, 3)) * 100, np.tile([[5.0, 5.0, 5.0]], (12, 1)), [[1e6, 0, 0], [-1e6, 3, 0]]])
+    plane = np.concatenate([rng.integers(0, 6, (40, 2)), np.zeros((40, 1))], 1)
+    for at in (cloud, plane):
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "pid long, x double, y double, z double")
+        gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+        want = {(i, j, k + 1) for i in range(len(at)) for k, (_, j) in enumerate(sorted((gap[i, j], j) for j in range(len(at)) if j != i)[:3])}
+        assert {(r["src"], r["dst"], r["rank"]) for r in points.nearest(df, 3).collect()} == want
+    assert points.nearest(df.selectExpr("pid", "0D AS x", "0D AS y", "0D AS z"), 3).count() == 120
+
+
+def test_blocks_of_a_graph():
+    """Two triangles at a vertex, a bridge to a square, and a piece apart."""
+    import pandas as pd
+
+    pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5), (5, 6), (6, 7), (7, 8), (5, 8), (9, 10)]
+    c = paths.arrays(np.arange(12), pd.DataFrame([(*p, 1.0) for p in pairs], columns=["src", "dst", "w"]))
+    own, piece = flows.blocks(c)
+    assert sorted([*flows._bits(b)] for b in own) == [[0, 1, 2], [2, 3, 4], [4, 5], [5, 6, 7, 8], [9, 10]]
+    assert piece == [0] * 9 + [9, 9, 11]
+    flow = flows.SplitFlow(c)
+    assert [flow.between(*p) for p in ((0, 3), (6, 8), (5, 7), (0, 9), (0, 11), (1, 8))] == [1, 2, 2, 0, 0, 1]
+
+
 def test_many_graphs_at_once(spark):
     """Two frames: a path and a star; each solved as if alone."""
     v = spark.createDataFrame([(f, 10 * f + i, float(i), 0.0, i == 0, i == 3) for f in (0, 1) for i in range(4)], "frame int, id long, x double, y double, low boolean, high boolean")

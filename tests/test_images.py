@@ -104,6 +104,14 @@ def test_options_take_text():
     assert (o.bsize, o.thresh, o.Thresh_method) == (3, 103.0, 2) and imaging.Options.of(o.to_json()) == o and imaging.odd(3) == 7
 
 
+def test_low_pass_by_lines_is_the_whole_spectrum(spark):
+    rng = np.random.default_rng(12)
+    two = pixels(spark, rng.integers(0, 256, (9, 14)), 1).unionByName(pixels(spark, rng.integers(0, 256, (6, 5)), 2)).where("r <> 3 OR c < 7")
+    for window in (1, 3):
+        whole = {tuple(r) for r in imaging.low_pass(two, window).collect()}
+        assert {tuple(r) for r in imaging.low_pass(two, window, most=40).collect()} == whole and len(whole) == two.count()
+
+
 def test_low_pass_spans_the_range(spark, image):
     out = as_array(imaging.low_pass(pixels(spark, image), 1), image.shape)
     assert out.min() == 0 and out.max() == 255
