@@ -12,7 +12,7 @@ from ..functions import geometry as geo
 from ..operators import components as comp
 from ..operators import flows, imaging, learning, measures, morphology, nematic, paths, points, skeleton, weights
 from ..operators.iterate import shared_folder, stored
-from ..schema import NetworkFrame
+from ..schema import NetworkFrame, both_ways
 from ..sources import graphs
 from ..sources import images as files
 from . import inputs as inp
@@ -238,7 +238,17 @@ def threshold_adaptive(spark, d):
     return imaging.threshold_adaptive(inp.images(spark, d), 5)
 
 
-@query()
+#: The spectrum of 8 by 8 pixels as sums over all of them; the window's place of frequency k is (k + 4) % 8.
+_LOWPASS = f"""{inp.IMAGES}, f(k, l) AS (SELECT k, l FROM range(8) a(k), range(8) b(l)),
+x AS MATERIALIZED (SELECT image_id, k, l, sum(v * cos(pi() * (k * r + l * c) / 4)) AS re, -sum(v * sin(pi() * (k * r + l * c) / 4)) AS im FROM images, f GROUP BY image_id, k, l),
+y AS MATERIALIZED (SELECT image_id, k, l, re * m AS re, im * m AS im FROM (SELECT *, (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * ((k + 4) % 8) / 7)) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * ((l + 4) % 8) / 7)) AS m FROM x)),
+back AS (SELECT y.image_id, p.k AS r, p.l AS c, sum(re * cos(pi() * (y.k * p.k + y.l * p.l) / 4) - im * sin(pi() * (y.k * p.k + y.l * p.l) / 4)) AS a,
+  sum(re * sin(pi() * (y.k * p.k + y.l * p.l) / 4) + im * cos(pi() * (y.k * p.k + y.l * p.l) / 4)) AS b FROM y, f p GROUP BY y.image_id, p.k, p.l),
+size AS (SELECT image_id, r, c, sqrt(a * a + b * b) AS o FROM back), ends AS (SELECT image_id, min(o) AS low, max(o) AS high FROM size GROUP BY image_id)"""
+
+
+@query(f"""WITH {_LOWPASS} SELECT image_id, CAST(0 AS INTEGER) AS z, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c,
+  CAST(CASE WHEN high > low THEN floor((o - low) / (high - low) * 255 + 1e-9) ELSE 0 END AS INTEGER) AS v FROM size JOIN ends USING (image_id)""")
 def lowpass_hamming(spark, d):
     return imaging.low_pass(inp.images(spark, d), 2)
 
@@ -282,6 +292,12 @@ _STEPS9 = ", ".join(f"({i}, {j}, {3 * (i + 1) + j + 1})" for i in (-1, 0, 1) for
 _CODES = f"""{inp.VOXELS}, steps(i, j, n) AS (VALUES {_STEPS9}),
 told AS (SELECT image_id, z, CAST(r - i AS INTEGER) AS r, CAST(c - j AS INTEGER) AS c, n FROM voxels CROSS JOIN steps),
 codes AS MATERIALIZED (SELECT image_id, z, r, c, CAST(sum(1 << n) AS INTEGER) AS code, CAST(count(*) - 1 AS INTEGER) AS n_near FROM told GROUP BY ALL HAVING bool_or(n = 4))"""
+# The patterns of branch points in raster order, as the SQL knows them; the one numbered 8 has no transpose.
+_BRANCH = """pats(n, p) AS (VALUES (0, '101010101'), (1, '010111010'), (2, '000111010'), (3, '101010100'), (4, '101010010'), (5, '010110001'), (6, '010110101'),
+  (7, '011011100'), (8, '111011100'), (9, '111011101'), (10, '100111010')),
+turned AS (SELECT n, t, u, l, CASE t WHEN 0 THEN i // 3 ELSE i % 3 END AS r, CASE t WHEN 0 THEN i % 3 ELSE i // 3 END AS c
+  FROM pats, range(9) a(i), range(2) b(t), range(2) d(u), range(2) e(l) WHERE p[i + 1] = '1' AND NOT (n = 8 AND t = 1)),
+branch AS MATERIALIZED (SELECT DISTINCT CAST(sum(1 << (3 * abs(2 * u - r) + abs(2 * l - c))) AS INTEGER) AS code FROM turned GROUP BY n, t, u, l)"""
 _ENDPTS = "SELECT image_id, z, r, c FROM codes WHERE n_near <= 1"
 
 
@@ -290,12 +306,12 @@ def endpoints(spark, d):
     return morphology.end_points(inp.voxels(spark, d))
 
 
-@query(f"WITH {_CODES} SELECT image_id, z, r, c FROM codes WHERE code IN ({', '.join(map(str, morphology.branch_codes()))})")
+@query(f"WITH {_CODES}, {_BRANCH} SELECT image_id, z, r, c FROM codes WHERE code IN (SELECT code FROM branch)")
 def branchpoints(spark, d):
     return morphology.branch_points(inp.voxels(spark, d))
 
 
-_PRUNED = f"""{_CODES}, fixed AS MATERIALIZED (SELECT image_id, r, c FROM codes WHERE code IN ({', '.join(map(str, morphology.branch_codes()))})),
+_PRUNED = f"""{_CODES}, {_BRANCH}, fixed AS MATERIALIZED (SELECT image_id, r, c FROM codes WHERE code IN (SELECT code FROM branch)),
 once AS MATERIALIZED (SELECT k.image_id, k.z, k.r, k.c FROM codes k LEFT JOIN fixed f ON f.image_id = k.image_id AND f.r = k.r AND f.c = k.c WHERE k.n_near > 1 OR f.r IS NOT NULL)"""
 _AROUND9 = "o(i, j) AS (VALUES " + ", ".join(f"({i}, {j})" for i in (-1, 0, 1) for j in (-1, 0, 1)) + ")"
 _PRUNED_TWICE = f"""{_PRUNED}, {_AROUND9}, moved AS (SELECT image_id, CAST(r + i AS INTEGER) AS r, CAST(c + j AS INTEGER) AS c FROM once CROSS JOIN o),
@@ -382,6 +398,20 @@ def skeleton_edges(spark, d):
     return e.select("image_id", "eid", "src", "dst", F.size("pts").alias("n_voxels"))
 
 
+#: Every run of edge voxels walked from both its ends; the walk from the end whose node voxel and first edge voxel come first is kept.
+_RUNS = f"""{_CODES}, near AS MATERIALIZED (SELECT a.image_id, a.r, a.c, a.n_near AS n, b.r AS r2, b.c AS c2, b.n_near AS n2 FROM codes a
+  JOIN codes b ON b.image_id = a.image_id AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)),
+walk AS (SELECT image_id, r AS r0, c AS c0, r2 AS r1, c2 AS c1, r AS pr, c AS pc, r2 AS r, c2 AS c, 2 AS n, false AS ended FROM near WHERE n <> 2 AND n2 = 2 UNION ALL
+  SELECT w.image_id, r0, c0, r1, c1, w.r, w.c, k.r2, k.c2, w.n + 1, k.n2 <> 2 FROM walk w JOIN near k ON k.image_id = w.image_id AND k.r = w.r AND k.c = w.c WHERE NOT w.ended AND (k.r2, k.c2) <> (w.pr, w.pc))"""
+
+
+@query(f"WITH RECURSIVE {_RUNS} SELECT image_id, r0, c0, r1, c1, r AS r2, c AS c2, n AS n_voxels FROM walk WHERE ended AND (r0, c0, r1, c1) < (r, c, pr, pc)")
+def skeleton_runs(spark, d):
+    e = skeleton.by_doubling(inp.voxels(spark, d), multi=True, ring=False).edges
+    ends = [F.element_at("pts", k).getField(a).alias(f"{a}{n}") for n, k in enumerate((1, 2, -1)) for a in "rc"]
+    return e.select("image_id", *ends, F.size("pts").alias("n_voxels"))
+
+
 # --- weights --------------------------------------------------------------------------------------
 
 _W = "w AS (SELECT l_orderkey, l_linenumber, CAST(1 + l_quantity AS BIGINT) % 20 AS n, CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS p FROM lineitem), u AS (SELECT *, CAST(CASE WHEN n < 2 THEN 10 ELSE p END AS DOUBLE) AS w FROM w)"
@@ -431,6 +461,12 @@ def knn_graph(spark, d):
     return points.knn_graph(inp.points(spark, d), 3, inp.CUTOFF).select("src", "dst", "rank")
 
 
+@query(f"""WITH {inp.POINTS}, k AS (SELECT a.pid AS src, b.pid AS dst, row_number() OVER (PARTITION BY a.pid ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.pid) AS rank
+  FROM pts a JOIN pts b ON a.pid <> b.pid) SELECT src, dst, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
+def knn_free(spark, d):
+    return points.nearest(inp.points(spark, d), 3).select("src", "dst", "rank")
+
+
 @query(f"WITH {inp.POINTS} SELECT a.pid AS src, b.pid AS dst, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) + 0.0 AS length FROM pts a JOIN pts b ON b.pid = a.pid * 2 + 1")
 def edge_list_graph(spark, d):
     p = inp.points(spark, d)
@@ -694,6 +730,28 @@ def kirchhoff_inflows_relaxed(spark, d):
     return flows.inflows(g, own).select("id", r6("inflow").alias("inflow"))
 
 
+_FRAMES = _ENTERS[: _ENTERS.index("SELECT CAST(id AS BIGINT)")]
+
+
+@query(f"WITH RECURSIVE {_FRAMES}, s AS (SELECT frame, count(*) AS n FROM giant GROUP BY frame) SELECT a.frame, a.id AS row, b.id AS col, round(CAST(a.id = b.id AS INTEGER) - 1.0::DOUBLE / n, 6) + 0.0 AS value FROM giant a JOIN giant b USING (frame) JOIN s USING (frame)")
+def pseudo_inverse_identity(spark, d):
+    """The Laplacian times its pseudo-inverse: one less the mean."""
+    g = NetworkFrame(*map(stored, (lambda w: (w.vertices, w.edges))(_frame_graphs(spark, d))))
+    q = stored(flows.pseudo_inverse(g, "w", by="frame"))
+    at = lambda end, name: q.select("frame", F.col("row").alias(end), "col", F.col("value").alias(name))
+    drop = both_ways(g.edges.select("frame", "src", "dst", "w")).join(at("src", "a"), ["frame", "src"]).join(at("dst", "b"), ["frame", "dst", "col"])
+    return drop.groupBy("frame", F.col("src").alias("row"), "col").agg(r6(F.sum(F.col("w") * (F.col("a") - F.col("b")))).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_FRAMES}, m AS (SELECT frame, avg(x) AS x, avg(y) AS y, min(x) AS lo, max(x) AS hi FROM giant JOIN pts USING (frame) WHERE pid = id GROUP BY frame),
+ties AS (SELECT p.frame, -(2 * p.frame + 1) AS src, id AS dst, lo - 10 AS x0, m.y AS y0, p.x AS x1, p.y AS y1 FROM giant g JOIN pts p ON p.pid = g.id JOIN m ON m.frame = p.frame WHERE p.x BETWEEN -1 AND -0.1
+  UNION ALL SELECT p.frame, -(2 * p.frame + 2), id, hi + 10, m.y, p.x, p.y FROM giant g JOIN pts p ON p.pid = g.id JOIN m ON m.frame = p.frame WHERE p.x BETWEEN 0.1 AND 1)
+SELECT DISTINCT CAST(src AS BIGINT) AS src, dst, CAST(trunc(round(x0 + (x1 - x0) * i / 49, 9)) AS INTEGER) AS x, CAST(trunc(round(y0 + (y1 - y0) * i / 49, 9)) AS INTEGER) AS y FROM ties, range(50) t(i)""")
+def terminal_lines(spark, d):
+    w = _wired(spark, d)
+    return flows.terminal_voxels(NetworkFrame(w.vertices, w.edges)).select("src", "dst", "x", "y")
+
+
 @query()
 def node_potentials_relaxed(spark, d):
     own = flows.relaxed(_wired(spark, d), F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), tolerance=1e-8, by="frame")
