@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.errors import InvalidArgumentsError
-from meshwright.operators import paths
+from meshwright.operators import flows, paths
 from meshwright.schema import NetworkFrame
 
 
@@ -107,3 +107,29 @@ def test_gyration_by_trees_is_the_walk_of_every_pair():
                     want += mass[k] * np.array([dx * dx, dy * dy, dx * dy])
                     v = int(c.to[k])
         assert paths.gyration_sums(c, xy, mass, sources, sampling) == pytest.approx(want)
+
+
+def test_sparse_solves_are_the_dense_ones(spark, monkeypatch):
+    """Two pieces and isolated vertices; parallel edges with weights."""
+    g = random_graph(spark, 30, 50, 9, ties=False)
+    g = NetworkFrame(g.vertices.withColumns({"low": F.expr("id % 5 = 1"), "high": F.expr("id % 7 IN (2, 3)")}), g.edges.unionByName(g.edges.where("src % 3 = 1")).where("src <> dst"))
+    ask = {
+        "pinv": (lambda: flows.pseudo_inverse(g, "w"), ("row", "col"), "value"),
+        "linear": (lambda: flows.random_walk_betweenness(g, "low", "high", "w").groupBy("src", "dst").agg(F.sum("betweenness").alias("betweenness")), ("src", "dst"), "betweenness"),
+        "plain": (lambda: flows.random_walk_betweenness(g, [1, 2, 3], [2, 8], None), ("src", "dst"), "betweenness"),
+        "all": (lambda: flows.current_flow_betweenness(g, "w").groupBy("src", "dst").agg(F.sum("betweenness").alias("betweenness")), ("src", "dst"), "betweenness"),
+        "resistance": (lambda: flows.effective_resistance(g, 1, 4, "w"), (), "by_inverse"),
+    }
+    ghost = lambda: flows.random_walk_betweenness(joined, [0, 1], [3], "w", ghost=True)
+    joined = NetworkFrame(spark.range(4).select("id"), spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.5), (2, 3, 2.0), (0, 3, 0.7)], "src long, dst long, w double"))
+    ask["ghost"] = (ghost, ("src", "dst"), "betweenness")
+    want = {k: rows(f(), *keys) for k, (f, keys, _) in ask.items()}
+    monkeypatch.setattr(flows, "MOST_VERTICES", 2)
+    monkeypatch.setattr(flows, "NUMBERS", 400)
+    for k, (f, keys, value) in ask.items():
+        got = rows(f(), *keys)
+        assert set(got) == set(want[k]), k
+        assert [got[x][value] for x in sorted(got)] == pytest.approx([want[k][x][value] for x in sorted(got)], abs=1e-8), k
+    monkeypatch.setattr(paths, "MOST_EDGES", 3)
+    with pytest.raises(InvalidArgumentsError):
+        flows.current_flow_betweenness(g, "w")
