@@ -76,12 +76,6 @@ def crop(rows: DataFrame, values: list[float] | None) -> DataFrame:
     return inside.withColumns({n: F.col(n) - int(a) for n, (a, _) in zip(box.names(), box.bounds, strict=True)})
 
 
-def halo_crop(rows: DataFrame, values: list[float], radius: int) -> DataFrame:
-    """Rows a neighbourhood filter of ``radius`` needs for the crop; not for filters of the whole image."""
-    box = Crop.of(values)
-    return rows.where(Crop(tuple((a - radius, b + radius) for a, b in box.bounds)).condition())
-
-
 def rotating_crop(height: int, width: int) -> Crop:
     """The largest centred square that stays inside an image however it is rotated."""
     side = min(height, width) / math.sqrt(2)

@@ -63,8 +63,8 @@ def outer(weights: list[float]) -> list[list[float]]:
     return [[a * b for b in weights] for a in weights]
 
 
-#: Side of a tile.
-TILE = 64
+#: Side of a tile; images whose sizes go to every task.
+TILE, BROADCAST_SHAPES = 64, 1_000_000
 
 
 def tiled(pixels: DataFrame, half: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray], border: str | None = "reflect", tile: int = TILE) -> DataFrame:
@@ -73,7 +73,8 @@ def tiled(pixels: DataFrame, half: int, value: Callable[[np.ndarray, np.ndarray]
     ``value`` gets arrays (cell, r, c) and (r, c), NaN where no pixel is; ``border``
     names numpy's way to go on beyond the image, None leaves NaN there.
     """
-    shape = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    shape = stored(pixels.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")))
+    shape = F.broadcast(shape) if shape.count() <= BROADCAST_SHAPES else shape  # a row per image; pixels are then shuffled to their tiles only
     reaching = lambda x, n: F.sequence(F.floor(F.greatest(F.col(x) - half, F.lit(0)) / tile), F.floor(F.least(F.col(x) + half, F.col(n) - 1) / tile))
     dealt = pixels.select(*AT, "v").join(shape, "image_id").withColumn("tr", F.explode(reaching("r", "h"))).withColumn("tc", F.explode(reaching("c", "w")))
 

@@ -12,7 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .imaging import AT
+from ..errors import InvalidArgumentsError
+from .groups import by_keys
+from .imaging import AT, TILE
+
+#: Distinct values that a mask's classes are named from.
+MOST_CLASSES = 10_000
 
 
 @dataclass(frozen=True)
@@ -44,15 +49,33 @@ def multi_scale(pixels: DataFrame, areas: DataFrame, p: Params = Params()) -> Da
     return reduce(DataFrame.unionByName, every).select(*AT, "scale", "patch")
 
 
-def patches(pixels: DataFrame, areas: DataFrame, half: int = 12, step: int = 1) -> DataFrame:
-    """(image_id, z, r, c, patch): the (2 half + 1) squared window about every pixel of ``areas``, of every ``step``-th pixel, row by row, 0 outside, values about 0 within half a unit."""
-    side = 2 * half + 1
-    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
-    asked = areas.select(*AT, F.explode(cells).alias("k"))
-    at = asked.withColumns({"ur": (F.col("r") + (F.floor(F.col("k") / side) - half) * step).cast("int"), "uc": (F.col("c") + (F.col("k") % side - half) * step).cast("int")})
-    values = pixels.select("image_id", "z", F.col("r").alias("ur"), F.col("c").alias("uc"), (F.col("v") / 255 - 0.5).alias("u"))
-    got = at.join(values, ["image_id", "z", "ur", "uc"], "left").groupBy(*AT).agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("u", F.lit(0.0)).alias("u")))).alias("p"))
-    return got.select(*AT, F.col("p.u").alias("patch"))
+def patches(pixels: DataFrame, areas: DataFrame, half: int = 12, step: int = 1, tile: int = TILE) -> DataFrame:
+    """(image_id, z, r, c, patch): the (2 half + 1) squared window about every pixel of ``areas``, of every ``step``-th pixel, row by row, 0 outside, values about 0 within half a unit.
+
+    Pixels go to tiles with a halo as wide as a window reaches, areas to their own
+    tile: one shuffle, and a window's pixels are no rows of their own.
+    """
+    reach = half * step
+    near = lambda x, n: F.explode(F.sequence(F.floor((F.col(x) - n) / tile), F.floor((F.col(x) + n) / tile)))
+    dealt = lambda rows, n: rows.withColumn("tr", near("r", n)).withColumn("tc", near("c", n)).select("image_id", "z", "tr", "tc", "asked", "r", "c", "v")
+    held = dealt(pixels.select(*AT, F.col("v").cast("long").alias("v"), F.lit(0).alias("asked")), reach)
+    both = held.unionByName(dealt(areas.select(*AT).distinct().withColumns({"v": F.lit(0).cast("long"), "asked": F.lit(1)}), 0))
+    steps = (np.arange(2 * half + 1) - half) * step
+
+    def of_tile(key: tuple[int, ...], p: np.ndarray) -> list[pd.DataFrame]:
+        image, z, *at = key
+        own, asked = p[p[:, 0] == 0, 1:], p[p[:, 0] == 1, 1:3]
+        if not len(asked):
+            return []
+        low = np.array(at) * tile - reach
+        values = np.zeros((tile + 2 * reach, tile + 2 * reach))
+        values[own[:, 0] - low[0], own[:, 1] - low[1]] = own[:, 2] / 255 - 0.5
+        r, c = ((asked[:, k] - low[k])[:, None] + steps for k in (0, 1))
+        windows = values[r[:, :, None], c[:, None, :]].reshape(len(asked), -1)
+        place = {"image_id": image, "z": np.int32(z), "r": asked[:, 0].astype("int32"), "c": asked[:, 1].astype("int32")}
+        return [pd.DataFrame({**place, "patch": [*windows]})]
+
+    return by_keys(both, 4, of_tile, "image_id long, z int, r int, c int, patch array<double>")
 
 
 def augmented(patched: DataFrame, half: int = 12) -> DataFrame:
@@ -87,7 +110,10 @@ def with_masks(images: DataFrame, masks: DataFrame, default: str = "default") ->
 
 def as_classes(rows: DataFrame, column: str) -> DataFrame:
     """Values as integers from 0 in their order."""
-    values = sorted(r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().collect())  # the classes of a mask
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise InvalidArgumentsError(f"a mask has at most {MOST_CLASSES} classes")
+    values = sorted(r[0] for r in found)
     named = F.create_map(*(F.lit(x) for i, v in enumerate(values) for x in (v, i))) if values else F.create_map(F.lit(0), F.lit(0))
     return rows.withColumn("class", F.try_element_at(named, F.col(column)))
 

@@ -460,3 +460,23 @@ def test_pointer_doubling_traces_as_one_task_does(spark):
 
 
 AT_3D = [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 2), (4, 4, 2), (2, 2, 3), (2, 1, 4), (9, 9, 9)]
+
+
+def test_patches_over_tiles(spark):
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (23, 31))
+    areas = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 22, 30), (0, 0, 11, 16), (0, 0, 11, 16)], "image_id long, z int, r int, c int")
+    got = {(r["r"], r["c"]): r["patch"] for r in learning.patches(pixels(spark, image), areas, 2, 3, tile=8).collect()}
+    wide = np.pad(image / 255 - 0.5, 6)
+    assert set(got) == {(0, 0), (22, 30), (11, 16)}
+    for (r, c), patch in got.items():
+        assert patch == pytest.approx(wide[r : r + 13 : 3, c : c + 13 : 3].ravel().tolist())
+    with pytest.raises(InvalidArgumentsError):
+        learning.as_classes(spark.range(learning.MOST_CLASSES + 5), "id")
+
+
+def test_binary_images_as_folders(spark, tmp_path):
+    both = pixels(spark, np.eye(3, dtype=int) * 255, 1).unionByName(pixels(spark, np.ones((2, 2), int), 2))
+    graphs.write_pixels(both, str(tmp_path / "binary"))
+    back = graphs.read_pixels(spark, str(tmp_path / "binary"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in both.collect()} and back.where("image_id = 2").count() == 4
