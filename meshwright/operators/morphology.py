@@ -157,10 +157,11 @@ def debubble(voxels: DataFrame, radii: list[int], box: DataFrame, planar: bool =
 
 def merge_nodes(voxels: DataFrame, radius: int, box: DataFrame) -> DataFrame:
     """Branch points widened by a disk and joined with the skeleton, then thinned; planes only."""
+    voxels = stored(voxels.select(*AT))
     if not voxels.where("z <> 0").isEmpty():
         raise TypeError("nodes are merged in planes only")
     wide = dilated(branch_points(voxels), ball(radius, True), box)
-    return skeletonize(voxels.select(*AT).unionByName(wide).distinct())
+    return skeletonize(voxels.unionByName(wide).distinct())
 
 
 def image_skeleton(binary: DataFrame, box: DataFrame, crop_to: list[float] | None = None, skeleton: bool = True, debubble_by: list[int] | None = None,

@@ -119,6 +119,7 @@ def boxes(voxels: DataFrame) -> DataFrame:
 
 def skeletons(voxels: DataFrame, box: int = BOX, passes: int = PASSES, side: int = SIDE, words: int = WORDS) -> DataFrame:
     """Skeletons of all images: those of a small box in one task each, others tile by tile."""
+    voxels = stored(voxels.select(*AT))
     sized = stored(boxes(voxels))
     large = sized.where(F.col("cells") > box)
     if large.isEmpty():

@@ -32,13 +32,13 @@ def same(got, want, keys, values):
 
 @pytest.mark.parametrize("weight", [None, "w"])
 def test_betweenness_over_tables(spark, monkeypatch, weight):
-    g = random_graph(spark, 16, 20, 1)
-    sources, targets = g.vertices.where("id < 9"), g.vertices.where("id > 6")
+    g = random_graph(spark, 12, 17, 1)
+    sources, targets = g.vertices.where("id < 8"), g.vertices.where("id > 5")
     want = paths._both_kinds(g, sources, targets, weight)
     every = paths._both_kinds(g, g.vertices, None, weight)
     want, every = spark.createDataFrame(want.collect(), want.schema), spark.createDataFrame(every.collect(), every.schema)
     monkeypatch.setattr(paths, "MOST_EDGES", 0)
-    monkeypatch.setattr(paths, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(paths, "BLOCK_ROWS", 150)
     same(paths._both_kinds(g, sources, targets, weight), want, ("kind", "src", "dst"), ["value"])
     if weight is None:
         n = g.vertices.count()
@@ -55,20 +55,20 @@ def test_weights_must_be_positive(spark, monkeypatch):
 
 @pytest.mark.parametrize("weight", [None, "w"])
 def test_reach_in_blocks(spark, monkeypatch, weight):
-    g = random_graph(spark, 90, 130, 5, ties=False)
+    g = random_graph(spark, 70, 150, 5, ties=False)
     want = spark.createDataFrame(paths.reach(g, weight).collect(), "id long, n long, total double, longest double")
     longest = paths.diameter(g, weight).first()[0]
     monkeypatch.setattr(paths, "MOST_EDGES", 0)
-    monkeypatch.setattr(paths, "BLOCK_ROWS", 90 if weight is None else 5_000)
+    monkeypatch.setattr(paths, "BLOCK_ROWS", 60 if weight is None else 4_000)
     same(paths.reach(g, weight), want, ("id",), ["n", "total", "longest"])
     assert paths.diameter(g, weight).first()[0] == longest
 
 
 def test_diameter_by_bounds_of_shapes(spark, monkeypatch):
     monkeypatch.setattr(paths, "MOST_EDGES", 0)
-    line = [(i, i + 1) for i in range(12)]
-    ring = [(100 + i, 100 + (i + 1) % 9) for i in range(9)]
-    for pairs, want in ((line + ring, 12), ([], None)):
+    line = [(i, i + 1) for i in range(7)]
+    ring = [(100 + i, 100 + (i + 1) % 5) for i in range(5)]
+    for pairs, want in ((line + ring, 7), ([], None)):
         e = spark.createDataFrame(pairs, "src long, dst long")
         v = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p} | {999})], "id long")
         assert paths.diameter(NetworkFrame(v, e)).first()[0] == want
