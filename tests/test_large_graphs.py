@@ -34,16 +34,12 @@ def same(got, want, keys, values):
 def test_betweenness_over_tables(spark, monkeypatch, weight):
     g = random_graph(spark, 12, 17, 1)
     sources, targets = g.vertices.where("id < 8"), g.vertices.where("id > 5")
-    want = paths._both_kinds(g, sources, targets, weight)
-    every = paths._both_kinds(g, g.vertices, None, weight)
-    want, every = spark.createDataFrame(want.collect(), want.schema), spark.createDataFrame(every.collect(), every.schema)
+    ask = (lambda: paths._both_kinds(g, sources, targets, weight)) if weight else (lambda: paths.node_betweenness(g))
+    keys, value = (("kind", "src", "dst"), "value") if weight else (("id",), "betweenness")
+    want = spark.createDataFrame((got := ask()).collect(), got.schema)
     monkeypatch.setattr(paths, "MOST_EDGES", 0)
     monkeypatch.setattr(paths, "BLOCK_ROWS", 150)
-    same(paths._both_kinds(g, sources, targets, weight), want, ("kind", "src", "dst"), ["value"])
-    if weight is None:
-        n = g.vertices.count()
-        got = paths.node_betweenness(g)
-        same(got, every.where("kind = 'node'").select(F.col("src").alias("id"), (F.col("value") / 2 / (n * (n - 1))).alias("betweenness")), ("id",), ["betweenness"])
+    same(ask(), want, keys, [value])
 
 
 def test_weights_must_be_positive(spark, monkeypatch):
