@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,26 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _left.add(path)
     for held in _open[-1:]:
         held.append(out)
     return out
 
 
 _open: list[list[DataFrame]] = []
+#: Tables that were stored and not deleted; a result may still read them, so they stay until the program ends.
+_left: set[str] = set()
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what is left, also if the session was stopped before; a program that is killed leaves its tables."""
+    if _left and (jvm := SparkContext._jvm) is not None:
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        for path in _left:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        _left.clear()
 
 
 @contextmanager
@@ -58,6 +74,7 @@ def forget(*tables: DataFrame | None) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+            _left.discard(path)
 
 
 def hot_keys(rows: DataFrame, key: str, n_rows: int) -> DataFrame:

@@ -1,5 +1,9 @@
 """Closed forms on four-vertex graphs, invariants, and agreement of independent ways."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +277,19 @@ def test_scratch_is_cleared(spark):
         assert kept.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(kept.stored_at).count()
+
+
+def test_what_is_left_goes_at_the_end(tmp_path):
+    """A program that stops its session, and one that does not."""
+    for last in ("", "spark.stop()"):
+        code = f"""
+import sys
+sys.path.insert(0, {str(Path(iterate.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from meshwright.operators.iterate import stored
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+print(stored(spark.range(3)).count(), len([*__import__("pathlib").Path({str(tmp_path)!r}).glob("round-*")]))
+{last}
+"""
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+        assert out.stdout.split()[-2:] == ["3", "1"] and not [*tmp_path.glob("round-*")], out.stderr[-500:]
