@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame
 
 def by_keys(rows: DataFrame, n_keys: int, kernel: Callable[[tuple[int, ...], np.ndarray], list[pd.DataFrame]], schema: str) -> DataFrame:
     """``kernel`` on every group's key (the first ``n_keys`` columns) and other columns, in the order of all columns; a task holds a group at a time and a batch."""
+    return by_batches(rows, n_keys, lambda groups: [f for key, own in groups for f in kernel(key, own)], schema)
+
+
+def by_batches(rows: DataFrame, n_keys: int, kernel: Callable[[list[tuple[tuple[int, ...], np.ndarray]]], list[pd.DataFrame]], schema: str) -> DataFrame:
+    """As ``by_keys``, with all groups that end in a batch in one call."""
     keys = rows.columns[:n_keys]
     spread = rows.repartition(*keys).sortWithinPartitions(*rows.columns)
 
@@ -25,7 +30,7 @@ def by_keys(rows: DataFrame, n_keys: int, kernel: Callable[[tuple[int, ...], np.
             every = np.concatenate([*held, new])
             parts = np.split(every, np.flatnonzero((np.diff(every[:, :n_keys], axis=0) != 0).any(1)) + 1)
             held = [] if frame is None or not len(every) else [parts.pop()]
-            out = [f for p in parts if len(p) for f in kernel(tuple(p[0, :n_keys].tolist()), p[:, n_keys:])]
+            out = kernel([(tuple(p[0, :n_keys].tolist()), p[:, n_keys:]) for p in parts if len(p)])
             if out:
                 yield pd.concat(out, ignore_index=True)
 

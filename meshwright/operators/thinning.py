@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import by_keys
+from .groups import by_batches, by_keys
 from .iterate import forget, stored
 
 #: Cells of a box that one task holds; passes between two shuffles; how far a pass looks: a border and eight colours.
@@ -79,15 +79,41 @@ def simple(code: np.ndarray) -> np.ndarray:
 def thinned(volume: np.ndarray, flat: tuple[bool, bool, bool], passes: int | None = None, origin: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
     """A volume of booleans after so many passes, or as many as change it; ``flat`` axes have no open faces, ``origin`` gives the parities."""
     on = np.pad(volume, 1)
+    held = np.flatnonzero(on)
+    _thin(on, held, np.full(len(held), sum(f << k for k, f in enumerate(flat))), passes, origin)
+    return on[1:-1, 1:-1, 1:-1]
+
+
+def thinned_together(images: list[np.ndarray]) -> list[np.ndarray]:
+    """The voxels (rows of z, r, c) that thinning leaves of each image, all in one volume: one above the other with a gap, at places of the same parity."""
+    placed, at = [], 0
+    for own in images:
+        low = own.min(0)
+        at += (at ^ int(low[0])) & 1
+        placed.append(own - low + [at + 1, 1 + (low[1] & 1), 1 + (low[2] & 1)])
+        at = int(placed[-1][:, 0].max()) + 1
+    every = np.concatenate(placed)
+    shape = every.max(0) + 2
+    flat = np.repeat([sum(int(n == 0) << k for k, n in enumerate(np.ptp(own, 0))) for own in images], [*map(len, images)])
+    on = np.zeros(shape, bool)
+    on[tuple(every.T)] = True
+    place = np.ravel_multi_index(tuple(every.T), shape)
+    order = np.argsort(place, kind="stable")
+    _thin(on, place[order], flat[order], None, (0, 0, 0))
+    left = on.ravel()[place]
+    return [own[kept] for own, kept in zip(images, np.split(left, np.cumsum([*map(len, images)])[:-1]), strict=True)]
+
+
+def _thin(on: np.ndarray, held: np.ndarray, flat: np.ndarray, passes: int | None, origin: tuple[int, int, int]) -> None:
+    """Passes over a volume with a margin, in place; ``held`` are the places of its voxels, ``flat`` their images' flat axes as bits."""
     cells, shape = on.ravel(), on.shape
     strides = (shape[1] * shape[2], shape[2], 1)
     steps = [sum(a * b for a, b in zip(c, strides, strict=True)) for c in CELLS]
-    open_faces = [steps[n] for n in FACES if not flat[[abs(x) for x in CELLS[n]].index(1)]]
-    held = np.flatnonzero(cells)
     while passes is None or passes > 0:
         border = np.zeros(len(held), bool)
-        for step in open_faces:
-            border |= ~cells[held + step]
+        for n in FACES:
+            axis = [abs(x) for x in CELLS[n]].index(1)
+            border |= ~cells[held + steps[n]] & (flat >> axis & 1 == 0)
         at = held[border]
         near = sum(cells[at + step].astype(np.int8) for step in steps)
         at = at[near > 2]  # itself, and more than the one neighbour of an end
@@ -96,6 +122,8 @@ def thinned(volume: np.ndarray, flat: tuple[bool, bool, bool], passes: int | Non
         gone = 0
         for k in range(8):
             own = at[colour == k]
+            if not len(own):
+                continue
             code = np.zeros(len(own), np.int32)
             for n, step in enumerate(steps):
                 code |= cells[own + step].astype(np.int32) << n
@@ -104,9 +132,9 @@ def thinned(volume: np.ndarray, flat: tuple[bool, bool, bool], passes: int | Non
             gone += len(own)
         if not gone:
             break
-        held = held[cells[held]]
+        kept = cells[held]
+        held, flat = held[kept], flat[kept]
         passes = None if passes is None else passes - 1
-    return on[1:-1, 1:-1, 1:-1]
 
 
 def boxes(voxels: DataFrame) -> DataFrame:
@@ -129,15 +157,23 @@ def skeletons(voxels: DataFrame, box: int = BOX, passes: int = PASSES, side: int
 
 
 def in_one_task(voxels: DataFrame) -> DataFrame:
-    def of_image(key: tuple[int, ...], at: np.ndarray) -> list[pd.DataFrame]:
-        low = at.min(0)
-        shape = at.max(0) - low + 1
-        volume = np.zeros(shape, bool)
-        volume[tuple((at - low).T)] = True
-        z, r, c = (np.argwhere(thinned(volume, tuple(shape == 1), None, tuple(low))) + low).T.astype("int32")
-        return [pd.DataFrame({"image_id": np.full(len(z), key[0]), "z": z, "r": r, "c": c})]
-
-    return by_keys(voxels.select(*AT), 1, of_image, "image_id long, z int, r int, c int")
+    """Every image in one task; small ones of a batch are thinned together."""
+
+    def of_images(groups: list[tuple[tuple[int, ...], np.ndarray]]) -> list[pd.DataFrame]:
+        out, some, wide, high = [], [], np.zeros(2, np.int64), 0
+        for key, at in [*groups, (None, None)]:
+            size = None if at is None else np.ptp(at, 0) + 4
+            if some and (size is None or (high + size[0]) * np.prod(np.maximum(wide, size[1:])) > BOX):
+                left = thinned_together([own for _, own in some])
+                z, r, c = np.concatenate(left).T.astype("int32")
+                out.append(pd.DataFrame({"image_id": np.repeat([k for k, _ in some], [*map(len, left)]), "z": z, "r": r, "c": c}))
+                some, wide, high = [], np.zeros(2, np.int64), 0
+            if at is not None:
+                some.append((key[0], at))
+                wide, high = np.maximum(wide, size[1:]), high + size[0]
+        return out
+
+    return by_batches(voxels.select(*AT), 1, of_images, "image_id long, z int, r int, c int")
 
 
 def packed(voxels: DataFrame) -> DataFrame:

@@ -165,6 +165,17 @@ def test_thinning_keeps_topology():
         assert 0 < after.sum() < before.sum() and not (after & ~before).any() and euler(after) == euler(before)
 
 
+def test_images_thinned_together_are_thinned_alone():
+    rng = np.random.default_rng(2)
+    images = [np.argwhere(blobs(shape, k)) + rng.integers(-9, 9, 3) for k, shape in enumerate([(6, 7, 8), (1, 9, 9), (5, 1, 12), (8, 8, 1)])] + [np.array([[2, 3, 4]])]
+    for own, left in zip(images, thinning.thinned_together(images), strict=True):
+        low = own.min(0)
+        volume = np.zeros(own.max(0) - low + 1, bool)
+        volume[tuple((own - low).T)] = True
+        alone = np.argwhere(thinning.thinned(volume, tuple(bool(n == 1) for n in volume.shape), None, tuple(low))) + low
+        assert sorted(map(tuple, left.tolist())) == sorted(map(tuple, alone.tolist()))
+
+
 def euler(on):
     """Vertices less edges plus faces less cells of the closed voxels: pieces less tunnels plus hollows."""
     wide = np.pad(on, 1)
