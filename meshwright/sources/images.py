@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ImageDirectoryError
 from ..schema import PIXELS
+from .codecs import decoded_gif, decoded_jpeg, decoded_png, grey
 
 # Suffixes of image files.
 SUFFIXES = ("tiff", "tif", "jpg", "jpeg", "png", "bmp", "gif")
@@ -77,45 +78,6 @@ def literal(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def decoded_png(content: bytes) -> np.ndarray:
-    """An 8-bit grey, RGB or RGBA PNG without interlace, as grey."""
-    if content[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, data, head = 8, b"", None
-    while at < len(content):
-        n, kind = struct.unpack(">I4s", content[at : at + 8])
-        body = content[at + 8 : at + 8 + n]
-        head = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head
-        data += body if kind == b"IDAT" else b""
-        at += 12 + n
-    width, height, depth, colour, _, _, interlace = head
-    channels = {0: 1, 2: 3, 6: 4, 4: 2}.get(colour)
-    if depth != 8 or channels is None or interlace:
-        raise ValueError("only plain 8-bit PNG files are read")
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.int32)
-    for i in range(height):
-        kind, line = raw[i, 0], raw[i, 1:].astype(np.int32)
-        up = out[i - 1] if i else np.zeros_like(line)
-        if kind == 0:
-            out[i] = line
-        elif kind == 2:
-            out[i] = (line + up) & 255
-        else:
-            for j in range(len(line)):
-                left = out[i, j - channels] if j >= channels else 0
-                corner = up[j - channels] if j >= channels else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up[j]) // 2
-                else:
-                    p = left + up[j] - corner
-                    guess = min((left, up[j], corner), key=lambda x: abs(p - x))
-                out[i, j] = (line[j] + guess) & 255
-    return _grey(out.reshape(height, width, channels))
-
-
 def unpacked_bits(data: bytes) -> bytes:
     """PackBits: runs of literal bytes and of repeated ones."""
     out, at = bytearray(), 0
@@ -187,7 +149,7 @@ def decoded_tiff(content: bytes) -> np.ndarray:
     if ahead == 2:  # each sample is kept as the step from the one before
         image = np.cumsum(image, axis=1, dtype=image.dtype)
     image = image.astype(np.int32) >> (8 if depth == {16} else 0)
-    return _grey(255 - image if tags.get(262, (1,))[0] == 0 else image)
+    return grey(255 - image if tags.get(262, (1,))[0] == 0 else image)
 
 
 def decoded_bmp(content: bytes) -> np.ndarray:
@@ -204,21 +166,15 @@ def decoded_bmp(content: bytes) -> np.ndarray:
     else:
         image = raw.reshape(abs(height), width, bits // 8)
     image = image[:, :, 2::-1].astype(np.int32)  # stored as blue, green, red
-    return _grey(image if height < 0 else image[::-1])
-
-
-def _grey(image: np.ndarray) -> np.ndarray:
-    if image.shape[2] < 3:
-        return image[:, :, 0]
-    return np.rint(image[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.int32)
+    return grey(image if height < 0 else image[::-1])
 
 
 def decoded(content: bytes) -> np.ndarray:
-    """PNG, TIFF or BMP by their first bytes; JPEG and GIF are named in the error, as no reader of theirs is at hand."""
-    for name, start in (("JPEG", b"\xff\xd8"), ("GIF", b"GIF8")):
+    """PNG, GIF, JPEG, BMP or TIFF by their first bytes, as grey of 0 to 255."""
+    for start, decoder in ((b"\x89PNG", decoded_png), (b"GIF8", decoded_gif), (b"\xff\xd8", decoded_jpeg), (b"BM", decoded_bmp)):
         if content.startswith(start):
-            raise ValueError(f"{name} files are not read; convert them to PNG or TIFF")
-    return decoded_png(content) if content[:4] == b"\x89PNG" else decoded_bmp(content) if content[:2] == b"BM" else decoded_tiff(content)
+            return decoder(content)
+    return decoded_tiff(content)
 
 
 def pixels(found: DataFrame, image_id: int = 0) -> DataFrame:
@@ -228,19 +184,19 @@ def pixels(found: DataFrame, image_id: int = 0) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples():
                 try:
-                    grey = decoded(bytes(row.content))
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                    image = decoded(bytes(row.content))
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
                     raise ValueError(f"cannot read {row.path}: {e}") from e
-                r, c = np.indices(grey.shape)
-                yield pd.DataFrame({"image_id": image_id, "z": row.z, "r": r.ravel(), "c": c.ravel(), "v": grey.ravel()}).astype({"z": "int32", "r": "int32", "c": "int32", "v": "int32"})
+                r, c = np.indices(image.shape)
+                yield pd.DataFrame({"image_id": image_id, "z": row.z, "r": r.ravel(), "c": c.ravel(), "v": image.ravel()}).astype({"z": "int32", "r": "int32", "c": "int32", "v": "int32"})
 
     return found.select("path", "z", "content").mapInPandas(run, PIXELS)
 
 
-def encoded_tiff(grey: np.ndarray) -> bytes:
+def encoded_tiff(image: np.ndarray) -> bytes:
     """A grey 8-bit TIFF."""
-    height, width = grey.shape
-    data = grey.astype(np.uint8).tobytes()
+    height, width = image.shape
+    data = image.astype(np.uint8).tobytes()
     tags = [(256, 4, width), (257, 4, height), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(data))]
     entries = b"".join(struct.pack("<HHI", t, k, 1) + (struct.pack("<I", v) if k == 4 else struct.pack("<HH", v, 0)) for t, k, v in tags)
     return struct.pack("<2sHI", b"II", 42, 8 + len(data)) + data + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0)
