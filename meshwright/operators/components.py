@@ -1,7 +1,12 @@
-"""Connected components by least labels and pointer jumping.
+"""Connected components by randomised contraction.
 
 A graph of at most ``FEW_EDGES`` edges (counted first) is solved in one task, as
-rounds of joins would cost more than the work; any other by rounds over tables.
+rounds of joins would cost more than the work. A larger one is contracted until
+it is that small: in a random order of the vertices, another one each round, all
+vertices turn into the first of themselves and their neighbours; edges that so
+become loops or repeat others go. A fixed share of the vertices is expected to
+go in each round, whatever the shape, so all rounds together cost little more
+than the first. The vertices' way is then followed back from the last round.
 """
 
 from __future__ import annotations
@@ -13,35 +18,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NetworkFrame, both_ways
-from .iterate import forget, hot_keys, looked_up, stored
+from .iterate import FEW_ROWS, HOT_KEYS, forget, hot_keys, looked_up, stored
 
 FEW_EDGES = 200_000
 
 
 def components(g: NetworkFrame, few: int = FEW_EDGES) -> DataFrame:
-    """(id, component): the least id that is reachable."""
+    """(id, component): the least id that is reachable. Edges with a null end join nothing."""
     kind = dict(g.vertices.select("id").dtypes)["id"]
-    edges = stored(g.edges.select("src", "dst"))
-    n = edges.count()
+    edges = stored(g.edges.select("src", "dst").where("src <> dst"))
+    n, steps = edges.count(), []
+    while n > (0 if kind.startswith(("struct", "array", "map")) else few):
+        before = edges
+        edges, step = contracted(before, n, len(steps))
+        steps.append(step)
+        forget(before)
+        n = edges.count()
+    if n:
+        found = stored(edges.coalesce(1).mapInPandas(_least_of_each, f"id {kind}, component {kind}"))
+    else:
+        found = edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))  # no rows
+    for step in reversed(steps):
+        hot = hot_keys(step, "first", step.count())
+        ways = looked_up(step.select("id", "first"), found.toDF("first", "component"), "first", hot, outer=True)
+        after = stored(ways.select("id", F.coalesce("component", "first").alias("component")))
+        forget(found, step)
+        found = after
+    if steps:
+        least = found.groupBy("component").agg(F.min("id").alias("least"))
+        found = looked_up(found, least, "component", hot_keys(found, "component", found.count())).select("id", F.col("least").alias("component"))
     own = g.vertices.select("id").distinct()
-    if n <= few and not kind.startswith(("struct", "array", "map")):
-        found = edges.coalesce(1).mapInPandas(_least_of_each, f"id {kind}, component {kind}")
-        return own.join(stored(found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    ends = stored(both_ways(edges))
-    hot = stored(hot_keys(ends, "dst", 2 * n))
-    first = ends.groupBy("src").agg(F.min("dst").alias("m"))
-    labels = stored(own.join(first, own["id"] == first["src"], "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component")))
-    n_ids = labels.count()
-    while True:
-        near = looked_up(ends, labels.toDF("dst", "c"), "dst", hot).groupBy("src").agg(F.min("c").alias("near"))
-        step = stored(labels.join(near, labels["id"] == near["src"], "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new")))
-        far = looked_up(step, labels.toDF("new", "far"), "new", hot_keys(step, "new", n_ids), outer=True)
-        after = stored(far.select("id", "component", F.least("new", F.coalesce("far", "new")).alias("new")))
-        forget(step, labels)
-        if after.where("new <> component").isEmpty():
-            return after.select("id", "component")
-        labels = stored(after.select("id", F.col("new").alias("component")))
-        forget(after)
+    return own.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def contracted(edges: DataFrame, n: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The ``n`` ``edges`` between the vertices that all turn into, each once and without loops; and (id, first, n), what each turns into."""
+    placed = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("place"), F.col(c).alias("id"))  # noqa: E731  the order of this turn
+    near = both_ways(edges).groupBy("src").agg(F.min(placed("dst")).alias("near"), F.count("*").alias("n"))
+    step = stored(near.select(F.col("src").alias("id"), F.least(placed("src"), "near")["id"].alias("first"), "n"))
+    hot = step.where(F.col("n") > max(FEW_ROWS, 2 * n // HOT_KEYS))  # at most ``HOT_KEYS`` vertices, as their edges' ends are ``2 * n``
+    to = step.select("id", "first")
+    half = looked_up(edges, to.toDF("src", "a"), "src", hot.select(F.col("id").alias("src"))).select("a", "dst")
+    both = looked_up(half, to.toDF("dst", "b"), "dst", hot.select(F.col("id").alias("dst")))
+    return stored(both.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()), step
 
 
 def _least_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

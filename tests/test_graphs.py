@@ -153,6 +153,36 @@ def test_components_of_chains_and_hubs(spark, few):
     assert got == {i: 1 if i < 100 else 1000 if i < 5000 else 5000 for i in rows} | {9000: 9000}
 
 
+@pytest.mark.parametrize("few", [0, 40])
+def test_components_against_a_walk(spark, few):
+    rng = np.random.default_rng(few)
+    pairs = [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 150, (110, 2))] + [(f"w{i * 7 % 90}", f"w{(i + 1) * 7 % 90}") for i in range(89)] + [("v1", None), (None, "v2")]
+    g = NetworkFrame(spark.createDataFrame([(f"v{i}",) for i in range(150)] + [(f"w{i}",) for i in range(90)], "id string"), spark.createDataFrame(pairs, "src string, dst string"))
+    near = {}
+    for a, b in pairs:
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    got = by_id(components.components(g, few), "component")
+    assert len(got) == 240
+    for start in got:
+        seen, todo = {start}, [start]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert got[start] == min(seen)
+
+
+def test_contraction_shrinks_paths(spark):
+    """A path in an order that is bad for least labels loses a third of its vertices or more in a turn."""
+    n = 3000
+    edges = spark.range(n - 1).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
+    after, step = components.contracted(edges, n - 1, 0)
+    assert step.count() == n and step.agg(F.sum("n")).first()[0] == 2 * (n - 1)
+    assert after.count() == step.select("first").distinct().count() - 1 < n * 2 / 3
+
+
 def test_lookups_of_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(iterate, "FEW_ROWS", 10)
     rows = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1000)] + [(None, -1)], "k long, i long")
