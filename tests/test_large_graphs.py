@@ -129,3 +129,22 @@ def test_sparse_solves_are_the_dense_ones(spark, monkeypatch):
     monkeypatch.setattr(paths, "MOST_EDGES", 3)
     with pytest.raises(InvalidArgumentsError):
         flows.current_flow_betweenness(g, "w")
+
+
+def test_dense_steps_come_in_ranges_of_edges(monkeypatch):
+    """No more numbers at a time than are allowed, and the same sums."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, 9, (30, 2)).tolist() if p[0] != p[1]})
+    c = paths.arrays(np.arange(9), pd.DataFrame([(*p, rng.random()) for p in pairs], columns=["src", "dst", "w"]))
+    q, asked = rng.random((9, 9)), []
+
+    def total(steps):
+        asked.append(steps.size)
+        return steps.sum(0)
+
+    monkeypatch.setattr(flows, "NUMBERS", 40)
+    a, b = c.ends.T
+    assert flows.by_ranges(c, q, total) == pytest.approx(((q[a] - q[b]) * flows._edge_weights(c)[:, None]).sum(1))
+    assert max(asked) <= 40 and sum(asked) == len(pairs) * 9
