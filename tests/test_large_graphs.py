@@ -148,3 +148,19 @@ def test_dense_steps_come_in_ranges_of_edges(monkeypatch):
     a, b = c.ends.T
     assert flows.by_ranges(c, q, total) == pytest.approx(((q[a] - q[b]) * flows._edge_weights(c)[:, None]).sum(1))
     assert max(asked) <= 40 and sum(asked) == len(pairs) * 9
+
+
+def test_waves_are_the_levels_of_each_source(spark, monkeypatch):
+    """Pieces, isolated vertices and a loop; no table of pairs is joined with the edges."""
+    from meshwright.operators import waves
+
+    g = random_graph(spark, 150, 260, 4)
+    some = g.vertices.where("id % 2 = 0")
+    monkeypatch.setattr(waves, "PIECE", 7)
+    monkeypatch.setattr(waves, "WORDS", 1)
+    monkeypatch.setattr(paths, "pairs_in_reach", None)
+    got = {(r["src"], r["dst"]): r["distance"] for r in paths.frontier(g, some).collect()}
+    assert got == {(r["src"], r["dst"]): r["distance"] for r in paths.distances(g, some).collect()}
+    want = spark.createDataFrame(paths.reach(g).collect(), "id long, n long, total double, longest double")
+    monkeypatch.setattr(paths, "MOST_EDGES", 0)
+    same(paths.reach(g), want, ("id",), ["n", "total", "longest"])
