@@ -491,3 +491,11 @@ def test_binary_images_as_folders(spark, tmp_path):
     graphs.write_pixels(both, str(tmp_path / "binary"))
     back = graphs.read_pixels(spark, str(tmp_path / "binary"))
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in both.collect()} and back.where("image_id = 2").count() == 4
+
+
+def test_pages_alike_in_four_digits_keep_their_own_masks(spark, tmp_path):
+    from meshwright.plans import queries
+
+    spark.createDataFrame([(3,), (30003,), (10002,), (4,)], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["mask"] for r in queries.masks_by_name(spark, str(tmp_path)).collect()}
+    assert got == {3: 3, 30003: -1, 10002: -1, 4: -1}
