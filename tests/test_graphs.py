@@ -323,3 +323,22 @@ print(stored(spark.range(3)).count(), len([*__import__("pathlib").Path({str(tmp_
 """
         out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
         assert out.stdout.split()[-2:] == ["3", "1"] and not [*tmp_path.glob("round-*")], out.stderr[-500:]
+
+
+def test_degrees_of_few_vertices_are_broadcast(spark, monkeypatch):
+    """The edges are not shuffled to their ends' degrees; beyond that many vertices they are, with the same result."""
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long")
+    got, plans = [], []
+    monkeypatch.setattr(measures, "stored", lambda df: df.localCheckpoint())
+    with_no_hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (10, 0):
+            monkeypatch.setattr(measures, "BROADCAST_VERTICES", most)
+            df = measures.assortativity(measures.graph_of(e))
+            plans.append(df._jdf.queryExecution().toString())
+            got.append(df.first()[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_no_hint)
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
+    assert got[0] == pytest.approx(got[1])
