@@ -164,3 +164,15 @@ def test_waves_are_the_levels_of_each_source(spark, monkeypatch):
     want = spark.createDataFrame(paths.reach(g).collect(), "id long, n long, total double, longest double")
     monkeypatch.setattr(paths, "MOST_EDGES", 0)
     same(paths.reach(g), want, ("id",), ["n", "total", "longest"])
+
+
+def test_the_laplacian_times_a_matrix_goes_by_blocks_of_columns(spark, monkeypatch):
+    """Blocks smaller than a matrix, two graphs; a vertex without edges has its row."""
+    monkeypatch.setattr(flows, "NUMBERS", 40)
+    v = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 7)], "frame int, id long")
+    e = spark.createDataFrame([(0, 1, 2, 2.0), (0, 2, 3, 0.5)], "frame int, src long, dst long, w double")
+    q = spark.createDataFrame([(0, i, j, float(i == j)) for i in (1, 2, 3) for j in (1, 2, 3)] + [(1, 7, 7, 1.0)], "frame int, row long, col long, value double")
+    got = rows(flows.laplacian_times(NetworkFrame(v, e), q, "w", by="frame"), "frame", "row", "col")
+    want = [[2.0, -2.0, 0.0], [-2.0, 2.5, -0.5], [0.0, -0.5, 0.5]]
+    assert len(got) == 10 and got[1, 7, 7]["value"] == 0
+    assert [[got[0, i, j]["value"] for j in (1, 2, 3)] for i in (1, 2, 3)] == [pytest.approx(r) for r in want]
