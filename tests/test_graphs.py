@@ -342,3 +342,15 @@ def test_degrees_of_few_vertices_are_broadcast(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_no_hint)
     assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
     assert got[0] == pytest.approx(got[1])
+
+
+@pytest.mark.parametrize("block_bytes", [100_000_000, 40])
+def test_triangles_of_dense_graphs_by_bits(spark, monkeypatch, block_bytes):
+    """The same as by wedges: isolated vertices, a loop and repeated edges, whatever the number of blocks."""
+    rng = np.random.default_rng(8)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 40, (260, 2))] + [(1, 1), (3, 2), (2, 3)]
+    g = graph(spark, pairs, 43)
+    want = by_id(measures.clustering(g), "clustering")
+    monkeypatch.setattr(measures, "DENSE", 0)
+    monkeypatch.setattr(measures, "BLOCK_BYTES", block_bytes)
+    assert by_id(measures.clustering(g), "clustering") == pytest.approx(want)
