@@ -176,3 +176,15 @@ def test_the_laplacian_times_a_matrix_goes_by_blocks_of_columns(spark, monkeypat
     want = [[2.0, -2.0, 0.0], [-2.0, 2.5, -0.5], [0.0, -0.5, 0.5]]
     assert len(got) == 10 and got[1, 7, 7]["value"] == 0
     assert [[got[0, i, j]["value"] for j in (1, 2, 3)] for i in (1, 2, 3)] == [pytest.approx(r) for r in want]
+
+
+def test_beyond_what_a_task_holds_waves_go_over_tables(spark, monkeypatch):
+    from meshwright.operators import waves
+
+    g = random_graph(spark, 20, 30, 5)
+    want = spark.createDataFrame(paths.reach(g).collect(), "id long, n long, total double, longest double")
+    monkeypatch.setattr(paths, "MOST_EDGES", 0)
+    monkeypatch.setattr(waves, "MOST_NEAR", 0)
+    assert not waves.held(g)
+    same(paths.reach(g), want, ("id",), ["n", "total", "longest"])
+    assert paths.diameter(g).first()[0] == max(r["longest"] for r in want.collect())
