@@ -223,6 +223,16 @@ def test_gyration_of_a_line(spark):
     assert (row["xx"], row["yy"], row["xy"]) == (8.0, 36.0, 12.0)
 
 
+def test_gyration_of_many_graphs_is_shared_out(spark, monkeypatch):
+    """A line in each of three graphs, and lone vertices in a fourth; no graph passes the driver."""
+    monkeypatch.setattr(paths, "csr", None)
+    e = spark.createDataFrame([(k, 10 * k + i, 10 * k + i + 1, 1.0, 2.0) for k in range(3) for i in range(2)], "k int, src long, dst long, resistance double, conductance double")
+    at = [(0.0, 0.0), (1.0, 0.0), (2.0, 3.0)]
+    v = spark.createDataFrame([(k, 10 * k + i, *at[i]) for k in range(4) for i in range(3)], "k int, id long, x double, y double")
+    row = paths.gyration(NetworkFrame(v, e), by="k").first()
+    assert (row["xx"], row["yy"], row["xy"]) == (24.0, 108.0, 36.0)
+
+
 def test_nearest_of_points_far_and_near(spark):
     rng = np.random.default_rng(4)
     at = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(50, 5, (7, 3)), [[1e4, 0, 0]]])
