@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgumentsError, StructuralElementError
 from ..schema import NetworkFrame
 from .components import components
-from .groups import by_keys
+from .groups import by_batches, by_keys, pieces
 from .iterate import stored
 from .thinning import skeletons
 
@@ -114,12 +114,53 @@ def closed(voxels: DataFrame, element: list[tuple[int, int, int]], box: DataFram
     return full.select(*AT)
 
 
-def remove_objects(voxels: DataFrame, size: int) -> DataFrame:
-    """Components of at least ``size`` voxels, touching corners included."""
-    labelled = components(voxel_graph(voxels))
+#: Voxels of an image whose objects are told apart in one task.
+FEW = 1 << 18
+
+
+def remove_objects(voxels: DataFrame, size: int, few: int = FEW) -> DataFrame:
+    """Components of at least ``size`` voxels, touching corners included. Images of at most ``few`` voxels are labelled in a task each, others by joins."""
+    voxels = stored(voxels.select(*AT))
+    large = stored(voxels.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > few).select("image_id"))
+    if large.isEmpty():
+        return _large_objects(voxels, size)
+    some = voxels.join(large, "image_id", "left_semi")
+    labelled = components(voxel_graph(some))
     big = labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= size)
     kept = labelled.join(big, "component", "left_semi").select("id")
-    return with_ids(voxels).join(kept, "id", "left_semi").select(*AT)
+    return _large_objects(voxels.join(large, "image_id", "left_anti"), size).unionByName(with_ids(some).join(kept, "id", "left_semi").select(*AT))
+
+
+def _drawn_together(x: np.ndarray) -> np.ndarray:
+    """Places along an axis with every gap cut to 2: neighbours stay neighbours, others stay apart."""
+    values, at = np.unique(x, return_inverse=True)
+    return np.concatenate([[0], np.cumsum(np.minimum(np.diff(values), 2))])[at]
+
+
+def _large_objects(voxels: DataFrame, size: int) -> DataFrame:
+    """As ``remove_objects``, every image in one task; those of a batch are labelled together, one above the other with a gap."""
+
+    def of_images(images: list[tuple[tuple[int, ...], np.ndarray]]) -> list[pd.DataFrame]:
+        if not images:
+            return []
+        at = np.concatenate([own for _, own in images])
+        n = np.array([len(own) for _, own in images])
+        low, deep = (np.array([f(own[:, 0]) for _, own in images]) for f in (np.min, np.ptp))
+        above = np.repeat(np.cumsum(deep + 2) - deep - 2 - low, n)
+        z, r, c = (_drawn_together(x) for x in (at[:, 0] + above, at[:, 1], at[:, 2]))
+        rows, columns = int(r.max()) + 2, int(c.max()) + 2
+        held, place = np.unique((z * rows + r) * columns + c, return_inverse=True)
+        pairs = [np.zeros((2, 0), np.int64)]
+        for dz, dr, dc in (s for s in AROUND if s > (0, 0, 0)):
+            to = np.searchsorted(held, held + (dz * rows + dr) * columns + dc)
+            hit = np.flatnonzero((to < len(held)) & (held[np.minimum(to, len(held) - 1)] == held + (dz * rows + dr) * columns + dc))
+            pairs.append(np.stack([hit, to[hit]]))
+        piece = pieces(len(held), *np.concatenate(pairs, 1))
+        kept = (np.bincount(piece, minlength=len(held))[piece] >= size)[place]
+        z, r, c = at[kept].T.astype("int32")
+        return [pd.DataFrame({"image_id": np.repeat([k[0] for k, _ in images], n)[kept], "z": z, "r": r, "c": c})]
+
+    return by_batches(voxels, 1, of_images, "image_id long, z int, r int, c int")
 
 
 def with_ids(voxels: DataFrame) -> DataFrame:

@@ -229,6 +229,16 @@ def test_remove_objects(spark):
     assert {(r["r"], r["c"]) for r in morphology.remove_objects(v, 2).collect()} == {(0, 0), (1, 1)}
 
 
+def test_objects_of_small_images_are_told_apart_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(z) - 2, 10**9 * int(r > 5) + int(r), int(c) * (-1) ** i) for i in range(6) for z, r, c in np.argwhere(rng.random((3, 9, 9)) < 0.12)]
+    df = spark.createDataFrame(rows, "image_id long, z int, r int, c int")
+    want = {tuple(r) for r in morphology.remove_objects(df, 3, few=0).collect()}
+    monkeypatch.setattr(morphology, "components", None)
+    assert {tuple(r) for r in morphology.remove_objects(df, 3).collect()} == want and 0 < len(want) < len(rows)
+    assert morphology.remove_objects(df.limit(0), 3).isEmpty()
+
+
 AT = [(0, 3), (1, 7), (2, 3), (3, 2), (3, 3), (3, 0), (5, 5), (6, 5), (6, 6), (6, 8), (8, 3), (5, 1), (6, 0), (7, 1), (6, 2), (1, 3), (3, 1), (4, 4), (7, 4), (6, 7)]
 
 
