@@ -44,7 +44,7 @@ def cutoff_graph(points: DataFrame, r_max: float, group: tuple[str, ...] = (), b
     steps = []
     for i, a in enumerate(AXES):
         d = F.col(a) - F.col(f"{a}0")
-        steps.append(d - F.lit(box[i]) * F.round(d / box[i]) if box else d)
+        steps.append(d - F.lit(box[i]) * F.rint(d / box[i]) if box else d)  # a half rounds either way to the same distance
     length = F.sqrt(reduce(lambda p, q: p + q, (d * d for d in steps)))
     pairs = left.join(right, [*g, "cube"]).where("NOT own OR p < q").select(*g, F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), length.alias("length"))
     return pairs.where(F.col("length") <= r_max)

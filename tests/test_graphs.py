@@ -233,6 +233,15 @@ def test_gyration_of_many_graphs_is_shared_out(spark, monkeypatch):
     assert (row["xx"], row["yy"], row["xy"]) == (24.0, 108.0, 36.0)
 
 
+def test_periodic_distances_round_without_decimals(spark):
+    """Half a box apart either way; Spark's round of doubles goes through decimals, pair by pair."""
+    df = spark.createDataFrame([(0, 0.0, 0.25, 0.0), (1, 0.5, 0.75, 0.0), (2, 0.95, 0.25, 0.0)], "pid long, x double, y double, z double")
+    g = points.cutoff_graph(df, 0.8, box=(1.0, 1.0, 1.0))
+    assert {(r["src"], r["dst"], round(r["length"], 9)) for r in g.collect()} == {(0, 1, round(0.5**0.5, 9)), (0, 2, 0.05), (1, 2, round((0.45**2 + 0.5**2) ** 0.5, 9))}
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "rint(" in plan.lower()
+
+
 def test_nearest_of_points_far_and_near(spark):
     rng = np.random.default_rng(4)
     at = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(50, 5, (7, 3)), [[1e4, 0, 0]]])
