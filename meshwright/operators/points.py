@@ -106,7 +106,8 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     surely holds k. Of points in one place only the k + 1 with the least ids can be
     anyone's neighbours; the others ask and are not asked for.
     """
-    own = stored(points.select("pid", *AXES).where(" AND ".join(f"{a} IS NOT NULL" for a in AXES)))
+    finite = reduce(lambda p, q: p & q, (F.abs(F.col(a).cast("double")) < float("inf") for a in AXES))  # nor null or NaN
+    own = stored(points.select("pid", *AXES).where(finite))
     n = own.count()
     least = min(k, n - 1)
     if least < 1:
@@ -127,12 +128,8 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
 
 def knn_graph(points: DataFrame, k: int, r_max: float | None = None) -> DataFrame:
     """Pairs (query, point, rank) of the k nearest, within ``r_max`` if it is given, of which those with query < point are edges."""
-    if r_max is None:
-        return nearest(points, k).where("src < dst")
-    near = cutoff_graph(points, r_max)
-    both = near.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"), "length").select("e.*", "length")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("length", "dst"))
-    return both.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("src") < F.col("dst")))
+    near = nearest(points, k).where("src < dst")
+    return near if r_max is None else near.where(F.col("length") <= r_max)  # ranks within a radius are ranks among all
 
 
 def edge_list_graph(points: DataFrame, bonds: DataFrame) -> DataFrame:

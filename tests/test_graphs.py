@@ -242,6 +242,17 @@ def test_periodic_distances_round_without_decimals(spark):
     assert "round(" not in plan and "rint(" in plan.lower()
 
 
+def test_nearest_within_a_radius_take_no_table_of_near_pairs(spark, monkeypatch):
+    """A crowd of which all are near each other, copies of one point, a lone one, and points that have no place."""
+    rng = np.random.default_rng(8)
+    at = np.concatenate([rng.normal(0, 0.01, (80, 3)), np.zeros((9, 3)), rng.normal(0, 0.3, (40, 3)), [[50.0, 0, 0]]])
+    df = spark.createDataFrame([*((i, *map(float, p)) for i, p in enumerate(at)), (500, float("nan"), 0.0, 0.0), (501, None, 0.0, 0.0), (502, float("inf"), 0.0, 0.0)], "pid long, x double, y double, z double")
+    gap = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    want = {(i, j, k + 1) for i in range(len(at)) for k, j in enumerate(sorted((j for j in range(len(at)) if j != i), key=lambda j, i=i: (gap[i, j], j))[:3]) if gap[i, j] <= 0.1 and i < j}
+    monkeypatch.setattr(points, "cutoff_graph", None)
+    assert {(r["src"], r["dst"], r["rank"]) for r in points.knn_graph(df, 3, 0.1).collect()} == want
+
+
 def test_nearest_of_points_far_and_near(spark):
     rng = np.random.default_rng(4)
     at = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(50, 5, (7, 3)), [[1e4, 0, 0]]])
