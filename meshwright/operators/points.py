@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import product
+from itertools import chain, pairwise, product
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,71 @@ def cutoff_graph(points: DataFrame, r_max: float, group: tuple[str, ...] = (), b
     return pairs.where(F.col("length") <= r_max)
 
 
+#: Sides of cells to a radius: two points of one cell are nearer than it, by a share that rounding does not reach.
+CELLS = 1.74
+
+
+def linked(points: DataFrame, r_max: float, group: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (src, dst) within ``r_max``, per group, that join the same points as all pairs of ``cutoff_graph`` do, some for each point.
+
+    All points of a cell of side ``r_max / CELLS`` are within ``r_max``, so each is tied
+    to the cell's least. Of two cells near each other one pair within ``r_max`` is
+    enough: a point is sent only to those cells, in one half of the directions, whose
+    box it may reach, and a task looks at blocks of the pairs until one is found.
+    """
+    g, side = list(group), r_max / CELLS
+    finite = reduce(lambda p, q: p & q, (F.abs(F.col(a).cast("double")) < float("inf") for a in AXES))
+    at = [F.floor(F.col(a) / side).cast("long").alias(n) for a, n in zip(AXES, "uvw", strict=True)]
+    own = stored(points.where(finite).select(*g, "pid", *(F.col(a).cast("double").alias(a) for a in AXES), *at))
+    cell = [*g, "u", "v", "w"]
+    least = own.groupBy(*cell).agg(F.min("pid").alias("src"))
+    ties = own.join(least, cell).where("src <> pid").select("src", F.col("pid").alias("dst"))
+
+    #: a pair of cells is named by its first cell and the number of its step: a point goes there as one of its first cell's, or of the other's
+    ways = [(n, first, s, tuple(x if first else -x for x in s)) for n, s in enumerate(s for s in product(range(-2, 3), repeat=3) if s > (0, 0, 0)) for first in (True, False)]
+    every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(first).alias("first"), *(F.lit(0 if first else -x).alias(f"to_{k}") for k, x in zip("uvw", s, strict=True)), *(F.lit(x).alias(k) for k, x in zip("uvw", to, strict=True))) for n, first, s, to in ways))
+
+    def reaches(way: Column) -> Column:
+        """Whether a point is within the radius of the cell so many steps on, widened a little."""
+        low = [(F.col(k) + way[k]) * F.lit(side) - F.col(a) for a, k in zip(AXES, "uvw", strict=True)]
+        gaps = [F.greatest(x, -x - F.lit(side), F.lit(0.0)) for x in low]
+        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2] <= (r_max * 1.000001) ** 2
+
+    places = own.groupBy(*cell, *AXES).agg(F.min("pid").alias("pid"))
+    sent = places.withColumn("to", F.explode(F.filter(every, reaches))).select(*g, *((F.col(k) + F.col(f"to.to_{k}")).alias(k) for k in "uvw"), F.col("to.n").alias("n"), F.col("to.first").alias("first"), "pid", *AXES)
+    kind, names = dict(points.dtypes), [*cell, "n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # of a pair of cells that may go on in the next batch
+        for frame in chain(batches, [None]):
+            rows = pd.concat([*held, *([] if frame is None else [frame])], ignore_index=True) if held or frame is not None else []
+            if not len(rows):
+                continue
+            at = rows[names].to_numpy()
+            ends = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), *([len(rows)] if frame is None else [])]
+            held = [] if frame is None else [rows.iloc[ends[-1] :]]
+            ids, first, xyz = rows["pid"].to_numpy(), rows["first"].to_numpy(), rows[[*AXES]].to_numpy()
+            found = [(ids[a + p], ids[a + q]) for a, b in pairwise(ends) if (hit := _one_within(first[a:b], xyz[a:b], r_max)) for p, q in [hit]]
+            yield pd.DataFrame(found, columns=["src", "dst"]).astype({"src": ids.dtype, "dst": ids.dtype})
+
+    spread = sent.repartition(*names).sortWithinPartitions(*names, "pid")
+    return ties.unionByName(spread.mapInPandas(run, f"src {kind['pid']}, dst {kind['pid']}"))
+
+
+def _one_within(first: np.ndarray, xyz: np.ndarray, r_max: float) -> tuple[int, int] | None:
+    """Places of a point of the first and one of the other cell within ``r_max``, if there are any; blocks of 256 by 256."""
+    a, b = np.flatnonzero(first), np.flatnonzero(~first)
+    for i in range(0, len(a), 256):
+        for j in range(0, len(b), 256):
+            p, q = xyz[a[i : i + 256]], xyz[b[j : j + 256]]
+            d = q[None] - p[:, None]
+            hit = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]) <= r_max
+            if hit.any():
+                k = int(hit.argmax())
+                return int(a[i + k // len(q)]), int(b[j + k % len(q)])
+    return None
+
+
 #: Points of the sample that radii are guessed from.
 SAMPLE = 2000
 

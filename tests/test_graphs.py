@@ -233,15 +233,6 @@ def test_gyration_of_many_graphs_is_shared_out(spark, monkeypatch):
     assert (row["xx"], row["yy"], row["xy"]) == (24.0, 108.0, 36.0)
 
 
-def test_periodic_distances_round_without_decimals(spark):
-    """Half a box apart either way; Spark's round of doubles goes through decimals, pair by pair."""
-    df = spark.createDataFrame([(0, 0.0, 0.25, 0.0), (1, 0.5, 0.75, 0.0), (2, 0.95, 0.25, 0.0)], "pid long, x double, y double, z double")
-    g = points.cutoff_graph(df, 0.8, box=(1.0, 1.0, 1.0))
-    assert {(r["src"], r["dst"], round(r["length"], 9)) for r in g.collect()} == {(0, 1, round(0.5**0.5, 9)), (0, 2, 0.05), (1, 2, round((0.45**2 + 0.5**2) ** 0.5, 9))}
-    plan = g._jdf.queryExecution().optimizedPlan().toString()
-    assert "round(" not in plan and "rint(" in plan.lower()
-
-
 def test_nearest_within_a_radius_take_no_table_of_near_pairs(spark, monkeypatch):
     """A crowd of which all are near each other, copies of one point, a lone one, and points that have no place."""
     rng = np.random.default_rng(8)
@@ -253,6 +244,29 @@ def test_nearest_within_a_radius_take_no_table_of_near_pairs(spark, monkeypatch)
     assert {(r["src"], r["dst"], r["rank"]) for r in points.knn_graph(df, 3, 0.1).collect()} == want
 
 
+def test_linked_points_are_in_the_components_of_all_near_pairs(spark):
+    """Crowds, copies, lone points and points on the borders of cells, in two groups; a crowd of n points takes some n pairs."""
+    rng = np.random.default_rng(9)
+    at = np.concatenate([rng.normal(0, 0.02, (150, 3)), np.repeat(rng.random((5, 3)), 6, 0), rng.random((120, 3)) * 1.2 - 0.6, np.arange(-12, 12)[:, None] * [0.1 / points.CELLS, 0, 0] + [0, 3, 0], [[float(k), 5, 5] for k in range(3)]])
+    rows = [(i % 2, i, *map(float, p)) for i, p in enumerate(at)]
+    df = spark.createDataFrame([*rows, (0, 900, float("nan"), 0.0, 0.0), (0, 901, None, 0.0, 0.0)], "frame int, pid long, x double, y double, z double")
+    v = df.select(F.col("pid").alias("id"))
+    for group in ((), ("frame",)):
+        near, few = points.cutoff_graph(df, 0.1, group).cache(), points.linked(df, 0.1, group).cache()
+        every, some = ({tuple(r) for r in x.select(F.least("src", "dst"), F.greatest("src", "dst")).collect()} for x in (near, few))
+        assert some <= every and 0 < len(some) < len(every) / 5
+        assert {tuple(r) for r in components.components(NetworkFrame(v, few)).collect()} == {tuple(r) for r in components.components(NetworkFrame(v, near)).collect()}
+
+
+def test_periodic_distances_round_without_decimals(spark):
+    """Half a box apart either way; Spark's round of doubles goes through decimals, pair by pair."""
+    df = spark.createDataFrame([(0, 0.0, 0.25, 0.0), (1, 0.5, 0.75, 0.0), (2, 0.95, 0.25, 0.0)], "pid long, x double, y double, z double")
+    g = points.cutoff_graph(df, 0.8, box=(1.0, 1.0, 1.0))
+    assert {(r["src"], r["dst"], round(r["length"], 9)) for r in g.collect()} == {(0, 1, round(0.5**0.5, 9)), (0, 2, 0.05), (1, 2, round((0.45**2 + 0.5**2) ** 0.5, 9))}
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "rint(" in plan.lower()
+
+
 def test_nearest_of_points_far_and_near(spark):
     rng = np.random.default_rng(4)
     at = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(50, 5, (7, 3)), [[1e4, 0, 0]]])
