@@ -326,6 +326,38 @@ def test_many_graphs_at_once(spark):
         flows.relaxed(wired, F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), most=1, by="frame")
 
 
+def test_many_graphs_too_large_for_dense_solves(spark, monkeypatch):
+    """Three connected graphs, one of which lies apart from its target, solved over a table of edges as densely; and terminals without an edge."""
+    rng = np.random.default_rng(12)
+    v, e = [], []
+    for f in range(3):
+        at = rng.random((14, 2))
+        v += [(f, 100 * f + i, *map(float, p), bool(p[0] < 0.4), bool(p[0] > 0.6) and f < 2) for i, p in enumerate(at)]
+        e += [(f, 100 * f + i, 100 * f + j, float(rng.random() + 0.1)) for i in range(14) for j in range(i + 1, 14) if j == i + 1 or rng.random() < 0.2]
+    g = NetworkFrame(spark.createDataFrame(v, "frame int, id long, x double, y double, low boolean, high boolean"), spark.createDataFrame(e, "frame int, src long, dst long, w double"))
+    wired = flows.with_terminals(g, flows.Terminals("x", (0.0, 0.4), (0.6, 1.0)), "w", by="frame")
+    cut = NetworkFrame(wired.vertices, wired.edges.where("frame < 2 OR src >= 0"))
+    monkeypatch.setattr(flows, "RANGE", 16)
+
+    def solved():
+        yield {r["frame"]: (r["by_inverse"], r["by_determinants"]) for r in flows.effective_resistance(wired, by="frame").collect()}
+        yield {r["id"]: r["potential"] for r in flows.potentials(cut, by="frame").collect()}
+        yield {(r["frame"], r["src"], r["dst"]): r["betweenness"] for r in flows.random_walk_betweenness(g, "low", "high", weight="w", ghost=True, by="frame").collect()}
+        yield by_id(flows.relaxed(wired, F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), by="frame"), "potential")
+
+    want = [*solved()]
+    monkeypatch.setattr(flows, "MOST_VERTICES", 5)
+    got = [*solved()]
+    for a, b in zip(want, got, strict=True):
+        assert a.keys() == b.keys() and len(a)
+        for k in a:
+            assert (a[k] is None and b[k] is None) or np.allclose(a[k], b[k], atol=1e-7)
+    assert any(x is None for x in got[1].values())
+    monkeypatch.setattr(flows, "MOST_HELD", 0)  # tables only
+    own = by_id(flows.relaxed(wired, F.expr("id < 0 AND id % 2 <> 0"), F.expr("id < 0 AND id % 2 = 0"), by="frame"), "potential")
+    assert own.keys() == got[3].keys() and all(abs(own[k] - got[3][k]) < 1e-7 for k in own)
+
+
 def test_gyration_by_samples_and_both_ways(spark):
     v = spark.createDataFrame([(i, i + 0.5, 0.0) for i in range(4)], "id long, x double, y double")
     e = spark.createDataFrame([(a, b, 1.0, 1.0) for a, b in PATH], "src long, dst long, resistance double, conductance double")
