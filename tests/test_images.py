@@ -408,6 +408,13 @@ def test_point_files(spark, tmp_path):
     assert [tuple(r) for r in files.bonds(spark, str(tmp_path / "p.dat")).collect()] == [(0, 1), (1, 3)]
 
 
+def test_positions_are_exported_without_edges(spark, tmp_path):
+    v = spark.createDataFrame([(2, 2.0, 0.0, 1.0), (1, 1.0, 0.5, 0.0)], "id long, x double, y double, z double")
+    graphs.write_positions(v, str(tmp_path))
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/vertexPositions.csv").collect()] == [("1.0", "0.5", "0.0"), ("2.0", "0.0", "1.0")]
+    assert not (tmp_path / "edgeList.csv").exists()
+
+
 def test_graph_files_round_trip(spark, tmp_path):
     v = spark.createDataFrame([(0, 0.0, 1.0, 2.0), (1, 1.0, 1.0, 2.0)], "id long, x double, y double, z double")
     g = NetworkFrame(v, spark.createDataFrame([(0, 1)], "src long, dst long"))
