@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.errors import InvalidArgumentsError
-from meshwright.operators import flows, paths
+from meshwright.operators import flows, paths, waves
 from meshwright.schema import NetworkFrame
 
 
@@ -188,3 +188,29 @@ def test_beyond_what_a_task_holds_waves_go_over_tables(spark, monkeypatch):
     assert not waves.held(g)
     same(paths.reach(g), want, ("id",), ["n", "total", "longest"])
     assert paths.diameter(g).first()[0] == max(r["longest"] for r in want.collect())
+
+
+@pytest.mark.parametrize("rows_at_once", [2, 256])
+def test_shares_by_waves(spark, monkeypatch, rows_at_once):
+    g = random_graph(spark, 40, 90, 11)
+    monkeypatch.setattr(waves, "ROWS", rows_at_once)
+    sources, targets = g.vertices.where("id < 30"), g.vertices.where("id > 12")
+    want = paths.counted_over_tables(g, sources, targets, None)
+    want = spark.createDataFrame(want.where("src <> dst OR kind = 'node'").collect(), want.schema)
+    same(waves.shares(g, sources, targets, True), want, ("kind", "src", "dst"), ["value"])
+    same(waves.shares(g, sources, targets, False), want.where("kind = 'node'"), ("kind", "src", "dst"), ["value"])
+
+
+def test_node_betweenness_makes_no_tables_where_a_task_may_hold_the_graph(spark, monkeypatch):
+    g = random_graph(spark, 20, 30, 12)
+    monkeypatch.setattr(paths, "MOST_EDGES", 0)
+    monkeypatch.setattr(paths, "counted_over_tables", None)
+    assert paths.node_betweenness(g).count() == paths.node_boundary_betweenness(g, g.vertices, g.vertices).count() == 23
+
+
+def test_average_betweenness_needs_distances_only(spark, monkeypatch):
+    g = random_graph(spark, 25, 30, 13)
+    want = paths.node_betweenness(g).agg(F.avg("betweenness")).first()[0]
+    monkeypatch.setattr(paths, "_both_kinds", None)
+    assert paths.average_betweenness(g).first()[0] == pytest.approx(want)
+    assert paths.average_betweenness(NetworkFrame(g.vertices.limit(0), g.edges.limit(0))).first()[0] is None
