@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..schema import VOXEL, NetworkFrame, both_ways
 from .components import components
+from .groups import by_batches
 from .iterate import forget, ranked, stored
-from .morphology import AROUND, AT, by_image, neighbour_counts, voxel_graph, with_ids
+from .morphology import AROUND, AT, neighbour_counts, voxel_graph, with_ids
 
 #: Voxels of an image that is traced in one task.
 FEW = 1 << 18
@@ -115,14 +116,16 @@ def in_one_task(voxels: DataFrame, multi: bool, iso: bool, ring: bool) -> Networ
     """As ``vectorised``, traced image by image."""
     as_voxel = lambda run: [{"z": z, "r": r, "c": c} for z, r, c in run]
 
-    def of_image(image: int, at: np.ndarray) -> list[pd.DataFrame]:
-        own, edges = trace(list(map(tuple, at.tolist())), multi, iso, ring)
-        rows = [(image, "vertex", n["id"], None, None, *map(float, n["o"]), as_voxel(n["pts"])) for n in own]
-        rows += [(image, "edge", i, e["src"], e["dst"], None, None, None, as_voxel(e["pts"])) for i, e in enumerate(edges)]
+    def of_images(images: list[tuple[tuple[int, ...], np.ndarray]]) -> list[pd.DataFrame]:
+        rows = []
+        for (image,), at in images:
+            own, edges = trace(list(map(tuple, at.tolist())), multi, iso, ring)
+            rows += [(image, "vertex", n["id"], None, None, *map(float, n["o"]), as_voxel(n["pts"])) for n in own]
+            rows += [(image, "edge", i, e["src"], e["dst"], None, None, None, as_voxel(e["pts"])) for i, e in enumerate(edges)]
         return [pd.DataFrame(rows, columns=["image_id", "kind", "id", "src", "dst", "z", "r", "c", "pts"], dtype=object)] if rows else []
 
     schema = f"image_id long, kind string, id long, src long, dst long, z double, r double, c double, pts array<{VOXEL}>"
-    both = by_image(voxels, of_image, schema)
+    both = by_batches(voxels.select(*AT), 1, of_images, schema)
     vertices = both.where("kind = 'vertex'").select("image_id", "id", F.col("z").alias("z"), F.col("r").alias("y"), F.col("c").alias("x"), "pts")
     edges = both.where("kind = 'edge'").select("image_id", F.col("id").alias("eid"), "src", "dst", "pts")
     return NetworkFrame(vertices, edges)

@@ -516,3 +516,29 @@ def test_pages_alike_in_four_digits_keep_their_own_masks(spark, tmp_path):
     spark.createDataFrame([(3,), (30003,), (10002,), (4,)], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["page_id"]: r["mask"] for r in queries.masks_by_name(spark, str(tmp_path)).collect()}
     assert got == {3: 3, 30003: -1, 10002: -1, 4: -1}
+
+
+def test_widths_are_measured_in_batches_of_images(spark):
+    e = spark.createDataFrame([(7, 0, [(0, 1, 0), (0, 1, 1), (0, 1, 2)]), (7, 1, [(0, 1, 2)]), (9, 0, [(0, 0, 0), (0, 0, 1)])], "image_id long, eid long, pts array<struct<z:int,r:int,c:int>>")
+    pixels = spark.createDataFrame([(7, 0, r, c, 1) for r in range(3) for c in range(3)] + [(8, 0, 0, 0, 1)], "image_id long, z int, r int, c int, v int")
+    got = weights.pixel_widths(e, pixels)
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    assert {(r["image_id"], r["eid"]): (r["pixel_width"], r["perp_bisector"] and [*map(list, r["perp_bisector"])]) for r in got.collect()} == {
+        (7, 0): (2, [[0, 0, 1], [0, 2, 1]]), (7, 1): (10, None), (9, 0): (0, [[0, 0, 1], [0, 0, 1]])}
+
+
+def test_runs_of_small_images_need_no_doubling(spark, monkeypatch):
+    from meshwright.plans import queries
+
+    line = [(1, 0, 0, c) for c in range(4)]
+    monkeypatch.setattr(queries.inp, "voxels", lambda *_: spark.createDataFrame(line, "image_id long, z int, r int, c int"))
+    monkeypatch.setattr(skeleton, "by_doubling", None)
+    assert [tuple(r) for r in queries.skeleton_runs(spark, "").collect()] == [(1, 0, 0, 0, 1, 0, 3, 4)]
+
+
+def test_boxes_are_not_broadcast(spark):
+    v = spark.createDataFrame([(1, 0, 0, 0)], "image_id long, z int, r int, c int")
+    box = spark.createDataFrame([(1, 1, 1, 2)], "image_id long, depth int, height int, width int")
+    got = morphology.dilated(v, morphology.ball(1, True), box)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
+    assert {(r["r"], r["c"]) for r in got.collect()} == {(0, 0), (0, 1)}
