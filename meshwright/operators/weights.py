@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgumentsError
+from .groups import by_batches
+from .iterate import stored
 
 KINDS = ("VariableWidthConductance", "FixedWidthConductance", "Resistance", "Area", "Width", "Length", "InverseLength")
 #: The column each kind is kept in.
@@ -74,21 +76,27 @@ def span(image: np.ndarray, pts: np.ndarray) -> tuple[int, list[int], list[int]]
 
 
 def pixel_widths(edges: DataFrame, pixels: DataFrame, key: str = "image_id") -> DataFrame:
-    """Edges with pixel_width and perp_bisector, measured image by image on its foreground pixels; short edges have width 10 and no bisector."""
+    """Edges with pixel_width and perp_bisector, measured image by image (numbered) on its foreground pixels; short edges have width 10 and no bisector."""
     kind = dict(edges.dtypes)[key]
-
-    def of_image(_, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        shape = p[["z", "r", "c"]].max().to_numpy() + 1 if len(p) else np.ones(3, int)
-        image = np.zeros(shape, bool)
-        on = p[p["v"] > 0]
-        image[on["z"], on["r"], on["c"]] = True
+    edges = stored(edges)  # they are read twice
+    at = F.posexplode("pts").alias("i", "p")
+    points = edges.select(key, F.lit(1).alias("kind"), "eid", at).select(key, "kind", "eid", "i", *(F.col(f"p.{a}").alias(a) for a in "zrc"))
+    none = [F.lit(0).alias("eid"), F.lit(0).alias("i")]
+    shapes = pixels.groupBy(key).agg(*((F.max(a) + 1).alias(a) for a in "zrc")).select(key, F.lit(-1).alias("kind"), *none, *"zrc")
+    on = pixels.where("v > 0").select(key, F.lit(0).alias("kind"), *none, *"zrc")
+    rows = shapes.unionByName(on).unionByName(points).withColumns({c: F.col(c).cast("long") for c in ("kind", "eid", "i", *"zrc")})
+
+    def of_images(images: list[tuple[tuple[int, ...], np.ndarray]]) -> list[pd.DataFrame]:
         out = []
-        for row in e.itertuples():
-            pts = np.array([[q["z"], q["r"], q["c"]] for q in row.pts])
-            out.append((row[1 + list(e.columns).index(key)], row.eid, *(span(image, pts) if len(pts) >= 2 else (10, None, None))))
-        frame = pd.DataFrame(out, columns=[key, "eid", "pixel_width", "l1", "l2"])
-        return frame
-
-    found = edges.groupBy(key).cogroup(pixels.groupBy(key)).applyInPandas(of_image, f"{key} {kind}, eid long, pixel_width int, l1 array<int>, l2 array<int>")
+        for (of,), own in images:
+            first, last = np.searchsorted(own[:, 0], [0, 1])
+            image = np.zeros(own[0, 3:] if first else np.ones(3, int), bool)
+            image[tuple(own[first:last, 3:].T)] = True
+            lines = own[last:]
+            for line in np.split(lines, np.flatnonzero(np.diff(lines[:, 1])) + 1) if len(lines) else ():
+                out.append((of, line[0, 1], *(span(image, line[:, 3:]) if len(line) >= 2 else (10, None, None))))
+        return [pd.DataFrame(out, columns=[key, "eid", "pixel_width", "l1", "l2"])] if out else []
+
+    found = by_batches(rows, 1, of_images, f"{key} {kind}, eid long, pixel_width int, l1 array<int>, l2 array<int>")
     named = found.select(key, "eid", "pixel_width", F.when(F.col("l1").isNotNull(), F.struct("l1", "l2")).alias("perp_bisector"))
     return edges.join(named, [key, "eid"])
