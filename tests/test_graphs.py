@@ -430,3 +430,24 @@ def test_triangles_of_dense_graphs_by_bits(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(measures, "DENSE", 0)
     monkeypatch.setattr(measures, "BLOCK_BYTES", block_bytes)
     assert by_id(measures.clustering(g), "clustering") == pytest.approx(want)
+
+
+def test_terminals_need_no_edges(spark):
+    v = spark.createDataFrame([(0, 0, 0.0, 1.0), (0, 1, 5.0, 3.0), (1, 2, 0.0, 0.0)], "frame int, id long, x double, y double")
+    got = flows.terminals(v, flows.Terminals("x", (0.0, 1.0), (4.0, 5.0)), by="frame")
+    assert {(r["frame"], r["src"], r["dst"]) for r in got.edges.collect()} == {(0, -1, 0), (0, -2, 1), (1, -3, 2)}
+    assert {r["id"]: (r["x"], r["y"]) for r in got.vertices.where("id < 0").collect()} == {-1: (-10.0, 2.0), -2: (15.0, 2.0), -3: (-10.0, 0.0), -4: (10.0, 0.0)}
+
+
+@pytest.mark.parametrize("n", [8, 90])
+def test_closed_walks_start_by_start(spark, monkeypatch, n):
+    rng = np.random.default_rng(n)
+    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, n, (n, 2))}
+    a = np.zeros((n, n))
+    for x, y in pairs:
+        a[x, y] = a[y, x] = x != y
+    g = NetworkFrame(spark.range(n).select("id"), spark.createDataFrame(sorted(pairs), "src long, dst long"))
+    monkeypatch.setattr(measures.waves, "PIECE", 4)
+    for k in (3, 4):
+        assert "Join" not in measures.closed_walks(g, k)._jdf.queryExecution().toString()
+        assert measures.closed_walks(g, k).first()[0] == np.trace(np.linalg.matrix_power(a, k)) / 2
