@@ -104,7 +104,7 @@ def dilated(voxels: DataFrame, element: list[tuple[int, int, int]], box: DataFra
     if box is None:
         return out
     inside = F.col("z").between(0, F.col("depth") - 1) & F.col("r").between(0, F.col("height") - 1) & F.col("c").between(0, F.col("width") - 1)
-    return out.join(box, "image_id").where(inside).select(*AT)
+    return out.join(box.hint("merge"), "image_id").where(inside).select(*AT)  # a broadcast would pass a row an image through the driver
 
 
 def closed(voxels: DataFrame, element: list[tuple[int, int, int]], box: DataFrame) -> DataFrame:
