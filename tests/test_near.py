@@ -78,3 +78,13 @@ def test_ids_that_come_twice_go_by_edges(spark):
     g = near.PointGraph(v, points.cutoff_graph(v.withColumnRenamed("id", "pid"), 1.0), 1.0)
     assert g.points() is None
     assert rows(paths.distances(g)) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+def test_distances_from_points_come_tile_by_tile(spark):
+    g, own = both(spark)
+    assert rows(paths.distances(own)) == rows(paths.distances(g))
+    some = own.vertices.where("id % 3 = 0").select("id")
+    got = paths.frontier(own, some)
+    assert rows(got) == rows(paths.distances(g, some))
+    held = [(r["src"], r["dst"]) for r in got.coalesce(1).collect()]
+    assert sum(a[0] != b[0] for a, b in zip(held, held[1:])) < len(held) / 4  # sources come in runs
