@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import near, paths, points
+from meshwright.operators import measures, near, paths, points
 from meshwright.schema import NetworkFrame
 
 
@@ -31,7 +31,7 @@ def rows(df):
 
 
 def same(got, want, n_keys=1):
-    got, want = rows(got), rows(want)
+    got, want = rows(got), want if isinstance(want, list) else rows(want)
     assert [r[:n_keys] for r in got] == [r[:n_keys] for r in want]
     for a, b in zip(got, want, strict=True):
         assert a[n_keys:] == pytest.approx(b[n_keys:], nan_ok=True), a
@@ -88,3 +88,11 @@ def test_distances_from_points_come_tile_by_tile(spark):
     assert rows(got) == rows(paths.distances(g, some))
     held = [(r["src"], r["dst"]) for r in got.coalesce(1).collect()]
     assert sum(a[0] != b[0] for a, b in zip(held, held[1:])) < len(held) / 4  # sources come in runs
+
+
+def test_clustering_from_points(spark, monkeypatch):
+    g, own = both(spark, 0.4, n=300)
+    want = rows(measures.clustering(g))
+    same(measures.clustering(own), want)
+    monkeypatch.setattr(measures, "BLOCK_BYTES", 0)  # many blocks
+    same(measures.clustering(own), want)
