@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meshwright.operators import measures, near, paths, points
 from meshwright.schema import NetworkFrame
+from meshwright.sources import graphs
 
 
 def cloud(spark, n=120, seed=3):
@@ -96,3 +97,22 @@ def test_clustering_from_points(spark, monkeypatch):
     same(measures.clustering(own), want)
     monkeypatch.setattr(measures, "BLOCK_BYTES", 0)  # many blocks
     same(measures.clustering(own), want)
+
+
+def test_lengths_that_the_ends_tell_are_not_stored(spark, tmp_path):
+    g = both(spark)[0]
+    want = rows(g.edges.select("src", "dst", "length"))
+    graphs.write_graph(g, f"{tmp_path}/g", {"periodic": False}, straight=True)
+    assert "length" not in spark.read.parquet(f"{tmp_path}/g/edges").columns
+    own, options = graphs.read_graph(spark, f"{tmp_path}/g")
+    assert rows(own.edges.select("src", "dst", "length")) == want and options == {"periodic": False}
+    twice = NetworkFrame(g.vertices.unionByName(g.vertices), g.edges)  # no one place to take a length from
+    graphs.write_graph(twice, f"{tmp_path}/h", straight=True)
+    assert rows(graphs.read_graph(spark, f"{tmp_path}/h")[0].edges.select("src", "dst", "length")) == want
+
+
+def test_betweenness_from_points(spark):
+    g, own = both(spark)
+    same(paths.node_betweenness(own), paths.node_betweenness(g))
+    ends = [own.vertices.where(x).select("id") for x in ("id % 3 = 0", "id % 3 = 1")]
+    same(paths.node_boundary_betweenness(own, *ends), paths.node_boundary_betweenness(g, *ends))
